@@ -224,7 +224,7 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     rows give no rows. Columns other than the two named are not read.
     """
     spark = docs.sparkSession
-    salts = min(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), 1024)
+    salts = min(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), 256)
     rows = written(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "token_pieces")
     rows = rows.withColumn("head", (F.col("tokens") - 1) % capacity + 1).withColumn("salt", F.expr(f"int(pmod(xxhash64(id, crcs[0]), {salts}))"))
     counts = written(rows.groupBy("head", "salt").agg(F.count("*").alias("n")), "lengths")

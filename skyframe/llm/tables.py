@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -30,3 +33,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def with_columns_from_text(docs: DataFrame, text_col: str, schema: str, compute) -> DataFrame:
+    """Columns `row` (a struct of docs' columns, untouched) and `out` (a struct of `schema`).
+
+    compute takes the texts of an Arrow batch (None where null) and returns the columns of `schema` as
+    Arrow arrays. As docs' columns stay inside `row`, their names can't clash with those of `schema`.
+    """
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    out = T.StructType.fromDDL(schema)
+    names = out.fieldNames()
+
+    def run(batches):
+        for batch in batches:
+            columns = compute(batch.column(1).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(columns, names)], names=["row", "out"])
+
+    return held.mapInArrow(run, T.StructType([held.schema["row"], T.StructField("out", out)]))
