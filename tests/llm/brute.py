@@ -70,3 +70,53 @@ def base_licenses(text):
                 places.append(i)
                 labels.add(label)
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+PII = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d - 9 * (d > 9)
+    return total % 10 == 0
+
+
+def base_pii(text):
+    """(kind, start, end) by kind, then start."""
+    text, out = text or "", []
+    for kind, pattern in PII.items():
+        for m in pattern.finditer(text):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": lambda: True,
+                "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")),
+                "card": lambda: 13 <= len(digits) <= 19 and luhn(digits),
+                "phone": lambda: 9 <= len(digits) <= 15,
+            }[kind]()
+            if ok:
+                out.append((kind, *m.span()))
+    return out
+
+
+SECRETS = {
+    "assign": re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "access": re.compile(r"AKIA[A-Z0-9]+"),
+    "hex": re.compile(r"[0-9a-f]+"),
+}
+
+
+def base_secrets(text):
+    """(kind, start, end) by start, then kind."""
+    out = []
+    for kind, pattern in SECRETS.items():
+        for m in pattern.finditer(text or ""):
+            if len(m[2] if kind == "assign" else m[0]) >= {"assign": 6, "access": 20, "hex": 24}[kind]:
+                out.append((kind, *m.span()))
+    return sorted(out, key=lambda x: (x[1], list(SECRETS).index(x[0])))
