@@ -9,8 +9,10 @@ a class at once; only one set of each class goes on.
    sets of up to 25 shingles, whose sketches are whole, this bound is exact; for larger ones it is
    LEAST_SHARED of 32 values, which a pair at similarity 0.8 misses with a chance of about 2e-8.
 3. Lists of up to SHORT_LIST entries give all their pairs. Longer ones give pairs with one leader a
-   round, for ROUNDS rounds; entries already in their leader's component need none. What is in another
-   component after that is compared with every entry of the list outside its own component.
+   round, for ROUNDS rounds: the entry with the commonest values (the likeliest original of a group of
+   copies) that isn't in an earlier leader's component. Entries in their leader's component need no pair.
+   Lists that still hold several components are put together by their first leader, and entries outside
+   such a group's main component are compared with all of it, block by block.
 4. A pair goes on if the sketch of the union holds at least LEAST_SHARED (in proportion) shared values.
 5. Exact Jaccard on the full sets verifies it.
 6. Components: every node is merged into its smallest neighbour until no edge is left.
@@ -33,7 +35,8 @@ SKETCH = 32
 LEAST_SHARED = 12
 WHOLE = 25
 SHORT_LIST = 16
-ROUNDS = 3
+ROUNDS = 2
+BLOCK = 200_000
 CELL_BITS = 22
 COMMON = 16
 
@@ -123,6 +126,68 @@ def _verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int, id_col
     return pairs.join(at("b"), "b").join(at("a"), "a").select("a", "b", "sa", "sb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _open(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of lists with their components' labels, of lists that still hold two components or more."""
+    placed = lists.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    placed = written(placed, "placed")
+    several = placed.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("v")
+    return written(placed.join(several, "v"), "open")
+
+
+def _rest(groups: DataFrame, docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """Links (a, b) across components inside groups (lead, key, n, label).
+
+    Entries outside a group's main component meet all its entries, in pairs of blocks of about BLOCK
+    shingles, so that a group of any size is split over tasks of bounded memory. Inside a block pair all
+    full sets are compared in numpy, and one link for each component that an entry reaches is returned.
+    """
+    kind = groups.schema["key"].dataType.simpleString()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, size).view(np.int64) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["key", "s"])
+
+    sizes = groups.groupBy("lead", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    totals = sizes.groupBy("lead").agg(F.max(F.struct("c", "label", "n")).alias("most"), F.sum("n").alias("n"))
+    totals = totals.select("lead", F.col("most.label").alias("main"), blocks(F.col("n")).alias("js"), blocks(F.col("n") - F.col("most.n")).alias("is")).filter("is > 0")
+    placed = groups.join(written(totals, "group_sizes"), "lead")
+    texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(groups.select("key").distinct(), "key")
+    full = written(texts.mapInArrow(sets, f"key {kind}, s array<long>"), "group_sets")
+    own = lambda n: F.expr(f"int(pmod(xxhash64(key), {n}))")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    minor = placed.filter("label != main").withColumn("i", own("is")).withColumn("j", every("js")).join(full, "key").select("lead", "i", "j", "key", "label", "s")
+    member = placed.withColumn("j", own("js")).withColumn("i", every("is")).join(full, "key").select("lead", "i", "j", "key", "label", "s")
+
+    def compare(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = []
+        if x.num_rows and y.num_rows:
+            xs, ys = (t["s"].to_numpy() for t in (x, y))
+            flat = np.concatenate(ys)
+            values, dense = np.unique(flat, return_inverse=True)
+            count = np.array([len(s) for s in ys])
+            first = np.cumsum(count) - count
+            labels = np.array(y["label"].to_pylist(), object)
+            keys = y["key"].to_pylist()
+            there = np.zeros(len(values), np.int64)
+            for key, label, s in zip(x["key"].to_pylist(), x["label"].to_pylist(), xs):
+                at = np.searchsorted(values, s)
+                at = at[at < len(values)]
+                at = at[np.isin(values[at], s)]
+                there[at] = 1
+                shared = np.add.reduceat(there[dense], first)
+                there[at] = 0
+                reached = {}
+                for k in np.flatnonzero((100 * shared >= percent * (len(s) + count - shared)) & (labels != label)):
+                    reached.setdefault(labels[k], (key, keys[k]))
+                found += reached.values()
+        return pa.table({"a": pa.array([f[0] for f in found], x.schema.field("key").type), "b": pa.array([f[1] for f in found], x.schema.field("key").type)})
+
+    by = ("lead", "i", "j")
+    member = member.toDF(*member.columns)  # new column ids beside those of minor
+    return minor.groupBy(*by).cogroup(member.groupBy(*by)).applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable over links) and kept (it is its own) per row of docs.
 
@@ -150,20 +215,23 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         common = np.zeros(1 << CELL_BITS, np.int64)
         common[hot_cell] = hot_n
         for batch in batches:
-            keep, values = [], []
+            keep, values, posted = [], [], []
             for i, (n, s) in enumerate(zip(batch.column("n").to_pylist(), batch.column("sketch").to_numpy(zero_copy_only=False))):
                 v = s.view(np.uint64)
                 shared = -(-percent * n // 100) if n <= WHOLE else LEAST_SHARED * len(v) // SKETCH
                 rare = v[np.lexsort((v, common[v >> np.uint64(64 - CELL_BITS)]))[: len(v) - shared + 1]]
                 values.append(rare.view(np.int64))
                 keep += [i] * len(rare)
+                posted += [len(rare)] * len(rare)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)), batch.column("key").take(at), batch.column("n").take(at)], names=["v", "key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)), batch.column("key").take(at), batch.column("n").take(at), pa.array(posted, pa.int32())], names=["v", "key", "n", "posted"])
 
-    posted = written(classes.select("key", "n", "sketch").mapInArrow(post, f"v long, key {key_kind}, n long"), "postings")
+    posted = written(classes.select("key", "n", "sketch").mapInArrow(post, f"v long, key {key_kind}, n long, posted int"), "postings")
     lists = posted.groupBy("v").agg(F.count("*").alias("m")).filter("m > 1")
     listed = written(posted.join(lists, "v"), "lists")
-    short, long = listed.filter(F.col("m") <= SHORT_LIST), written(listed.filter(F.col("m") > SHORT_LIST).drop("m"), "long_lists")
+    short = listed.filter(F.col("m") <= SHORT_LIST)
+    worth = listed.groupBy("key").agg((F.sum(F.log("m")) / F.max("posted")).alias("worth"))
+    long = written(listed.filter(F.col("m") > SHORT_LIST).select("v", "key", "n").join(worth, "key"), "long_lists")
     other = short.select("v", F.col("key").alias("b"), F.col("n").alias("nb"))
     pairs = short.select("v", F.col("key").alias("a"), F.col("n").alias("na")).join(other, "v").filter(F.col("a") < F.col("b")).filter(_similar_sizes("na", "nb", percent)).select("a", "b").distinct()
 
@@ -173,24 +241,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
     found = [links(pairs)]
     labels = components(found[0])
-    for k in range(ROUNDS + 1):
-        placed = long.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-        placed = written(placed, "placed")
-        open_lists = placed.groupBy("v").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("key", "n", "label"), F.xxhash64(F.lit(k), "key")).alias("lead")).filter("low != high")
-        open_lists = written(open_lists.select("v", F.col("lead.key").alias("a"), F.col("lead.n").alias("na"), F.col("lead.label").alias("la")), "open_lists")
-        if open_lists.isEmpty():
+    leaders = first = None
+    for _ in range(ROUNDS):
+        placed = _open(long, labels)
+        free = placed
+        if leaders is not None:
+            led = leaders.join(placed.select("v", F.col("key").alias("a"), "label"), ["v", "a"]).select("v", "label")
+            free = placed.join(led, ["v", "label"], "left_anti")
+        lead = free.groupBy("v").agg(F.max_by(F.struct("key", "n", "label"), F.struct("worth", F.xxhash64("key"))).alias("lead"))
+        lead = written(lead.select("v", F.col("lead.key").alias("a"), F.col("lead.n").alias("na"), F.col("lead.label").alias("la")), "leaders")
+        if lead.isEmpty():
             break
-        members_of = placed.withColumnsRenamed({"key": "b", "n": "nb", "label": "lb"})
-        if k < ROUNDS:
-            pairs = members_of.join(open_lists, "v")
-        else:
-            sizes = placed.join(open_lists.select("v"), "v").groupBy("v", "label").agg(F.count("*").alias("c"))
-            most = sizes.groupBy("v").agg(F.max(F.struct("c", "label")).alias("most")).select("v", F.col("most.label").alias("main"))
-            minor = members_of.join(most, "v").filter("lb != main").select("v", F.col("b").alias("a"), F.col("nb").alias("na"), F.col("lb").alias("la"))
-            pairs = members_of.join(minor, "v")
+        first = lead.select("v", F.col("a").alias("lead")) if first is None else first
+        leaders = lead.select("v", "a") if leaders is None else leaders.unionByName(lead.select("v", "a"))
+        pairs = placed.withColumnsRenamed({"key": "b", "n": "nb", "label": "lb"}).join(lead, "v")
         pairs = pairs.filter("la != lb").filter(_similar_sizes("na", "nb", percent)).select("a", "b").distinct()
         found.append(links(pairs))
         labels = components(reduce(DataFrame.unionByName, found))
+    placed = _open(long, labels)
+    if first is not None and not placed.isEmpty():
+        groups = written(placed.join(first, "v").select("lead", "key", "n", "label").distinct(), "groups")
+        found.append(written(_rest(groups, docs, size, percent, id_col, text_col), "links"))
+        labels = components(reduce(DataFrame.unionByName, found))
     final = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("label", "key").alias("component_id"))
     final = written(final, "class_components")
     out = held.withColumnRenamed("n", "n_shingles").select("id", "n_shingles", "f1", "f2").join(final, ["n_shingles", "f1", "f2"], "left")
