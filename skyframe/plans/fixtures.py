@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import decimate, resize_nearest
-from ..functions.stats import mean, spread
+from ..functions.arrays import bound, decimate, resize_nearest
+from ..functions.stats import spread
 from ..functions.wcs import header
 
 SIDE = 8
@@ -46,9 +46,7 @@ def pred_tiles(t: DataFrame) -> DataFrame:
 
 
 def masks(t: DataFrame) -> DataFrame:
-    limit = spread("pixels", mean("pixels")) * 1.5
-    held = t.withColumn("limit", limit)
-    return held.select("idx", F.transform("pixels", lambda v: (v > F.col("limit")).cast("tinyint")).alias("pixels"))
+    return t.select("idx", bound(spread("pixels") * 1.5, lambda s: F.transform("pixels", lambda v: (v > s).cast("tinyint"))).alias("pixels"))
 
 
 def pairs(t: DataFrame) -> DataFrame:

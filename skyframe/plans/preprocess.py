@@ -29,15 +29,17 @@ def clip_limits(pixels: Column | str, use_data: bool = False) -> tuple[Column, C
     hi = stats.percentile(pixels, scale.CLIP_PERCENTILE)
     if not use_data:
         return F.lit(0.0), hi
-    m = stats.mean(pixels)
-    return F.greatest(m - stats.spread(pixels, m) * scale.SIGMA, F.array_min(pixels)), hi
+    return F.greatest(stats.mean(pixels) - stats.spread(pixels) * scale.SIGMA, F.array_min(pixels)), hi
 
 
-def with_clipped(tiles: DataFrame, pixels: str, use_data: bool = False, out: str = "clipped") -> DataFrame:
-    """Adds `out`, and its lower limit as `out`_lo."""
-    lo, hi = clip_limits(pixels, use_data)
-    held = tiles.withColumn(f"{out}_lo", lo).withColumn("__hi", hi)
-    return held.withColumn(out, F.transform(pixels, lambda v: scale.clamp(v, F.col(f"{out}_lo"), F.col("__hi")))).drop("__hi")
+def clipped(pixels: Column | str, use_data: bool = False, then: Callable[[Column], Column] = lambda v: v) -> Column:
+    """Pixels between the clip limits, and a function of each."""
+
+    def limited(p: Column) -> Column:
+        lo, hi = clip_limits(p, use_data)
+        return arrays.bound(F.struct(lo.alias("lo"), hi.alias("hi")), lambda t: F.transform(p, lambda v: then(scale.clamp(v, t["lo"], t["hi"]))))
+
+    return arrays.bound(pixels, limited)
 
 
 #: Column builders by name: (pixels, row statistics) -> scaled pixels. Statistics: lowest, highest, median, std of
@@ -57,12 +59,9 @@ SCALINGS: dict[str, Callable[[str], Column]] = {
 
 def _median_scaled(pixels: str) -> Column:
     """(x - median) over the deviation of what remains."""
-    centred = F.transform(F.array(F.struct(stats.median(pixels).alias("m"))), lambda s: F.transform(pixels, lambda v: v - s["m"]))
-
-    def divide(c: Column) -> Column:
-        return F.get(F.transform(F.array(stats.spread(c, stats.mean(c))), lambda s: F.transform(c, lambda v: F.try_divide(v, s))), F.lit(0))
-
-    return F.get(F.transform(centred, divide), F.lit(0))
+    centred = arrays.bound(stats.median(pixels), lambda m: F.transform(pixels, lambda v: v - m))
+    divided = lambda c: arrays.bound(stats.spread(c), lambda s: F.transform(c, lambda v: F.try_divide(v, s)))
+    return arrays.bound(centred, divided)
 
 
 def scale_tiles(tiles: DataFrame, kind: str, pixels: str = "pixels", out: str = "scaled") -> DataFrame:
@@ -71,10 +70,27 @@ def scale_tiles(tiles: DataFrame, kind: str, pixels: str = "pixels", out: str =
     return tiles.withColumn(out, SCALINGS[kind](pixels))
 
 
+def freq_split(pixels: Column | str, h: int, w: int, sigma: float = 5.0) -> Column:
+    """Array of (low, high): the blurred tile rescaled to the tile's range, and the rest over its largest absolute value."""
+
+    def split(p: Column) -> Column:
+        def rescaled(b: Column) -> Column:
+            range_ = F.struct(F.array_min(p).alias("lo"), F.array_max(p).alias("hi"), F.array_min(b).alias("bl"), F.array_max(b).alias("bh"))
+            return arrays.bound(range_, lambda r: F.transform(b, lambda v: r["lo"] + F.try_divide(v - r["bl"], r["bh"] - r["bl"]) * (r["hi"] - r["lo"])))
+
+        def rest(low: Column) -> Column:
+            high = F.zip_with(p, low, lambda a, b: F.struct(b.alias("low"), (a - b).alias("high")))
+            largest = lambda z: F.array_max(F.transform(z, lambda e: F.abs(e["high"])))
+            return arrays.bound(high, lambda z: arrays.bound(largest(z), lambda m: F.transform(z, lambda e: F.struct(e["low"].alias("low"), F.try_divide(e["high"], m).alias("high")))))
+
+        return arrays.bound(arrays.bound(arrays.gaussian_blur(p, h, w, sigma, "nearest"), rescaled), rest)
+
+    return arrays.bound(pixels, split)
+
+
 def flipped(pixels: str, h: int, w: int, vertical: Column, horizontal: Column) -> Column:
     rows = F.when(vertical, arrays.vflip(pixels, h, w)).otherwise(F.col(pixels))
-    both = F.get(F.transform(F.array(rows), lambda p: arrays.hflip(p, h, w)), F.lit(0))
-    return F.when(horizontal, both).otherwise(rows)
+    return arrays.bound(rows, lambda p: F.when(horizontal, arrays.hflip(p, h, w)).otherwise(p))
 
 
 def preprocess(pairs: DataFrame, hr: tuple[int, int, int], lr: tuple[int, int, int], k: float = 3.0, epoch: int | None = None, seed: int = 0, key: str = "idx") -> DataFrame:
@@ -88,10 +104,9 @@ def preprocess(pairs: DataFrame, hr: tuple[int, int, int], lr: tuple[int, int, i
         v, h = flips(key, epoch, seed)
         pairs = pairs.withColumn("hr", flipped("hr", hs, hs, v, h)).withColumn("lr", flipped("lr", ls, ls, v, h))
     out = pairs.withColumn("hr", arrays.center_crop("hr", hs, hs, hc, hc)).withColumn("lr", arrays.center_crop("lr", ls, ls, lc, lc))
-    out = out.withColumn("rms", background_rms("hr"))
-    out = out.withColumn("mask", threshold_mask("hr", F.col("rms"), k)).drop("rms")
+    out = out.withColumn("mask", threshold_mask("hr", background_rms("hr"), k))
     for c in ("hr", "lr"):
-        out = with_clipped(out, c, out="__c").withColumn(c, scale.on_pixels("__c", lambda x: scale.ds9_scale(x, offset=1.0))).drop("__c", "__c_lo")
+        out = out.withColumn(c, clipped(c, then=lambda x: scale.ds9_scale(x, offset=1.0)))
     out = out.withColumn("lr_up", arrays.resize_nearest("lr", lc, lc, hc, hc))
     for c, n, p in (("hr", hc, hp), ("lr", lc, lp), ("lr_up", hc, hp), ("mask", hc, hp)):
         out = out.withColumn(c, arrays.reflect_pad(c, n, n, p))

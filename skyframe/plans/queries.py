@@ -93,7 +93,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @tiles_of("f5_log_scale", f"{PX}, lo AS (SELECT idx, min(v) AS lo FROM px GROUP BY idx), out AS (SELECT idx, y, x, log10(v + abs(lo) + 1e-6) AS v FROM px JOIN lo USING (idx))", 4)
 def _(t: DataFrame) -> DataFrame:
-    return t.withColumn("lo", F.array_min("pixels")).withColumn("pixels", F.transform("pixels", lambda v: S.log_scale(v, F.col("lo"))))
+    return t.withColumn("pixels", A.bound(F.array_min("pixels"), lambda lo: F.transform("pixels", lambda v: S.log_scale(v, lo))))
 
 
 @tiles_of("f6_median_scale", f"{PX}, s AS (SELECT idx, median(v) AS m, stddev_pop(v) AS s FROM px GROUP BY idx), out AS (SELECT idx, y, x, (v - m) / nullif(s, 0) AS v FROM px JOIN s USING (idx))")
@@ -109,7 +109,7 @@ def _(t: DataFrame) -> DataFrame:
 
 for _use in (False, True):
     _lo = "greatest(avg(v) - 3 * stddev_pop(v), min(v))" if _use else "0.0"
-    tiles_of(f"f12_clip_{'data' if _use else 'zero'}", f"{PX}, s AS (SELECT idx, {_lo} AS lo, quantile_cont(v, 0.99999) AS hi FROM px GROUP BY idx), out AS (SELECT idx, y, x, least(greatest(v, lo), hi) AS v FROM px JOIN s USING (idx))")(lambda t, use=_use: P.with_clipped(t, "pixels", use, "c").withColumn("pixels", F.col("c")))
+    tiles_of(f"f12_clip_{'data' if _use else 'zero'}", f"{PX}, s AS (SELECT idx, {_lo} AS lo, quantile_cont(v, 0.99999) AS hi FROM px GROUP BY idx), out AS (SELECT idx, y, x, least(greatest(v, lo), hi) AS v FROM px JOIN s USING (idx))")(lambda t, use=_use: t.withColumn("pixels", P.clipped("pixels", use)))
 
 _KINDS_SQL = {
     "sigmoid": "2 * (1 / (1 + exp(-v)) - 0.5)",
@@ -205,11 +205,7 @@ def _(t: DataFrame) -> DataFrame:
     "SELECT idx, y, x, round(low, 6) AS low, round(h / nullif(m, 0), 6) AS high FROM hf JOIN m USING (idx)",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = X.tiles(spark, d).withColumn("b", A.gaussian_blur("pixels", 8, 8, 2.0, "nearest"))
-    t = t.withColumn("lo", F.array_min("pixels")).withColumn("hi", F.array_max("pixels")).withColumn("bl", F.array_min("b")).withColumn("bh", F.array_max("b"))
-    t = t.withColumn("low", F.transform("b", lambda v: F.col("lo") + F.try_divide(v - F.col("bl"), F.col("bh") - F.col("bl")) * (F.col("hi") - F.col("lo"))))
-    t = t.withColumn("high", F.zip_with("pixels", "low", lambda a, b: a - b)).withColumn("m", stats.max_abs("high"))
-    t = t.select("idx", "w", F.zip_with("low", "high", lambda a, b: F.struct(a.alias("low"), F.try_divide(b, F.col("m")).alias("high"))).alias("pixels"))
+    t = X.tiles(spark, d).select("idx", "w", P.freq_split("pixels", 8, 8, 2.0).alias("pixels"))
     return explode_tiles(t).select("idx", "y", "x", F.round("v.low", 6).alias("low"), F.round("v.high", 6).alias("high"))
 
 
@@ -224,7 +220,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = lambda c, n: F.round(c, 6).alias(n)
     return X.tiles(spark, d).select(
-        "idx", r(stats.pixel_sum("pixels"), "pix_sum"), r(stats.mean("pixels"), "mean"), r(stats.spread("pixels", stats.mean("pixels")), "std"), r(F.array_min("pixels"), "lowest"), r(F.array_max("pixels"), "highest"),
+        "idx", r(stats.pixel_sum("pixels"), "pix_sum"), r(stats.mean("pixels"), "mean"), r(stats.spread("pixels"), "std"), r(F.array_min("pixels"), "lowest"), r(F.array_max("pixels"), "highest"),
         r(stats.percentile("pixels", 0.99999), "p99999"), r(stats.median("pixels"), "median"), r(stats.max_abs("pixels"), "max_abs"), stats.any_bad("pixels").alias("any_bad"),
     )
 
@@ -485,21 +481,21 @@ def _tan_sql(x: str, y: str) -> str:
         "sky AS (SELECT *, 150.1 + degrees(atan2(xi, below)) AS ra, degrees(atan2(sin(d0) + eta * cos(d0), sqrt(xi * xi + below * below))) AS dec FROM b), "
         "p AS (SELECT *, radians(ra - 150.1) AS al, radians(dec) AS de FROM sky), "
         "q AS (SELECT *, sin(de) * sin(d0) + cos(de) * cos(d0) * cos(al) AS c FROM p), "
-        f"at AS (SELECT *, degrees(cos(de) * sin(al) / c) / (-({hr})) + 100.5 AS tx, degrees((sin(de) * cos(d0) - cos(de) * sin(d0) * cos(al)) / c) / ({hr}) + 150.5 AS ty FROM q)"
+        f"moved AS (SELECT *, degrees(cos(de) * sin(al) / c) / (-({hr})) + 100.5 AS tx, degrees((sin(de) * cos(d0) - cos(de) * sin(d0) * cos(al)) / c) / ({hr}) + 150.5 AS ty FROM q)"
     )
 
 
 _TAN = f"{MLR}, {_tan_sql('x', 'y')}"
 
 
-@query("j6_f22_crossmatch", f"WITH {_TAN} SELECT y, x, round(ra, 7) AS ra, round(dec, 7) AS dec, round(tx, 5) AS x_to, round(ty, 5) AS y_to FROM at")
+@query("j6_f22_crossmatch", f"WITH {_TAN} SELECT y, x, round(ra, 7) AS ra, round(dec, 7) AS dec, round(tx, 5) AS x_to, round(ty, 5) AS y_to FROM moved")
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = mosaic.crossmatch_centers(X.mosaic_lr(spark, d).select("y", "x"), X.wcs_lr(), X.wcs_hr())
     return m.select("y", "x", F.round("ra", 7).alias("ra"), F.round("dec", 7).alias("dec"), F.round("x_to", 5).alias("x_to"), F.round("y_to", 5).alias("y_to"))
 
 
 _REPROJECT = (
-    f"{MHR}, {_TAN}, r AS (SELECT y, x, round(tx, 9) AS sx, round(ty, 9) AS sy FROM at), w AS (SELECT y, x, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM r), "
+    f"{MHR}, {_TAN}, r AS (SELECT y, x, round(tx, 9) AS sx, round(ty, 9) AS sy FROM moved), w AS (SELECT y, x, floor(sx) AS x0, floor(sy) AS y0, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM r), "
     "tap AS (SELECT w.y, w.x, y0 + dy AS ny, x0 + dx AS nx, (CASE dy WHEN 1 THEN fy ELSE 1 - fy END) * (CASE dx WHEN 1 THEN fx ELSE 1 - fx END) AS t FROM w, (VALUES (0), (1)) a(dy), (VALUES (0), (1)) b(dx)), "
     "rp AS (SELECT tap.y, tap.x, sum(t * mhr.v) AS v, count(mhr.v) = count(*) AS covered FROM tap LEFT JOIN mhr ON mhr.y = ny AND mhr.x = nx WHERE t > 0 GROUP BY 1, 2)"
 )
@@ -524,7 +520,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return at.select("y", "x", (F.round(x, 6) + 0.0).alias("x_back"), (F.round(y, 6) + 0.0).alias("y_back"))
 
 
-@query("f23_cutout_wcs", f"WITH {MLR} SELECT y, x, 50.5 - (x - 3) AS crpix1, 75.5 - (y - 3) AS crpix2 FROM mlr WHERE y % 5 = 0 AND x % 7 = 0")
+@query("f23_cutout_wcs", f"WITH {MLR} SELECT y, x, CAST(50.5 - (x - 3) AS DOUBLE) AS crpix1, CAST(75.5 - (y - 3) AS DOUBLE) AS crpix2 FROM mlr WHERE y % 5 = 0 AND x % 7 = 0")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = _centers(spark, d).withColumn("wcs", cutout_header(X.wcs_lr(), F.col("x") - 3, F.col("y") - 3))
     return c.select("y", "x", "wcs.crpix1", "wcs.crpix2")
@@ -707,28 +703,27 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(arriving.schema).parquet(out).select("idx", F.round(stats.pixel_sum("pixels"), 6).alias("pix_sum"))
 
 
-@query("t2_windowed_metrics", "SELECT date_trunc('day', ts) AS window_start, event_type AS metric, round(avg(value), 4) AS mean_value, count(*) AS n FROM events GROUP BY 1, 2")
+@query("t2_windowed_metrics", "SELECT date_trunc('day', ts) AS window_start, event_type AS metric, round(avg(value), 7) AS mean_value, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = jobs.windowed_metrics(X.metrics(spark, d))
-    return m.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "metric", F.round("mean_value", 4).alias("mean_value"), "n")
+    return m.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "metric", F.round("mean_value", 7).alias("mean_value"), "n")
 
 
-@query("t2_stream_metrics", "WITH l AS (SELECT max(ts) AS last FROM events) SELECT date_trunc('day', ts) AS window_start, event_type AS metric, round(avg(value), 4) AS mean_value, count(*) AS n FROM events, l GROUP BY 1, 2, last HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= last - INTERVAL 2 DAY")
+@query("t2_stream_metrics", "WITH l AS (SELECT max(ts) AS last FROM events) SELECT date_trunc('day', ts) AS window_start, event_type AS metric, round(avg(value), 7) AS mean_value, count(*) AS n FROM events, l GROUP BY 1, 2, last HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= last - INTERVAL 2 DAY")
 def _(spark: SparkSession, d: str) -> DataFrame:
     source, out = X.scratch(spark, "log"), X.scratch(spark, "means")
     log = X.metrics(spark, d).select(F.col("ts").cast("timestamp").alias("ts"), "metric", "value")
     log.write.parquet(source)
     result = jobs.windowed_metrics(spark.readStream.schema(log.schema).parquet(source))
     jobs.run_once(result, out, X.scratch(spark, "progress"))
-    return spark.read.schema(result.schema).parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "metric", F.round("mean_value", 4).alias("mean_value"), "n")
+    return spark.read.schema(result.schema).parquet(out).select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "metric", F.round("mean_value", 7).alias("mean_value"), "n")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiles that pass the log-sum gate, clipped and scaled: idx, n, pix_sum, hi, mean_scaled."""
     t = gates.filter_log_sum(X.tiles(spark, sf_dir), "pixels", -1.0, 1.0)
-    t = t.withColumn("hi", P.clip_limits("pixels")[1])
-    t = t.withColumn("scaled", F.transform("pixels", lambda v: S.ds9_scale(S.clamp(v, 0.0, F.col("hi")), offset=1.0)))
-    return t.select("idx", F.size("pixels").alias("n"), F.round(stats.pixel_sum("pixels"), 6).alias("pix_sum"), F.round("hi", 6).alias("hi"), F.round(stats.mean("scaled"), 6).alias("mean_scaled"))
+    scaled = P.clipped("pixels", then=lambda v: S.ds9_scale(v, offset=1.0))
+    return t.select("idx", F.size("pixels").alias("n"), F.round(stats.pixel_sum("pixels"), 6).alias("pix_sum"), F.round(P.clip_limits("pixels")[1], 6).alias("hi"), F.round(A.bound(scaled, stats.mean), 6).alias("mean_scaled"))
 
 
 QUERIES["flagship"] = flagship
