@@ -90,5 +90,5 @@ def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Measurements (object_id, source, mode, measured) and truth (object_id, truth)."""
     li = table(spark, sf_dir, "lineitem")
-    m = li.groupBy(F.col("l_partkey").alias("object_id"), F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("mode")).agg(F.avg(F.col("l_extendedprice") / F.col("l_quantity")).alias("measured"))
+    m = li.groupBy(F.col("l_partkey").alias("object_id"), F.col("l_returnflag").alias("source"), F.col("l_linestatus").alias("mode")).agg((F.sum("l_extendedprice") / F.sum("l_quantity")).alias("measured"))
     return m, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("object_id"), F.col("p_retailprice").alias("truth"))

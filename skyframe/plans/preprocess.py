@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -121,15 +122,24 @@ def collate(samples: DataFrame, size: int, shapes: dict[str, tuple[int, int]], k
 
 
 def score_tiles(tiles: DataFrame, make_predict: Callable[[], Callable[[np.ndarray], np.ndarray]], h: int, w: int, pixels: str = "pixels", out: str = "predicted", batch_size: int = 64) -> DataFrame:
-    """Adds what the user's model predicts from (n, h, w) batches, as flat arrays. The model is made once a worker."""
-    from pyspark.ml.functions import predict_batch_udf
+    """Adds what the user's model predicts from (n, h, w) batches, as flat arrays; NULL for a NULL tile.
 
-    def make() -> Callable[[np.ndarray], np.ndarray]:
-        predict = make_predict()
-        return lambda x: predict(x).reshape(len(x), -1)
+    The model is made once a task. The result is a plain column, which array functions can take.
+    """
 
-    udf = predict_batch_udf(make, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size, input_tensor_shapes=[[h, w]])
-    return tiles.withColumn(out, udf(pixels))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        predict = make_predict()
+        for batch in batches:
+            made = pd.Series([None] * len(batch), dtype=object)
+            whole = np.flatnonzero(batch[pixels].notna().to_numpy())
+            for i in range(0, len(whole), batch_size):
+                at = whole[i : i + batch_size]
+                x = np.stack([np.asarray(batch[pixels].iloc[k], np.float32) for k in at]).reshape(len(at), h, w)
+                for k, y in zip(at, predict(x).reshape(len(at), -1).astype(np.float32)):
+                    made.iloc[k] = y
+            yield batch.assign(**{out: made})
+
+    return tiles.mapInPandas(run, T.StructType([*tiles.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
 
 
 def nearest_baseline(factor: int) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:

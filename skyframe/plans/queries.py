@@ -33,7 +33,7 @@ MHR = "mhr AS (SELECT CAST(2 * (l_orderkey // 100) + (l_linenumber - 1) // 2 AS
 MASK = f"{MLR}, {MHR}, lit AS (SELECT DISTINCT CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x FROM mhr WHERE v != 0), mask AS (SELECT mlr.y, mlr.x, lit.y IS NOT NULL AS valid FROM mlr LEFT JOIN lit USING (y, x))"
 CENTERS = MASK + ", ok AS (SELECT a.y, a.x FROM mask a JOIN mask b ON b.valid AND b.y BETWEEN a.y - 2 AND a.y + 1 AND b.x BETWEEN a.x - 2 AND a.x + 1 GROUP BY 1, 2 HAVING count(*) = 16)"
 METRIC = "metric AS (SELECT 'run' AS run_id, event_id AS step, CASE WHEN user_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, event_type AS metric, value, ts FROM events)"
-CATALOG = "cat AS (SELECT l_partkey AS object_id, l_returnflag AS source, l_linestatus AS mode, avg(l_extendedprice / l_quantity) AS measured FROM lineitem GROUP BY 1, 2, 3), pc AS (SELECT cat.*, p_retailprice AS truth FROM cat JOIN part ON object_id = p_partkey)"
+CATALOG = "cat AS (SELECT l_partkey AS object_id, l_returnflag AS source, l_linestatus AS mode, sum(l_extendedprice) / sum(l_quantity) AS measured FROM lineitem GROUP BY 1, 2, 3), pc AS (SELECT cat.*, p_retailprice AS truth FROM cat JOIN part ON object_id = p_partkey)"
 
 
 def hashed(*parts: str) -> str:
@@ -501,10 +501,10 @@ _REPROJECT = (
 )
 
 
-@query("j5_reproject", f"WITH {_REPROJECT} SELECT y, x, CASE WHEN covered THEN round(v, 2) END AS v, covered FROM rp")
+@query("j5_reproject", f"WITH {_REPROJECT} SELECT y, x, CASE WHEN covered THEN round(v, 5) END AS v, covered FROM rp")
 def _(spark: SparkSession, d: str) -> DataFrame:
     r = mosaic.reproject(X.mosaic_hr(spark, d), X.mosaic_lr(spark, d), X.wcs_hr(), X.wcs_lr())
-    return r.select("y", "x", F.round("v", 2).alias("v"), "covered")
+    return r.select("y", "x", F.round("v", 5).alias("v"), "covered")
 
 
 @query("f21_footprint", f"WITH {_REPROJECT} SELECT y, x, coalesce(covered AND v != 0, false) AS valid FROM rp")
@@ -601,10 +601,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- catalogues
-@query("j9_e1_e2_biases", f"WITH {CATALOG} SELECT object_id, source, mode, round((measured - truth) / nullif(truth, 0), 6) AS relative_bias, round(measured - truth, 5) AS absolute_bias FROM pc")
+@query("j9_e1_e2_biases", f"WITH {CATALOG} SELECT object_id, source, mode, round((measured - truth) / nullif(truth, 0), 6) AS relative_bias, round(measured - truth, 6) AS absolute_bias FROM pc")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = C.pair_catalog(*X.catalog(spark, d))
-    return p.select("object_id", "source", "mode", F.round(C.relative_bias("measured", "truth"), 6).alias("relative_bias"), F.round(C.absolute_bias("measured", "truth"), 5).alias("absolute_bias"))
+    return p.select("object_id", "source", "mode", F.round(C.relative_bias("measured", "truth"), 6).alias("relative_bias"), F.round(C.absolute_bias("measured", "truth"), 6).alias("absolute_bias"))
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
