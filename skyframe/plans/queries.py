@@ -601,10 +601,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ---- catalogues
-@query("j9_e1_e2_biases", f"WITH {CATALOG} SELECT object_id, source, mode, round((measured - truth) / nullif(truth, 0), 6) AS relative_bias, round(measured - truth, 6) AS absolute_bias FROM pc")
+@query("j9_e1_e2_biases", f"WITH {CATALOG} SELECT object_id, source, mode, round((measured - truth) / nullif(truth, 0), 6) AS relative_bias, round(ln(measured) - ln(truth), 6) AS absolute_bias FROM pc")
 def _(spark: SparkSession, d: str) -> DataFrame:
     p = C.pair_catalog(*X.catalog(spark, d))
-    return p.select("object_id", "source", "mode", F.round(C.relative_bias("measured", "truth"), 6).alias("relative_bias"), F.round(C.absolute_bias("measured", "truth"), 6).alias("absolute_bias"))
+    p = p.withColumn("log_measured", F.ln("measured")).withColumn("log_truth", F.ln("truth"))
+    return p.select("object_id", "source", "mode", F.round(C.relative_bias("measured", "truth"), 6).alias("relative_bias"), F.round(C.absolute_bias("log_measured", "log_truth"), 6).alias("absolute_bias"))
 
 
 def _summary(spark: SparkSession, d: str) -> DataFrame:
