@@ -12,32 +12,38 @@ from pyspark.sql import functions as F
 
 from skyframe.llm import decontam, minhash, packing, quality, secrets
 from skyframe.llm.queries import vocabulary
-from skyframe.llm.tables import documents, written
+from skyframe.llm.tables import bound_batches, documents, written
 from skyframe.plans.shipping import ship
 
 
+def prepare(spark: SparkSession) -> None:
+    """Code on the executors, and Arrow batches that fit beside long texts."""
+    ship(spark)
+    bound_batches(spark)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the model keep."""
-    ship(spark)
+    prepare(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, model).filter("out.kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked at 0.8 on five-word shingles: that of the smallest id."""
-    ship(spark)
+    prepare(spark)
     return minhash.deduplicated(docs, size=5, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no item of the benchmark."""
-    ship(spark)
+    prepare(spark)
     return decontam.without_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked; n_chars follows the text where it changed."""
-    ship(spark)
+    prepare(spark)
     found = secrets.scan_secrets(docs, secrets.fit(docs))
     row = F.col("row")
     masked = row.withField("text", F.col("out.redacted"))
@@ -48,7 +54,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents and their places in sequences."""
-    ship(spark)
+    prepare(spark)
     return packing.pack(docs, vocabulary())
 
 

@@ -123,8 +123,9 @@ def _aligned(matches: list[tuple]) -> tuple[int, int, bool]:
         covered: set[int] = set()
         n, exact = 0, True
         for _, p, size, theirs, ours in sorted(same, key=lambda m: m[1]):
-            if all(stands.get(a, b) == b for a, b in zip(ours, theirs)):
-                stands.update(zip(ours, theirs))
+            tried = dict(stands)
+            if all(tried.setdefault(a, b) == b for a, b in zip(ours, theirs)):
+                stands = tried
                 covered.update(range(p, p + size))
                 n += 1
                 exact &= list(ours) == list(theirs)

@@ -5,10 +5,11 @@ a class at once; only one set of each class goes on.
 
 1. Sketch: the SKETCH smallest hashes of the set.
 2. Inverted lists: of a sketch's values, ordered from rare to common by counts in 2**CELL_BITS cells,
-   those are posted without which two linked documents would share fewer than the least overlap. For
-   sets of up to 25 shingles, whose sketches are whole, this bound is exact; for larger ones it is
-   LEAST_SHARED of 32 values, which a pair at similarity 0.8 misses with a chance of about 2e-8.
-3. Lists of up to SHORT_LIST entries give all their pairs. Longer ones give pairs with one leader a
+   those are posted that make two documents with the least overlap share SHARED_LISTS of them. For
+   sets of up to WHOLE shingles, whose sketches and whose partners' are whole, this bound is exact; for larger ones it is
+   LEAST_SHARED of 64 values, which a pair at similarity 0.8 misses with a chance of about 8e-8.
+3. Lists of up to SHORT_LIST entries give the pairs that share SHARED_LISTS of them: a pair in fewer also
+   shares a longer list. Longer ones give pairs with one leader a
    round, for ROUNDS rounds: the entry with the commonest values (the likeliest original of a group of
    copies) that isn't in an earlier leader's component. Entries in their leader's component need no pair.
    Lists that still hold several components are put together by their first leader, and entries outside
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from .tables import written
 from .words import LOWER, mix, shingles, words
 
-SKETCH = 32
-LEAST_SHARED = 12
-WHOLE = 25
+SKETCH = 64
+LEAST_SHARED = 33
+WHOLE = 51
+SHARED_LISTS = 2
 SHORT_LIST = 16
 ROUNDS = 2
 BLOCK = 200_000
@@ -219,7 +221,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             for i, (n, s) in enumerate(zip(batch.column("n").to_pylist(), batch.column("sketch").to_numpy(zero_copy_only=False))):
                 v = s.view(np.uint64)
                 shared = -(-percent * n // 100) if n <= WHOLE else LEAST_SHARED * len(v) // SKETCH
-                rare = v[np.lexsort((v, common[v >> np.uint64(64 - CELL_BITS)]))[: len(v) - shared + 1]]
+                rare = v[np.lexsort((v, common[v >> np.uint64(64 - CELL_BITS)]))[: len(v) - shared + SHARED_LISTS]]
                 values.append(rare.view(np.int64))
                 keep += [i] * len(rare)
                 posted += [len(rare)] * len(rare)
@@ -233,7 +235,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     worth = listed.groupBy("key").agg((F.sum(F.log("m")) / F.max("posted")).alias("worth"))
     long = written(listed.filter(F.col("m") > SHORT_LIST).select("v", "key", "n").join(worth, "key"), "long_lists")
     other = short.select("v", F.col("key").alias("b"), F.col("n").alias("nb"))
-    pairs = short.select("v", F.col("key").alias("a"), F.col("n").alias("na")).join(other, "v").filter(F.col("a") < F.col("b")).filter(_similar_sizes("na", "nb", percent)).select("a", "b").distinct()
+    pairs = short.select("v", F.col("key").alias("a"), F.col("n").alias("na")).join(other, "v").filter(F.col("a") < F.col("b")).filter(_similar_sizes("na", "nb", percent))
+    pairs = pairs.groupBy("a", "b").agg(F.count("*").alias("lists")).filter(F.col("lists") >= SHARED_LISTS).select("a", "b")
 
     def links(pairs: DataFrame) -> DataFrame:
         likely = written(_likely(pairs, classes, percent), "likely")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.shipping import ship
 from . import decontam, licenses, lm, minhash, packing, pii, quality, secrets, toxicity, warc
-from .tables import documents
+from .tables import bound_batches, documents
 
 
 def vocabulary() -> str:
@@ -67,6 +67,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
+        bound_batches(spark)
         return query(spark, sf_dir)
 
     return run

@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; a folder of this machine is set only where it is unset."""
@@ -24,10 +29,29 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/skyframe-{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most that many rows while a job runs, so that a task's memory hangs less on the length of texts."""
+    before = spark.conf.get(BATCH_CONF)
+    bound_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_CONF, before)
+
+
+def bound_batches(spark: SparkSession, rows: int | None = None) -> None:
+    """Lower the session's bound on rows in an Arrow batch, for frames that run after their query has returned."""
+    rows, now = rows or BATCH_ROWS, int(spark.conf.get(BATCH_CONF))
+    if now <= 0 or now > rows:
+        spark.conf.set(BATCH_CONF, rows)
+
+
+def written(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, so a lost executor costs only a read."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession, batch_rows):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -41,13 +65,14 @@ def with_columns_from_text(docs: DataFrame, text_col: str, schema: str, compute)
     compute takes the texts of an Arrow batch (None where null) and returns the columns of `schema` as
     Arrow arrays. As docs' columns stay inside `row`, their names can't clash with those of `schema`.
     """
-    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(text_col).alias("text"))
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    place = [c.lower() for c in docs.columns].index(text_col.lower())
     out = T.StructType.fromDDL(schema)
     names = out.fieldNames()
 
     def run(batches):
         for batch in batches:
-            columns = compute(batch.column(1).to_pylist())
+            columns = compute(batch.column(0).field(place).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(columns, names)], names=["row", "out"])
 
     return held.mapInArrow(run, T.StructType([held.schema["row"], T.StructField("out", out)]))
