@@ -23,6 +23,11 @@ def _div(a: Column, b: Number) -> Column:
     return F.floor(a / _c(b)).cast("int")
 
 
+def bound(value: Column | str, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once a row. Put straight into a lambda, the optimizer may compute it for every element."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def pixel(pixels: Column | str, y: Column, x: Column, w: Number) -> Column:
     """Pixel (y, x), NULL outside the array."""
     pixels = F.col(pixels) if isinstance(pixels, str) else pixels
@@ -37,11 +42,11 @@ def remap(h: Number, w: Number, f: Callable[[Column, Column], Column]) -> Column
 
 
 def vflip(pixels: Column | str, h: Number, w: Number) -> Column:
-    return remap(h, w, lambda y, x: pixel(pixels, _c(h) - 1 - y, x, w))
+    return bound(pixels, lambda p: remap(h, w, lambda y, x: pixel(p, _c(h) - 1 - y, x, w)))
 
 
 def hflip(pixels: Column | str, h: Number, w: Number) -> Column:
-    return remap(h, w, lambda y, x: pixel(pixels, y, _c(w) - 1 - x, w))
+    return bound(pixels, lambda p: remap(h, w, lambda y, x: pixel(p, y, _c(w) - 1 - x, w)))
 
 
 def crop_start(have: Number, want: Number) -> Column:
@@ -53,12 +58,12 @@ def center_crop(pixels: Column | str, h: Number, w: Number, to_h: Number, to_w:
     """The centred to_h by to_w window; where it exceeds the tile, zeros."""
     y0, x0 = crop_start(h, to_h), crop_start(w, to_w)
 
-    def value(y: Column, x: Column) -> Column:
+    def value(p: Column, y: Column, x: Column) -> Column:
         sy, sx = y + y0, x + x0
         inside = sy.between(0, _c(h) - 1) & sx.between(0, _c(w) - 1)
-        return F.when(inside, pixel(pixels, sy, sx, w)).otherwise(0.0)
+        return F.when(inside, pixel(p, sy, sx, w)).otherwise(0.0)
 
-    return remap(to_h, to_w, value)
+    return bound(pixels, lambda p: remap(to_h, to_w, lambda y, x: value(p, y, x)))
 
 
 def reflected(i: Column, n: Number) -> Column:
@@ -68,23 +73,24 @@ def reflected(i: Column, n: Number) -> Column:
 
 def reflect_pad(pixels: Column | str, h: Number, w: Number, p: int) -> Column:
     """p more pixels on each side by reflection; p must be below h and w, else the array is NULL."""
-    padded = remap(_c(h) + 2 * p, _c(w) + 2 * p, lambda y, x: pixel(pixels, reflected(y - p, h), reflected(x - p, w), w))
+    padded = bound(pixels, lambda a: remap(_c(h) + 2 * p, _c(w) + 2 * p, lambda y, x: pixel(a, reflected(y - p, h), reflected(x - p, w), w)))
     return F.when((_c(h) > p) & (_c(w) > p), padded)
 
 
 def decimate(pixels: Column | str, h: Number, w: Number, factor: int) -> Column:
     """Every factor-th row and column, from the first."""
-    return remap(F.ceil(_c(h) / factor).cast("int"), F.ceil(_c(w) / factor).cast("int"), lambda y, x: pixel(pixels, y * factor, x * factor, w))
+    rows, columns = (F.ceil(_c(n) / factor).cast("int") for n in (h, w))
+    return bound(pixels, lambda p: remap(rows, columns, lambda y, x: pixel(p, y * factor, x * factor, w)))
 
 
 def resize_nearest(pixels: Column | str, h: Number, w: Number, to_h: int, to_w: int) -> Column:
-    return remap(to_h, to_w, lambda y, x: pixel(pixels, _div(y * _c(h), to_h), _div(x * _c(w), to_w), w))
+    return bound(pixels, lambda p: remap(to_h, to_w, lambda y, x: pixel(p, _div(y * _c(h), to_h), _div(x * _c(w), to_w), w)))
 
 
 def resize_bilinear(pixels: Column | str, h: Number, w: Number, to_h: int, to_w: int) -> Column:
     """Four-tap interpolation with half-pixel centres; the edge is repeated."""
 
-    def value(y: Column, x: Column) -> Column:
+    def value(p: Column, y: Column, x: Column) -> Column:
         def taps(i: Column, have: Number, want: int) -> tuple[Column, Column, Column]:
             s = F.greatest((i + 0.5) * _c(have) / float(want) - 0.5, F.lit(0.0))
             low = F.least(F.floor(s).cast("int"), _c(have) - 1)
@@ -92,24 +98,24 @@ def resize_bilinear(pixels: Column | str, h: Number, w: Number, to_h: int, to_w:
 
         y0, y1, fy = taps(y, h, to_h)
         x0, x1, fx = taps(x, w, to_w)
-        top = pixel(pixels, y0, x0, w) * (1 - fx) + pixel(pixels, y0, x1, w) * fx
-        low = pixel(pixels, y1, x0, w) * (1 - fx) + pixel(pixels, y1, x1, w) * fx
+        top = pixel(p, y0, x0, w) * (1 - fx) + pixel(p, y0, x1, w) * fx
+        low = pixel(p, y1, x0, w) * (1 - fx) + pixel(p, y1, x1, w) * fx
         return top * (1 - fy) + low * fy
 
-    return remap(to_h, to_w, value)
+    return bound(pixels, lambda p: remap(to_h, to_w, lambda y, x: value(p, y, x)))
 
 
 def resize_area(pixels: Column | str, h: Number, w: Number, factor: int) -> Column:
     """Means of factor by factor blocks; rest rows and columns that don't fill a block are left out."""
 
-    def value(y: Column, x: Column) -> Column:
-        parts = [pixel(pixels, y * factor + dy, x * factor + dx, w) for dy in range(factor) for dx in range(factor)]
+    def value(p: Column, y: Column, x: Column) -> Column:
+        parts = [pixel(p, y * factor + dy, x * factor + dx, w) for dy in range(factor) for dx in range(factor)]
         total = parts[0]
-        for p in parts[1:]:
-            total = total + p
+        for part in parts[1:]:
+            total = total + part
         return total / float(factor * factor)
 
-    return remap(_div(_c(h), factor), _div(_c(w), factor), value)
+    return bound(pixels, lambda p: remap(_div(_c(h), factor), _div(_c(w), factor), lambda y, x: value(p, y, x)))
 
 
 def resize(pixels: Column | str, h: int, w: int, dim: int, method: str = "nearest") -> Column:
@@ -146,7 +152,7 @@ def gaussian_blur(pixels: Column | str, h: Number, w: Number, sigma: float, mode
     radius = len(taps) // 2
     weights = F.array(*(F.struct(F.lit(i - radius).alias("d"), F.lit(t).alias("t")) for i, t in enumerate(taps)))
 
-    def along(source: Column | str, vertical: bool) -> Column:
+    def along(source: Column, vertical: bool) -> Column:
         def value(y: Column, x: Column) -> Column:
             def add(acc: Column, tap: Column) -> Column:
                 at = pixel(source, _boundary(y + tap["d"], h, mode), x, w) if vertical else pixel(source, y, _boundary(x + tap["d"], w, mode), w)
@@ -156,4 +162,4 @@ def gaussian_blur(pixels: Column | str, h: Number, w: Number, sigma: float, mode
 
         return remap(h, w, value)
 
-    return F.transform(F.array(along(pixels, False)), lambda rows: along(rows, True))[0]
+    return bound(pixels, lambda p: bound(along(p, False), lambda rows: along(rows, True)))

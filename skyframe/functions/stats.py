@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-
-def _a(pixels: Column | str) -> Column:
-    return F.col(pixels) if isinstance(pixels, str) else pixels
+from .arrays import bound
 
 
 def pixel_sum(pixels: Column | str) -> Column:
@@ -18,10 +16,14 @@ def mean(pixels: Column | str) -> Column:
     return F.try_divide(pixel_sum(pixels), F.size(pixels).cast("double"))
 
 
-def spread(pixels: Column | str, center: Column) -> Column:
-    """Population standard deviation around a centre that is the mean."""
-    squares = F.aggregate(F.transform(pixels, lambda v: (v - center) * (v - center)), F.lit(0.0), lambda acc, v: acc + v)
-    return F.sqrt(F.try_divide(squares, F.size(pixels).cast("double")))
+def spread(pixels: Column | str) -> Column:
+    """Population standard deviation."""
+
+    def around(p: Column) -> Column:
+        squares = lambda m: F.aggregate(p, F.lit(0.0), lambda acc, v: acc + (v - m) * (v - m))
+        return F.sqrt(F.try_divide(bound(mean(p), squares), F.size(p).cast("double")))
+
+    return bound(pixels, around)
 
 
 def percentile(pixels: Column | str, p: float) -> Column:
@@ -34,7 +36,7 @@ def percentile(pixels: Column | str, p: float) -> Column:
         first, second = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
         return first + (second - first) * (place - low)
 
-    return F.get(F.transform(F.array(ordered), at), F.lit(0))
+    return bound(ordered, at)
 
 
 def median(pixels: Column | str) -> Column:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stats import mean, median, spread
+from ..functions.arrays import bound
+from ..functions.stats import median, spread
 
 
 def background_rms(pixels: Column | str, passes: int = 3, sigmas: float = 3.0) -> Column:
@@ -17,23 +18,20 @@ def background_rms(pixels: Column | str, passes: int = 3, sigmas: float = 3.0) -
 
     Each pass keeps |v - median| <= sigmas * deviation; the deviation (population) of what is left is returned.
     """
-    kept = pixels if isinstance(pixels, Column) else F.col(pixels)
 
     def clip(a: Column) -> Column:
-        def keep(stats: Column) -> Column:
-            return F.filter(a, lambda v: F.abs(v - stats["m"]) <= stats["s"] * sigmas)
+        limits = F.struct(median(a).alias("m"), spread(a).alias("s"))
+        return bound(limits, lambda t: F.filter(a, lambda v: F.abs(v - t["m"]) <= t["s"] * sigmas))
 
-        return F.flatten(F.transform(F.array(F.struct(median(a).alias("m"), spread(a, mean(a)).alias("s"))), keep))
+    def passed(a: Column, left: int) -> Column:
+        return spread(a) if not left else bound(clip(a), lambda b: passed(b, left - 1))
 
-    state = F.array(kept)
-    for _ in range(passes):
-        state = F.transform(state, clip)
-    return F.get(F.transform(state, lambda a: spread(a, mean(a))), F.lit(0))
+    return bound(pixels, lambda a: passed(a, passes))
 
 
 def threshold_mask(pixels: Column | str, rms: Column, k: float = 3.0) -> Column:
     """1 where a pixel exceeds k times the noise; the background level isn't subtracted."""
-    return F.transform(pixels, lambda v: (v > rms * k).cast("tinyint"))
+    return bound(rms, lambda s: F.transform(pixels, lambda v: (v > s * k).cast("tinyint")))
 
 
 def binarised(labels: Column | str) -> Column:

@@ -86,7 +86,7 @@ def read_images(spark: SparkSession, path: str, hdu: int = 0) -> DataFrame:
             for name, content in zip(batch["name"], batch["content"]):
                 try:
                     a, cards = decode(bytes(content), hdu)
-                    rows.append((name, a.shape[0], a.shape[1], a.ravel(), list(cards.items()), None))
+                    rows.append((name, a.shape[0], a.shape[1], a.ravel(), cards, None))
                 except Exception as e:  # noqa: BLE001 - any bad file is quarantined
                     rows.append((name, None, None, None, None, f"{type(e).__name__}: {e}"))
             yield pd.DataFrame(rows, columns=["name", "h", "w", "pixels", "header", "error"]).astype({"h": "Int32", "w": "Int32"})
