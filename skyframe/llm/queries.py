@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.shipping import ship
-from . import decontam, licenses, lm, minhash, packing, pii, quality, secrets, toxicity, warc
+from . import decontam, licenses, lm, minhash, packing, pii, quality, secrets, sql, toxicity, warc
 from .tables import bound_batches, documents
 
 
@@ -78,4 +78,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """What SQL can express: not the fitted models, the packing, and the template matches."""
+    return {"op2_personal_data": sql.OP2, "op3_minhash_near_dedup": sql.OP3, "op4_warc": sql.OP4}
