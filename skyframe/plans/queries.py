@@ -126,7 +126,7 @@ _KINDS_SQL = {
 @query(
     "f13_scale_tiles",
     f"WITH {PX}, g AS (SELECT label, min(v) AS lo, max(v) AS hi, median(v) AS m, stddev_pop(v) AS s FROM px GROUP BY label), t AS (SELECT idx, median(v) AS tm, stddev_pop(v) AS ts FROM px GROUP BY idx), j AS (SELECT * FROM px JOIN g USING (label) JOIN t USING (idx)) "
-    + " UNION ALL ".join(f"SELECT '{k}' AS kind, idx, round(avg(u), 5) AS mean_scaled FROM (SELECT idx, {e} AS u FROM j{' WHERE v + abs(lo) > 0' if k == 'log_scale' else ''}) GROUP BY idx" for k, e in _KINDS_SQL.items()),
+    + " UNION ALL ".join(f"SELECT '{k}' AS kind, idx, round(avg(u), 5) AS mean_scaled FROM (SELECT idx, {e} AS u FROM j{' WHERE v + abs(lo) + 1e-6 > 0' if k == 'log_scale' else ''}) GROUP BY idx" for k, e in _KINDS_SQL.items()),
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = X.tiles(spark, d)
