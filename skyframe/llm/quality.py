@@ -28,7 +28,7 @@ REPEAT_WINDOW = 8
 REPEAT_PERCENT = 30
 SYMBOLS = b"#*$%&|<>"
 _BITS = np.uint64(64 - 12)
-SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality double, kept boolean"
+SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
 
 
 @dataclass
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
 def score(docs: DataFrame, model: QualityModel | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """`row` and `out` (SCHEMA) per row of docs.
 
-    A null text is empty: no words, so base_failed and not kept. Without a model quality is null and
+    A null text is empty: no words, so base_failed and not kept. Without a model the probability is null and
     the base rules alone decide. Every row is scored by itself, so repeats and ties score alike.
     """
 
