@@ -9,18 +9,22 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int, balance: bool = False) -> tuple[np.ndarray, float]:
-    """Weights and intercept by Nesterov's accelerated gradient; the intercept is not penalised."""
-    n, d = x.shape
-    weight = np.ones(n, np.float32)
+def fit_logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int, balance: bool = False, used: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Weights and intercept by Nesterov's accelerated gradient; the intercept is not penalised.
+
+    `used` marks the rows to fit; the others weigh nothing, so that x, which can be large, isn't copied.
+    """
+    d = x.shape[1]
+    weight = np.ones(len(y), np.float32) if used is None else used.astype(np.float32)
+    n = float(weight.sum())
     if balance:
-        share = y.mean()
-        weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
-    bound = 0.25 * weight.max() * (float((x * x).sum(1).max()) + 1) + penalty
+        share = float((weight * y).sum()) / n
+        weight = weight * np.where(y > 0, 0.5 / share, 0.5 / (1 - share)).astype(np.float32)
+    bound = 0.25 * weight.max() * (float(np.einsum("ij,ij->i", x, x).max()) + 1) + penalty
     w, b = np.zeros(d, np.float32), 0.0
     w_at, b_at, t = w, b, 1.0
     for _ in range(steps):
-        g = (weight * (sigmoid(x @ w_at + b_at) - y)).astype(np.float32) / n
+        g = (weight * (sigmoid(x @ w_at + b_at) - y) / n).astype(np.float32)
         w_next = w_at - (x.T @ g + penalty * w_at) / np.float32(bound)
         b_next = b_at - float(g.sum()) / bound
         t_next = (1 + (1 + 4 * t * t) ** 0.5) / 2

@@ -105,14 +105,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
     if len(set(y.tolist())) < 2:
         return None
     x = np.zeros((len(y), DIMENSIONS), np.float32)
-    for i, (c, v) in enumerate(zip(table["cells"], table["values"])):
-        x[i, c.values.to_numpy()] = v.values.to_numpy()
+    i = 0
+    for batch in table.to_batches():
+        for c, v in zip(batch["cells"].to_numpy(zero_copy_only=False), batch["values"].to_numpy(zero_copy_only=False)):
+            x[i, c] = v
+            i += 1
+    del table
+    pa.default_memory_pool().release_unused()
     held = np.arange(len(y)) % 5 == 0
     if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
         held[:] = False
-    w, b = fit_logistic(x[~held], y[~held], 1e-5, 400, balance=True)
+    w, b = fit_logistic(x, y, 1e-5, 400, balance=True, used=~held)
     check = held if held.any() else ~held
-    return QualityModel(w, b, *fit_platt(x[check] @ w + b, y[check]), len(y))
+    return QualityModel(w, b, *fit_platt((x @ w + b)[check], y[check]), len(y))
 
 
 def score(docs: DataFrame, model: QualityModel | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

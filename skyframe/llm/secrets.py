@@ -274,6 +274,9 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
 
     table = sample.mapInArrow(run, "id string, tokens array<string>, starts array<long>, tags array<long>, file array<long>").toArrow().sort_by("id").to_pylist()
     examples = [(*_features(list(zip(r["tokens"], r["starts"])), tuple(r["file"])), np.array(r["tags"])) for r in table]
+    del table
+    _own.cache_clear()
+    pa.default_memory_pool().release_unused()
     return train_field(examples + _made_up())
 
 
