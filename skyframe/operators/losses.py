@@ -60,7 +60,7 @@ def feature_mse(features: DataFrame, weights: DataFrame, a: str = "real", b: str
     squares = _total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
     each = features.select("level", squares.alias("s"), F.size(a).alias("n"))
     levels = each.groupBy("level").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("mse"))
-    return levels.join(F.broadcast(weights), "level").agg(F.sum(F.col("mse") * F.col("weight")).alias("feature_mse"))
+    return levels.join(weights, "level").agg(F.sum(F.col("mse") * F.col("weight")).alias("feature_mse"))
 
 
 def coeff_distance(coefficients: DataFrame, a: str = "real", b: str = "fake") -> DataFrame:

@@ -47,9 +47,9 @@ def sample_locations(mask: DataFrame, n: int, size: int, seed: int = 0, replace:
     counts = keyed.groupBy("p").agg(F.count("*").alias("c"))
     before = counts.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("skip"))
     numbered = keyed.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("y", "x"))).join(F.broadcast(before), "p").select("y", "x", (F.col("skip") + F.col("r") - 1).cast("bigint").alias("k"))
-    total = counts.agg(F.sum("c").alias("total"))
-    draws = centers.sparkSession.range(n).withColumnRenamed("id", "idx").crossJoin(F.broadcast(total))  # one row
-    drawn = draws.filter("total > 0").withColumn("k", F.floor(F.pmod(F.xxhash64(F.lit(seed), "idx"), F.col("total"))).cast("bigint"))
+    total = counts.agg(F.sum("c").alias("total")).first()["total"] or 0
+    draws = centers.sparkSession.range(n if total else 0).withColumnRenamed("id", "idx")
+    drawn = draws.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "idx"), F.lit(max(total, 1))).cast("bigint"))
     return drawn.join(numbered, "k").select("idx", "y", "x")
 
 

@@ -31,5 +31,5 @@ def dataset_stats(tiles: DataFrame, by: list[str], pixels: str = "pixels", exact
 
 
 def with_dataset_stats(tiles: DataFrame, stats: DataFrame, by: list[str]) -> DataFrame:
-    """Tiles with their group's statistics (as many rows as surveys)."""
-    return tiles.join(F.broadcast(stats), by)
+    """Tiles with their group's statistics."""
+    return tiles.join(stats, by)
