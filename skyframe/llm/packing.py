@@ -28,8 +28,8 @@ from .words import slice_hashes
 
 CAPACITY = 2048
 END_ID = 0
-CACHE_ENTRIES = 1_000_000
-GROUP_CHARS = 2_000_000
+CACHE_ENTRIES = 500_000
+GROUP_CHARS = 500_000
 # The pre-tokenizer's pattern and the special token, which is ordinary text here.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 SPECIAL = "<|endoftext|>"
