@@ -5,10 +5,10 @@ corpus, counted by Spark, have one each; other words share BUCKETS by their hash
 for the text's ends. A network predicts every token from the two before and the two after it:
 p(token) = softmax(out . tanh(sum of four position embeddings + bias) + out bias).
 
-Training is data-parallel: each task runs Adagrad in numpy over all its documents, every STRIDE-th
-position of each, and Spark averages the tasks' parameters by numbers of examples; ROUNDS rounds
-start from the last average and take other positions. The sum of log p over all positions scores a
-document.
+Training is data-parallel: each task runs Adagrad in numpy over all its documents, and Spark averages
+the tasks' parameters by numbers of examples; ROUNDS rounds start from the last average. A round takes
+every STRIDE-th position of each document, the next round those after them, so the rounds take every
+position of every document once. The sum of log p over all positions scores a document.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ BUCKETS = 32
 TOKENS = FREQUENT + BUCKETS + 1
 END = TOKENS - 1
 WIDTH = 16
-STRIDE = 16
 ROUNDS = 2
+STRIDE = ROUNDS  # all positions
 MINIBATCH = 4096
 RATE = 0.15
 SEED = 7
@@ -110,18 +110,16 @@ def _step(m: WindowModel, around: np.ndarray, target: np.ndarray, past: list[np.
     """One step of Adagrad on the mean negative log-probability."""
     n = len(target)
     a = np.tanh(sum(m.position[k][around[k]] for k in range(4)) + m.bias)
-    p = np.exp(np.clip(a @ m.out + m.out_bias, -30, 30))
-    p /= p.sum(1, keepdims=True)
-    p[np.arange(n), target] -= 1
-    p /= n
+    p = a @ m.out
+    p += m.out_bias
+    np.clip(p, -30, 30, out=p)
+    np.exp(p, out=p)
+    p *= 1 / (n * p.sum(1, keepdims=True))
+    p[np.arange(n), target] -= np.float32(1 / n)
     d = (p @ m.out.T) * (1 - a * a)
-    one_hot = np.zeros((n, TOKENS), np.float32)
-    position = np.empty_like(m.position)
-    rows = np.arange(n)
-    for k in range(4):
-        one_hot[rows, around[k]] = 1
-        position[k] = one_hot.T @ d
-        one_hot[rows, around[k]] = 0
+    flat, columns = d.ravel().astype(float), np.arange(WIDTH)
+    sums = [np.bincount((around[k][:, None] * WIDTH + columns).ravel(), flat, TOKENS * WIDTH) for k in range(4)]
+    position = np.concatenate(sums).reshape(m.position.shape).astype(np.float32)
     for x, g, s in zip((m.position, m.bias, m.out, m.out_bias), (position, d.sum(0), a.T @ p, p.sum(0)), past):
         s += g * g
         x -= RATE * g / np.sqrt(s + 1e-10)
@@ -133,19 +131,24 @@ def _steps(m: WindowModel, around: np.ndarray, target: np.ndarray, past: list[np
     return len(target)
 
 
+def places(n: int, r: int, rounds: int = ROUNDS, stride: int = STRIDE) -> slice:
+    """The positions of a text of n tokens that round r trains on."""
+    return slice((r * stride // rounds + n) % stride, None, stride)
+
+
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> WindowModel:
     """The network trained over all of docs. Null and empty texts hold no example; without any, the network keeps its first weights."""
     model = new_model(common_words(docs, text_col))
     for r in range(rounds):
 
-        def run(batches: Iterator[pa.RecordBatch], model=model, first=r * stride // rounds) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], model=model, r=r) -> Iterator[pa.RecordBatch]:
             m = model.like(model.flat())
             past = [np.full(x.shape, 1e-6, np.float32) for x in (m.position, m.bias, m.out, m.out_bias)]
             around, target, held, examples = [], [], 0, 0
             for batch in batches:
                 for text in batch.column(0).to_pylist():
                     t = tokens(word_hashes(text), m.vocabulary)
-                    at = slice((first + len(t)) % stride, None, stride)
+                    at = places(len(t), r, rounds, stride)
                     around.append(context(t)[:, at])
                     target.append(t[at])
                     held += len(target[-1])

@@ -302,6 +302,14 @@ def test_language_model_prefers_what_it_has_seen(spark, docs, none):
     assert lm.score(docs, empty).count() == docs.count()
 
 
+def test_language_model_trains_on_every_position(spark):
+    for n in range(40):
+        assert sorted(i for r in range(lm.ROUNDS) for i in range(n)[lm.places(n, r)]) == list(range(n))
+    short = spark.createDataFrame([(i, " ".join(["one", "two", "three", "four", "five", "six", "seven"][: 1 + i % 7])) for i in range(70)], "doc_id long, text string")
+    model = lm.train(short)
+    assert not np.array_equal(model.flat(), lm.new_model(model.vocabulary).flat())
+
+
 def test_decontamination_finds_changed_questions(spark, docs, none):
     item = "Then the farmer Alice sold 12 apples to the trader Bob for 30 dollars and went back to the old village by night with nothing left."
     changed = item.replace("Alice", "Carol").replace("Bob", "Dave").replace("12", "47").replace("30", "99")
