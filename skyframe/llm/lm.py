@@ -5,6 +5,10 @@ corpus, counted by Spark, have one each; other words share BUCKETS by their hash
 for the text's ends. A network predicts every token from the two before and the two after it:
 p(token) = softmax(out . tanh(sum of four position embeddings + bias) + out bias).
 
+The softmax is factored: p(word) = p(bucket) * p(word | bucket), the latter from Spark's counts. Every word
+of at least SHARE of the corpus has its own; the rest of a bucket's mass is spread evenly over its rarer
+words and one that stands for all unseen ones.
+
 Training is data-parallel: each task runs Adagrad in numpy over all its documents, and Spark averages
 the tasks' parameters by numbers of examples; ROUNDS rounds start from the last average. A round takes
 every STRIDE-th position of each document, the next round those after them, so the rounds take every
@@ -14,20 +18,21 @@ position of every document once. The sum of log p over all positions scores a do
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import with_columns_from_text
+from .tables import with_columns_from_text, written
 from .words import words
 
 FREQUENT = 95
 BUCKETS = 32
 TOKENS = FREQUENT + BUCKETS + 1
 END = TOKENS - 1
+SHARE = 1e-6  # so at most a million words have their own p(word | bucket)
 WIDTH = 16
 ROUNDS = 2
 STRIDE = ROUNDS  # all positions
@@ -38,6 +43,27 @@ SCHEMA = "n_tokens long, logprob double, mean_logprob double"
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
 
+@dataclass
+class BucketWords:
+    """log p(word | bucket)."""
+
+    known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted word hashes
+    log_share: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    log_other: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))  # of a word that isn't known, by bucket
+
+    def log_p(self, h: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """By word: 0 for one that has a token of its own."""
+        rare = t >= FREQUENT
+        h = h[rare]
+        p = self.log_other[t[rare] - FREQUENT]
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            p = np.where(self.known[at] == h, self.log_share[at], p)
+        out = np.zeros(len(t))
+        out[rare] = p
+        return out
+
+
 @dataclass
 class WindowModel:
     vocabulary: np.ndarray  # sorted word hashes
@@ -45,6 +71,7 @@ class WindowModel:
     bias: np.ndarray
     out: np.ndarray  # (WIDTH, TOKENS)
     out_bias: np.ndarray
+    rare: BucketWords = field(default_factory=BucketWords)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in (self.position, self.bias, self.out, self.out_bias)]).astype(np.float32)
@@ -54,7 +81,7 @@ class WindowModel:
         for x in (self.position, self.bias, self.out, self.out_bias):
             parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
-        return WindowModel(self.vocabulary, *parts)
+        return WindowModel(self.vocabulary, *parts, self.rare)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -70,8 +97,8 @@ def tokens(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
     return t
 
 
-def common_words(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Sorted hashes of the FREQUENT commonest words of all documents; ties go to the smaller hash."""
+def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """h and n of each distinct word of all documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -89,10 +116,28 @@ def common_words(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         if size:
             yield flush()
 
-    counts = docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return written(docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word_counts")
+
+
+def common_words(counts: DataFrame) -> np.ndarray:
+    """Sorted hashes of the FREQUENT commonest words; ties go to the smaller hash."""
     return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
 
 
+def bucket_words(counts: DataFrame, vocabulary: np.ndarray) -> BucketWords:
+    least = SHARE * (counts.agg(F.sum("n")).first()[0] or 0)
+    rare = counts.filter(~F.col("h").isin(vocabulary.view(np.int64).tolist())).withColumn("b", (F.shiftrightunsigned("h", 40) % BUCKETS).cast("int"))
+    known = F.col("n") >= least
+    total, rest, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r in rare.groupBy("b").agg(F.sum("n").alias("n"), F.sum(F.when(~known, F.col("n"))).alias("rest"), F.count(F.when(~known, 1)).alias("kinds")).collect():
+        total[r["b"]], rest[r["b"]], kinds[r["b"]] = r["n"], r["rest"] or 0, r["kinds"]
+    own = rare.filter(known).select("h", "b", "n").toArrow()  # at most 1 / SHARE rows
+    h = own["h"].to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    log_share = np.log(own["n"].to_numpy() / (total[own["b"].to_numpy()] + 1))
+    return BucketWords(h[order], log_share[order], np.log((rest + 1) / (total + 1) / (kinds + 1)))
+
+
 def new_model(vocabulary: np.ndarray) -> WindowModel:
     rng = np.random.default_rng(SEED)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
@@ -138,7 +183,8 @@ def places(n: int, r: int, rounds: int = ROUNDS, stride: int = STRIDE) -> slice:
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> WindowModel:
     """The network trained over all of docs. Null and empty texts hold no example; without any, the network keeps its first weights."""
-    model = new_model(common_words(docs, text_col))
+    counts = word_counts(docs, text_col)
+    model = new_model(common_words(counts))
     for r in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], model=model, r=r) -> Iterator[pa.RecordBatch]:
@@ -164,6 +210,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
         mean = parts.select("i", (F.col("x") / F.col("n")).alias("x")).orderBy("i").toArrow()  # as many rows as parameters
         if mean.num_rows:
             model = model.like(mean["x"].to_numpy())
+    model.rare = bucket_words(counts, model.vocabulary)
     return model
 
 
@@ -180,9 +227,10 @@ def score(docs: DataFrame, model: WindowModel, text_col: str = "text") -> DataFr
         right = (position[2][:, None] + position[3][None]).reshape(-1, WIDTH)
         ones = np.ones(TOKENS, np.float32)
         for text in texts:
-            t = tokens(word_hashes(text), model.vocabulary)
+            h = word_hashes(text)
+            t = tokens(h, model.vocabulary)
             around = context(t)
-            s = 0.0
+            s = float(model.rare.log_p(h, t).sum())
             for i in range(0, len(t), MINIBATCH):
                 c, y = around[:, i : i + MINIBATCH], t[i : i + MINIBATCH]
                 z = np.tanh(left[c[0] * TOKENS + c[1]] + right[c[2] * TOKENS + c[3]]) @ model.out

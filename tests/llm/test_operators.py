@@ -310,6 +310,25 @@ def test_language_model_trains_on_every_position(spark):
     assert not np.array_equal(model.flat(), lm.new_model(model.vocabulary).flat())
 
 
+def test_language_model_tells_words_of_a_bucket_apart(spark):
+    names = [f"v{i}" for i in range(400)]
+    data = spark.createDataFrame([(i, " ".join(names[: 400 - i])) for i in range(400)], "doc_id long, text string")
+    model = lm.train(data)
+    h = lm.word_hashes(" ".join([*names, *(f"nonsense{i}" for i in range(400))]))
+    t, known = lm.tokens(h, model.vocabulary), np.arange(800) < 400
+    p = np.exp(model.rare.log_p(h, t))
+    for b in range(lm.FREQUENT, lm.END):
+        seen, unseen = p[known & (t == b)], p[~known & (t == b)]
+        assert len(unseen) and (len(seen) == 0 or seen.min() >= unseen.max())
+        assert abs(seen.sum() + unseen[0] - 1) < 1e-9
+    two = [h[k] for k in np.flatnonzero(t == np.bincount(t[known & (t >= lm.FREQUENT)]).argmax()) if k < 400]
+    words = [names[int(np.flatnonzero(h == x)[0])] for x in (two[0], two[-1])]
+    nonsense = f"nonsense{np.flatnonzero(t[400:] == t[h == two[0]][0])[0]}"
+    rows = spark.createDataFrame([(i, f"v0 v1 {w} v2") for i, w in enumerate([*words, nonsense])], "doc_id long, text string")
+    got = {r.doc_id: r.logprob for r in lm.score(rows, model).select("row.doc_id", "out.logprob").collect()}
+    assert got[0] > got[1] and got[0] > got[2]
+
+
 def test_decontamination_finds_changed_questions(spark, docs, none):
     item = "Then the farmer Alice sold 12 apples to the trader Bob for 30 dollars and went back to the old village by night with nothing left."
     changed = item.replace("Alice", "Carol").replace("Bob", "Dave").replace("12", "47").replace("30", "99")
