@@ -15,6 +15,7 @@ split by a hash of the id, and each piece finds its place by its number.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,9 +31,8 @@ CAPACITY = 2048
 END_ID = 0
 CACHE_ENTRIES = 500_000
 GROUP_CHARS = 500_000
-# The pre-tokenizer's pattern and the special token, which is ordinary text here.
+# Fixed value: the pre-tokenizer's pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPECIAL = "<|endoftext|>"
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -43,6 +43,8 @@ class PieceEncoder:
     both sides, so such a text is the concatenation of its space-separated chunks, each with its
     leading space. Chunks are found and hashed with numpy, and the ids of up to CACHE_ENTRIES
     distinct ones are kept. A text with other white space beside a space is encoded whole.
+
+    encode() takes the file's added tokens for ordinary text; encode_added() gives each its one id.
     """
 
     def __init__(self, path: str):
@@ -52,8 +54,13 @@ class PieceEncoder:
         rest = [b for b in range(256) if b not in set(printable)]
         byte = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
-        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocabulary.items() if set(token) <= byte.keys() and token != SPECIAL}
+            file = json.load(f)
+        vocabulary, added = file["model"]["vocab"], file.get("added_tokens") or []
+        if any(x.get(flag) for x in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that stand alone or take white space are not supported")
+        self.added = {x["content"]: np.array([x["id"]], "<u4").tobytes() for x in added}
+        self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")")
+        ranks = {bytes(map(byte.__getitem__, token)): i for token, i in vocabulary.items() if set(token) <= byte.keys() and token not in self.added}
         self.starts_word = np.zeros(max(ranks.values()) + 2, bool)
         self.starts_word[[i for token, i in ranks.items() if token[:1] == b" "]] = True
         self.ids = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -112,6 +119,12 @@ class PieceEncoder:
         if group:
             yield from self._group(group)
 
+    def encode_added(self, texts: list[str]) -> Iterator[bytes]:
+        parts = [self.cut.split(x) if any(a in x for a in self.added) else [x] for x in texts]  # text, token, text, ...
+        ids = self.encode([x for row in parts for x in row[::2]])
+        for row in parts:
+            yield b"".join(self.added[x] if k % 2 else next(ids) for k, x in enumerate(row))
+
 
 def encoder(path: str) -> PieceEncoder:
     if path not in _encoders:
@@ -127,7 +140,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             sizes, crcs = [], []
-            for ids in enc.encode(texts):
+            for ids in enc.encode_added(texts):
                 ids += end
                 n = len(ids) // 4
                 cuts = [0, *range((n - 1) % capacity + 1, n + 1, capacity)]

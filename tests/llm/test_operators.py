@@ -172,6 +172,17 @@ def test_token_ids_equal_the_tokenizer(docs):
     assert got == [np.array(x.ids, "<u4").tobytes() for x in t.encode_batch(odd, add_special_tokens=False)]
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    t, end = Tokenizer.from_file(vocabulary()), "<|endoftext|>"
+    odd = [f"a {end} b", end, f"{end}{end}", f"a{end}  b", f"x \n {end}{end} y", f"it's {end}\n\n{end} don't  {end} ", "<|endoftext| >", "", *(x or "" for x in texts())]
+    ids = [x.ids for x in t.encode_batch(odd, add_special_tokens=False)]
+    assert list(packing.PieceEncoder(vocabulary()).encode_added(odd)) == [np.array(x, "<u4").tobytes() for x in ids]
+    rows = packing.pack(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"), vocabulary()).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in rows} == {i: len(x) + 1 for i, x in enumerate(ids)}
+
+
 def test_packing_is_gapless_and_whole(spark, docs, none):
     rng = random.Random(4)
     data = docs.select("doc_id", "text").union(spark.createDataFrame([(500 + i, prose(rng, rng.choice([5, 400, 3000]))) for i in range(60)] + [(0, "again"), (0, "again")], "doc_id long, text string"))
