@@ -694,6 +694,56 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return made.select("idx", F.round(F.aggregate("predicted", F.lit(0.0), lambda a, v: a + v), 3).alias("total"), F.size("predicted").alias("n"))
 
 
+# ---- whole tables: as the queries named before them, at every position, ordinal and tile
+def _all_centers(spark: SparkSession, d: str) -> DataFrame:
+    return X.mosaic_lr(spark, d).select((F.col("y") * 1000 + F.col("x")).cast("bigint").alias("idx"), "y", "x")
+
+
+_CUT = f"{MLR}, cut AS (SELECT CAST(c.y * 1000 + c.x AS BIGINT) AS idx, CAST(i AS INT) AS y, CAST(j AS INT) AS x, p.v FROM mlr p, range(6) a(i), range(6) b(j), mlr c WHERE c.y = p.y + 3 - i AND c.x = p.x + 3 - j)"
+
+
+@query("j3_validate_locations_all", f"WITH {CENTERS} SELECT y, x FROM ok")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return mosaic.validate_locations(X.mosaic_lr(spark, d).select("y", "x"), X.mask_lr(spark, d), X.WINDOW)
+
+
+@query("j4_extract_cutouts_all", f"WITH {_CUT} SELECT idx, y, x, round(v, 2) AS v FROM cut")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return mosaic.extract_cutouts(X.mosaic_lr(spark, d), _all_centers(spark, d), 6, 16).withColumn("v", F.round("v", 2))
+
+
+@query("j4_without_overlap_all", f"WITH {MHR}, {MLR}, met AS (SELECT DISTINCT y + i AS y, x + j AS x FROM mhr, range(2) a(i), range(2) b(j)) SELECT CAST(y * 1000 + x AS BIGINT) AS idx FROM mlr ANTI JOIN met USING (y, x)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = _all_centers(spark, d)
+    return mosaic.without_overlap(c, mosaic.extract_cutouts(X.mosaic_hr(spark, d), c, 2, 16)).select("idx")
+
+
+@query("s5_cutout_pairs_roundtrip_all", f"WITH {_CUT} SELECT 'lr' AS survey, idx, CAST(count(*) AS INT) AS n, round(sum(v), 2) AS total FROM cut GROUP BY idx")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = X.scratch(spark, "cutouts")
+    cut = assemble_tiles(mosaic.extract_cutouts(X.mosaic_lr(spark, d), _all_centers(spark, d), 6, 16), ["idx"])
+    sinks.write_cutout_pairs(cut.withColumn("survey", F.lit("lr")), path)
+    back = spark.read.parquet(path)
+    return back.select("survey", "idx", F.size("pixels").alias("n"), F.round(stats.pixel_sum("pixels"), 2).alias("total"))
+
+
+@query("f23_cutout_wcs_all", f"WITH {MLR} SELECT y, x, CAST(50.5 - (x - 3) AS DOUBLE) AS crpix1, CAST(75.5 - (y - 3) AS DOUBLE) AS crpix2 FROM mlr")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    c = _all_centers(spark, d).withColumn("wcs", cutout_header(X.wcs_lr(), F.col("x") - 3, F.col("y") - 3))
+    return c.select("y", "x", "wcs.crpix1", "wcs.crpix2")
+
+
+@query("w1_number_rows_all", "SELECT vec_id AS idx, row_number() OVER (ORDER BY vec_id) - 1 AS ordinal FROM embeddings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return B.number_rows(X.tiles(spark, d).select("idx"), ["idx"])
+
+
+@query("u1_chained_gate_all", f"WITH {PX} SELECT idx, round(sum(2 * (1 / (1 + exp(-v)) - 0.5)), 6) AS total FROM px GROUP BY idx HAVING sum(v) > exp(-1) AND sum(v) < exp(1)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    made = P.chained(X.tiles(spark, d), lambda t: gates.filter_log_sum(t, "pixels", -1.0, 1.0), lambda t: P.scale_tiles(t, "sigmoid"))
+    return made.select("idx", F.round(stats.pixel_sum("scaled"), 6).alias("total"))
+
+
 # ---- streams
 @query("t1_stream_quality_gate", f"WITH {PX} SELECT idx, round(sum(v), 6) AS pix_sum FROM px GROUP BY idx HAVING sum(v) > exp(-1) AND sum(v) < exp(1)")
 def _(spark: SparkSession, d: str) -> DataFrame:

@@ -37,3 +37,11 @@ def test_query(spark, duck, name):
     assert sorted(columns) == sorted(df.columns)
     at = [columns.index(c) for c in df.columns]
     assert sorted(rows) == sorted(tuple(norm(r[i]) for i in at) for r in found.fetchall())
+
+
+def test_whole_tables_are_computed(spark):
+    """A row or more for each position, ordinal and tile, not for a subset."""
+    positions, tiles = spark.read.parquet(f"{D}/orders.parquet").count(), spark.read.parquet(f"{D}/embeddings.parquet").count()
+    for name, key in (("j4_extract_cutouts_all", ["idx"]), ("s5_cutout_pairs_roundtrip_all", ["idx"]), ("f23_cutout_wcs_all", ["y", "x"])):
+        assert QUERIES[name](spark, D).select(*key).distinct().count() == positions
+    assert sorted(r.ordinal for r in QUERIES["w1_number_rows_all"](spark, D).collect()) == list(range(tiles))
