@@ -4,9 +4,12 @@ Words are runs of letters and digits, A-Z lower-cased. In a template, runs of nu
 (capitalised words that don't start a sentence) and of units become one typed placeholder each.
 Windows of WINDOW template tokens are hash-joined with those of the benchmark items (an item with
 fewer tokens is one window; with fewer than MIN_ITEM it is left out, as it would match any text).
-Matches on one alignment of document and item are checked together: a slot value of the item must
-always stand for the same value in the document. A document contains an item if consistent windows
-of one alignment cover MIN_COVER template tokens of it, or all of it if it is shorter.
+Matches of document and item are checked together: a slot value of the item must always stand for the
+same value in the document. A document contains an item if consistent windows cover MIN_COVER template
+tokens of it, or all of it if it is shorter. The windows are those of one alignment, or of several in
+order, each at most WINDOW tokens off the one before (words were inserted or left out between them).
+An item that starts with a capitalised word has a second form of its first window, in which the word is
+a name, as it is in a document where no sentence ends before it.
 
 The item windows are broadcast only if a count finds at most INDEX_ROWS of them. Beyond that, a
 fixed-size bitmap of their hashes prefilters the document windows, which are then joined by a shuffle.
@@ -14,7 +17,8 @@ fixed-size bitmap of their hashes prefilters the document windows, which are the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,8 +61,8 @@ def _unit_hashes() -> np.ndarray:
 _UNIT_HASHES = _unit_hashes()
 
 
-def template(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Template tokens of UTF-8 bytes (word hashes, or NUMBER, NAME, UNIT) and the hash of what each stands for."""
+def template(data: bytes, start: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Template tokens of UTF-8 bytes (word hashes, or NUMBER, NAME, UNIT) and the hash of what each stands for. `start`: a sentence starts at the first word."""
     starts, ends, h = words(data.translate(_FOLD))
     if not len(h):
         return h, h
@@ -68,6 +72,7 @@ def template(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     second = b[np.minimum(starts + 1, len(b) - 1)]
     capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
     after_stop = np.ones(len(h), bool)
+    after_stop[0] = start
     after_stop[1:] = stops[starts[1:]] > stops[ends[:-1]]
     t = h.copy()
     t[capital & ~after_stop] = NAME
@@ -90,47 +95,73 @@ def template_windows(t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, tokens of the item, size, pos, w and slots (what the window's placeholders stand for) of each window. Null texts have none."""
+    """item, tokens of the item, size, pos, w, slots (what the window's placeholders stand for) and lead of each window. Null texts have none.
+
+    lead is 1 where the window's first token, a name, takes in the token before it too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, cols = [], ([], [], [], [], [])
+            keep, cols = [], ([], [], [], [], [], [])
             for i, text in enumerate(batch.column(1).to_pylist()):
-                t, raw = template((text or "").encode())
+                data = (text or "").encode()
+                t, raw = template(data)
                 n = min(len(t), WINDOW)
                 if n < MIN_ITEM:
                     continue
-                for p, w in zip(*template_windows(t, n)):
+                rows = [(t, raw, n, p, w, 0, 0) for p, w in zip(*template_windows(t, n))]
+                named, named_raw = template(data, start=False)
+                m = min(len(named), WINDOW)
+                if m >= MIN_ITEM and named[0] != t[0]:
+                    lead = len(t) - len(named)
+                    rows += [(named, named_raw, m, p, w, lead, lead) for p, w in zip(*template_windows(named[:m], m))]
+                for of, stand, n, p, w, shift, lead in rows:
                     keep.append(i)
-                    slots = raw[p : p + n][t[p : p + n] <= UNIT].view(np.int64)
-                    for c, x in zip(cols, (len(t), n, int(p), int(w.view(np.int64)), slots)):
+                    slots = stand[p : p + n][of[p : p + n] <= UNIT].view(np.int64)
+                    for c, x in zip(cols, (len(t), n, int(p) + shift, int(w.view(np.int64)), slots, lead)):
                         c.append(x)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["item", "tokens", "size", "pos", "w", "slots"])
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["item", "tokens", "size", "pos", "w", "slots", "lead"])
 
     kind = benchmark.schema[id_col].dataType.simpleString()
-    return benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).mapInArrow(run, f"item {kind}, tokens int, size int, pos int, w long, slots array<long>")
+    return benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).mapInArrow(run, f"item {kind}, tokens int, size int, pos int, w long, slots array<long>, lead int")
+
+
+def _consistent(matches: Iterable[tuple], reach: int | None = None) -> tuple[int, int, bool]:
+    """Windows, covered tokens and whether slots are unchanged of the matches that agree with those taken before them; with reach, those that follow the last taken in order."""
+    stands: dict[int, int] = {}
+    covered: set[int] = set()
+    used: set[int] = set()  # tokens of the document: none counts twice
+    seen: set[tuple] = set()
+    last, exact = None, True
+    for at, p, size, theirs, ours, lead in matches:
+        if reach is not None and last is not None:
+            if at > last[0] + reach:
+                break
+            if (at, p) != last and (at <= last[0] or p <= last[1]) or abs((at - p) - (last[0] - last[1])) > WINDOW:
+                continue
+        tried = dict(stands)
+        if all(tried.setdefault(a, b) == b for a, b in zip(ours, theirs)):
+            stands, last = tried, (at, p)
+            covered.update(range(p - lead, p + size))
+            used.update(range(at - lead, at + size))
+            seen.add((at, p))
+            exact &= list(ours) == list(theirs)
+    return len(seen), min(len(covered), len(used)), exact
 
 
 def _aligned(matches: list[tuple]) -> tuple[int, int, bool]:
-    """Of matches (doc pos, item pos, size, doc slots, item slots) of a document and an item: windows and covered tokens of the best consistent alignment, and whether its slots are unchanged."""
+    """Of matches (doc pos, item pos, size, doc slots, item slots, lead) of a document and an item: windows and covered tokens of the best consistent alignment or chain of alignments, and whether its slots are unchanged."""
     by: dict[int, list[tuple]] = {}
     for m in matches:
         by.setdefault(m[0] - m[1], []).append(m)
-    best = (0, 0, True)
-    for same in by.values():
-        stands: dict[int, int] = {}
-        covered: set[int] = set()
-        n, exact = 0, True
-        for _, p, size, theirs, ours in sorted(same, key=lambda m: m[1]):
-            tried = dict(stands)
-            if all(tried.setdefault(a, b) == b for a, b in zip(ours, theirs)):
-                stands = tried
-                covered.update(range(p, p + size))
-                n += 1
-                exact &= list(ours) == list(theirs)
-        best = max(best, (n, len(covered), exact), key=lambda x: (x[1], x[2]))
-    return best
+    found = [_consistent(sorted(same, key=lambda m: (m[1], m[5]))) for same in by.values()]
+    if len(by) > 1:
+        ordered = sorted(matches, key=lambda m: (m[0], m[1], m[5]))
+        reach = max(m[1] + m[2] for m in matches) + WINDOW
+        firsts = {m[0] - m[1]: k for k, m in reversed(list(enumerate(ordered)))}
+        found += [_consistent(itertools.islice(ordered, k, None), reach) for k in firsts.values()]
+    return max(found, key=lambda x: (x[1], x[2]))
 
 
 @dataclass
@@ -141,6 +172,7 @@ class TemplateIndex:
     item: np.ndarray
     pos: np.ndarray
     slots: list
+    lead: list[int]
     ids: list
     tokens: np.ndarray
     sizes: list[int]
@@ -158,7 +190,7 @@ class TemplateIndex:
                 slots = raw[p : p + n][t[p : p + n] <= UNIT].view(np.int64).tolist()
                 j = int(lo[k])
                 while j < len(self.w) and self.w[j] == w[k]:
-                    found.setdefault(int(self.item[j]), []).append((p, int(self.pos[j]), n, slots, self.slots[j]))
+                    found.setdefault(int(self.item[j]), []).append((p, int(self.pos[j]), n, slots, self.slots[j], self.lead[j]))
                     j += 1
         out = []
         for i, matches in found.items():
@@ -177,7 +209,7 @@ def build_index(items: DataFrame) -> TemplateIndex:
     item = np.array([number[x] for x in table["item"].to_pylist()], np.int64)
     slots, tokens = table["slots"].to_pylist(), np.zeros(len(ids), np.int64)
     tokens[item] = table["tokens"].to_numpy()
-    return TemplateIndex(w[order], item[order], table["pos"].to_numpy()[order], [slots[k] for k in order], ids, tokens, sorted(set(table["size"].to_pylist())))
+    return TemplateIndex(w[order], item[order], table["pos"].to_numpy()[order], [slots[k] for k in order], table["lead"].to_numpy()[order].tolist(), ids, tokens, sorted(set(table["size"].to_pylist())))
 
 
 def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -205,7 +237,7 @@ def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> Da
 
     kind = docs.schema[id_col].dataType.simpleString()
     hits = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kind}, dpos int, w long, dslots array<long>")
-    pairs = hits.join(items, "w").groupBy("doc", "item").agg(F.max("tokens").alias("tokens"), F.collect_list(F.struct("dpos", "pos", "size", "dslots", "slots")).alias("m"))
+    pairs = hits.join(items, "w").groupBy("doc", "item").agg(F.max("tokens").alias("tokens"), F.collect_list(F.struct("dpos", "pos", "size", "dslots", "slots", "lead")).alias("m"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

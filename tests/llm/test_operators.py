@@ -357,3 +357,16 @@ def test_decontamination_finds_changed_questions(spark, docs, none):
         assert {r.doc_id for r in kept.collect()} == {2, 3, 4, 5, 6} and kept.columns == data.columns
         assert decontam.contaminations(none, bench, limit=limit).count() == 0
         assert decontam.contaminations(data, bench.limit(0), limit=limit).count() == 0
+
+
+def test_decontamination_finds_short_and_near_copies(spark):
+    items = ["What is the capital of France", "Alice Smith went to the old market and bought some bread", "when the river rises over the wall then all of the people walk up to the high field with bags"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    inserted = items[2].replace("people walk", "people slowly walk")
+    cases = ["Question 7 What is the capital of France", 'he asked, "What is the capital of France" and left', "it says " + items[1], "text " + inserted, "what is the old market in France", items[2][:45]]
+    data = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    for limit in (decontam.INDEX_ROWS, 0):
+        got = {(r.doc_id, r.item_id) for r in decontam.contaminations(data, bench, limit=limit).collect()}
+        assert got == {(0, 0), (1, 0), (2, 1), (3, 2)}
+    twice = [(k, p, 8, [], [], 0) for k, p in ((5, 0), (5, 8))]
+    assert decontam._aligned(twice)[1] == 8
