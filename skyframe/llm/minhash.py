@@ -6,39 +6,45 @@ a class at once; only one set of each class goes on.
 1. Sketch: the SKETCH smallest hashes of the set.
 2. Inverted lists: of a sketch's values, ordered from rare to common by counts in 2**CELL_BITS cells,
    those are posted that make two documents with the least overlap share SHARED_LISTS of them. For
-   sets of up to WHOLE shingles, whose sketches and whose partners' are whole, this bound is exact; for larger ones it is
-   LEAST_SHARED of 64 values, which a pair at similarity 0.8 misses with a chance of about 8e-8.
+   sets of up to whole_size() shingles, whose sketches and whose partners' are whole, this bound is exact; for larger
+   ones it is least_shared() of 64 values, which a pair at the very threshold misses with a chance below MISSED.
 3. Lists of up to SHORT_LIST entries give the pairs that share SHARED_LISTS of them: a pair in fewer also
    shares a longer list. Longer ones give pairs with one leader a
    round, for ROUNDS rounds: the entry with the commonest values (the likeliest original of a group of
    copies) that isn't in an earlier leader's component. Entries in their leader's component need no pair.
-   Lists that still hold several components are put together by their first leader, and entries outside
-   such a group's main component are compared with all of it, block by block.
-4. A pair goes on if the sketch of the union holds at least LEAST_SHARED (in proportion) shared values.
+   Of lists that still hold several components, those that are mostly strangers to each other (a phrase that
+   many documents share) are cut into the lists of their entries' pairs of values, since two of them must meet in
+   two lists; what has SHORT_LIST entries or fewer then gives pairs. The others, and what stays long, are put together
+   by their leader, and entries outside such a group's main component are compared with all of it, block by
+   block: by the sketches of their unions first, then by full sets.
+4. A pair goes on if the sketch of the union holds at least least_shared() (in proportion) shared values.
 5. Exact Jaccard on the full sets verifies it.
-6. Components: every node is merged into its smallest neighbour until no edge is left.
+6. Components: large stars and small stars in turn, a number of rounds logarithmic in the longest chain of links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import written
 from .words import LOWER, mix, shingles, words
 
 SKETCH = 64
-LEAST_SHARED = 33
-WHOLE = 51
+MISSED = 1e-7
 SHARED_LISTS = 2
 SHORT_LIST = 16
 ROUNDS = 2
 BLOCK = 200_000
+BLOCK_ROWS = 500
+STAR_ROUNDS = 200
 CELL_BITS = 22
 COMMON = 16
 
@@ -62,22 +68,49 @@ def sketches(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str =
                 low.append(s[:SKETCH].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=["id", "n", "f1", "f2", "sketch"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n long, f1 long, f2 long, sketch array<long>")
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("n long, f1 long, f2 long, sketch array<long>")])
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+
+
+@lru_cache
+def least_shared(percent: int) -> int:
+    """Values of the union's sketch that two sets at this similarity share at least, but for a chance below MISSED."""
+    p, chance = percent / 100, 0.0
+    for k in range(SKETCH + 1):
+        chance += comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if chance > MISSED:
+            return max(k, SHARED_LISTS)
+    return SKETCH
+
+
+def whole_size(percent: int) -> int:
+    """The largest set all of whose partners have a whole sketch, as it has."""
+    return SKETCH * percent // 100
+
+
+def _lowest(links: DataFrame) -> DataFrame:
+    """links (a, b) with low, the smallest b or a of each a."""
+    return links.join(links.groupBy("a").agg(F.min("b").alias("low")), "a").withColumn("low", F.least("a", "low"))
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node and the smallest node it is connected with, for all nodes of edges (a, b)."""
-    labels = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node"))
-    for step in range(10_000):
+    """node and the smallest node it is connected with, for all nodes of edges (a, b).
+
+    In a large star, every node links its larger neighbours to the smallest one; in a small star, it links its
+    smaller neighbours and itself to the smallest. Distances shrink by half, so a chain of k links takes about
+    log2(k) rounds. Ends when all edges point from a node to its component's smallest.
+    """
+    edges = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "edges")
+    for _ in range(STAR_ROUNDS):
+        ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("a"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        unfinished = ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or (up = 1 and down = 1)")
+        if unfinished.isEmpty():
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = written(both.groupBy("a").agg(F.min("b").alias("to")).select(F.col("a").alias("label"), F.least("a", "to").alias("to")), "hooks")
-        labels = written(labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
-        ends = edges.join(to.withColumnsRenamed({"label": "a", "to": "x"}), "a").join(to.withColumnsRenamed({"label": "b", "to": "y"}), "b")
-        edges = written(ends.filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "edges")
-        if edges.isEmpty():
-            break
-    return labels
+        large = written(_lowest(both).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct(), "large_stars")
+        small = _lowest(large).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("e")).select("e.*")
+        edges = written(small.filter("a != b").distinct(), "small_stars")
+    raise RuntimeError(f"links are left after {STAR_ROUNDS} rounds")
 
 
 def _similar_sizes(a: str, b: str, percent: int):
@@ -87,6 +120,7 @@ def _similar_sizes(a: str, b: str, percent: int):
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b), those that may be linked by the sketch of their union."""
     at = lambda x: classes.select(F.col("key").alias(x), F.col("sketch").alias(f"s{x}"), F.col("n").alias(f"n{x}"))
+    least = least_shared(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -98,7 +132,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
                     union = union[:SKETCH]
                 shared = len(np.intersect1d(np.intersect1d(x, y, True), union, True))
                 whole = nx == len(x) and ny == len(y)
-                keep.append(100 * shared >= percent * len(union) if whole else shared * SKETCH >= LEAST_SHARED * len(union))
+                keep.append(100 * shared >= percent * len(union) if whole else shared * SKETCH >= least * len(union))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = classes.schema["key"].dataType.simpleString()
@@ -140,9 +174,11 @@ def _rest(groups: DataFrame, docs: DataFrame, size: int, percent: int, id_col: s
     """Links (a, b) across components inside groups (lead, key, n, label).
 
     Entries outside a group's main component meet all its entries, in pairs of blocks of about BLOCK
-    shingles, so that a group of any size is split over tasks of bounded memory. Inside a block pair all
-    full sets are compared in numpy, and one link for each component that an entry reaches is returned.
+    shingles and BLOCK_ROWS entries, so that a group of any size is split over tasks of bounded memory. Inside a block
+    pair the sketches of all unions are compared in numpy, then the full sets of those that may be linked, and one link
+    for each component that an entry reaches is returned.
     """
+    least = least_shared(percent)
     kind = groups.schema["key"].dataType.simpleString()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +186,9 @@ def _rest(groups: DataFrame, docs: DataFrame, size: int, percent: int, id_col: s
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(x, size).view(np.int64) for x in batch.column(1).to_pylist()], pa.list_(pa.int64()))], names=["key", "s"])
 
     sizes = groups.groupBy("lead", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    totals = sizes.groupBy("lead").agg(F.max(F.struct("c", "label", "n")).alias("most"), F.sum("n").alias("n"))
-    totals = totals.select("lead", F.col("most.label").alias("main"), blocks(F.col("n")).alias("js"), blocks(F.col("n") - F.col("most.n")).alias("is")).filter("is > 0")
+    blocks = lambda n, c: F.greatest(F.ceil(n / BLOCK), F.ceil(c / BLOCK_ROWS)).cast("int")
+    totals = sizes.groupBy("lead").agg(F.max(F.struct("c", "label", "n")).alias("most"), F.sum("n").alias("n"), F.sum("c").alias("c"))
+    totals = totals.select("lead", F.col("most.label").alias("main"), blocks(F.col("n"), F.col("c")).alias("js"), blocks(F.col("n") - F.col("most.n"), F.col("c") - F.col("most.c")).alias("is")).filter("is > 0")
     placed = groups.join(written(totals, "group_sizes"), "lead")
     texts = docs.select(F.col(id_col).alias("key"), F.col(text_col).alias("text")).join(groups.select("key").distinct(), "key")
     full = written(texts.mapInArrow(sets, f"key {kind}, s array<long>"), "group_sets")
@@ -161,27 +197,38 @@ def _rest(groups: DataFrame, docs: DataFrame, size: int, percent: int, id_col: s
     minor = placed.filter("label != main").withColumn("i", own("is")).withColumn("j", every("js")).join(full, "key").select("lead", "i", "j", "key", "label", "s")
     member = placed.withColumn("j", own("js")).withColumn("i", every("is")).join(full, "key").select("lead", "i", "j", "key", "label", "s")
 
+    def counts(own: np.ndarray, values: np.ndarray, dense: np.ndarray, first: np.ndarray, there: np.ndarray) -> np.ndarray:
+        """How many of own's values each slice of dense, which starts at first, holds."""
+        at = np.searchsorted(values, own)
+        at = at[at < len(values)]
+        at = at[np.isin(values[at], own)]
+        there[at] = 1
+        shared = np.add.reduceat(there[dense], first)
+        there[at] = 0
+        return shared
+
     def compare(x: pa.Table, y: pa.Table) -> pa.Table:
         found = []
         if x.num_rows and y.num_rows:
-            xs, ys = (t["s"].to_numpy() for t in (x, y))
-            flat = np.concatenate(ys)
-            values, dense = np.unique(flat, return_inverse=True)
-            count = np.array([len(s) for s in ys])
-            first = np.cumsum(count) - count
+            xs, ys = ([s.view(np.uint64) for s in t["s"].to_numpy()] for t in (x, y))
+            low = [s[:SKETCH] for s in ys]
+            size, many = np.array([len(s) for s in ys]), np.array([len(s) for s in low])
+            values, dense = np.unique(np.concatenate(low), return_inverse=True)
+            first, there = np.cumsum(many) - many, np.zeros(len(values), np.int64)
             labels = np.array(y["label"].to_pylist(), object)
             keys = y["key"].to_pylist()
-            there = np.zeros(len(values), np.int64)
             for key, label, s in zip(x["key"].to_pylist(), x["label"].to_pylist(), xs):
-                at = np.searchsorted(values, s)
-                at = at[at < len(values)]
-                at = at[np.isin(values[at], s)]
-                there[at] = 1
-                shared = np.add.reduceat(there[dense], first)
-                there[at] = 0
+                own = s[:SKETCH]
+                shared = counts(own, values, dense, first, there)
+                # of the union's sketch, at most SKETCH values and at least those that both sketches reach; none is missed by this
+                worth = shared * SKETCH >= least * np.minimum(SKETCH, np.maximum(len(own), many))
+                worth &= (100 * np.minimum(len(s), size) >= percent * np.maximum(len(s), size)) & (labels != label)
                 reached = {}
-                for k in np.flatnonzero((100 * shared >= percent * (len(s) + count - shared)) & (labels != label)):
-                    reached.setdefault(labels[k], (key, keys[k]))
+                for k in np.flatnonzero(worth):
+                    if labels[k] not in reached:
+                        both = len(np.intersect1d(s, ys[k], assume_unique=True))
+                        if 100 * both >= percent * (len(s) + len(ys[k]) - both):
+                            reached[labels[k]] = (key, keys[k])
                 found += reached.values()
         return pa.table({"a": pa.array([f[0] for f in found], x.schema.field("key").type), "b": pa.array([f[1] for f in found], x.schema.field("key").type)})
 
@@ -194,9 +241,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     """id, n_shingles, component_id (the smallest id reachable over links) and kept (it is its own) per row of docs.
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows
-    that share an id are one document. A row with a null id is not linked and has no component. No
-    rows give no rows. Other columns are not read.
+    that share an id are one document, linked by any of its texts. A row with a null id is not linked and has no
+    component. No rows give no rows. Other columns are not read.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
+    enough, whole = least_shared(percent), whole_size(percent)
     held = written(sketches(docs, size, id_col, text_col), "sketches")
     some = held.filter("n > 0 and id is not null")
     members = written(some.groupBy("n", "f1", "f2").agg(F.min("id").alias("key")), "classes")
@@ -220,7 +270,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             keep, values, posted = [], [], []
             for i, (n, s) in enumerate(zip(batch.column("n").to_pylist(), batch.column("sketch").to_numpy(zero_copy_only=False))):
                 v = s.view(np.uint64)
-                shared = -(-percent * n // 100) if n <= WHOLE else LEAST_SHARED * len(v) // SKETCH
+                shared = -(-percent * n // 100) if n <= whole else enough * len(v) // SKETCH
                 rare = v[np.lexsort((v, common[v >> np.uint64(64 - CELL_BITS)]))[: len(v) - shared + SHARED_LISTS]]
                 values.append(rare.view(np.int64))
                 keep += [i] * len(rare)
@@ -242,7 +292,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         likely = written(_likely(pairs, classes, percent), "likely")
         return written(_verified(likely, docs, size, percent, id_col, text_col), "links")
 
-    found = [links(pairs)]
+    several = some.groupBy("id").agg(F.count_distinct("n", "f1", "f2").alias("sets")).filter("sets > 1").select("id")
+    own = some.join(several, "id").join(members, ["n", "f1", "f2"]).select("id", "key").distinct()
+    same = own.join(own.groupBy("id").agg(F.min("key").alias("a")), "id").select("a", F.col("key").alias("b")).filter("a != b")
+    found = [links(pairs), written(same, "links")]
+    found = [reduce(DataFrame.unionByName, found)]
     labels = components(found[0])
     leaders = first = None
     for _ in range(ROUNDS):
@@ -263,7 +317,28 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         labels = components(reduce(DataFrame.unionByName, found))
     placed = _open(long, labels)
     if first is not None and not placed.isEmpty():
-        groups = written(placed.join(first, "v").select("lead", "key", "n", "label").distinct(), "groups")
+        # lists with as many components as half their entries
+        far = placed.groupBy("v").agg(F.count("*").alias("m"), F.count_distinct("label").alias("c")).filter("2 * c >= m").select("v")
+        groups = placed.join(far, "v", "left_anti").join(first, "v").select("lead", "key", "n")
+        met = short.select("v", "key", "n").join(placed.select("key", "label").distinct(), "key")
+        entries = placed.join(far, "v").groupBy("key", "n", "label", "worth").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # of at most SKETCH values
+        two = F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, SKETCH), lambda y: F.struct(x.alias("v"), y.alias("w")))))
+        cut = written(entries.select("key", "n", "label", "worth", F.explode(two).alias("p")).select("p.*", "key", "n", "label", "worth"), "pairs_of_values")
+        open_ = cut.groupBy("v", "w").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("v", "w", "m")
+        cut = written(cut.join(open_, ["v", "w"]), "cut_lists")
+        small = cut.filter(F.col("m") <= SHORT_LIST)
+
+        def strangers(entries: DataFrame, by: list[str]) -> DataFrame:
+            at = lambda x: entries.select(*by, F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"))
+            return at("a").join(at("b"), by).filter("a < b and la != lb").filter(_similar_sizes("na", "nb", percent)).select("a", "b")
+
+        found.append(links(strangers(met, ["v"]).unionByName(strangers(small, ["v", "w"])).distinct()))
+        labels = components(reduce(DataFrame.unionByName, found))
+        large = cut.filter(F.col("m") > SHORT_LIST)
+        leads = large.groupBy("v", "w").agg(F.max_by("key", F.struct("worth", F.xxhash64("key"))).alias("lead"))
+        groups = groups.unionByName(large.join(leads, ["v", "w"]).select("lead", "key", "n")).distinct()
+        groups = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+        groups = written(groups, "groups")
         found.append(written(_rest(groups, docs, size, percent, id_col, text_col), "links"))
         labels = components(reduce(DataFrame.unionByName, found))
     final = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("label", "key").alias("component_id"))
@@ -274,7 +349,26 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
 
 
 def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that stay when one document of each component is kept; rows with a null id stay."""
+    """The rows of docs, all columns, that stay when one document of each component is kept.
+
+    Of rows that share an id, one stays: that with the smallest hash of all columns. A row with a null id goes if a
+    row with an id has an equal set of shingles, or if another row with a null id has, as long as one stays; one without
+    shingles stays.
+    """
     marked = near_duplicates(docs, size, percent, id_col, text_col)
     gone = marked.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__id"], "left_anti")
+    repeated = written(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__id"), "repeated_ids")
+    single = docs.filter(F.col(id_col).isNotNull()).join(gone.unionByName(repeated), docs[id_col] == F.col("__id"), "left_anti")
+    nulls = docs.filter(F.col(id_col).isNull())
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    first = lambda rows, by: rows.groupBy(by).agg(F.min_by("row", "h").alias("row")).select("row.*")
+    again = docs.join(repeated, docs[id_col] == F.col("__id")).join(gone, "__id", "left_anti")
+    again = first(again.select("__id", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("h"), row.alias("row")), "__id")
+    if nulls.isEmpty():
+        return single.unionByName(again)
+    numbered = nulls.select(F.struct(F.monotonically_increasing_id().alias("k"), row.alias("row")).alias("id"), F.col(text_col).alias("text"))
+    sets = written(sketches(numbered, size, "id", "text"), "sets_of_null_ids")
+    bare = sets.filter("n = 0").select("id.row.*")
+    others = sketches(docs.filter(F.col(id_col).isNotNull()), size, id_col, text_col).select("n", "f1", "f2").distinct()
+    lone = sets.filter("n > 0").join(others, ["n", "f1", "f2"], "left_anti").groupBy("n", "f1", "f2").agg(F.min_by("id.row", F.xxhash64("id.row")).alias("row")).select("row.*")
+    return single.unionByName(again).unionByName(bare).unionByName(lone)

@@ -14,30 +14,50 @@ from pyspark.sql import types as T
 
 BATCH_ROWS = 1000
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# A join whose key holds a large share of the rows is split over tasks while it runs, whatever follows it.
+SPLIT_HOT_KEYS = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB"}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; a folder of this machine is set only where it is unset."""
+    """spark.checkpoint.dir of the session. Where it is unset, a local session gets a folder of its own machine; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/skyframe-{uuid.uuid4().hex}/{name}"
+    return f"{shared_folder(spark)}/skyframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
+
+
+def clear_intermediates(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this application, also those that frames not yet computed read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/skyframe-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Arrow batches of at most that many rows while a job runs, so that a task's memory hangs less on the length of texts."""
-    before = spark.conf.get(BATCH_CONF)
-    bound_batches(spark, rows)
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings while a job runs."""
+    before = {k: spark.conf.get(k, None) for k in values}
     try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(BATCH_CONF, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most that many rows while a job runs, so that a task's memory hangs less on the length of texts."""
+    with settings(spark, {BATCH_CONF: spark.conf.get(BATCH_CONF)}):
+        bound_batches(spark, rows)
+        yield
 
 
 def bound_batches(spark: SparkSession, rows: int | None = None) -> None:
@@ -50,7 +70,7 @@ def bound_batches(spark: SparkSession, rows: int | None = None) -> None:
 def written(df: DataFrame, name: str, batch_rows: int = BATCH_ROWS) -> DataFrame:
     """Write df to the shared folder and read it back: its lineage ends there, so a lost executor costs only a read."""
     path = new_path(df.sparkSession, name)
-    with small_batches(df.sparkSession, batch_rows):
+    with small_batches(df.sparkSession, batch_rows), settings(df.sparkSession, SPLIT_HOT_KEYS):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

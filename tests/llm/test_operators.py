@@ -123,9 +123,60 @@ def test_near_duplicates_of_a_large_group(spark):
 
 
 def test_components_of_a_long_chain(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (102, 101)], "a long, b long")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in minhash.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
+    assert minhash.components(edges.limit(0)).count() == 0
+
+
+def test_components_of_an_ordered_chain_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 20)
+    edges = spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    labels = minhash.components(edges)
+    assert labels.count() == 20_001 and labels.agg(F.max("label")).first()[0] == 0
+    monkeypatch.setattr(minhash, "STAR_ROUNDS", 3)
+    with pytest.raises(RuntimeError):
+        minhash.components(edges)
+
+
+def test_pairs_at_the_threshold_are_found(spark):
+    """Sets of 90 with exactly 80 of 100 in common, and with 79 of 101."""
+    rows = []
+    for i in range(300):
+        word = lambda k: f"w{i}x{k}"  # noqa: B023, E731
+        rows.append((3 * i, " ".join(word(k) for k in range(90))))
+        rows.append((3 * i + 1, " ".join(word(k) for k in range(10, 100))))
+        rows.append((3 * i + 2, " ".join(word(k) for k in [*range(21, 90), *range(1000, 1021)])))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1).collect()}
+    assert all(got[d] == (d - 1 if d % 3 == 1 else d) for d in got)
+
+
+def test_strangers_that_share_a_phrase(spark, monkeypatch):
+    """Many documents with one common phrase, or half of common phrases, and a few near copies among them."""
+    compared = []
+    monkeypatch.setattr(minhash, "_rest", lambda groups, *a, old=minhash._rest: compared.append(groups.count()) or old(groups, *a))
+    rng = random.Random(12)
+    rows = [(i, f"all rights reserved {prose(rng, 25)}") for i in range(3000)]
+    half = [prose(rng, 2) for _ in range(30)]
+    rows += [(3000 + i, " ".join([*half, prose(rng, 40)])) for i in range(200)]
+    rows += [(4000 + i, rows[i][1] + " x") for i in range(0, 3200, 100)]
+    want = brute.near_duplicates(rows, 2)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert all(n < 500 for n in compared)
+
+
+def test_one_row_stays_of_repeated_and_null_ids(spark):
+    rng = random.Random(13)
+    a, b, c, d = (prose(rng, 30) for _ in range(4))
+    rows = [(1, a), (1, a), (1, b), (2, b), (3, c), (None, c), (None, d), (None, d), (None, ""), (None, None), (4, "")]
+    data = spark.createDataFrame([(*r, k, "x") for k, r in enumerate(rows)], "doc_id long, text string, `n shingles` int, component_id string")
+    kept = minhash.deduplicated(data, 5)
+    assert kept.columns == data.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect() if r.doc_id != 1) == sorted([(3, c), (0, d), (0, ""), (0, ""), (4, "")])
+    assert [r.doc_id for r in kept.collect()].count(1) == 1
+    marked = {(r.doc_id, r.component_id) for r in minhash.near_duplicates(data, 5).collect() if r.doc_id in (1, 2)}
+    assert marked == {(1, 1), (2, 1)}
 
 
 def fake_record(html):
