@@ -1,18 +1,21 @@
 """Operator 10, benchmark decontamination by template canonicalisation.
 
-Words are runs of letters and digits, A-Z lower-cased. In a template, runs of numbers, of names
-(capitalised words that don't start a sentence) and of units become one typed placeholder each.
-Windows of WINDOW template tokens are hash-joined with those of the benchmark items (an item with
-fewer tokens is one window; with fewer than MIN_ITEM it is left out, as it would match any text).
-Matches of document and item are checked together: a slot value of the item must always stand for the
-same value in the document. A document contains an item if consistent windows cover MIN_COVER template
-tokens of it, or all of it if it is shorter. The windows are those of one alignment, or of several in
-order, each at most WINDOW tokens off the one before (words were inserted or left out between them).
-An item that starts with a capitalised word has a second form of its first window, in which the word is
-a name, as it is in a document where no sentence ends before it.
+Words are runs of letters and digits, A-Z lower-cased. In a template, runs of numbers, of names and of units
+become one typed placeholder each; a run ends with its sentence. A name is a capitalised word that isn't common,
+wherever it stands: common are the FUNCTION_WORDS and the words that the benchmark itself has in lower case (its
+MAX_COMMON commonest). Windows of WINDOW template tokens, half of them or more literal, are hash-joined with those of the
+benchmark items (an item with fewer tokens is one window; one with fewer than MIN_ITEM has none, as it would match
+any text). Matches of document and item are checked together: a slot value of the item must always stand for
+the same value in the document. A document contains an item if consistent windows cover MIN_COVER template
+tokens of it, or all of it if it is shorter. The windows are those of one alignment, or of several in order, each at
+most WINDOW tokens off the one before (words were inserted or left out between them).
+
+Beside its template, an item has its literal form, the words as they are: it finds copies whose template is mostly
+placeholders, and copies in another case, by the same rules on words in place of template tokens.
 
 The item windows are broadcast only if a count finds at most INDEX_ROWS of them. Beyond that, a
-fixed-size bitmap of their hashes prefilters the document windows, which are then joined by a shuffle.
+fixed-size bitmap of their hashes prefilters the document windows, which are then joined by a shuffle. Both ways
+judge every text by itself.
 """
 
 from __future__ import annotations
@@ -25,15 +28,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import with_columns_from_text, written
 from .words import mix, slice_hashes, windows, words
 
 WINDOW = 8
-MIN_LITERALS = 5
 MIN_ITEM = 4
 MIN_COVER = 13
 INDEX_ROWS = 500_000
+MAX_COMMON = 1_000_000
 BITMAP_BITS = 23
 # Words taken for units.
 UNITS = (
@@ -41,90 +45,122 @@ UNITS = (
     "ml l liter liters litre litres gallon gallons second seconds minute minutes hour hours day days week weeks month months year years "
     "percent degrees dollar dollars euro euros cent cents meter meters metre metres kilometer kilometers kilometre kilometres mph kmh"
 ).split()
+# Words that are no names where they start a sentence.
+FUNCTION_WORDS = (
+    "a about after again all also always an and another any are as at be because been before both but by can could did do does each either every few find for from "
+    "give given had has have he her here his how i if in into is it its just let many may might more most much must my no not now of often on once one only or other our "
+    "out over please question read say she should so some such suppose than that the their then there these they this those though through to two under until up use was we "
+    "were what when where whether which while who whom whose why will with would yes yet you your "
+    "der die das ein eine und oder wenn was wer wie wo warum welche welcher welches el la los las un una y o si que quien como donde por cual le les une et ou quand qui pourquoi quel quelle"
+).split()
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
-_STOP[list(b".!?:\n")] = True
+_STOP[list(b".!?:;")] = True
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (1, 2, 3))
+TEMPLATE, LITERAL = 0, 1
 
 
-def _unit_hashes() -> np.ndarray:
-    out = []
-    for x in UNITS:
+def _hashes(names: Iterable[str]) -> np.ndarray:
+    found = []
+    for x in names:
         b = np.frombuffer(x.encode(), np.uint8)
-        out.append(slice_hashes(b, np.array([0]), np.array([len(b)]))[0])
-    return np.sort(np.array(out, np.uint64))
+        found.append(slice_hashes(b, np.array([0]), np.array([len(b)]))[0])
+    return np.sort(np.array(found, np.uint64))
+
+
+_UNIT_HASHES = _hashes(UNITS)
+_FUNCTION_HASHES = _hashes(FUNCTION_WORDS)
+
+
+def _among(h: np.ndarray, known: np.ndarray) -> np.ndarray:
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
 
 
-_UNIT_HASHES = _unit_hashes()
+def _capital(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    first, second = b[starts], b[np.minimum(starts + 1, len(b) - 1)]
+    return ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
 
 
-def template(data: bytes, start: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Template tokens of UTF-8 bytes (word hashes, or NUMBER, NAME, UNIT) and the hash of what each stands for. `start`: a sentence starts at the first word."""
+def template(data: bytes, common: np.ndarray = _FUNCTION_HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Template tokens of UTF-8 bytes (word hashes, or NUMBER, NAME, UNIT), the hash of what each stands for, and the hashes of the words themselves."""
     starts, ends, h = words(data.translate(_FOLD))
     if not len(h):
-        return h, h
+        return h, h, h
     b = np.frombuffer(data, np.uint8)
-    digits, stops = (np.concatenate([[0], np.cumsum(mask[b])]) for mask in (_DIGIT, _STOP))
-    first = b[starts]
-    second = b[np.minimum(starts + 1, len(b) - 1)]
-    capital = ((first >= 65) & (first <= 90)) | ((first == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-    after_stop = np.ones(len(h), bool)
-    after_stop[0] = start
-    after_stop[1:] = stops[starts[1:]] > stops[ends[:-1]]
+    digits, stops, lines = (np.concatenate([[0], np.cumsum(mask)]) for mask in (_DIGIT[b], _STOP[b], b == 10))
     t = h.copy()
-    t[capital & ~after_stop] = NAME
-    at = np.minimum(np.searchsorted(_UNIT_HASHES, h), len(_UNIT_HASHES) - 1)
-    t[_UNIT_HASHES[at] == h] = UNIT
+    capital = np.flatnonzero(_capital(b, starts))
+    t[capital[~_among(h[capital], common)]] = NAME
+    t[_among(h, _UNIT_HASHES)] = UNIT
     t[digits[ends] - digits[starts] == ends - starts] = NUMBER
+    stopped = ((stops[starts[1:]] > stops[ends[:-1]]) & (starts[1:] - ends[:-1] > 1)) | (lines[starts[1:]] > lines[ends[:-1]])
     new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (t[1:] > UNIT)
+    new[1:] = (t[1:] != t[:-1]) | (t[1:] > UNIT) | stopped
     run = np.flatnonzero(new)
     place = np.arange(len(t)) - np.repeat(run, np.diff(run, append=len(t)))
-    return t[run], np.add.reduceat(h * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), run)
+    return t[run], np.add.reduceat(h * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), run), h
 
 
-def template_windows(t: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of windows of n tokens with enough literal words."""
+def form_windows(t: np.ndarray, n: int, form: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of windows of n tokens: of a template, those with enough literal words; of words, all."""
     w = windows(t, n)
+    if not len(w):
+        return np.zeros(0, np.int64), w
+    w = mix(w ^ np.uint64(n + (form << 8)))
+    if form == LITERAL:
+        return np.arange(len(w)), w
     literal = np.concatenate([[0], np.cumsum(t > UNIT)])
-    enough = np.flatnonzero(literal[n:] - literal[:-n] >= min(MIN_LITERALS, (n + 1) // 2)) if len(w) else np.zeros(0, np.int64)
-    return enough, mix(w[enough] ^ np.uint64(n))
+    enough = np.flatnonzero(literal[n:] - literal[:-n] >= (n + 1) // 2)
+    return enough, w[enough]
 
 
-def item_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """item, tokens of the item, size, pos, w, slots (what the window's placeholders stand for) and lead of each window. Null texts have none.
+def _slots(t: np.ndarray, raw: np.ndarray, p: int, n: int, form: int) -> list[int]:
+    """What the placeholders of a window stand for; words stand for themselves."""
+    return raw[p : p + n][t[p : p + n] <= UNIT].view(np.int64).tolist() if form == TEMPLATE else []
 
-    lead is 1 where the window's first token, a name, takes in the token before it too.
-    """
+
+def common_words(benchmark: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Sorted hashes of the function words and of the words that items have in lower case."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep, cols = [], ([], [], [], [], [], [])
-            for i, text in enumerate(batch.column(1).to_pylist()):
+            found = [np.zeros(0, np.uint64)]
+            for text in batch.column(0).to_pylist():
                 data = (text or "").encode()
-                t, raw = template(data)
-                n = min(len(t), WINDOW)
-                if n < MIN_ITEM:
-                    continue
-                rows = [(t, raw, n, p, w, 0, 0) for p, w in zip(*template_windows(t, n))]
-                named, named_raw = template(data, start=False)
-                m = min(len(named), WINDOW)
-                if m >= MIN_ITEM and named[0] != t[0]:
-                    lead = len(t) - len(named)
-                    rows += [(named, named_raw, m, p, w, lead, lead) for p, w in zip(*template_windows(named[:m], m))]
-                for of, stand, n, p, w, shift, lead in rows:
-                    keep.append(i)
-                    slots = stand[p : p + n][of[p : p + n] <= UNIT].view(np.int64)
-                    for c, x in zip(cols, (len(t), n, int(p) + shift, int(w.view(np.int64)), slots, lead)):
-                        c.append(x)
-            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["item", "tokens", "size", "pos", "w", "slots", "lead"])
+                starts, _, h = words(data.translate(_FOLD))
+                if len(h):
+                    found.append(h[~_capital(np.frombuffer(data, np.uint8), starts)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["h"])
+
+    own = benchmark.select(text_col).mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "h").limit(MAX_COMMON).select("h").toArrow()["h"].to_numpy().view(np.uint64)
+    return np.union1d(own, _FUNCTION_HASHES)
+
+
+def item_windows(benchmark: DataFrame, common: np.ndarray, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """item, of (which of the texts of that id), form, tokens of the item in this form, size, pos, w and slots of each window. Null texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, cols = [], ([], [], [], [], [], [])
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                t, raw, h = template((text or "").encode(), common)
+                for form, tokens in ((TEMPLATE, t), (LITERAL, h)):
+                    n = min(len(tokens), WINDOW)
+                    if n < MIN_ITEM:
+                        continue
+                    for p, w in zip(*form_windows(tokens, n, form)):
+                        keep.append(i)
+                        for c, x in zip(cols, (form, len(tokens), n, int(p), int(w.view(np.int64)), _slots(t, raw, p, n, form))):
+                            c.append(x)
+            at = pa.array(keep, pa.int64())
+            kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("item").take(at), batch.column("of").take(at), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=["item", "of", "form", "tokens", "size", "pos", "w", "slots"])
 
-    kind = benchmark.schema[id_col].dataType.simpleString()
-    return benchmark.select(F.col(id_col).alias("item"), F.col(text_col).alias("text")).mapInArrow(run, f"item {kind}, tokens int, size int, pos int, w long, slots array<long>, lead int")
+    schema = T.StructType([T.StructField("item", benchmark.schema[id_col].dataType), *T.StructType.fromDDL("of long, form int, tokens int, size int, pos int, w long, slots array<long>")])
+    return benchmark.select(F.col(id_col).alias("item"), F.xxhash64(text_col).alias("of"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def _consistent(matches: Iterable[tuple], reach: int | None = None) -> tuple[int, int, bool]:
@@ -134,7 +170,7 @@ def _consistent(matches: Iterable[tuple], reach: int | None = None) -> tuple[int
     used: set[int] = set()  # tokens of the document: none counts twice
     seen: set[tuple] = set()
     last, exact = None, True
-    for at, p, size, theirs, ours, lead in matches:
+    for at, p, size, theirs, ours in matches:
         if reach is not None and last is not None:
             if at > last[0] + reach:
                 break
@@ -143,148 +179,198 @@ def _consistent(matches: Iterable[tuple], reach: int | None = None) -> tuple[int
         tried = dict(stands)
         if all(tried.setdefault(a, b) == b for a, b in zip(ours, theirs)):
             stands, last = tried, (at, p)
-            covered.update(range(p - lead, p + size))
-            used.update(range(at - lead, at + size))
+            covered.update(range(p, p + size))
+            used.update(range(at, at + size))
             seen.add((at, p))
             exact &= list(ours) == list(theirs)
     return len(seen), min(len(covered), len(used)), exact
 
 
-def _aligned(matches: list[tuple]) -> tuple[int, int, bool]:
-    """Of matches (doc pos, item pos, size, doc slots, item slots, lead) of a document and an item: windows and covered tokens of the best consistent alignment or chain of alignments, and whether its slots are unchanged."""
+def _aligned(matches: Iterable[tuple]) -> tuple[int, int, bool]:
+    """Of matches (doc pos, item pos, size, doc slots, item slots) of a document and an item: windows and covered tokens of the best consistent alignment or chain of alignments, and whether its slots are unchanged."""
     by: dict[int, list[tuple]] = {}
     for m in matches:
         by.setdefault(m[0] - m[1], []).append(m)
-    found = [_consistent(sorted(same, key=lambda m: (m[1], m[5]))) for same in by.values()]
+    found = [_consistent(sorted(same, key=lambda m: (m[1], m[2]))) for same in by.values()]
     if len(by) > 1:
-        ordered = sorted(matches, key=lambda m: (m[0], m[1], m[5]))
-        reach = max(m[1] + m[2] for m in matches) + WINDOW
+        ordered = sorted(itertools.chain(*by.values()), key=lambda m: (m[0], m[1], m[2]))
+        reach = max(m[1] + m[2] for m in ordered) + WINDOW
         firsts = {m[0] - m[1]: k for k, m in reversed(list(enumerate(ordered)))}
         found += [_consistent(itertools.islice(ordered, k, None), reach) for k in firsts.values()]
-    return max(found, key=lambda x: (x[1], x[2]))
+    return max(found, key=lambda x: (x[1], x[2], x[0]))
+
+
+def _judged(matches: dict[int, list[tuple]], tokens: dict[int, int]) -> tuple[float, int, bool] | None:
+    """Coverage, windows and exactness of the better form of those that cover enough; None if neither does."""
+    found = []
+    for form, own in matches.items():
+        n, covered, exact = _aligned(own)
+        if covered >= min(MIN_COVER, tokens[form]):
+            found.append((covered / tokens[form], exact, n))
+    if not found:
+        return None
+    coverage, exact, n = max(found)
+    return coverage, n, exact
+
+
+@dataclass
+class DocumentWindows:
+    """What is looked up of a document: windows of the items' sizes whose hashes the bitmap has."""
+
+    common: np.ndarray
+    sizes: list[tuple[int, int]]  # (form, size)
+    bitmap: np.ndarray
+
+    def of(self, text: str | None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(form, size, positions, hashes, template, what it stands for)."""
+        if not hasattr(self, "_there"):
+            self._there = np.unpackbits(self.bitmap).astype(bool)
+        t, raw, h = template((text or "").encode(), self.common)
+        for form, n in self.sizes:
+            pos, w = form_windows(h if form == LITERAL else t, n, form)
+            some = np.flatnonzero(self._there[w >> np.uint64(64 - BITMAP_BITS)])
+            if len(some):
+                yield form, n, pos[some], w[some], t, raw
 
 
 @dataclass
 class TemplateIndex:
     """Item windows sorted by hash, of a benchmark within INDEX_ROWS."""
 
+    look: DocumentWindows
     w: np.ndarray
     item: np.ndarray
     pos: np.ndarray
-    slots: list
-    lead: list[int]
-    ids: list
-    tokens: np.ndarray
-    sizes: list[int]
-
-    def search(self, text: str | None) -> list[tuple]:
-        """(item id, windows, coverage, exact) of each item that the text contains."""
-        t, raw = template((text or "").encode())
-        found: dict[int, list[tuple]] = {}
-        for n in self.sizes:
-            pos, w = template_windows(t, n)
-            lo = np.searchsorted(self.w, w, "left")
-            hits = np.flatnonzero(self.w[np.minimum(lo, len(self.w) - 1)] == w) if len(self.w) else []
-            for k in hits:
+    first: np.ndarray  # of the window's slots
+    slots: np.ndarray
+    tokens: np.ndarray  # (items, 2)
+    ids: pa.Array  # by item
+    same: np.ndarray  # the first item of the same id
+
+    def search(self, text: str | None) -> list[tuple[int, int, float, bool]]:
+        """(place in ids, windows, coverage, exact) of each item that the text contains."""
+        found: dict[int, dict[int, list[tuple]]] = {}
+        for form, n, pos, w, t, raw in self.look.of(text):
+            low, high = np.searchsorted(self.w, w, "left"), np.searchsorted(self.w, w, "right")
+            for k in np.flatnonzero(high > low):
                 p = int(pos[k])
-                slots = raw[p : p + n][t[p : p + n] <= UNIT].view(np.int64).tolist()
-                j = int(lo[k])
-                while j < len(self.w) and self.w[j] == w[k]:
-                    found.setdefault(int(self.item[j]), []).append((p, int(self.pos[j]), n, slots, self.slots[j], self.lead[j]))
-                    j += 1
-        out = []
+                slots = _slots(t, raw, p, n, form)
+                for j in range(low[k], high[k]):
+                    own = self.slots[self.first[j] : self.first[j + 1]].tolist()
+                    found.setdefault(int(self.item[j]), {}).setdefault(form, []).append((p, int(self.pos[j]), n, slots, own))
+        best: dict[int, tuple] = {}
         for i, matches in found.items():
-            n, covered, exact = _aligned(matches)
-            if covered >= min(MIN_COVER, self.tokens[i]):
-                out.append((self.ids[i], n, covered / float(self.tokens[i]), exact))
-        return sorted(out, key=lambda x: (x[0] is None, x[0]))
+            if judged := _judged(matches, self.tokens[i]):
+                k = int(self.same[i])
+                best[k] = max(best.get(k, judged), judged)
+        return [(k, n, coverage, exact) for k, (coverage, n, exact) in sorted(best.items())]
 
 
-def build_index(items: DataFrame) -> TemplateIndex:
-    table = items.toArrow()
-    ids = list(dict.fromkeys(table["item"].to_pylist()))
-    number = {x: k for k, x in enumerate(ids)}
+def _lookup(items: DataFrame, common: np.ndarray) -> DocumentWindows:
+    cells = items.select(F.shiftrightunsigned("w", 64 - BITMAP_BITS).cast("int").alias("c")).distinct().toArrow()["c"].to_numpy()  # at most 2 ** BITMAP_BITS
+    present = np.zeros(1 << BITMAP_BITS, bool)
+    present[cells] = True
+    sizes = sorted((r["form"], r["size"]) for r in items.select("form", "size").distinct().collect())  # at most 2 * WINDOW
+    return DocumentWindows(common, sizes, np.packbits(present))
+
+
+def build_index(items: DataFrame, common: np.ndarray) -> TemplateIndex:
+    table = items.orderBy("item", "of").toArrow()
+    keys = list(zip(table["item"].to_pylist(), table["of"].to_pylist()))
+    number = {x: k for k, x in enumerate(dict.fromkeys(keys))}
+    first_of: dict = {}
+    same = np.array([first_of.setdefault(x[0], k) for x, k in number.items()], np.int64)
+    item = np.array([number[x] for x in keys], np.int64)
+    first_row = np.unique(item, return_index=True)[1]
     w = table["w"].to_numpy().view(np.uint64)
     order = np.argsort(w, kind="stable")
-    item = np.array([number[x] for x in table["item"].to_pylist()], np.int64)
-    slots, tokens = table["slots"].to_pylist(), np.zeros(len(ids), np.int64)
-    tokens[item] = table["tokens"].to_numpy()
-    return TemplateIndex(w[order], item[order], table["pos"].to_numpy()[order], [slots[k] for k in order], table["lead"].to_numpy()[order].tolist(), ids, tokens, sorted(set(table["size"].to_pylist())))
+    tokens = np.zeros((len(number), 2), np.int64)
+    tokens[item, table["form"].to_numpy()] = table["tokens"].to_numpy()
+    slots = [np.array(x, np.int64) for x in table["slots"].take(pa.array(order)).to_pylist()]
+    first = np.cumsum([0, *(len(x) for x in slots)])
+    ids = table["item"].combine_chunks().take(pa.array(first_row, pa.int64()))
+    return TemplateIndex(_lookup(items, common), w[order], item[order], table["pos"].to_numpy()[order], first, np.concatenate([np.zeros(0, np.int64), *slots]), tokens, ids, same)
 
 
-def _joined(docs: DataFrame, items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """As contaminations(), by a shuffle join of the document windows that a bitmap lets through."""
-    cells = items.select(F.shiftrightunsigned("w", 64 - BITMAP_BITS).cast("int").alias("c")).distinct().toArrow()["c"].to_numpy()  # at most 2 ** BITMAP_BITS
-    present = np.zeros(1 << BITMAP_BITS, bool)
-    present[cells] = True
-    bitmap = np.packbits(present)
-    sizes = sorted(r["size"] for r in items.select("size").distinct().collect())  # at most WINDOW
+def _fingerprint(text_col: str) -> list:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return [F.xxhash64(text).alias("f1"), F.xxhash64(F.lit(7), text, F.length(text)).alias("f2")]
+
+
+def _joined(docs: DataFrame, items: DataFrame, common: np.ndarray, text_col: str) -> DataFrame:
+    """f1 and f2 (a text's fingerprint), item, n_windows, coverage and exact of each text and item in it, by a shuffle join of the windows that a bitmap lets through."""
+    look = _lookup(items, common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        there = np.unpackbits(bitmap).astype(bool)
         for batch in batches:
             keep, cols = [], ([], [], [])
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                t, raw = template((text or "").encode())
-                for n in sizes:
-                    pos, w = template_windows(t, n)
-                    for k in np.flatnonzero(there[w >> np.uint64(64 - BITMAP_BITS)]):
-                        p = int(pos[k])
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                for form, n, pos, w, t, raw in look.of(text):
+                    for p, x in zip(pos.tolist(), w.view(np.int64).tolist()):
                         keep.append(i)
-                        for c, x in zip(cols, (p, int(w[k].view(np.int64)), raw[p : p + n][t[p : p + n] <= UNIT].view(np.int64))):
-                            c.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.list_(pa.int64()))))], names=["doc", "dpos", "w", "dslots"])
+                        for c, v in zip(cols, (p, x, _slots(t, raw, p, n, form))):
+                            c.append(v)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("f1").take(at), batch.column("f2").take(at), *(pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.list_(pa.int64()))))], names=["f1", "f2", "dpos", "w", "dslots"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    hits = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {kind}, dpos int, w long, dslots array<long>")
-    pairs = hits.join(items, "w").groupBy("doc", "item").agg(F.max("tokens").alias("tokens"), F.collect_list(F.struct("dpos", "pos", "size", "dslots", "slots", "lead")).alias("m"))
+    hits = docs.select(*_fingerprint(text_col), F.col(text_col).alias("text")).mapInArrow(run, "f1 long, f2 long, dpos int, w long, dslots array<long>").distinct()  # a repeated text counts once
+    pairs = hits.join(items, "w").groupBy("f1", "f2", "item", "of").agg(F.collect_set(F.struct("form", "tokens")).alias("t"), F.collect_set(F.struct("form", "dpos", "pos", "size", "dslots", "slots")).alias("m"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [_aligned([tuple(x.values()) for x in m]) for m in batch.column("m").to_pylist()]
-            tokens = batch.column("tokens").to_pylist()
-            keep = [k for k, (r, n) in enumerate(zip(rows, tokens)) if r[1] >= min(MIN_COVER, n)]
+            keep, rows = [], []
+            for i, (t, m) in enumerate(zip(batch.column("t").to_pylist(), batch.column("m").to_pylist())):
+                by: dict[int, list[tuple]] = {}
+                for form, *match in (x.values() for x in m):
+                    by.setdefault(form, []).append(tuple(match))
+                if judged := _judged(by, {x["form"]: x["tokens"] for x in t}):
+                    keep.append(i)
+                    rows.append(judged)
             at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc").take(at), batch.column("item").take(at), pa.array([rows[k][0] for k in keep], pa.int64()), pa.array([rows[k][1] / tokens[k] for k in keep], pa.float64()), pa.array([rows[k][2] for k in keep], pa.bool_())],
-                names=["doc", "item", "n_windows", "coverage", "exact"],
-            )
+            coverage, n, exact = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("f1", "f2", "item")), pa.array(n, pa.int64()), pa.array(coverage, pa.float64()), pa.array(exact, pa.bool_())], names=["f1", "f2", "item", "n_windows", "coverage", "exact"])
 
-    return pairs.mapInArrow(check, f"doc {kind}, item {items.schema['item'].dataType.simpleString()}, n_windows long, coverage double, exact boolean")
+    found = T.StructType([*T.StructType.fromDDL("f1 long, f2 long"), T.StructField("item", items.schema["item"].dataType), *T.StructType.fromDDL("n_windows long, coverage double, exact boolean")])
+    best = F.max(F.struct("coverage", "n_windows", "exact")).alias("b")
+    return written(pairs.mapInArrow(check, found).groupBy("f1", "f2", "item").agg(best).select("f1", "f2", "item", "b.n_windows", "b.coverage", "b.exact"), "contaminated_texts")
 
 
-def _index_or_items(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> tuple[TemplateIndex | None, DataFrame]:
-    items = written(item_windows(benchmark, item_col, text_col), "item_windows")
-    return (build_index(items) if items.count() <= limit else None), items
+def _index_or_items(benchmark: DataFrame, item_col: str, text_col: str, limit: int) -> tuple[TemplateIndex | None, DataFrame, np.ndarray]:
+    common = common_words(benchmark, text_col)
+    items = written(item_windows(benchmark, common, item_col, text_col), "item_windows")
+    return (build_index(items, common) if items.count() <= limit else None), items, common
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", limit: int = INDEX_ROWS) -> DataFrame:
-    """One row per document and item that it contains: id, item id, n_windows, coverage of the item, exact (no slot changed).
+    """One row per row of docs and item that it contains: id, item id, n_windows, coverage of the item, exact (no slot changed).
 
-    Null and empty texts, and an empty benchmark, give no rows. Rows that share an id are reported by
-    that id each. Other columns are not read.
+    Null and empty texts, and an empty benchmark, give no rows. Every row of docs is judged by its own text, also where
+    rows share an id or have none. Items that share an id are one item of several texts: the best covered one is
+    given. Repeated items count once. Ids are of any type. Other columns are not read.
     """
-    index, items = _index_or_items(benchmark, item_col, text_col, limit)
+    index, items, common = _index_or_items(benchmark, item_col, text_col, limit)
     if index is None:
-        return _joined(docs, items, id_col, text_col).withColumnsRenamed({"doc": id_col, "item": item_col})
-    doc_kind, item_kind = docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+        keyed = docs.select(F.col(id_col).alias("doc"), *_fingerprint(text_col))
+        found = keyed.join(_joined(docs, items, common, text_col), ["f1", "f2"]).select("doc", "item", "n_windows", "coverage", "exact")
+        return found.withColumnsRenamed({"doc": id_col, "item": item_col})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(i, *r) for i, text in enumerate(batch.column(1).to_pylist()) for r in index.search(text)]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, k) for c, k in zip(cols[1:], (arrow_item, pa.int64(), pa.float64(), pa.bool_())))], names=["doc", "item", "n_windows", "coverage", "exact"])
+            at, item, n, coverage, exact = zip(*rows) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), index.ids.take(pa.array(item, pa.int64())), pa.array(n, pa.int64()), pa.array(coverage, pa.float64()), pa.array(exact, pa.bool_())], names=["doc", "item", "n_windows", "coverage", "exact"])
 
-    arrow_item = pa.int64() if item_kind.simpleString() == "bigint" else pa.int32() if item_kind.simpleString() == "int" else pa.string()
-    found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, f"doc {doc_kind.simpleString()}, item {item_kind.simpleString()}, n_windows long, coverage double, exact boolean")
+    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("item", benchmark.schema[item_col].dataType), *T.StructType.fromDDL("n_windows long, coverage double, exact boolean")])
+    found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).mapInArrow(run, schema)
     return found.withColumnsRenamed({"doc": id_col, "item": item_col})
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", limit: int = INDEX_ROWS) -> DataFrame:
-    """The rows of docs, all columns, that contain no item of the benchmark."""
-    index, items = _index_or_items(benchmark, item_col, text_col, limit)
+    """The rows of docs, all columns, whose own text contains no item of the benchmark; null and empty texts stay."""
+    index, items, common = _index_or_items(benchmark, item_col, text_col, limit)
     if index is None:
-        bad = _joined(docs, items, id_col, text_col).select(F.col("doc").alias("__doc")).distinct()
-        return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__doc")), "left_anti")
+        bad = _joined(docs, items, common, text_col).select("f1", "f2").distinct()
+        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *_fingerprint(text_col))
+        return rows.join(bad, ["f1", "f2"], "left_anti").select("row.*")
     found = with_columns_from_text(docs, text_col, "found boolean", lambda texts: [pa.array([bool(index.search(x)) for x in texts], pa.bool_())])
     return found.filter("not out.found").select("row.*")

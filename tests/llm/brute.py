@@ -120,3 +120,23 @@ def base_secrets(text):
             if len(m[2] if kind == "assign" else m[0]) >= {"assign": 6, "access": 20, "hex": 24}[kind]:
                 out.append((kind, *m.span()))
     return sorted(out, key=lambda x: (x[1], list(SECRETS).index(x[0])))
+
+
+def lower_case_words(text):
+    return {w for w in re.findall(r"[0-9A-Za-z\x80-\U0010FFFF]+", text) if not w[0].isupper()}
+
+
+def template(text, common, units):
+    """(NUMBER, NAME, UNIT or word; value) of each template token."""
+    out, end = [], None
+    for m in re.finditer(r"[0-9A-Za-z\x80-\U0010FFFF]+", text):
+        w, low = m[0], lowered(m[0])
+        kind = "NUMBER" if w.isdigit() else "UNIT" if low in units else "NAME" if w[0].isupper() and low not in common else "word"
+        gap = text[end : m.start()] if end is not None else ""
+        stopped = len(gap) > 1 and re.search("[.!?:;]", gap) or "\n" in gap
+        if out and kind != "word" and out[-1][0] == kind and not stopped:
+            out[-1] = (kind, out[-1][1] + (low,))
+        else:
+            out.append((kind, (low,)))
+        end = m.end()
+    return out

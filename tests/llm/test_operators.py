@@ -419,5 +419,71 @@ def test_decontamination_finds_short_and_near_copies(spark):
     for limit in (decontam.INDEX_ROWS, 0):
         got = {(r.doc_id, r.item_id) for r in decontam.contaminations(data, bench, limit=limit).collect()}
         assert got == {(0, 0), (1, 0), (2, 1), (3, 2)}
-    twice = [(k, p, 8, [], [], 0) for k, p in ((5, 0), (5, 8))]
+    twice = [(k, p, 8, [], []) for k, p in ((5, 0), (5, 8))]
     assert decontam._aligned(twice)[1] == 8
+
+
+def test_decontamination_finds_names_at_starts_and_forms_without_literals(spark):
+    items = [
+        "Alice has 12 apples. Bob gives her 30 apples. Carol eats 4 of these apples. How many apples are left?",
+        "Anna 3 kg, Bob 4 kg, Carl 5 kg, Dora 6 kg, Emil 7 kg, Finn 8 kg, Gina 9 kg: who carries the most?",
+        "Then Heinrich went from Berlin to Paris with 3 bags of flour and came back to Rome without any of them.",
+    ]
+    bench = spark.createDataFrame([(str(i), x) for i, x in enumerate(items)], "item_id string, text string")
+    cases = [
+        items[0].replace("Alice", "Dora").replace("Bob", "Emil").replace("Carol", "Fred").replace("12", "7").replace("30", "9"), "see: " + items[1], "so " + items[2].lower(), items[2].upper(),
+        "Dora has 7 apples and no pears.", "Dora 3 kg, Emil 4 kg, Fred 5 kg", "Then Heinrich went home.",
+    ]
+    data = spark.createDataFrame(list(enumerate(cases)), "doc_id int, text string")
+    for limit in (decontam.INDEX_ROWS, 0):
+        got = {(r.doc_id, r.item_id): r.exact for r in decontam.contaminations(data, bench, limit=limit).collect()}
+        assert got == {(0, "0"): False, (1, "1"): True, (2, "2"): True, (3, "2"): True}
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,2)", "date", "string"])
+def test_decontamination_judges_every_row_and_takes_any_id(spark, kind):
+    rng = random.Random(15)
+    item = "When the river rises over the wall then all of the people walk up to the high field with bags"
+    other = "Nobody who saw the lamp go out in the tower that night ever spoke of it to the others again"
+    cast = lambda c: F.when(F.col(c).isNotNull(), (F.date_add(F.lit("2024-01-01"), F.col(c)) if kind == "date" else F.col(c)).cast(kind)).alias(c)
+    bench = spark.createDataFrame([(1, item), (1, item), (2, other), (2, " ".join(item.split()[:12])), (None, other)], "item_id int, text string").select(cast("item_id"), "text")
+    half = item.split()
+    rows = [(7, item), (7, item), (None, item), (None, item), (None, " ".join(half[:9])), (None, " ".join(half[9:])), (7, prose(rng, 40)), (8, (prose(rng, 30) + " ") * 3000 + other)]
+    data = spark.createDataFrame(rows, "doc_id int, text string").select(cast("doc_id"), "text")
+    results = []
+    for limit in (decontam.INDEX_ROWS, 0):
+        results.append(sorted(map(repr, decontam.contaminations(data, bench, limit=limit).collect())))
+        kept = decontam.without_contaminated(data, bench, limit=limit)
+        assert sorted(len(r.text) for r in kept.collect()) == sorted(len(rows[k][1]) for k in (4, 5, 6))
+    assert results[0] == results[1] and len(results[0]) == 4 * 2 + 2
+
+
+def test_decontamination_recall_of_changed_questions_and_plain_windows(spark):
+    """Questions with other names and numbers are found; the templates equal those of a plain version."""
+    rng = random.Random(16)
+    names = ["Alice", "Bruno", "Clara", "Dario", "Elsa", "Fritz", "Greta", "Hugo", "Ines", "Jonas", "Klara", "Lukas"]
+    verbs, things = ["buys", "sells", "finds", "loses", "hides", "paints"], ["lamps", "boxes", "stones", "ribbons", "plates", "kites"]
+
+    def question(shape, own, numbers):
+        v = shape
+        return f"{own[0]} {v[0]} {numbers[0]} {v[1]} on the {v[2]} and gives {numbers[1]} to {own[1]}. {own[1]} {v[3]} {numbers[2]} more {v[1]} for the {v[4]} at home. How many {v[1]} does {own[0]} have now?"
+
+    shapes = [(rng.choice(verbs), rng.choice(things), prose(rng, 1), rng.choice(verbs), prose(rng, 2)) for _ in range(100)]
+    draw = lambda: (rng.sample(names, 2), [str(rng.randint(2, 900)) for _ in range(3)])
+    bench = spark.createDataFrame([(i, question(x, *draw())) for i, x in enumerate(shapes)], "item_id long, text string")
+    docs = [(i, f"{prose(rng, 40)}. {question(x, *draw())} {prose(rng, 40)}") for i, x in enumerate(shapes)] + [(1000 + i, prose(rng, 120)) for i in range(100)]
+    found = {(r.doc_id, r.item_id) for r in decontam.contaminations(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert sum((i, i) in found for i in range(100)) >= 95
+    assert not any(d >= 1000 for d, _ in found)
+    common = decontam.common_words(bench)
+    for _, text in docs[:20]:
+        t, raw, _ = decontam.template(text.encode(), common)
+        want = brute.template(text, {w for r in bench.collect() for w in brute.lower_case_words(r.text)} | set(decontam.FUNCTION_WORDS), set(decontam.UNITS))
+        plain = [{1: "NUMBER", 2: "NAME", 3: "UNIT"}.get(int(x), int(x)) for x in t]
+        assert len(plain) == len(want)
+        seen = {}
+        for x, (kind, value) in zip(plain, want):
+            assert x == kind if kind != "word" else seen.setdefault(value, x) == x
+        slots = {}
+        for x, (_, value) in zip(raw, want):
+            assert slots.setdefault(value, x) == x
