@@ -17,7 +17,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
+
 CONTEXT = 40
+BLOCK = 64
 THRESHOLD = 0.7
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
@@ -59,28 +62,44 @@ def _kinds(text: Column) -> list[Kind]:
 
 
 def _proposed(text: Column, kind: Kind) -> Column:
-    """Array of (s, e, v): start and end in code points and value of each match, in order."""
+    """Array of (s, e, v, near): start and end in code points, value, and the CONTEXT characters before each match, in order.
+
+    A fold copies what it has gathered at every step, so gaps and matches are folded in blocks of BLOCK, and the blocks
+    moved on by the lengths of those before: a text with very many matches takes time about in proportion to them.
+    """
     pieces = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), 0).alias("hit"))
-    empty = F.expr("cast(struct(0, array()) as struct<at: int, spans: array<struct<s: int, e: int, v: string>>>)")
+    spans = "array<struct<s: int, e: int, v: string, near: string>>"
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["gap"])
         end = start + F.length(x["hit"])
-        span = F.array(F.struct(start.alias("s"), end.alias("e"), x["hit"].alias("v")))
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["spans"], span).alias("spans")))
+        near = F.right(F.concat(acc["tail"], x["gap"]), F.lit(CONTEXT))
+        span = F.struct(start.alias("s"), end.alias("e"), x["hit"].alias("v"), near.alias("near"))
+        after = F.struct(end.alias("at"), F.right(F.concat(near, x["hit"]), F.lit(CONTEXT)).alias("tail"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return F.when(x["hit"].isNull(), acc).otherwise(after)
+
+    def block(p: Column, i: Column) -> Column:
+        """Spans of the i-th block, counted from its start. A match has a character or more, so CONTEXT pieces before it are enough."""
+        before = F.slice(p, F.greatest(i * BLOCK - CONTEXT, F.lit(0)) + 1, F.least(i * BLOCK, F.lit(CONTEXT)))
+        tail = F.right(F.array_join(F.flatten(F.transform(before, lambda x: F.array(x["gap"], x["hit"]))), ""), F.lit(CONTEXT))
+        return F.aggregate(F.slice(p, i * BLOCK + 1, F.lit(BLOCK)), F.struct(F.lit(0).alias("at"), tail.alias("tail"), F.expr(f"cast(array() as {spans})").alias("spans")), step)
+
+    def joined(blocks: Column) -> Column:
+        starts = F.aggregate(blocks, F.expr("cast(struct(0, array()) as struct<at: int, all: array<int>>)"), lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all")), lambda acc: acc["all"])
+        move = lambda b, at: F.transform(b["spans"], lambda x: F.struct((x["s"] + at).alias("s"), (x["e"] + at).alias("e"), x["v"].alias("v"), x["near"].alias("near")))
+        return F.flatten(F.zip_with(blocks, starts, move))
 
-    none = F.expr("cast(array() as array<struct<s: int, e: int, v: string>>)")
-    return F.when(kind.hint, F.aggregate(pieces, empty, step, lambda acc: acc["spans"])).otherwise(none)
+    found = bound(pieces, lambda p: bound(F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / BLOCK).cast("int")), lambda i: block(p, i)), joined))
+    return F.when(kind.hint, found).otherwise(F.expr(f"cast(array() as {spans})"))
 
 
 def _confirmed(kind: Kind) -> Column:
     return F.filter(kind.name, lambda x: kind.valid(x["v"]))
 
 
-def _scored(text: Column, kind: Kind, spans: Column) -> Column:
+def _scored(kind: Kind, spans: Column) -> Column:
     def add(x: Column) -> Column:
-        first = F.greatest(x["s"] - CONTEXT, F.lit(0))
-        near = F.lower(F.substring(text, first + 1, x["s"] - first)).rlike(kind.context)
+        near = F.lower(x["near"]).rlike(kind.context)
         score = F.lit(kind.score) + F.when(near, 0.3).otherwise(0.0)
         return F.struct(F.lit(kind.name).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), F.least(score, F.lit(1.0)).alias("score"))
 
@@ -98,9 +117,9 @@ def find_personal_data(docs: DataFrame, text_col: str = "text") -> DataFrame:
     held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     text = F.col("text")
     kinds = _kinds(text)
-    proposed = held.select("row", "text", *(_proposed(text, k).alias(k.name) for k in kinds))
-    valid = proposed.select("row", "text", *(_confirmed(k).alias(k.name) for k in kinds))
-    scored = valid.select("row", *(_scored(text, k, F.col(k.name)).alias(k.name) for k in kinds))
+    proposed = held.select("row", *(_proposed(text, k).alias(k.name) for k in kinds))
+    valid = proposed.select("row", *(_confirmed(k).alias(k.name) for k in kinds))
+    scored = valid.select("row", *(_scored(k, F.col(k.name)).alias(k.name) for k in kinds))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
     base = F.concat(*(F.col(k.name) for k in kinds if k.base))
     every = F.concat(*(F.col(k.name) for k in kinds))
