@@ -210,9 +210,44 @@ def test_warc_round_trip_with_magic_inside_payloads(spark):
     for parts in (1, 3):
         got = warc.archive(data.repartition(parts)).collect()
         assert sorted(map(tuple, got)) == want
+    new = warc.new_path(spark, "shuffled")
+    warc.write_archives(data, new, broadcast_rows=0)  # the joins by a shuffle
+    got = warc.read_archives(spark, new).collect()
+    assert sorted((int(r.page), r.bytes, r.digest, r.type, r.refers and int(r.refers)) for r in got) == want
     assert warc.archive(data.limit(0)).count() == 0
 
 
+def test_warc_records_have_their_mandatory_fields(spark):
+    ids = ["b\r\nX: 1", "a", None, "c%20 é", "a", None]
+    htmls = ["same", "one", "same", "same", "one", "other"]
+    data = spark.createDataFrame([(i, None if i == "a" else "http://h", h) for i, h in zip(ids, htmls)], "page_id string, url string, html string")
+    path = warc.new_path(spark, "warc")
+    warc.write_archives(data, path, date="2024-05-06T07:08:09Z")
+    got = sorted(((r.page or "", r.type, r.refers, r.bytes) for r in warc.read_archives(spark, path).collect()), key=str)
+    assert got == sorted([(ids[0], "response", None, 4), ("a", "response", None, 3), ("a", "response", None, 3), ("", "response", None, 4), ("", "response", None, 5), (ids[3], "revisit", ids[0], 4)], key=str)
+    raw = b"".join(r.content for r in spark.read.format("binaryFile").load(path).collect())
+    records = [x for x in raw.split(b"WARC/1.1\r\n") if x]
+    heads = [warc.header_fields(x.split(b"\r\n\r\n")[0]) for x in records]
+    assert len(heads) == 6 and all({"warc-type", "warc-record-id", "warc-date", "content-length"} <= h.keys() for h in heads)
+    assert all(h["warc-date"] == "2024-05-06T07:08:09Z" and h["content-type"].startswith("application/http") for h in heads)
+    (revisit,) = [h for h in heads if h["warc-type"] == "revisit"]
+    (first,) = [h for h in heads if h["x-page-id"] == "b%0D%0AX%3A+1"] if all("x-page-id" in h for h in heads) else [h for h in heads if h.get("x-page-id") == "b%0D%0AX%3A+1"]
+    assert revisit["warc-refers-to"] == first["warc-record-id"] and revisit["warc-refers-to-date"] and revisit["warc-refers-to-target-uri"] == "http://h"
+
+
+def test_warc_reads_files_of_other_writers(spark, tmp_path):
+    http = b"HTTP/1.0 200 OK\r\nServer: x\r\n\r\n<p>WARC/1.0\r\ncontent-length: 3\r\n\r\nabc</p>"
+    record = lambda head, block: head.replace(b"\n", b"\r\n") + b"content-LENGTH:%d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+    data = record(b"WARC/1.0\nWARC-TYPE: warcinfo\nWARC-Date: 2024-01-01T00:00:00Z\n", b"software: x\r\n")
+    data += record(b"WARC/1.0\nwarc-type:response\ncontent-type: application/http;\n msgtype=response\nx-page-id: 5\n", http)
+    data += record(b"WARC/1.1\nWARC-Type: resource\nContent-Type: text/html\nX-Page-Id: 6\n", b"")
+    (tmp_path / "a.warc").write_bytes(data)
+    got = {r.type: (r.page, r.bytes, r.digest) for r in warc.read_archives(spark, f"file://{tmp_path}").collect()}
+    body = http.split(b"\r\n\r\n", 1)[1]
+    digest = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    assert got == {"warcinfo": (None, 13, digest(b"software: x\r\n")), "response": ("5", len(body), digest(body)), "resource": ("6", 0, digest(b""))}
+
+
 def test_warc_in_splits(spark):
     """Records and payload magic across many splits of one file."""
     rng = random.Random(2)
