@@ -72,6 +72,31 @@ def base_licenses(text):
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+def license_labels(text, templates, share=0.8):
+    """Labels of templates in a text: short ones word for word, long ones by a longest common subsequence within 1.3 of their length."""
+    words, out = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(text)), set()
+    line = " " + " ".join(words) + " "
+    for phrase, label, keys in templates:
+        own = phrase.split()
+        if len(own) < 10:
+            if f" {phrase} " in line:
+                out.add(label)
+            continue
+        if len(set(own) - set(words)) > 0.2 * len(own) or not all(f" {k} " in line for k in keys):
+            continue
+        for start in range(0, max(1, len(words) - len(own) // 2), 3):
+            row = [0] * (len(own) + 1)
+            for w in words[start : start + len(own) + max(3, len(own) // 10)]:
+                new = row[:]
+                for i, x in enumerate(own):
+                    new[i + 1] = row[i] + 1 if x == w else max(row[i + 1], new[i])
+                row = new
+            if row[-1] >= share * len(own):
+                out.add(label)
+                break
+    return out
+
+
 PII = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
     "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),

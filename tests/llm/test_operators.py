@@ -396,6 +396,30 @@ def test_licenses_match_plain_search(spark, docs, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_licenses_of_whole_and_changed_texts(spark):
+    """Labels of templates with words put in, left out and replaced are those of a plain alignment."""
+    rng = random.Random(21)
+    cases = []
+    for k, (phrase, label, keys) in enumerate(licenses.TEMPLATES):
+        own = phrase.split()
+        held = {i for key in keys for i in range(len(own)) if own[i : i + len(key.split())] == key.split() for i in range(i, i + len(key.split()))}
+        free = [i for i in range(len(own)) if i not in held]
+        for change, share in (("none", 0), ("replaced", 0.1), ("left out", 0.08), ("put in", 0.06), ("replaced", 0.5)):
+            w = [[x] for x in own]
+            for i in rng.sample(free, int(share * len(free))):
+                w[i] = {"none": w[i], "replaced": ["zzz"], "left out": [], "put in": [own[i], "zzz"]}[change]
+            body = " ".join(x for part in w for x in part)
+            cases.append((k, f"{prose(rng, 50)} {body.upper() if k % 2 else body.replace(' ', ' * ')} {prose(rng, 20)}"))
+    cases += [(-1, prose(rng, 300)), (-1, "license " * 2000), (-1, "the software is provided as is " * 50)]
+    cases.append((-1, " ".join(p for p, *_ in licenses.TEMPLATES)))
+    data = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(cases)] * 2, "doc_id long, text string")
+    rows = licenses.scan_licenses(data).select("row.doc_id", "out.labels", "out.score").collect()
+    got = {r.doc_id: (set(filter(None, r.labels.split(","))), r.score) for r in rows}
+    assert len(rows) == 2 * len(cases) and len({(r.doc_id, r.labels) for r in rows}) == len(cases)
+    for i, (_, text) in enumerate(cases):
+        assert got[i][0] == brute.license_labels(text, [*((p, x, ()) for p, x in licenses.BASE_PHRASES), *licenses.TEMPLATES]), text
+
+
 def test_language_model_prefers_what_it_has_seen(spark, docs, none):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(30)]
