@@ -2,18 +2,25 @@
 
 Tokens are runs of ASCII letters and digits, or single other characters. Each is tagged begin, inside
 or outside of a secret from its word, shape, length, prefix, its neighbours' words and shapes, and two
-features of the file. Plain words (letters only, shorter than PLAIN) that don't follow an assignment
-sign can only be outside, so the chain falls apart into segments around other words; Viterbi decodes each
-segment whole, however long. The field is trained by gradient ascent on at most 2 * TRAIN_ROWS documents,
-whose tags come from the fixed patterns, and on made-up secrets of other forms.
+features of the file. Plain words (letters only, shorter than PLAIN) that follow neither a sign nor, within REACH words, a word
+that SPEAKS of secrets can only be outside, so the chain falls apart into segments around other words; Viterbi decodes
+each segment whole, however long.
+
+There are no labelled secrets. The field is trained by gradient ascent on the segments of at most 2 * TRAIN_ROWS
+documents (long ones in pieces of TRAIN_LENGTH tokens), at most TRAIN_SEGMENTS different ones (smallest hashes), tagged by the fixed patterns. So that it learns
+more than the patterns themselves, each segment with a secret is also shown with its keyword replaced by another
+word, and with its value replaced by one of another form; every other segment without one is also shown with a made-up
+secret put in, so that its neighbours tell little; made-up secrets and look-alikes that are none come on top.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -23,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import with_columns_from_text
+from .tables import with_columns_from_text, written
 
 # The base patterns, in the order of their kinds, and the least length of what they find.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -33,11 +40,16 @@ MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 
 TRAIN_ROWS = 1500
-SEGMENTS_PER_ROW = 30
+TRAIN_SEGMENTS = 12_000
+TRAIN_LENGTH = 128
 MADE_UP = 600
-LONGEST = 64
 PLAIN = 24
-DIMENSIONS = 1 << 14
+REACH = 3
+CELLS_AT_ONCE = 20_000
+# Words after which a plain word may be a secret.
+SPEAKS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "apikey", "credential", "credentials")
+_BITS = 17
+DIMENSIONS = 1 << _BITS
 FEATURES = 16
 SCHEMA = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string"
 O, B, I = 0, 1, 2  # noqa: E741
@@ -46,6 +58,8 @@ _TOKEN = re.compile(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]")
 _WORD = re.compile(r"\S+")
 _TELLING = bytes(set(range(256)) - set(b"0123456789=_/+:\\@"))
 _IS_TELLING = re.compile(r"[0-9=_/+:\\@]")
+_LONG_WORD = re.compile(rb"[!-~]{%d}" % PLAIN)
+_SPEAKS = re.compile("|".join(SPEAKS).encode(), re.I)
 _HEX_CLASS = bytes(104 if 48 <= c <= 57 or 97 <= c <= 102 else 32 for c in range(256))
 
 
@@ -62,23 +76,34 @@ def base_spans(text: str, data: bytes) -> list[tuple[str, int, int, int, int]]:
     return sorted(found, key=lambda x: (x[1], _KINDS.index(x[0])))
 
 
+@lru_cache(100_000)
+def _speaks(word: str) -> bool:
+    return len(word) < 40 and word.strip("\"'`.,;:()[]{}<>=").lower() in SPEAKS
+
+
 def segments(text: str, data: bytes) -> list[list[tuple[str, int]]]:
     """Runs of tokens (with their start) that may hold a secret, each with the plain word before and after it."""
-    if not data.translate(None, _TELLING):
+    if not data.translate(None, _TELLING) and not _LONG_WORD.search(data) and not _SPEAKS.search(data):
         return []
     out: list[list[tuple[str, int]]] = []
-    last_end, before, open_ = -1, None, False
+    last_end, before, open_ = -1, None, 0
     for m in _WORD.finditer(text):
         word = m[0]
-        telling = _IS_TELLING.search(word) or (len(word) >= PLAIN and word.isascii())
-        if telling:
+        if _IS_TELLING.search(word) or (len(word) >= PLAIN and word.isascii()):
+            if not open_:
+                out.append([(t[0], before.start() + t.start()) for t in _TOKEN.finditer(before[0])] if before and last_end != m.start() else [])
+            open_ = 1
+            out[-1] += [(t[0], m.start() + t.start()) for t in _TOKEN.finditer(word)]
+            if _speaks(word):
+                open_ = REACH
+        elif _speaks(word):
             if not open_:
-                out.append([(t[0], m_.start() + t.start()) for m_ in [before] if before for t in _TOKEN.finditer(m_[0])] if last_end != m.start() else [])
-                open_ = True
+                out.append([])
+            open_ = REACH
             out[-1] += [(t[0], m.start() + t.start()) for t in _TOKEN.finditer(word)]
         elif open_:
             out[-1] += [(t[0], m.start() + t.start()) for t in _TOKEN.finditer(word)]
-            open_ = out[-1][-1][0] in "=:" if out[-1] else False
+            open_ = max(open_ - 1, 1 if out[-1] and out[-1][-1][0] in "=:" else 0)
         before, last_end = m, m.end()
     return [s for s in out if s]
 
@@ -103,9 +128,12 @@ def _features(chain: list[tuple[str, int]], file: tuple[int, int]) -> tuple[np.n
     columns = [h, around[1:-3, :2], around[3:-1, :2], around[:-4, :1], around[4:, :1], h[:, 1:2] ^ (around[1:-3, :1] << np.uint64(7)), np.full((n, 1), file[0], np.uint64), h[:, 4:5] ^ np.uint64(zlib.crc32(b"%d" % file[1])), np.ones((n, 1), np.uint64), np.zeros((n, 1), np.uint64)]
     cells = np.concatenate(columns, 1)[:, :FEATURES]
     slot = np.arange(cells.shape[1], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    cells = ((cells ^ slot) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 14)
+    cells = ((cells ^ slot) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
     plain = np.array([x[5] for x in own], bool)
-    after = np.array([False] + [t in "=:\"'/+_-.@\\" for t, _ in chain[:-1]], bool)
+    after, left = np.zeros(n, bool), 0
+    for k, (t, _) in enumerate(chain):
+        after[k] = left > 0 or (k > 0 and chain[k - 1][0] in "=:\"'/+_-.@\\")
+        left = REACH if t.lower() in SPEAKS else left - (t[0].isalnum())
     return cells.astype(np.int32), plain & ~after
 
 
@@ -179,9 +207,9 @@ def train_field(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps
         return field
     past = [np.full(x.shape, 1e-6, np.float32) for x in (field.weights, field.moves, field.first)]
     order = sorted(range(len(examples)), key=lambda k: len(examples[k][0]))
-    groups = [order[i : i + 512] for i in range(0, len(order), 512)]
     packed = []
-    for g in groups:
+    for g in _groups([len(examples[k][0]) for k in order]):
+        g = order[g.start : g.stop]
         cells, there, plain = _padded([(examples[k][0], examples[k][1]) for k in g])
         gold = np.zeros(there.shape, np.int64)
         for row, k in enumerate(g):
@@ -216,28 +244,77 @@ def train_field(examples: list[tuple[np.ndarray, np.ndarray, np.ndarray]], steps
     return field
 
 
+def _groups(lengths: list[int]) -> Iterator[range]:
+    """Runs of chains, given in the order of their lengths, of at most CELLS_AT_ONCE tokens when padded (one chain may be longer)."""
+    at = 0
+    while at < len(lengths):
+        end = at + 1
+        while end < len(lengths) and (end + 1 - at) * lengths[end] <= CELLS_AT_ONCE:
+            end += 1
+        yield range(at, end)
+        at = end
+
+
 def _tags(chain: list[tuple[str, int]], found: list[tuple]) -> np.ndarray:
-    out, last = np.zeros(len(chain), np.int8), None
+    """Tags of a chain by spans whose last two fields are the start and end of a secret; of secrets one in the other, the outer counts."""
+    outer: list[tuple[int, int]] = []
+    for s, e in sorted({(x[-2], x[-1]) for x in found}, key=lambda x: (x[0], -x[1])):
+        if not outer or e > outer[-1][1]:
+            outer.append((s, e))
+    out, last, i = np.zeros(len(chain), np.int8), None, 0
     for k, (t, start) in enumerate(chain):
-        hit = next(((s, e) for *_, s, e in found if s <= start and start + len(t) <= e), None)
+        while i < len(outer) and outer[i][1] < start + len(t):
+            i += 1
+        hit = outer[i] if i < len(outer) and outer[i][0] <= start else None
         if hit:
             out[k] = I if hit == last else B
         last = hit
     return out
 
 
+LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+NAMES = ("key", "auth", "credential", "bearer", "access", "pwd", "passphrase", "login", "private", "signature")
+
+
+def _value(rng: random.Random) -> str:
+    """A made-up value of another form than the patterns': mixed letters and digits, base 64, in groups, or a word."""
+    draw = lambda n, of=LETTERS: "".join(rng.choices(of, k=n))
+    forms = (
+        lambda: draw(rng.randint(16, 48)), lambda: draw(rng.randint(3, 6)).lower() + rng.choice("_-") + draw(rng.randint(16, 44)), lambda: draw(rng.randint(20, 60), LETTERS + "+/") + "=" * rng.randint(0, 2),
+        lambda: "-".join(draw(rng.randint(4, 8)) for _ in range(rng.randint(3, 5))), lambda: draw(2).lower() + draw(rng.randint(8, 20)) + "." + draw(rng.randint(16, 40)) + "." + draw(rng.randint(16, 44)), lambda: draw(rng.randint(8, 16), LETTERS + "!$%&*"),
+    )
+    return rng.choice(forms)()
+
+
+def _disguised(tokens: list[str], tags: list[int], rng: random.Random) -> Iterator[tuple[list[str], list[int]]]:
+    """A tagged chain with its keywords replaced, and with its values replaced."""
+    other = [rng.choice(NAMES) if t.lower() in KEYWORDS and not tag else t for t, tag in zip(tokens, tags)]
+    yield other, tags
+    made: tuple[list[str], list[int]] = ([], [])
+    for t, tag in zip(tokens, tags):
+        if tag == O:
+            made[0].append(t)
+            made[1].append(O)
+        elif tag == B:
+            parts = _TOKEN.findall(_value(rng))
+            made[0].extend(parts)
+            made[1].extend([B] + [I] * (len(parts) - 1))
+    yield made
+
+
 def _made_up() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Made-up secrets and, as often, look-alikes that are none, each in a line."""
     rng = random.Random(11)
-    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    draw = lambda n, of=letters: "".join(rng.choices(of, k=n))
-    secrets = (lambda: "ghp_" + draw(36), lambda: "xoxb-" + draw(11, "0123456789") + "-" + draw(24), lambda: "sk_live_" + draw(24), lambda: draw(40), lambda: "eyJ" + draw(30) + "." + draw(40) + "." + draw(40))
-    plain = (lambda: draw(5, "abcdefghij") + "@" + draw(6, "klmnop") + ".com", lambda: "+" + draw(11, "0123456789"), lambda: ".".join(draw(2, "123456789") for _ in range(4)), lambda: f"{draw(4, '0123456789')} {draw(4, '0123456789')} {draw(4, '0123456789')}", lambda: "https://" + draw(8, "abcdefg") + ".org/" + draw(6, "hijklm"), lambda: draw(2, "123456789") + ":" + draw(2, "123450"), lambda: "version 2.0", lambda: f"{draw(7, 'abcdefgh')}/{draw(6, 'ijklmn')}")
-    names = ("key", "auth", "credential", "bearer", "access")
+    draw = lambda n, of=LETTERS: "".join(rng.choices(of, k=n))
+    plain = (
+        lambda: draw(5, "abcdefghij") + "@" + draw(6, "klmnop") + ".com", lambda: "+" + draw(11, "0123456789"), lambda: ".".join(draw(2, "123456789") for _ in range(4)), lambda: f"{draw(4, '0123456789')} {draw(4, '0123456789')} {draw(4, '0123456789')}",
+        lambda: "https://" + draw(8, "abcdefg") + ".org/" + draw(6, "hijklm") + "/" + draw(12, "abcdefgh"), lambda: draw(2, "123456789") + ":" + draw(2, "123450"), lambda: "version 2.0", lambda: f"{draw(7, 'abcdefgh')}/{draw(6, 'ijklmn')}", lambda: draw(rng.randint(24, 40), "abcdefghijklmnopqrst"),
+        lambda: f"20{draw(2, '012')}-{draw(2, '01')}-{draw(2, '012')}T{draw(2, '01')}:{draw(2, '0123')}", lambda: draw(rng.randint(4, 9), "aeioulnrst") + "_" + draw(rng.randint(4, 9), "aeioulnrst"), lambda: draw(rng.randint(3, 10), "0123456789"),
+    )
     out = []
     for k in range(MADE_UP):
-        value = rng.choice(secrets if k % 2 else plain)()
-        before = (rng.choice(names) + rng.choice((" = ", ": ", "="))) if k % 4 == 1 else draw(6, "abcdefghijkl") + " "
+        value = _value(rng) if k % 2 else rng.choice(plain)()
+        before = (rng.choice(NAMES) + rng.choice((" = ", ": ", "=", " is "))) if k % 4 == 1 else draw(6, "abcdefghijkl") + " "
         text = before + value + rng.choice((" ", ". ", "\n")) + draw(5, "mnopqrstuv")
         for chain in segments(text, text.encode()):
             cells, only = _features(chain, file_features(text.encode()))
@@ -246,35 +323,52 @@ def _made_up() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
 
 
 def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """The field from up to `rows` documents that hold a keyword and as many others with telling characters."""
+    """The field from up to `rows` documents that hold a keyword and as many others; null ids and texts are left out.
+
+    The documents are those of the smallest hashes of ids, so ties need equal ids; of an id that repeats, all rows count.
+    """
     low = F.lower("text")
     keyword = F.lit(False)
     for k in (*KEYWORDS, "akia"):
         keyword = keyword | low.contains(k)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null and id is not null")
-    marked = texts.select("id", keyword.alias("keyword"), F.xxhash64("id").alias("h"))
+    marked = written(texts.select("id", keyword.alias("keyword"), F.xxhash64("id").alias("h")), "keywords")
     picked = [marked.filter(cond).orderBy("h", "id").limit(rows).select("id") for cond in ("keyword", "not keyword")]
-    sample = texts.join(F.broadcast(picked[0].union(picked[1]).distinct()), "id").limit(4 * rows)  # more than 2 * rows only if ids repeat
+    sample = texts.join(F.broadcast(picked[0].union(picked[1]).distinct()), "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tokens, starts, tags, files = [], [], [], [], []
-            for i, text in enumerate(batch.column("text").to_pylist()):
+            tokens, tags, files = [], [], []
+            for text in batch.column("text").to_pylist():
                 data = text.encode()
-                found = base_spans(text, data)
-                for chain in segments(text, data)[:SEGMENTS_PER_ROW]:
-                    chain = chain[:LONGEST]
-                    ids.append(i)
-                    tokens.append([t for t, _ in chain])
-                    starts.append([s for _, s in chain])
-                    tags.append(_tags(chain, found).tolist())
-                    files.append(list(file_features(data)))
-            ints = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("id").cast(pa.string()).take(pa.array(ids, pa.int64())), pa.array(tokens, pa.list_(pa.string())), pa.array(starts, ints), pa.array(tags, ints), pa.array(files, ints)], names=["id", "tokens", "starts", "tags", "file"])
-
-    table = sample.mapInArrow(run, "id string, tokens array<string>, starts array<long>, tags array<long>, file array<long>").toArrow().sort_by("id").to_pylist()
-    examples = [(*_features(list(zip(r["tokens"], r["starts"])), tuple(r["file"])), np.array(r["tags"])) for r in table]
-    del table
+                found, file = base_spans(text, data), list(file_features(data))
+                for chain in segments(text, data):
+                    own = _tags(chain, found).tolist()
+                    for i in range(0, len(chain), TRAIN_LENGTH):
+                        tokens.append([t for t, _ in chain[i : i + TRAIN_LENGTH]])
+                        tags.append(own[i : i + TRAIN_LENGTH])
+                        files.append(file)
+            yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int32())), pa.array(files, pa.list_(pa.int32()))], names=["tokens", "tags", "file"])
+
+    different = sample.mapInArrow(run, "tokens array<string>, tags array<int>, file array<int>").distinct().withColumn("h", F.xxhash64("tokens", "tags", "file"))
+    chosen = [different.filter(cond).orderBy("h").limit(TRAIN_SEGMENTS // 2) for cond in ("exists(tags, t -> t > 0)", "not exists(tags, t -> t > 0)")]
+    rng, examples = random.Random(17), []
+
+    def example(tokens: list[str], tags: list[int], file: list[int]) -> None:
+        examples.append((*_features([(t, 0) for t in tokens], tuple(file)), np.array(tags)))
+
+    for r in chosen[0].unionByName(chosen[1]).toArrow().sort_by("h").to_pylist():
+        example(r["tokens"], r["tags"], r["file"])
+        if not any(r["tags"]):
+            if rng.random() < 0.5:
+                parts, at = _TOKEN.findall(_value(rng)), rng.randint(0, len(r["tokens"]))
+                example(r["tokens"][:at] + parts + r["tokens"][at:], r["tags"][:at] + [B] + [I] * (len(parts) - 1) + r["tags"][at:], r["file"])
+        else:
+            for tokens, tags in _disguised(r["tokens"], r["tags"], rng):
+                example(tokens, tags, r["file"])
+    for cells, plain, tags in examples:
+        tags[plain] = O  # a plain word that can only be outside is never part of a replaced value
+        tags[1:][(tags[1:] == I) & (tags[:-1] == O)] = B
     _own.cache_clear()
     pa.default_memory_pool().release_unused()
     return train_field(examples + _made_up())
@@ -290,12 +384,9 @@ def decode(texts: list[str], field: Field) -> list[list[tuple[int, int]]]:
             file = file_features(data)
             chains += [(i, c, *_features(c, file)) for c in parts]
     chains.sort(key=lambda x: len(x[1]))
-    at = 0
-    while at < len(chains):
-        end = at + 1
-        while end < len(chains) and (end - at) * len(chains[end][1]) < 20_000:
-            end += 1
-        for (i, chain, *_), tags in zip(chains[at:end], viterbi(field, [(c[2], c[3]) for c in chains[at:end]])):
+    for g in _groups([len(c[1]) for c in chains]):
+        own = chains[g.start : g.stop]
+        for (i, chain, *_), tags in zip(own, viterbi(field, [(c[2], c[3]) for c in own])):
             k = 0
             while k < len(tags):
                 if tags[k] == B:
@@ -305,7 +396,6 @@ def decode(texts: list[str], field: Field) -> list[list[tuple[int, int]]]:
                     out[i].append((chain[k][1], chain[last][1] + len(chain[last][0])))
                     k = last
                 k += 1
-        at = end
     return out
 
 
@@ -323,7 +413,9 @@ def scan_secrets(docs: DataFrame, field: Field, text_col: str = "text", mask: st
         for text, more in zip(texts, decode(texts, field)):
             base = base_spans(text, text.encode())
             joined = [f"{k}:{s}:{e}" for k, s, e, *_ in base]
-            added = [("crf", s, e, s, e) for s, e in more if not any(s < x[2] and x[1] < e for x in base)]
+            starts, reach = [x[1] for x in base], list(itertools.accumulate((x[2] for x in base), max))
+            free = lambda s, e: not (k := bisect_left(starts, e)) or reach[k - 1] <= s  # noqa: B023, E731
+            added = [("crf", s, e, s, e) for s, e in more if free(s, e)]
             every = sorted(base + added, key=lambda x: (x[1], _KINDS.index(x[0])))
             redacted = None
             if every:
