@@ -1,17 +1,19 @@
 """Operator 9, language-model scoring by masked pseudo-likelihood.
 
-Words (runs of letters and digits, A-Z lower-cased) become tokens: the commonest words of the whole
+Words (runs of letters and digits, A-Z lower-cased) become tokens: the FREQUENT commonest words of the whole
 corpus, counted by Spark, have one each; other words share BUCKETS by their hash; one token stands
-for the text's ends. A network predicts every token from the two before and the two after it:
-p(token) = softmax(out . tanh(sum of four position embeddings + bias) + out bias).
-
-The softmax is factored: p(word) = p(bucket) * p(word | bucket), the latter from Spark's counts. Every word
-of at least SHARE of the corpus has its own; the rest of a bucket's mass is spread evenly over its rarer
-words and one that stands for all unseen ones.
-
-Training is data-parallel: each task runs Adagrad in numpy over all its documents, and Spark averages
-the tasks' parameters by numbers of examples; ROUNDS rounds start from the last average. A round takes
-every STRIDE-th position of each document, the next round those after them, so the rounds take every
+for the text's ends. A network predicts every token from the two before and the two after it: a hidden layer,
+tanh(sum of four position embeddings + bias), gives the token's class, and in the class the token; each of CLASSES
+classes has as many words and one bucket, so that a softmax over thousands of tokens costs two small ones.
+
+Below a bucket, p(word) = p(bucket) * p(word | bucket), the latter from Spark's counts. Words that occur LEAST times or more
+have their own, as many of the commonest as OWN_WORDS allow; the rest of a bucket's mass is spread evenly over its
+other words and one that stands for all unseen ones.
+
+Training is data-parallel: documents become token arrays, dealt over shards of about SHARD_TOKENS tokens by a hash of
+the row and sorted by it, so that the result doesn't hang on how the input is cut. Each task runs Adagrad in numpy over
+its shard, and Spark averages the tasks' parameters by numbers of examples; ROUNDS rounds start from the last average.
+A round takes every STRIDE-th position of each document, the next round those after them, so the rounds take every
 position of every document once. The sum of log p over all positions scores a document.
 """
 
@@ -28,15 +30,19 @@ from pyspark.sql import functions as F
 from .tables import with_columns_from_text, written
 from .words import words
 
-FREQUENT = 95
-BUCKETS = 32
-TOKENS = FREQUENT + BUCKETS + 1
-END = TOKENS - 1
-SHARE = 1e-6  # so at most a million words have their own p(word | bucket)
+CLASSES = 64
+SLOTS = 64
+BUCKETS = CLASSES  # the last slot of each class
+FREQUENT = CLASSES * (SLOTS - 1)
+TOKENS = CLASSES * SLOTS
+END = TOKENS  # in contexts only
+LEAST = 2
+OWN_WORDS = 1_000_000
 WIDTH = 16
 ROUNDS = 2
 STRIDE = ROUNDS  # all positions
-MINIBATCH = 4096
+MINIBATCH = 8192
+SHARD_TOKENS = 4_000_000
 RATE = 0.15
 SEED = 7
 SCHEMA = "n_tokens long, logprob double, mean_logprob double"
@@ -48,8 +54,8 @@ class BucketWords:
     """log p(word | bucket)."""
 
     known: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))  # sorted word hashes
-    log_share: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    log_other: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS))  # of a word that isn't known, by bucket
+    log_share: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    log_other: np.ndarray = field(default_factory=lambda: np.zeros(BUCKETS, np.float32))  # of a word that isn't known, by bucket
 
     def log_p(self, h: np.ndarray, t: np.ndarray) -> np.ndarray:
         """By word: 0 for one that has a token of its own."""
@@ -59,26 +65,46 @@ class BucketWords:
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
             p = np.where(self.known[at] == h, self.log_share[at], p)
-        out = np.zeros(len(t))
+        out = np.zeros(len(t), np.float32)
         out[rare] = p
         return out
 
 
+@dataclass
+class Vocabulary:
+    """The frequent words: sorted hashes, and the token (rank by frequency) of each."""
+
+    h: np.ndarray
+    token: np.ndarray
+
+    def tokens(self, h: np.ndarray) -> np.ndarray:
+        t = (FREQUENT + (h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int32)
+        if len(self.h):
+            at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+            t = np.where(self.h[at] == h, self.token[at], t)
+        return t
+
+
 @dataclass
 class WindowModel:
-    vocabulary: np.ndarray  # sorted word hashes
-    position: np.ndarray  # (4, TOKENS, WIDTH)
+    vocabulary: Vocabulary
+    position: np.ndarray  # (4, TOKENS + 1, WIDTH)
     bias: np.ndarray
-    out: np.ndarray  # (WIDTH, TOKENS)
-    out_bias: np.ndarray
+    classes: np.ndarray  # (WIDTH, CLASSES)
+    class_bias: np.ndarray
+    out: np.ndarray  # (CLASSES, WIDTH, SLOTS)
+    out_bias: np.ndarray  # (CLASSES, SLOTS)
     rare: BucketWords = field(default_factory=BucketWords)
 
+    def parts(self) -> list[np.ndarray]:
+        return [self.position, self.bias, self.classes, self.class_bias, self.out, self.out_bias]
+
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in (self.position, self.bias, self.out, self.out_bias)]).astype(np.float32)
+        return np.concatenate([x.ravel() for x in self.parts()]).astype(np.float32)
 
     def like(self, flat: np.ndarray) -> WindowModel:
         parts, at = [], 0
-        for x in (self.position, self.bias, self.out, self.out_bias):
+        for x in self.parts():
             parts.append(flat[at : at + x.size].reshape(x.shape).astype(np.float32))
             at += x.size
         return WindowModel(self.vocabulary, *parts, self.rare)
@@ -88,15 +114,6 @@ def word_hashes(text: str | None) -> np.ndarray:
     return words((text or "").encode().translate(_FOLD))[2]
 
 
-def tokens(h: np.ndarray, vocabulary: np.ndarray) -> np.ndarray:
-    t = (FREQUENT + (h >> np.uint64(40)) % np.uint64(BUCKETS)).astype(np.int64)
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        known = vocabulary[at] == h
-        t[known] = at[known]
-    return t
-
-
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """h and n of each distinct word of all documents."""
 
@@ -119,61 +136,128 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return written(docs.select(text_col).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "word_counts")
 
 
-def common_words(counts: DataFrame) -> np.ndarray:
-    """Sorted hashes of the FREQUENT commonest words; ties go to the smaller hash."""
-    return np.sort(np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64))
-
-
-def bucket_words(counts: DataFrame, vocabulary: np.ndarray) -> BucketWords:
-    least = SHARE * (counts.agg(F.sum("n")).first()[0] or 0)
-    rare = counts.filter(~F.col("h").isin(vocabulary.view(np.int64).tolist())).withColumn("b", (F.shiftrightunsigned("h", 40) % BUCKETS).cast("int"))
-    known = F.col("n") >= least
+def common_words(counts: DataFrame) -> Vocabulary:
+    """The FREQUENT commonest words; ties go to the smaller hash. Classes get words of all frequencies alike."""
+    h = np.array([r["h"] for r in counts.orderBy(F.desc("n"), "h").limit(FREQUENT).collect()], np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return Vocabulary(h[order], order.astype(np.int32))
+
+
+def least_count(counts: DataFrame, own_words: int = OWN_WORDS) -> int:
+    """The smallest count, from LEAST on, that at most own_words words reach."""
+    many = 1 << 16
+    of = {r["n"]: r["words"] for r in counts.filter(F.col("n") >= LEAST).groupBy(F.least("n", F.lit(many)).alias("n")).agg(F.count("*").alias("words")).collect()}  # at most 65,536 rows
+    reached, least = 0, many
+    for n in sorted(of, reverse=True):
+        reached += of[n]
+        if reached > own_words:
+            break
+        least = n
+    return least
+
+
+def bucket_words(counts: DataFrame, vocabulary: Vocabulary) -> BucketWords:
+    frequent = counts.sparkSession.createDataFrame(pa.table({"h": vocabulary.h.view(np.int64)}))
+    rare = counts.join(F.broadcast(frequent), "h", "left_anti").withColumn("b", (F.shiftrightunsigned("h", 40) % BUCKETS).cast("int"))
+    known = F.col("n") >= least_count(rare)
     total, rest, kinds = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in rare.groupBy("b").agg(F.sum("n").alias("n"), F.sum(F.when(~known, F.col("n"))).alias("rest"), F.count(F.when(~known, 1)).alias("kinds")).collect():
         total[r["b"]], rest[r["b"]], kinds[r["b"]] = r["n"], r["rest"] or 0, r["kinds"]
-    own = rare.filter(known).select("h", "b", "n").toArrow()  # at most 1 / SHARE rows
+    own = rare.filter(known).select("h", "b", "n").toArrow()  # at most OWN_WORDS rows
     h = own["h"].to_numpy().view(np.uint64)
     order = np.argsort(h)
-    log_share = np.log(own["n"].to_numpy() / (total[own["b"].to_numpy()] + 1))
-    return BucketWords(h[order], log_share[order], np.log((rest + 1) / (total + 1) / (kinds + 1)))
+    log_share = np.log(own["n"].to_numpy() / (total[own["b"].to_numpy()] + 1)).astype(np.float32)
+    return BucketWords(h[order], log_share[order], np.log((rest + 1) / (total + 1) / (kinds + 1)).astype(np.float32))
 
 
-def new_model(vocabulary: np.ndarray) -> WindowModel:
+def new_model(vocabulary: Vocabulary) -> WindowModel:
     rng = np.random.default_rng(SEED)
     draw = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-    return WindowModel(vocabulary, draw(4, TOKENS, WIDTH), np.zeros(WIDTH, np.float32), draw(WIDTH, TOKENS), np.zeros(TOKENS, np.float32))
+    zero = lambda *shape: np.zeros(shape, np.float32)
+    return WindowModel(vocabulary, draw(4, TOKENS + 1, WIDTH), zero(WIDTH), draw(WIDTH, CLASSES), zero(CLASSES), draw(CLASSES, WIDTH, SLOTS), zero(CLASSES, SLOTS))
 
 
 def context(t: np.ndarray) -> np.ndarray:
     """(4, n): the tokens two and one before, one and two after each token; END beyond the text."""
-    padded = np.concatenate([[END, END], t, [END, END]])
+    end = np.full(2, END, np.int32)
+    padded = np.concatenate([end, t, end])
     n = len(t)
     return np.stack([padded[:n], padded[1 : n + 1], padded[3 : n + 3], padded[4 : n + 4]])
 
 
+def _hidden(m: WindowModel, around: np.ndarray) -> np.ndarray:
+    z = m.position[0][around[0]]
+    for k in range(1, 4):
+        z += m.position[k][around[k]]
+    z += m.bias
+    return np.tanh(z, out=z)
+
+
+def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the targets by class, their slots in that order, and (class, first, last) of each class in it."""
+    c = (target % CLASSES).astype(np.int16)
+    order = np.argsort(c, kind="stable")
+    many = np.bincount(c, minlength=CLASSES)
+    ends = np.cumsum(many)
+    return order, (target // CLASSES)[order], [(k, int(ends[k] - many[k]), int(ends[k])) for k in np.flatnonzero(many)]
+
+
+def _shares(z: np.ndarray, clip: float) -> np.ndarray:
+    """z becomes exp(z), of values between -clip and clip; the sums of its rows."""
+    np.clip(z, -clip, clip, out=z)
+    np.exp(z, out=z)
+    return z.sum(1, keepdims=True)
+
+
 def _step(m: WindowModel, around: np.ndarray, target: np.ndarray, past: list[np.ndarray]) -> None:
     """One step of Adagrad on the mean negative log-probability."""
     n = len(target)
-    a = np.tanh(sum(m.position[k][around[k]] for k in range(4)) + m.bias)
-    p = a @ m.out
-    p += m.out_bias
-    np.clip(p, -30, 30, out=p)
-    np.exp(p, out=p)
-    p *= 1 / (n * p.sum(1, keepdims=True))
-    p[np.arange(n), target] -= np.float32(1 / n)
-    d = (p @ m.out.T) * (1 - a * a)
-    flat, columns = d.ravel().astype(float), np.arange(WIDTH)
-    sums = [np.bincount((around[k][:, None] * WIDTH + columns).ravel(), flat, TOKENS * WIDTH) for k in range(4)]
+    order, slot, spans = _by_class(target)
+    around, target, rows = around[:, order], target[order], np.arange(n)
+    a = _hidden(m, around)
+    p = a @ m.classes
+    p += m.class_bias
+    p *= 1 / (n * _shares(p, 30))
+    p[rows, target % CLASSES] -= np.float32(1 / n)
+    q = np.empty((n, SLOTS), np.float32)
+    for k, i, j in spans:
+        np.matmul(a[i:j], m.out[k], out=q[i:j])
+        q[i:j] += m.out_bias[k]
+    q *= 1 / (n * _shares(q, 30))
+    q[rows, slot] -= np.float32(1 / n)
+    d = p @ m.classes.T
+    out, out_bias = np.zeros_like(m.out), np.zeros_like(m.out_bias)
+    for k, i, j in spans:
+        d[i:j] += q[i:j] @ m.out[k].T
+        out[k] = a[i:j].T @ q[i:j]
+        out_bias[k] = q[i:j].sum(0)
+    d *= 1 - a * a
+    columns, flat = np.arange(WIDTH), d.ravel().astype(float)
+    sums = [np.bincount((around[k][:, None] * WIDTH + columns).ravel(), flat, (TOKENS + 1) * WIDTH) for k in range(4)]
     position = np.concatenate(sums).reshape(m.position.shape).astype(np.float32)
-    for x, g, s in zip((m.position, m.bias, m.out, m.out_bias), (position, d.sum(0), a.T @ p, p.sum(0)), past):
+    for x, g, s in zip(m.parts(), (position, d.sum(0), a.T @ p, p.sum(0), out, out_bias), past):
         s += g * g
-        x -= RATE * g / np.sqrt(s + 1e-10)
-
-
-def _steps(m: WindowModel, around: np.ndarray, target: np.ndarray, past: list[np.ndarray]) -> int:
-    for i in range(0, len(target), 2 * MINIBATCH):
-        _step(m, around[:, i : i + 2 * MINIBATCH], target[i : i + 2 * MINIBATCH], past)
-    return len(target)
+        x -= RATE * g / np.sqrt(s)
+
+
+def log_p(m: WindowModel, around: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log p of each target token in its context."""
+    order, slot, spans = _by_class(target)
+    around, target, rows = around[:, order], target[order], np.arange(len(target))
+    a = _hidden(m, around)
+    z = a @ m.classes
+    z += m.class_bias
+    own = np.clip(z[rows, target % CLASSES], -60, 60).astype(float)
+    own -= np.log(_shares(z, 60)[:, 0])
+    q = np.empty((len(target), SLOTS), np.float32)
+    for k, i, j in spans:
+        np.matmul(a[i:j], m.out[k], out=q[i:j])
+        q[i:j] += m.out_bias[k]
+    own += np.clip(q[rows, slot], -60, 60)
+    own -= np.log(_shares(q, 60)[:, 0])
+    back = np.empty(len(target))
+    back[order] = own
+    return back
 
 
 def places(n: int, r: int, rounds: int = ROUNDS, stride: int = STRIDE) -> slice:
@@ -181,35 +265,62 @@ def places(n: int, r: int, rounds: int = ROUNDS, stride: int = STRIDE) -> slice:
     return slice((r * stride // rounds + n) % stride, None, stride)
 
 
+def token_shards(docs: DataFrame, vocabulary: Vocabulary, shards: int, text_col: str = "text") -> DataFrame:
+    """(key, t): the token arrays of docs' texts, dealt over shards by a hash of the whole row and sorted by it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([vocabulary.tokens(word_hashes(x)).astype(np.int16) for x in batch.column("text").to_pylist()], pa.list_(pa.int16()))], names=["key", "t"])
+
+    key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    made = docs.select(key.alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "key long, t array<short>").filter("size(t) > 0")
+    return written(made, "tokens").repartition(shards, "key").sortWithinPartitions("key", "t")
+
+
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> WindowModel:
-    """The network trained over all of docs. Null and empty texts hold no example; without any, the network keeps its first weights."""
+    """The network trained over all of docs. Null and empty texts hold no example; without any, the network keeps its first weights.
+
+    All columns of docs tell rows apart when they are dealt: columns that xxhash64 can't take must be left out.
+    """
     counts = word_counts(docs, text_col)
     model = new_model(common_words(counts))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    shards = token_shards(docs, model.vocabulary, -(-total // SHARD_TOKENS) or 1, text_col)
     for r in range(rounds):
 
         def run(batches: Iterator[pa.RecordBatch], model=model, r=r) -> Iterator[pa.RecordBatch]:
             m = model.like(model.flat())
-            past = [np.full(x.shape, 1e-6, np.float32) for x in (m.position, m.bias, m.out, m.out_bias)]
+            past = [np.full(x.shape, 1e-6, np.float32) for x in m.parts()]
             around, target, held, examples = [], [], 0, 0
+
+            def steps() -> int:
+                c, y = np.concatenate(around, 1), np.concatenate(target)
+                for i in range(0, len(y), 2 * MINIBATCH):
+                    _step(m, c[:, i : i + 2 * MINIBATCH], y[i : i + 2 * MINIBATCH], past)
+                return len(y)
+
             for batch in batches:
-                for text in batch.column(0).to_pylist():
-                    t = tokens(word_hashes(text), m.vocabulary)
+                for t in batch.column("t").to_numpy(zero_copy_only=False):
+                    t = t.astype(np.int32)
                     at = places(len(t), r, rounds, stride)
                     around.append(context(t)[:, at])
                     target.append(t[at])
                     held += len(target[-1])
                     if held >= MINIBATCH:
-                        examples += _steps(m, np.concatenate(around, 1), np.concatenate(target), past)
+                        examples += steps()
                         around, target, held = [], [], 0
             if held:
-                examples += _steps(m, np.concatenate(around, 1), np.concatenate(target), past)
+                examples += steps()
             flat = m.flat()
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(float) * examples), pa.array(np.full(len(flat), examples))], names=["i", "x", "n"])
+            if examples:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(float) * examples), pa.array(np.full(len(flat), examples))], names=["i", "x", "n"])
 
-        parts = docs.select(text_col).mapInArrow(run, "i int, x double, n long").groupBy("i").agg((F.sum("x")).alias("x"), F.sum("n").alias("n")).filter("n > 0")
-        mean = parts.select("i", (F.col("x") / F.col("n")).alias("x")).orderBy("i").toArrow()  # as many rows as parameters
+        parts = shards.mapInArrow(run, "i int, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        mean = written(parts.select("i", (F.col("x") / F.col("n")).cast("float").alias("x")), "parameters").toArrow()  # as many rows as parameters
         if mean.num_rows:
-            model = model.like(mean["x"].to_numpy())
+            flat = np.zeros(mean.num_rows, np.float32)
+            flat[mean["i"].to_numpy()] = mean["x"].to_numpy()
+            model = model.like(flat)
     model.rare = bucket_words(counts, model.vocabulary)
     return model
 
@@ -217,30 +328,33 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
 def score(docs: DataFrame, model: WindowModel, text_col: str = "text") -> DataFrame:
     """`row` and `out` (SCHEMA) per row of docs: tokens, the sum of their conditional log-probabilities, and its mean.
 
-    Null and empty texts, and texts without words, have 0 tokens, the sum 0 and a null mean.
+    Null and empty texts, and texts without words, have 0 tokens, the sum 0 and a null mean. Every row is scored by itself.
     """
 
     def compute(texts: list[str | None]) -> list[pa.Array]:
-        size, total = [], []
-        position = model.position.astype(np.float32)
-        left = (position[0][:, None] + position[1][None]).reshape(-1, WIDTH) + model.bias
-        right = (position[2][:, None] + position[3][None]).reshape(-1, WIDTH)
-        ones = np.ones(TOKENS, np.float32)
-        for text in texts:
+        size, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+        around, target, of, held = [], [], [], 0
+
+        def flush() -> None:
+            c, y, k = np.concatenate(around, 1), np.concatenate(target), np.concatenate(of)
+            for i in range(0, len(y), MINIBATCH):
+                total[:] += np.bincount(k[i : i + MINIBATCH], log_p(model, c[:, i : i + MINIBATCH], y[i : i + MINIBATCH]), len(texts))
+
+        for k, text in enumerate(texts):
             h = word_hashes(text)
-            t = tokens(h, model.vocabulary)
-            around = context(t)
-            s = float(model.rare.log_p(h, t).sum())
-            for i in range(0, len(t), MINIBATCH):
-                c, y = around[:, i : i + MINIBATCH], t[i : i + MINIBATCH]
-                z = np.tanh(left[c[0] * TOKENS + c[1]] + right[c[2] * TOKENS + c[3]]) @ model.out
-                z += model.out_bias
-                own = z[np.arange(len(y)), y].astype(float)
-                np.clip(z, -60, 60, out=z)
-                np.exp(z, out=z)
-                s += float((own - np.log((z @ ones).astype(float))).sum())
-            size.append(len(t))
-            total.append(s)
-        return [pa.array(size, pa.int64()), pa.array(total, pa.float64()), pa.array([s / n if n else None for n, s in zip(size, total)], pa.float64())]
+            t = model.vocabulary.tokens(h)
+            size[k] = len(t)
+            total[k] += float(model.rare.log_p(h, t).sum(dtype=float))
+            around.append(context(t))
+            target.append(t)
+            of.append(np.full(len(t), k, np.int32))
+            held += len(t)
+            if held >= MINIBATCH:
+                flush()
+                around, target, of, held = [], [], [], 0
+        if held:
+            flush()
+        mean = [s / n if n else None for n, s in zip(size.tolist(), total.tolist())]
+        return [pa.array(size), pa.array(total), pa.array(mean, pa.float64())]
 
     return with_columns_from_text(docs, text_col, SCHEMA, compute)

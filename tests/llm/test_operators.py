@@ -495,21 +495,59 @@ def test_licenses_of_whole_and_changed_texts(spark):
         assert got[i][0] == brute.license_labels(text, [*((p, x, ()) for p, x in licenses.BASE_PHRASES), *licenses.TEMPLATES]), text
 
 
+def plain_log_p(model, t):
+    """The sum of log p of tokens, one after the other."""
+    padded, total = [lm.END, lm.END, *t.tolist(), lm.END, lm.END], 0.0
+    for i, x in enumerate(t.tolist()):
+        around = padded[i], padded[i + 1], padded[i + 3], padded[i + 4]
+        a = np.tanh(sum(model.position[k][w].astype(float) for k, w in enumerate(around)) + model.bias)
+        c, slot = x % lm.CLASSES, x // lm.CLASSES
+        for z, k in ((a @ model.classes + model.class_bias, c), (a @ model.out[c] + model.out_bias[c], slot)):
+            total += z[k] - np.log(np.exp(z).sum())
+    return total
+
+
+def test_language_model_step_follows_the_gradient():
+    rng = np.random.default_rng(3)
+    model = lm.new_model(lm.Vocabulary(np.zeros(0, np.uint64), np.zeros(0, np.int32)))
+    t = rng.integers(0, 40, 30).astype(np.int32)
+    before, moved = model.like(model.flat()), model.like(model.flat())
+    lm._step(moved, lm.context(t), t, [np.full(x.shape, 1e-12, np.float32) for x in moved.parts()])
+    assert plain_log_p(moved, t) > plain_log_p(before, t)
+    checked = 0
+    for x, y, name in zip(before.parts(), moved.parts(), ("position", "bias", "classes", "class_bias", "out", "out_bias")):
+        changed = np.argwhere(np.abs(y - x) > 1e-3)
+        for k in rng.permutation(changed)[:8]:
+            up = before.like(before.flat())
+            getattr(up, name)[tuple(k)] += 1e-2
+            slope = (plain_log_p(up, t) - plain_log_p(before, t)) / len(t)
+            if abs(slope) > 1e-6:
+                assert np.sign(slope) == np.sign((y - x)[tuple(k)]), name
+                checked += 1
+    assert checked > 20
+
+
+def test_language_model_does_not_hang_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 3000)
+    rng = random.Random(41)
+    data = spark.createDataFrame([(i, prose(rng, rng.randint(1, 120)) if i % 7 else None) for i in range(200)], "doc_id long, text string")
+    one, other = lm.train(data.coalesce(1)), lm.train(data.repartition(7))
+    assert np.allclose(one.flat(), other.flat(), atol=1e-4) and (one.rare.known == other.rare.known).all()
+    ties = lm.common_words(lm.word_counts(spark.createDataFrame([("a b c",), ("c b a",)], "text string")))
+    assert len(ties.h) == 3 and sorted(ties.token) == [0, 1, 2]
+
+
 def test_language_model_prefers_what_it_has_seen(spark, docs, none):
     rng = random.Random(7)
     words = [f"w{i}" for i in range(30)]
     seen = [(i, " ".join(words[(k * 1 + s) % 30] for k in range(200))) for i, s in enumerate(rng.choices(range(30), k=200))]
     data = spark.createDataFrame(seen, "doc_id long, text string")
-    model = lm.train(data, stride=2)
+    model = lm.train(data)
     test = spark.createDataFrame([(0, seen[0][1]), (1, " ".join(rng.choices(words, k=200))), (2, None), (3, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in lm.score(test, model).select("row.doc_id", "out.*").collect()}
     assert got[0].mean_logprob > got[1].mean_logprob + 1
     assert got[2].n_tokens == got[3].n_tokens == 0 and got[2].logprob == 0 and got[2].mean_logprob is None
-    t = lm.tokens(lm.word_hashes(test.first().text), model.vocabulary)
-    c = lm.context(t)
-    z = np.tanh(sum(model.position[k][c[k]] for k in range(4)) + model.bias) @ model.out + model.out_bias
-    plain = (z[np.arange(len(t)), t] - np.log(np.exp(z.astype(float)).sum(1))).sum()
-    assert abs(plain - got[0].logprob) < 1e-2
+    assert abs(plain_log_p(model, model.vocabulary.tokens(lm.word_hashes(test.first().text))) - got[0].logprob) < 1e-2
     empty = lm.train(none)
     assert lm.score(docs, empty).count() == docs.count()
 
@@ -522,23 +560,25 @@ def test_language_model_trains_on_every_position(spark):
     assert not np.array_equal(model.flat(), lm.new_model(model.vocabulary).flat())
 
 
-def test_language_model_tells_words_of_a_bucket_apart(spark):
-    names = [f"v{i}" for i in range(400)]
-    data = spark.createDataFrame([(i, " ".join(names[: 400 - i])) for i in range(400)], "doc_id long, text string")
-    model = lm.train(data)
-    h = lm.word_hashes(" ".join([*names, *(f"nonsense{i}" for i in range(400))]))
-    t, known = lm.tokens(h, model.vocabulary), np.arange(800) < 400
-    p = np.exp(model.rare.log_p(h, t))
-    for b in range(lm.FREQUENT, lm.END):
-        seen, unseen = p[known & (t == b)], p[~known & (t == b)]
-        assert len(unseen) and (len(seen) == 0 or seen.min() >= unseen.max())
-        assert abs(seen.sum() + unseen[0] - 1) < 1e-9
-    two = [h[k] for k in np.flatnonzero(t == np.bincount(t[known & (t >= lm.FREQUENT)]).argmax()) if k < 400]
-    words = [names[int(np.flatnonzero(h == x)[0])] for x in (two[0], two[-1])]
-    nonsense = f"nonsense{np.flatnonzero(t[400:] == t[h == two[0]][0])[0]}"
-    rows = spark.createDataFrame([(i, f"v0 v1 {w} v2") for i, w in enumerate([*words, nonsense])], "doc_id long, text string")
-    got = {r.doc_id: r.logprob for r in lm.score(rows, model).select("row.doc_id", "out.logprob").collect()}
-    assert got[0] > got[1] and got[0] > got[2]
+def test_language_model_tells_words_of_a_bucket_apart(spark, monkeypatch):
+    names = [f"v{i}" for i in range(lm.FREQUENT + 600)]
+    often = [3 + (i < lm.FREQUENT) if i < lm.FREQUENT + 300 else 2 if i < lm.FREQUENT + 500 else 1 for i in range(len(names))]
+    rows = [" ".join(n for n, k in zip(names[i : i + 100], often[i : i + 100]) if k > r) for r in range(4) for i in range(0, len(names), 100)]
+    data = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    model = lm.train(data, rounds=1, stride=50)
+    h = lm.word_hashes(" ".join([*names, *(f"nonsense{i}" for i in range(600))]))
+    t, n = model.vocabulary.tokens(h), np.array(often + [0] * 600)
+    assert (t[: lm.FREQUENT] < lm.FREQUENT).all() and (t[lm.FREQUENT :] >= lm.FREQUENT).all()
+    p = np.exp(model.rare.log_p(h, t).astype(float))
+    for b in range(lm.FREQUENT, lm.TOKENS):
+        of = lambda k: p[(t == b) & (n == k)]  # noqa: B023, E731
+        mass = of(3).sum() + of(2).sum() + of(1).sum()
+        rest = of(0)[:1].sum()  # one slot for unseen words
+        assert not len(of(0)) or abs(mass + rest - 1) < 1e-5
+        levels = [x for x in (of(3), of(2), np.concatenate([of(1), of(0)])) if len(x)]
+        assert all(x.min() > y.max() for x, y in zip(levels, levels[1:]))
+    counts = lm.word_counts(data)
+    assert lm.least_count(counts) == 2 and lm.least_count(counts, lm.FREQUENT + 400) == 3 and lm.least_count(counts, 1) > 4
 
 
 def test_decontamination_finds_changed_questions(spark, docs, none):
