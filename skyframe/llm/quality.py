@@ -14,10 +14,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .linear import fit_logistic, fit_platt, sigmoid
-from .tables import with_columns_from_text
+from .tables import labelled_sample, with_columns_from_text
 from .words import SPACE, mix, windows, words
 
 DIMENSIONS = 4096
@@ -80,16 +79,8 @@ def _counts(data: bytes, h: np.ndarray) -> tuple[int, int, int, int, int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel | None:
-    """The model from rows of docs that labels mark 0 or 1; None if one of the two is missing among them. Null labels and texts are left out."""
-    sample = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-        .filter("id is not null and label in (0, 1)")
-        .orderBy(F.xxhash64("id"), "id", "label")
-        .limit(rows)
-        .dropDuplicates(["id"])
-    )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    picked = texts.join(F.broadcast(sample), "id").select("id", "label", "text").limit(2 * rows)  # more only if ids repeat
+    """The model from rows of docs that labels mark 0 or 1 (see labelled_sample); None if one of the two is missing among them."""
+    picked = labelled_sample(docs, labels, rows, id_col, text_col, label_col)
 
     def run(batches):
         for batch in batches:

@@ -96,3 +96,15 @@ def with_columns_from_text(docs: DataFrame, text_col: str, schema: str, compute)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.StructArray.from_arrays(columns, names)], names=["row", "out"])
 
     return held.mapInArrow(run, T.StructType([held.schema["row"], T.StructField("out", out)]))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_col: str, text_col: str, label_col: str) -> DataFrame:
+    """(id, label, text) of at most `rows` labelled ids, those of the smallest hashes, one row each.
+
+    Null ids, labels other than 0 and 1, and null texts are left out. Of an id with both labels the smaller counts, of
+    an id with several texts that of the smallest hash.
+    """
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label in (0, 1)")
+    sample = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    return texts.join(F.broadcast(sample), "id").groupBy("id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))

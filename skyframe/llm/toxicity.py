@@ -2,9 +2,9 @@
 
 Texts are folded (A-Z lower-cased; everything but letters and digits is a space). A feature is the
 presence of a 4- or 6-gram of UTF-8 bytes, kept exactly as a 64-bit integer. Of at most TRAIN_ROWS
-labelled rows (smallest hash of their id), Spark counts each n-gram by class; those whose shares
-differ by Z_LEAST standard errors, MAX_FEATURES at most, are scaled by their log-count ratios and
-weighted by logistic regression. Scoring looks n-grams up in a bitmap, then in the sorted feature
+labelled rows (smallest hash of their id), Spark counts each n-gram by class. Features are chosen among those that
+LEAST_TEXTS of these rows have: those whose shares differ by Z_LEAST standard errors, of them the MAX_FEATURES that differ
+most (ties: the smaller n-gram); they are scaled by their log-count ratios and weighted by logistic regression. Scoring looks n-grams up in a bitmap, then in the sorted feature
 list, in Arrow batches with no shuffle.
 """
 
@@ -19,12 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .linear import fit_logistic, sigmoid
-from .tables import with_columns_from_text, written
+from .tables import labelled_sample, with_columns_from_text, written
 
 SIZES = (4, 6)
 TRAIN_ROWS = 6000
 MAX_FEATURES = 4096
 Z_LEAST = 4.5
+LEAST_TEXTS = 4
 SMOOTHING = 1.0
 HOLD_OUT = 5
 SCHEMA = "score double, predicted int"
@@ -64,13 +65,8 @@ def held_out(id_col: str):
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel | float:
-    """The model from rows that aren't held out; the share of label 1 if there is one class only or no telling n-gram (0.0 without rows)."""
-    sample = (
-        labels.filter(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-        .filter("id is not null and label in (0, 1)").orderBy(F.xxhash64("id"), "id", "label").limit(rows).dropDuplicates(["id"])
-    )
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
-    picked = written(texts.join(F.broadcast(sample), "id").limit(2 * rows), "toxicity_sample")  # more than rows only if ids repeat
+    """The model from rows that aren't held out (see labelled_sample); the share of label 1 if there is one class only or no telling n-gram (0.0 without rows)."""
+    picked = written(labelled_sample(docs, labels.filter(~held_out(id_col)), rows, id_col, text_col, label_col), "toxicity_sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush() -> pa.RecordBatch:
@@ -91,7 +87,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str
                     held, total, size = {0: [], 1: []}, {0: 0, 1: 0}, 0
         yield flush()
 
-    counted = picked.select("text", "label").repartition(8).mapInArrow(count, "g long, pos long, neg long").groupBy("g").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter("pos + neg >= 4")
+    counted = picked.select("text", "label").repartition(docs.sparkSession.sparkContext.defaultParallelism).mapInArrow(count, "g long, pos long, neg long").groupBy("g").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).filter(F.col("pos") + F.col("neg") >= LEAST_TEXTS)
     counted = written(counted, "toxicity_counts")
     totals = counted.filter("g = 0").first()
     if totals is None:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import time
+import zlib
 
 import numpy as np
 import pytest
@@ -67,6 +68,42 @@ def test_quality_learns_junk(spark):
     assert np.mean([r.kept == bool(r.doc_id % 4) for r in got if r.doc_id % 2]) > 0.97
 
 
+def test_quality_features_and_verdict_on_labelled_rows(spark):
+    """Features against a count of n-grams one by one; of labelled rows that weren't fitted, the verdict is right."""
+    text = "Ab ab ab, c é c é the ab\nab x"
+    data = text.encode()
+    h = quality.words(data)[2]
+    cells = np.zeros(quality.DIMENSIONS)
+    one = {w: int(quality.words(w)[2][0]) for w in data.split()}
+    own = [one[w] for w in data.split()]
+    for x in own:
+        cells[x >> 52] += 1
+    for x, y in zip(own, own[1:]):
+        cells[int(quality.windows(np.array([x, y], np.uint64), 2)[0]) >> 52] += 1
+        cells[1] += x == y
+    for i in range(len(data) - 2):
+        cells[int(quality.mix(np.array([data[i] | data[i + 1] << 8 | data[i + 2] << 16], np.uint64))[0]) >> 52] += 1
+    want = np.log1p(cells) / np.sqrt((np.log1p(cells) ** 2).sum())
+    assert np.allclose(quality.features(data, h), want, atol=1e-5)
+
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    fitted = labels.filter("doc_id % 2 = 0")
+    model = quality.fit(docs, fitted)
+    rest = docs.select("doc_id", "text").join(labels.filter("doc_id % 2 = 1"), "doc_id")
+    got = quality.score(rest, model).select("row.quality", "out.*").filter("not base_failed").collect()
+    assert np.mean([(r.probability >= quality.THRESHOLD) == bool(r.quality) for r in got]) > 0.97
+    assert all(r.kept == (r.probability >= quality.THRESHOLD) for r in got)
+    assert abs(np.mean([r.probability for r in got]) - np.mean([r.quality for r in got])) < 0.03  # calibrated
+
+
+def test_labelled_rows_with_repeats_nulls_and_both_labels(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (1, "b"), (2, None), (3, "c"), (None, "d"), (4, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, None), (4, 1), (4, 1), (None, 1), (5, 1), (3, 7)], "doc_id long, quality int")
+    got = [quality.labelled_sample(docs, labels, 100, "doc_id", "text", "quality").collect() for _ in range(2)]
+    assert sorted((r.id, r.label) for r in got[0]) == [(1, 0), (4, 1)] and sorted(got[0]) == sorted(got[1])
+    assert quality.labelled_sample(docs, labels, 0, "doc_id", "text", "quality").count() == 0
+
+
 def test_personal_data_matches_plain_patterns(spark, docs, none):
     card = "4111 1111 1111 1111"
     cases = [
@@ -317,6 +354,95 @@ def test_best_two_fit_beats_greedy():
     assert used == histogram
 
 
+def items_one_by_one(lengths, capacity):
+    """Best-two-fit on single pieces: the lengths in each sequence."""
+    left, out = sorted(lengths), []
+    while left:
+        gap, bin_ = capacity, []
+        for i in range(len(left) - 1, -1, -1):
+            if left[i] <= gap:
+                gap -= left[i]
+                bin_.append(left.pop(i))
+        smallest = bin_[-1]
+        best = None
+        for i in range(len(left) - 1, -1, -1):
+            for j in range(i - 1, -1, -1):
+                total = left[i] + left[j]
+                if smallest < total <= gap + smallest and (best is None or total > best[0]):
+                    best = (total, i, j)
+        if gap and best:
+            _, i, j = best
+            bin_[-1:] = [left[i], left[j]]
+            del left[i], left[j]
+            left = sorted([*left, smallest])
+        out.append(tuple(sorted(bin_)))
+    return sorted(out)
+
+
+def test_packing_equals_best_two_fit_item_by_item(spark):
+    rng = random.Random(51)
+    for capacity, n in ((20, 60), (50, 200), (100, 150)):
+        for _ in range(10):
+            lengths = [rng.choice([rng.randint(1, capacity), rng.randint(1, capacity // 3)]) for _ in range(n)]
+            plan = packing.plan_patterns({x: lengths.count(x) for x in set(lengths)}, capacity)
+            assert sorted(tuple(sorted(items)) for items, times in plan for _ in range(times)) == items_one_by_one(lengths, capacity)
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(vocabulary())
+    rows = [(i, prose(rng, rng.choice([3, 20, 60, 150])) + (" <|endoftext|> x" if i % 5 == 0 else "")) for i in range(80)] + [(80, None), (81, ""), (None, "null id"), (82, "y")]
+    want, short = {}, []
+    for i, text in rows:
+        ids = np.array(t.encode(text or "", add_special_tokens=False).ids + [0], "<u4")
+        first = (len(ids) - 1) % 128 + 1
+        cuts = [0, *range(first, len(ids) + 1, 128)]
+        short.append(first)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[i, k] = (a, b - a, zlib.crc32(ids[a:b].tobytes()))
+    data = spark.createDataFrame([(*r, "s", 1) for r in rows], "doc_id long, text string, piece string, length int")
+    got = packing.pack(data, vocabulary(), capacity=128).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in got} == want
+    bins = {}
+    for r in got:
+        if r.piece == 0:
+            bins.setdefault(r.sequence_id, []).append(r.length)
+        else:
+            assert r.offset == 0 and sum(x.sequence_id == r.sequence_id for x in got) == 1
+    assert sorted(tuple(sorted(x)) for x in bins.values()) == items_one_by_one(short, 128)
+
+
+def test_toxicity_features_against_plain_counts(spark):
+    rng = random.Random(61)
+    rows = [(i, prose(rng, 30) + (" Vile, wretch" if i % 2 else " kind folk")) for i in range(300)] + [(7, "again"), (None, "null"), (400, None), (401, "x" * 100_000)]
+    data = spark.createDataFrame([(*r, 0.5) for r in rows], "doc_id long, text string, score double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)] + [(401, 0), (None, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(data, labels)
+
+    def folded(text):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c if c.isdigit() or c.islower() or ord(c) > 127 else " " for c in text)
+        b = f" {low} ".encode()
+        return {b[i : i + n] for n in toxicity.SIZES for i in range(len(b) - n + 1)}
+
+    used = {r.id: (r.label, r.text) for r in toxicity.labelled_sample(data, labels.filter(~toxicity.held_out("doc_id")), toxicity.TRAIN_ROWS, "doc_id", "text", "toxic").collect()}
+    assert used.keys() == {r.doc_id for r in labels.filter(~toxicity.held_out("doc_id")).filter("doc_id is not null").collect()}
+    count = {}
+    for label, text in used.values():
+        for g in folded(text):
+            count.setdefault(g, [0, 0])[label] += 1
+    down, up = (sum(x == k for x, _ in used.values()) for k in (0, 1))
+
+    def z(neg, pos):
+        share = (pos + neg) / (up + down)
+        return abs(pos / up - neg / down) / np.sqrt(share * (1 - share) * (1 / up + 1 / down) + 1e-12)
+
+    telling = {int.from_bytes(g, "little") for g, (neg, pos) in count.items() if pos + neg >= toxicity.LEAST_TEXTS and z(neg, pos) >= toxicity.Z_LEAST}
+    assert set(model.grams.tolist()) == telling
+    for r in toxicity.score(data, model).select("row.text", "out.*").collect():
+        own = {int.from_bytes(g, "little") for g in folded(r.text or "")}
+        s = sum(w for g, w in zip(model.grams.tolist(), model.weights.tolist()) if g in own) + model.intercept
+        assert abs(r.score - 1 / (1 + np.exp(-s))) < 1e-4 and r.predicted == (r.score >= 0.5)
+
+
 def test_toxicity_learns_and_leaves_held_out_rows_out(spark, docs, none):
     rng = random.Random(6)
     rows = []
