@@ -356,19 +356,17 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     shingles stays.
     """
     marked = near_duplicates(docs, size, percent, id_col, text_col)
-    gone = marked.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id")).distinct()
-    repeated = written(docs.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.count("*").alias("__n")).filter("__n > 1").select("__id"), "repeated_ids")
-    single = docs.filter(F.col(id_col).isNotNull()).join(gone.unionByName(repeated), docs[id_col] == F.col("__id"), "left_anti")
-    nulls = docs.filter(F.col(id_col).isNull())
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    first = lambda rows, by: rows.groupBy(by).agg(F.min_by("row", "h").alias("row")).select("row.*")
-    again = docs.join(repeated, docs[id_col] == F.col("__id")).join(gone, "__id", "left_anti")
-    again = first(again.select("__id", F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("h"), row.alias("row")), "__id")
+    gone = marked.filter(~F.col("kept") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    known, nulls = rows.filter("id is not null"), rows.filter("id is null")
+    repeated = written(known.groupBy("id").agg(F.count("*").alias("many")).filter("many > 1").select("id"), "repeated_ids")
+    single = known.join(gone.unionByName(repeated), "id", "left_anti").select("row.*")
+    first = F.min_by("row", F.xxhash64("row")).alias("row")
+    again = known.join(repeated, "id").join(gone, "id", "left_anti").groupBy("id").agg(first).select("row.*")
     if nulls.isEmpty():
         return single.unionByName(again)
-    numbered = nulls.select(F.struct(F.monotonically_increasing_id().alias("k"), row.alias("row")).alias("id"), F.col(text_col).alias("text"))
-    sets = written(sketches(numbered, size, "id", "text"), "sets_of_null_ids")
+    sets = written(sketches(nulls.select(F.struct(F.monotonically_increasing_id().alias("k"), "row").alias("id"), "text"), size, "id", "text"), "sets_of_null_ids")
     bare = sets.filter("n = 0").select("id.row.*")
-    others = sketches(docs.filter(F.col(id_col).isNotNull()), size, id_col, text_col).select("n", "f1", "f2").distinct()
-    lone = sets.filter("n > 0").join(others, ["n", "f1", "f2"], "left_anti").groupBy("n", "f1", "f2").agg(F.min_by("id.row", F.xxhash64("id.row")).alias("row")).select("row.*")
+    others = sketches(known, size, "id", "text").select("n", "f1", "f2").distinct()
+    lone = sets.filter("n > 0").join(others, ["n", "f1", "f2"], "left_anti").select("n", "f1", "f2", "id.row").groupBy("n", "f1", "f2").agg(first).select("row.*")
     return single.unionByName(again).unionByName(bare).unionByName(lone)

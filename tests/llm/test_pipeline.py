@@ -1,5 +1,7 @@
 """The whole pipeline against brute-force versions of what its stages must keep."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from skyframe.llm.tables import written
 from tests.llm import brute
@@ -36,3 +38,31 @@ def test_pipeline_of_no_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, D), "stage")
     assert docs.count() == 0
+
+
+def test_stages_with_odd_rows_and_clashing_columns(spark):
+    """Null, repeated and clashing ids, null and very long texts, and columns named like the stages' own pass through every stage."""
+    docs = spark.read.parquet(f"{D}/documents.parquet").filter("doc_id < 60")
+    some = docs.filter("length(text) > 200").limit(3)
+    odd = [docs, docs.limit(2), some.withColumn("doc_id", F.lit(None).cast("bigint")), some.limit(1).withColumn("doc_id", F.lit(None).cast("bigint")), docs.limit(1).withColumn("text", F.lit(None).cast("string"))]
+    odd.append(some.limit(1).withColumn("doc_id", F.lit(900).cast("bigint")).withColumn("text", F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.concat(F.lit("Wort"), F.md5(i.cast("string")))))))
+    docs = odd[0]
+    for more in odd[1:]:
+        docs = docs.unionByName(more)
+    for name in ("row", "out", "id", "__id", "f1", "n", "label", "h", "kept", "Label", "my col"):
+        if name.lower() not in (c.lower() for c in docs.columns):
+            docs = docs.withColumn(name, F.lit(name))
+    docs = written(docs, "odd")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = {r.doc_id for r in docs.collect()}
+        docs = written(stage(spark, docs, D), "stage")
+        rows = docs.collect()
+        assert docs.columns == columns and {r.doc_id for r in rows} <= before
+        assert all(r["row"] == "row" and r["my col"] == "my col" for r in rows)
+        if name == "minhash near-dedup":
+            ids = [r.doc_id for r in rows if r.doc_id is not None]
+            assert len(ids) == len(set(ids))
+            texts = [r.text for r in rows]
+            assert len(texts) == len(set(texts))
+    assert {r.doc_id for r in corpus_pipeline.STAGES[-1][1](spark, docs, D).collect()} == {r.doc_id for r in docs.collect()}
