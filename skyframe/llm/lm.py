@@ -12,7 +12,7 @@ other words and one that stands for all unseen ones.
 
 Training is data-parallel: documents become token arrays, dealt over shards of about SHARD_TOKENS tokens by a hash of
 the row and sorted by it, so that the result doesn't hang on how the input is cut. Each task runs Adagrad in numpy over
-its shard, and Spark averages the tasks' parameters by numbers of examples; ROUNDS rounds start from the last average.
+its shard, and Spark averages what the tasks changed by numbers of examples; ROUNDS rounds start from the last average.
 A round takes every STRIDE-th position of each document, the next round those after them, so the rounds take every
 position of every document once. The sum of log p over all positions scores a document.
 """
@@ -274,7 +274,8 @@ def token_shards(docs: DataFrame, vocabulary: Vocabulary, shards: int, text_col:
 
     key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
     made = docs.select(key.alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "key long, t array<short>").filter("size(t) > 0")
-    return written(made, "tokens").repartition(shards, "key").sortWithinPartitions("key", "t")
+    # every task sends its parameters, so shards aren't made smaller where the session sets more partitions than asked for
+    return written(made, "tokens").repartition(shards, "key").coalesce(shards).sortWithinPartitions("key", "t")
 
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> WindowModel:
@@ -311,15 +312,17 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
                         around, target, held = [], [], 0
             if held:
                 examples += steps()
-            flat = m.flat()
-            if examples:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat.astype(float) * examples), pa.array(np.full(len(flat), examples))], names=["i", "x", "n"])
-
-        parts = shards.mapInArrow(run, "i int, x double, n long").groupBy("i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
-        mean = written(parts.select("i", (F.col("x") / F.col("n")).cast("float").alias("x")), "parameters").toArrow()  # as many rows as parameters
-        if mean.num_rows:
-            flat = np.zeros(mean.num_rows, np.float32)
-            flat[mean["i"].to_numpy()] = mean["x"].to_numpy()
+            moved = m.flat() - model.flat()
+            i = np.flatnonzero(moved)
+            i, moved = np.append(i, -1), np.append(moved[i], 1)  # -1: the number of examples
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(moved * np.float32(examples))], names=["i", "x"])
+
+        parts = shards.mapInArrow(run, "i int, x float").groupBy("i").agg(F.sum("x").alias("x"))
+        total = written(parts, "parameters").toArrow()  # as many rows as parameters
+        i, x = total["i"].to_numpy(), total["x"].to_numpy()
+        if (x[i < 0] > 0).any():
+            flat = model.flat().astype(float)
+            flat[i[i >= 0]] += x[i >= 0] / x[i < 0]
             model = model.like(flat)
     model.rare = bucket_words(counts, model.vocabulary)
     return model
