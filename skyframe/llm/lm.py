@@ -315,7 +315,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
             moved = m.flat() - model.flat()
             i = np.flatnonzero(moved)
             i, moved = np.append(i, -1), np.append(moved[i], 1)  # -1: the number of examples
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(moved * np.float32(examples))], names=["i", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array((moved * examples).astype(np.float32))], names=["i", "x"])
 
         parts = shards.mapInArrow(run, "i int, x float").groupBy("i").agg(F.sum("x").alias("x"))
         total = written(parts, "parameters").toArrow()  # as many rows as parameters
