@@ -50,8 +50,9 @@ def hflip(pixels: Column | str, h: Number, w: Number) -> Column:
 
 
 def crop_start(have: Number, want: Number) -> Column:
-    """Start of a centred window: half the difference, rounded half to even."""
-    return F.rint((_c(have) - _c(want)) / 2.0).cast("int")
+    """Start of a centred window: half the difference, rounded half to even; where the window is larger, the smaller half of it is before the tile."""
+    half = (_c(have) - _c(want)) / 2.0
+    return F.when(half < 0, F.ceil(half)).otherwise(F.rint(half)).cast("int")
 
 
 def center_crop(pixels: Column | str, h: Number, w: Number, to_h: Number, to_w: Number) -> Column:

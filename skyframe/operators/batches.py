@@ -12,13 +12,15 @@ def stable_number(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
 
 
-def number_rows(rows: DataFrame, order: list[str], name: str = "ordinal", buckets: int = 64) -> DataFrame:
+def number_rows(rows: DataFrame, order: list[str], name: str = "ordinal", buckets: int | None = None) -> DataFrame:
     """Dense numbers from 0 in the given order, by counts per range of the first order column.
 
     The rows are cut at approximate quantiles of the first column (which must be numeric), numbered inside
-    each bucket, and moved on by the counts of the buckets before: as many tasks as buckets.
+    each bucket, and moved on by the counts of the buckets before: as many tasks as buckets, which are as many as the
+    session's shuffle partitions if not given. A job over that column finds the quantiles while the plan is built.
     """
     first = order[0]
+    buckets = buckets or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
     cuts = sorted(set(rows.approxQuantile(first, [i / buckets for i in range(1, buckets)], 0.01)))
     bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(first))) if cuts else F.lit(0)
     held = rows.withColumn("__b", bucket)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bound
 from ..functions.stats import median, spread
+from .tiles import with_tile_columns
 
 
 def background_rms(pixels: Column | str, passes: int = 3, sigmas: float = 3.0) -> Column:
@@ -39,18 +37,35 @@ def binarised(labels: Column | str) -> Column:
 
 
 def keep_areas(mask: np.ndarray, least: int) -> np.ndarray:
-    """0/1 mask without the 8-connected areas of fewer than `least` pixels: labels sink to their neighbours' minimum."""
+    """0/1 mask without the 8-connected areas of fewer than `least` pixels.
+
+    Runs of lit pixels are linked with the runs of the next row that they touch, and merged to the smallest number by
+    hooking and pointer jumping: a few passes over the runs, whatever the areas' extent.
+    """
     h, w = mask.shape
-    labels = np.where(mask > 0, np.arange(1, h * w + 1).reshape(h, w), 0)
+    flat = np.zeros((h, w + 2), np.int8)
+    flat[:, 1:-1] = mask > 0
+    turns = np.diff(flat.ravel())
+    first, end = np.flatnonzero(turns == 1) + 1, np.flatnonzero(turns == -1) + 1  # in rows of w + 2
+    low, high = np.searchsorted(end, first + w + 2, "left"), np.searchsorted(first, end + w + 2, "right")
+    many = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(first)), many)
+    b = np.arange(len(a)) - np.repeat(np.cumsum(many) - many, many) + low[a]
+    parent = np.arange(len(first))
     while True:
-        padded = np.pad(np.where(labels > 0, labels, h * w + 1), 1, constant_values=h * w + 1)
-        low = np.min([padded[dy : dy + h, dx : dx + w] for dy in range(3) for dx in range(3)], axis=0)
-        new = np.where(labels > 0, low, 0)
-        if (new == labels).all():
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
             break
-        labels = new
-    sizes = np.bincount(labels.ravel(), minlength=h * w + 1)
-    return ((labels > 0) & (sizes[labels] >= least)).astype(np.int8)
+        np.minimum.at(parent, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+    size = np.bincount(parent, end - first, len(first))[parent]
+    out = np.zeros(h * (w + 2) + 1, np.int8)
+    keep = size >= least
+    out[first[keep]] = 1
+    out[end[keep]] = -1
+    return np.cumsum(out)[:-1].reshape(h, w + 2)[:, 1:-1].astype(np.int8)
 
 
 def detect_sources(tiles: DataFrame, k: float = 3.0, min_area: int = 5, passes: int = 3, pixels: str = "pixels") -> DataFrame:
@@ -63,10 +78,4 @@ def detect_sources(tiles: DataFrame, k: float = 3.0, min_area: int = 5, passes:
     if min_area <= 1:
         return marked
 
-    def label(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            whole = [None if m is None or len(m) != h * w else keep_areas(np.asarray(m).reshape(h, w), min_area).ravel() for m, h, w in zip(batch["mask"], batch["h"], batch["w"])]
-            batch["mask"] = pd.Series(whole, dtype=object)
-            yield batch
-
-    return marked.mapInPandas(label, marked.schema)
+    return with_tile_columns(marked, lambda m: (keep_areas(m, min_area),), "mask array<tinyint>", "mask")

@@ -27,11 +27,12 @@ def filter_finite(tiles: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def has_shape(pixels: str, h: int, w: int) -> Column:
-    return F.coalesce(F.size(pixels) == h * w, F.lit(False))
+    """Whether a tile has this shape on both axes, by its columns {pixels}_h and {pixels}_w, and as many pixels."""
+    return F.coalesce((F.col(f"{pixels}_h") == h) & (F.col(f"{pixels}_w") == w) & (F.size(pixels) == h * w), F.lit(False))
 
 
 def filter_shape(tiles: DataFrame, shapes: dict[str, tuple[int, int]]) -> DataFrame:
-    """Rows whose named columns have those (h, w)."""
+    """Rows whose named columns have those (h, w); see has_shape."""
     for c, (h, w) in shapes.items():
         tiles = tiles.filter(has_shape(c, h, w))
     return tiles
@@ -55,6 +56,12 @@ def ratio_violations(pairs: DataFrame, ratio: int, hr: tuple[str, str], lr: tupl
     return pairs.filter(F.coalesce(wrong, F.lit(False)))
 
 
+def assert_ratio(pairs: DataFrame, ratio: int, hr: tuple[str, str], lr: tuple[str, str]) -> DataFrame:
+    """pairs; a job that reads a violation fails."""
+    right = (F.col(hr[0]) == F.col(lr[0]) * ratio) & (F.col(hr[1]) == F.col(lr[1]) * ratio)
+    return pairs.filter(F.assert_true(F.coalesce(right, F.lit(True)), f"a high-resolution tile isn't {ratio} times the low one").isNull())
+
+
 def reject_reason(hr: str, lr: str, others: list[str], shapes: dict[str, tuple[int, int]]) -> Column:
     """Why a row is dropped before batching, NULL for a good one. The checks are made in this order."""
     reason = F.when(F.greatest(*(F.col(c).isNull().cast("int") for c in (hr, lr, *others))) == 1, "corrupt")

@@ -77,10 +77,32 @@ def composite_loss(terms: dict[str, Column], weights: dict[str, float] = WEIGHTS
     return total * rate
 
 
-def validate(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """l1, masked_l1, masked_l2 and their ratio per group, of pairs with real, fake, mask; no model is updated."""
-    sums = pair_sums(pairs, mask="mask").groupBy(*by).agg(l1_loss().alias("l1"), masked_l1().alias("masked_l1"), masked_l2().alias("masked_l2"))
-    return sums.withColumn("loss_ratio", loss_ratio("masked_l1", "l1"))
+def validate(pairs: DataFrame, by: list[str], logits: dict[str, str] | None = None, features: str | None = None, coefficients: str | None = None, level_weights: dict[int, float] | None = None) -> DataFrame:
+    """All component losses per group, of pairs with real, fake and mask, in one pass and one shuffle; no model is updated.
+
+    Always l1, masked_l1, masked_l2 and loss_ratio. With logits, {"fake": column, "real": column} of the discriminator's
+    maps: adv (fake against 1) and disc (real against 1 plus fake against 0). With features, an array of (level, real, fake)
+    vectors: vgg, the weighted sum over levels of mean squared differences. With coefficients, an array of (channel,
+    real, fake) maps: scat, the mean over pairs of the absolute differences in all channels but 0.
+    """
+    each, out = pair_sums(pairs, mask="mask"), {"l1": l1_loss(), "masked_l1": masked_l1(), "masked_l2": masked_l2()}
+    mean = lambda s, n: F.try_divide(F.sum(s), F.sum(n))
+    if logits:
+        bce = lambda side, target: _total(F.transform(logits[side], lambda v: bce_with_logits(v, target)))
+        each = each.withColumn("__f1", bce("fake", 1.0)).withColumn("__f0", bce("fake", 0.0)).withColumn("__r1", bce("real", 1.0)).withColumn("__fn", F.size(logits["fake"])).withColumn("__rn", F.size(logits["real"]))
+        out |= {"adv": mean("__f1", "__fn"), "disc": mean("__r1", "__rn") + mean("__f0", "__fn")}
+    if features:
+        total = F.lit(0.0)
+        for level, weight in sorted((level_weights or {}).items()):
+            own = F.filter(features, lambda x: x["level"] == level)  # noqa: B023
+            squares = F.aggregate(own, F.lit(0.0), lambda acc, x: acc + _total(F.zip_with(x["real"], x["fake"], lambda r, f: (r - f) * (r - f))))
+            each = each.withColumn(f"__s{level}", squares).withColumn(f"__n{level}", F.aggregate(own, F.lit(0), lambda acc, x: acc + F.size(x["real"])))
+            total = total + F.coalesce(mean(f"__s{level}", f"__n{level}"), F.lit(0.0)) * weight
+        out["vgg"] = total
+    if coefficients:
+        each = each.withColumn("__c", F.aggregate(F.filter(coefficients, lambda x: x["channel"] > 0), F.lit(0.0), lambda acc, x: acc + _total(F.zip_with(x["real"], x["fake"], lambda r, f: F.abs(r - f)))))
+        out["scat"] = F.avg("__c")
+    return each.groupBy(*by).agg(*(c.alias(n) for n, c in out.items())).withColumn("loss_ratio", loss_ratio("masked_l1", "l1"))
 
 
 def loss_ratio(masked: str, plain: str) -> Column:

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.wcs import pix_to_sky, sky_to_pix
 from .batches import stable_number
 
 
-def sampling_bounds(h: int, w: int, size: int) -> tuple[tuple[int, int], tuple[int, int]]:
-    """Inclusive bounds of window centres on both axes, half a window from the edges."""
+def sampling_bounds(h: int | Column, w: int | Column, size: int) -> tuple[tuple, tuple]:
+    """Inclusive bounds of window centres on both axes, half a window from the edges. Sizes are numbers or Columns."""
     return (size // 2, h - size // 2), (size // 2, w - size // 2)
 
 
@@ -37,19 +40,21 @@ def validate_locations(candidates: DataFrame, mask: DataFrame, size: int) -> Dat
 def sample_locations(mask: DataFrame, n: int, size: int, seed: int = 0, replace: bool = True) -> DataFrame:
     """n locations, uniform over the valid centres; none if there is no valid centre.
 
-    With replacement, numbers 0..n-1 draw a centre each by a hash; without, the n centres of least hash are taken.
+    The centres are numbered in the order of a stable hash of seed, y and x, by ranges of it, as many as shuffle
+    partitions; with replacement, draws 0..n-1 take the number that a stable hash gives them; without, the first n centres are
+    taken. The result depends on the seed and the mask alone. The centres are counted by a job while the plan is built.
     """
-    centers = valid_centers(mask, size)
+    centers = valid_centers(mask, size).withColumn("h", stable_number(F.lit(seed), "y", "x"))
     if not replace:
-        return centers.withColumn("h", stable_number(F.lit(seed), "y", "x")).orderBy("h", "y", "x").limit(n).select("y", "x")
-    parts = 64
-    keyed = centers.withColumn("p", stable_number(F.lit(seed), "y", "x") % parts)
+        return centers.orderBy("h", "y", "x").limit(n).select("y", "x")
+    parts = int(centers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = centers.withColumn("p", F.shiftright(F.col("h") * parts, 32))  # hashes have 32 bits
     counts = keyed.groupBy("p").agg(F.count("*").alias("c"))
-    before = counts.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("skip"))
-    numbered = keyed.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("y", "x"))).join(F.broadcast(before), "p").select("y", "x", (F.col("skip") + F.col("r") - 1).cast("bigint").alias("k"))
+    before = counts.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("skip"))  # at most `parts` rows
+    numbered = keyed.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("h", "y", "x"))).join(F.broadcast(before), "p").select("y", "x", (F.col("skip") + F.col("r") - 1).cast("bigint").alias("k"))
     total = counts.agg(F.sum("c").alias("total")).first()["total"] or 0
     draws = centers.sparkSession.range(n if total else 0).withColumnRenamed("id", "idx")
-    drawn = draws.withColumn("k", F.pmod(F.xxhash64(F.lit(seed), "idx"), F.lit(max(total, 1))).cast("bigint"))
+    drawn = draws.withColumn("k", (stable_number(F.lit(seed), "idx") % max(total, 1)).cast("bigint"))
     return drawn.join(numbered, "k").select("idx", "y", "x")
 
 
@@ -64,7 +69,7 @@ def crossmatch_centers(centers: DataFrame, wcs_from: Column, wcs_to: Column, ori
 def extract_cutouts(mosaic: DataFrame, centers: DataFrame, size: int, bin_size: int = 64) -> DataFrame:
     """Pixels (idx, y, x, v) of the square window of each centre (idx, y, x), trimmed at the mosaic's edge.
 
-    The window starts at ceil(centre - size / 2). A window is joined on the bins that it touches, so the
+    For mosaics with gaps, whose pixels are rows; dense ones are cut by cut_tiles. The window starts at ceil(centre - size / 2). A window is joined on the bins that it touches, so the
     range condition is a residual of an equi-join; y and x count from the window's start.
     """
     start = lambda c: F.ceil(F.col(c) - size / 2.0).cast("int")
@@ -76,6 +81,58 @@ def extract_cutouts(mosaic: DataFrame, centers: DataFrame, size: int, bin_size:
     return binned.join(windows, ["by", "bx"]).filter(inside).select("idx", (F.col("y") - F.col("y0")).alias("y"), (F.col("x") - F.col("x0")).alias("x"), "v")
 
 
+def cut_tiles(chunks: DataFrame, centers: DataFrame, size: int, chunk: int, block_bytes: int = 64 << 20) -> DataFrame:
+    """Tiles (idx, y, x, h, w, pixels) of the square window of each centre (idx, y, x), trimmed at the mosaic's edge.
+
+    y and x are the place of the tile's first pixel in the mosaic. The mosaic is dense, in chunks (ty, tx, h, w, pixels) whose first pixel is (ty * chunk, tx * chunk). A window starts at
+    ceil(centre - size / 2). Centres meet the one to four chunks that they touch in groups of one chunk and as many centres
+    as make block_bytes of pixels, so that a chunk with very many centres is split; numpy slices them, and
+    windows of several chunks are put together, four pieces at most. No pixel is a row of its own.
+    """
+    start = lambda c: F.ceil(F.col(c) - size / 2.0).cast("int")
+    touched = lambda c: F.explode(F.sequence(F.floor(F.col(c) / chunk).cast("int"), F.floor((F.col(c) + size - 1) / chunk).cast("int")))
+    many = max(1, block_bytes // (8 * size * size))
+    kind = to_arrow_type(centers.schema["idx"].dataType)
+    names, kinds = ["idx", "y", "x", "h", "w", "pixels"], [kind, *[pa.int32()] * 4, pa.list_(pa.float64())]
+
+    def table(rows: list[tuple]) -> pa.Table:
+        columns = list(zip(*rows)) or [()] * len(names)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    def cut(of: pa.Table, held: pa.Table) -> pa.Table:
+        rows = []
+        for c in range(held.num_rows):
+            h, w, ty, tx = (held[k][c].as_py() for k in ("h", "w", "ty", "tx"))
+            a = held["pixels"][c].values.to_numpy(zero_copy_only=False).reshape(h, w)
+            for idx, y0, x0 in zip(of["idx"].to_pylist(), of["y0"].to_pylist(), of["x0"].to_pylist()):
+                top, left = max(y0 - ty * chunk, 0), max(x0 - tx * chunk, 0)
+                part = a[top : max(y0 + size - ty * chunk, 0), left : max(x0 + size - tx * chunk, 0)]
+                if part.size:
+                    rows.append((idx, ty * chunk + top, tx * chunk + left, *part.shape, part.ravel()))
+        return table(rows)
+
+    def put_together(pieces: pa.Table) -> pa.Table:
+        y, x, h, w = (pieces[k].to_numpy() for k in ("y", "x", "h", "w"))
+        whole = np.full((int((y + h).max() - y.min()), int((x + w).max() - x.min())), np.nan)
+        for k, p in enumerate(pieces["pixels"].to_pylist()):
+            whole[y[k] - y.min() :, x[k] - x.min() :][: h[k], : w[k]] = np.reshape(p, (h[k], w[k]))
+        return table([(pieces["idx"][0].as_py(), int(y.min()), int(x.min()), *whole.shape, whole.ravel())])
+
+    by, schema = ("ty", "tx", "block"), f"idx {centers.schema['idx'].dataType.simpleString()}, y int, x int, h int, w int, pixels array<double>"
+
+    def pieces(windows: DataFrame) -> DataFrame:
+        windows = windows.withColumn("ty", touched("y0")).withColumn("tx", touched("x0"))
+        blocks = windows.groupBy("ty", "tx").agg(F.ceil(F.count("*") / many).cast("int").alias("blocks"))
+        dealt = windows.join(blocks, ["ty", "tx"]).withColumn("block", F.expr("int(pmod(xxhash64(idx), blocks))")).drop("blocks")
+        copies = chunks.select("ty", "tx", "h", "w", "pixels").join(blocks, ["ty", "tx"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        return dealt.groupBy(*by).cogroup(copies.toDF(*copies.columns).groupBy(*by)).applyInArrow(cut, schema)
+
+    windows = centers.select("idx", start("y").alias("y0"), start("x").alias("x0"))
+    inside = lambda c: F.floor((F.col(c) + size - 1) / chunk) == F.floor(F.col(c) / chunk)
+    alone = inside("y0") & inside("x0")
+    return pieces(windows.filter(alone)).unionByName(pieces(windows.filter(~alone)).groupBy("idx").applyInArrow(put_together, schema))
+
+
 def without_overlap(centers: DataFrame, cutouts: DataFrame) -> DataFrame:
     """Centres whose window has no pixel at all."""
     return centers.join(cutouts.select("idx").distinct(), "idx", "left_anti")

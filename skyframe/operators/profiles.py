@@ -1,41 +1,70 @@
-"""Light profiles and shapes of single tiles."""
+"""Light profiles and shapes of single tiles: numpy on the arrays of Arrow batches, no tile is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import lru_cache
+
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tiles import with_tile_columns
+
+
+@lru_cache(64)
+def _rings(h: int, w: int, cy: float, cx: float) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct radii of an h by w tile's pixels from the centre, and each pixel's number among them."""
+    y, x = np.mgrid[:h, :w]
+    r, ring = np.unique(np.sqrt((y - cy) ** 2 + (x - cx) ** 2), return_inverse=True)
+    return r, ring.ravel()
+
+
+def growth_curve(tiles: DataFrame, cy: float, cx: float, pixels: str = "pixels") -> DataFrame:
+    """tiles with `r`, the distinct radii in order, and `frac`, the share of a tile's light within each; frac is NULL if there is no light."""
 
-def growth_curve(pixels: DataFrame, cy: float, cx: float) -> DataFrame:
-    """(idx, r, frac): the share of a tile's light within radius r of the centre; NULL if there is no light."""
-    rings = pixels.withColumn("r", F.sqrt((F.col("y") - cy) ** 2 + (F.col("x") - cx) ** 2)).groupBy("idx", "r").agg(F.sum("v").alias("light"))
-    so_far = Window.partitionBy("idx").orderBy("r").rangeBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("idx")
-    return rings.select("idx", "r", F.try_divide(F.sum("light").over(so_far), F.sum("light").over(whole)).alias("frac"))
+    def curve(a: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        r, ring = _rings(*a.shape, cy, cx)
+        light = np.cumsum(np.bincount(ring, a.ravel(), len(r)))
+        return r, light / light[-1] if light[-1] else None
 
+    return with_tile_columns(tiles, curve, "r array<double>, frac array<double>", pixels)
 
-def light_radii(curve: DataFrame) -> DataFrame:
+
+def curve_points(curves: DataFrame) -> DataFrame:
+    """(idx, r, frac): a row per radius, for display."""
+    return curves.select("idx", F.explode(F.arrays_zip("r", F.coalesce("frac", F.array_repeat(F.lit(None).cast("double"), F.size("r"))).alias("frac"))).alias("p")).select("idx", "p.*")
+
+
+def light_radii(curves: DataFrame) -> DataFrame:
     """(idx, r25, r50, r75, c7525): the smallest radii that hold such shares, and the concentration r75 / r25."""
-    at = lambda q: F.min(F.when(F.col("frac") >= q, F.col("r")))
-    radii = curve.groupBy("idx").agg(at(0.25).alias("r25"), at(0.5).alias("r50"), at(0.75).alias("r75"))
+    first = lambda q: F.get("r", (F.array_position(F.transform("frac", lambda v: v >= q), True) - 1).cast("int"))
+    radii = curves.select("idx", first(0.25).alias("r25"), first(0.5).alias("r50"), first(0.75).alias("r75"))
     return radii.withColumn("c7525", F.try_divide(F.col("r75"), F.col("r25")))
 
 
 def encircled_energy_diff(measured: DataFrame, truth: DataFrame, radius: float) -> DataFrame:
     """(idx, diff): the relative difference of two growth curves at a radius."""
-    at = lambda curve, name: curve.filter(F.col("r") <= radius).groupBy("idx").agg(F.max_by("frac", "r").alias(name))
+    at = lambda curves, name: curves.select("idx", F.get("frac", F.size(F.filter("r", lambda v: v <= radius)) - 1).alias(name))
     return at(measured, "m").join(at(truth, "t"), "idx").select("idx", F.try_divide(F.col("m") - F.col("t"), F.col("t")).alias("diff"))
 
 
-def tile_moments(pixels: DataFrame) -> DataFrame:
+def tile_moments(tiles: DataFrame, pixels: str = "pixels") -> DataFrame:
     """(idx, q, ux, uy): axis ratio and unit vector of the long axis from flux-weighted second moments.
 
     The formula is this library's choice. Tiles without positive light, and negative pixels, are left out.
     """
-    lit = pixels.filter("v > 0")
-    m = lit.groupBy("idx").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("x")).alias("sx"), F.sum(F.col("v") * F.col("y")).alias("sy"), F.sum(F.col("v") * F.col("x") * F.col("x")).alias("sxx"), F.sum(F.col("v") * F.col("y") * F.col("y")).alias("syy"), F.sum(F.col("v") * F.col("x") * F.col("y")).alias("sxy"))
-    m = m.select("idx", (F.col("sxx") / F.col("s") - (F.col("sx") / F.col("s")) ** 2).alias("a"), (F.col("syy") / F.col("s") - (F.col("sy") / F.col("s")) ** 2).alias("d"), (F.col("sxy") / F.col("s") - F.col("sx") * F.col("sy") / (F.col("s") * F.col("s"))).alias("b"))
-    root = F.sqrt((F.col("a") - F.col("d")) ** 2 / 4 + F.col("b") ** 2)
-    mid = (F.col("a") + F.col("d")) / 2
-    angle = F.atan2(2 * F.col("b"), F.col("a") - F.col("d")) / 2
-    return m.select("idx", F.sqrt(F.try_divide(F.greatest(mid - root, F.lit(0.0)), mid + root)).alias("q"), F.cos(angle).alias("ux"), F.sin(angle).alias("uy"))
+
+    def moments(a: np.ndarray) -> tuple[float | None, ...]:
+        lit = np.where(a > 0, a, 0)
+        s = lit.sum()
+        if not s:
+            return None, None, None
+        y, x = np.arange(a.shape[0]), np.arange(a.shape[1])
+        by_y, by_x = lit.sum(1), lit.sum(0)
+        my, mx = by_y @ y / s, by_x @ x / s
+        d, aa, b = by_y @ (y - my) ** 2 / s, by_x @ (x - mx) ** 2 / s, (y - my) @ lit @ (x - mx) / s
+        root, mid, angle = np.hypot((aa - d) / 2, b), (aa + d) / 2, np.arctan2(2 * b, aa - d) / 2
+        q = float(np.sqrt(max(mid - root, 0.0) / (mid + root))) if mid + root else None
+        return q, float(np.cos(angle)), float(np.sin(angle))
+
+    return with_tile_columns(tiles, moments, "q double, ux double, uy double", pixels).filter("ux is not null").select("idx", "q", "ux", "uy")

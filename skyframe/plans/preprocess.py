@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -95,7 +95,7 @@ def flipped(pixels: str, h: int, w: int, vertical: Column, horizontal: Column) -
 
 
 def preprocess(pairs: DataFrame, hr: tuple[int, int, int], lr: tuple[int, int, int], k: float = 3.0, epoch: int | None = None, seed: int = 0, key: str = "idx") -> DataFrame:
-    """Training samples of pairs (key, hr, lr arrays): hr, lr, lr_up and mask, padded; one narrow pass.
+    """Training samples of pairs (key, hr, lr arrays): hr, lr, lr_up and mask, padded, and their sizes as hr_h, hr_w and so on; one narrow pass.
 
     hr and lr are (size, crop, pad). The order is fixed: flip (only with an epoch), crop, detect on the raw
     crop, clip and scale each survey, enlarge the scaled low-resolution tile, pad all four.
@@ -110,13 +110,16 @@ def preprocess(pairs: DataFrame, hr: tuple[int, int, int], lr: tuple[int, int, i
         out = out.withColumn(c, clipped(c, then=lambda x: scale.ds9_scale(x, offset=1.0)))
     out = out.withColumn("lr_up", arrays.resize_nearest("lr", lc, lc, hc, hc))
     for c, n, p in (("hr", hc, hp), ("lr", lc, lp), ("lr_up", hc, hp), ("mask", hc, hp)):
-        out = out.withColumn(c, arrays.reflect_pad(c, n, n, p))
+        out = out.withColumn(c, arrays.reflect_pad(c, n, n, p)).withColumn(f"{c}_h", F.lit(n + 2 * p)).withColumn(f"{c}_w", F.lit(n + 2 * p))
     return out
 
 
-def collate(samples: DataFrame, size: int, shapes: dict[str, tuple[int, int]], key: str = "idx", finite: tuple[str, str] = ("hr", "lr"), whole: tuple[str, ...] = ("hr", "lr", "lr_up", "mask"), refill: bool = False) -> DataFrame:
-    """Good samples with batch_id. Without refill, batches are cut before bad rows are dropped."""
-    keep: Step = lambda df: filter_shape(filter_finite(drop_corrupt(df, list(whole)), list(finite)), shapes)
+def collate(samples: DataFrame, size: int, shapes: dict[str, tuple[int, int]], key: str = "idx", finite: tuple[str, str] = ("hr", "lr"), whole: tuple[str, ...] = ("hr", "lr", "lr_up", "mask"), refill: bool = False, hook: Step | None = None) -> DataFrame:
+    """Good samples with batch_id. Without refill, batches are cut before bad rows are dropped.
+
+    A hook takes the place of the checks: any function of the numbered samples that returns a DataFrame with batch_id.
+    """
+    keep: Step = hook or (lambda df: filter_shape(filter_finite(drop_corrupt(df, list(whole)), list(finite)), shapes))
     number: Step = lambda df: batched(number_rows(df, [key]), size)
     return chained(samples, *((keep, number) if refill else (number, keep)))
 
@@ -125,21 +128,26 @@ def score_tiles(tiles: DataFrame, make_predict: Callable[[], Callable[[np.ndarra
     """Adds what the user's model predicts from (n, h, w) batches, as flat arrays; NULL for a NULL tile.
 
     The model is made once a task. The result is a plain column, which array functions can take.
+    A tile whose size isn't h * w gets NULL too.
     """
+    names, size = tiles.columns, h * w
+    place = names.index(pixels)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = make_predict()
         for batch in batches:
-            made = pd.Series([None] * len(batch), dtype=object)
-            whole = np.flatnonzero(batch[pixels].notna().to_numpy())
-            for i in range(0, len(whole), batch_size):
-                at = whole[i : i + batch_size]
-                x = np.stack([np.asarray(batch[pixels].iloc[k], np.float32) for k in at]).reshape(len(at), h, w)
-                for k, y in zip(at, predict(x).reshape(len(at), -1).astype(np.float32)):
-                    made.iloc[k] = y
-            yield batch.assign(**{out: made})
-
-    return tiles.mapInPandas(run, T.StructType([*tiles.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
+            lists = batch.column(place)
+            starts = lists.offsets.to_numpy()
+            whole = lists.is_valid().to_numpy(zero_copy_only=False) & (np.diff(starts) == size)
+            flat = lists.values.to_numpy(zero_copy_only=False)[np.repeat(whole, np.diff(starts))] if starts[0] == 0 and len(lists.values) == starts[-1] else np.concatenate([np.zeros(0), *(lists.values.to_numpy(zero_copy_only=False)[a:b] for a, b, k in zip(starts, starts[1:], whole) if k)])
+            x = flat.astype(np.float32).reshape(-1, h, w)
+            made = [predict(x[i : i + batch_size]).astype(np.float32).ravel() for i in range(0, len(x), batch_size)]
+            values = np.concatenate([np.zeros(0, np.float32), *made])
+            each = len(values) // max(len(x), 1)
+            offsets = pa.array(np.cumsum([0, *np.where(whole, each, 0)], dtype=np.int32))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(offsets, pa.array(values), mask=pa.array(~whole))], names=[*names, out])
+
+    return tiles.mapInArrow(run, T.StructType([*tiles.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))]))
 
 
 def nearest_baseline(factor: int) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:

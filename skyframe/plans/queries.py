@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -14,7 +14,8 @@ from ..functions.wcs import cutout_header, pix_to_sky, sky_to_pix
 from ..operators import batches as B
 from ..operators import catalog as C
 from ..operators import detect, gates, losses, metrics, mosaic, pairs, profiles
-from ..operators.tiles import assemble_tiles, dataset_stats, explode_tiles, with_dataset_stats
+from ..operators.tiles import assemble_tiles, blur_tiles, chunked, dataset_stats, explode_tiles, freq_split_tiles, with_dataset_stats
+from ..sources import images
 from ..sources import tables as sinks
 from ..streaming import jobs
 from . import fixtures as X
@@ -120,20 +121,21 @@ _KINDS_SQL = {
     "hst_downscale": "v",
     "paired_image_translation": "2 * ((v - lo) / (hi - lo)) - 1",
     "ds9_scale": "CASE WHEN v > -0.001 THEN log10(v * 1000 + 1) / log10(1001) - 1 END",
+    "sigmoid_rms": "1 / (1 + exp(-least(greatest(s / nullif(v, 0), -600), 600)))",
 }
 
 
 @query(
     "f13_scale_tiles",
     f"WITH {PX}, g AS (SELECT label, min(v) AS lo, max(v) AS hi, median(v) AS m, stddev_pop(v) AS s FROM px GROUP BY label), t AS (SELECT idx, median(v) AS tm, stddev_pop(v) AS ts FROM px GROUP BY idx), j AS (SELECT * FROM px JOIN g USING (label) JOIN t USING (idx)) "
-    + " UNION ALL ".join(f"SELECT '{k}' AS kind, idx, round(avg(u), 5) AS mean_scaled FROM (SELECT idx, {e} AS u FROM j{' WHERE v + abs(lo) + 1e-6 > 0' if k == 'log_scale' else ''}) GROUP BY idx" for k, e in _KINDS_SQL.items()),
+    + " UNION ALL ".join(f"SELECT '{k}' AS kind, idx, y, x, round({'CASE WHEN v + abs(lo) + 1e-6 > 0 THEN ' + e + ' END' if k == 'log_scale' else e}, 4) AS scaled FROM j" for k, e in _KINDS_SQL.items()),
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = X.tiles(spark, d)
     t = with_dataset_stats(t, dataset_stats(t, ["label"]), ["label"]).withColumn("hr_lowest", F.col("lowest"))
     each = F.array(*(F.struct(F.lit(k).alias("kind"), P.SCALINGS[k]("pixels").alias("p")) for k in _KINDS_SQL))
-    made = t.select("idx", F.explode(each).alias("e")).select("idx", "e.kind", F.filter("e.p", lambda v: v.isNotNull()).alias("p"))
-    return made.select("kind", "idx", F.round(stats.mean("p"), 5).alias("mean_scaled"))
+    made = t.select("idx", "w", F.explode(each).alias("e")).select("idx", "w", "e.kind", F.col("e.p").alias("pixels"))
+    return explode_tiles(made).select("kind", "idx", "y", "x", F.round("v", 4).alias("scaled"))
 
 
 # ---- geometry
@@ -152,6 +154,11 @@ def _(t: DataFrame) -> DataFrame:
     return t.withColumn("pixels", A.center_crop("pixels", 8, 8, 5, 6)).withColumn("w", F.lit(6))
 
 
+@tiles_of("f15_center_crop_padded", f"{PX}, g AS (SELECT a.i AS ty, b.i AS tx FROM range(11) a(i), range(6) b(i)), out AS (SELECT t.idx, ty AS y, tx AS x, coalesce(px.v, 0) AS v FROM (SELECT DISTINCT idx FROM px) t CROSS JOIN g LEFT JOIN px ON px.idx = t.idx AND px.y = ty - 1 AND px.x = tx + 1)")
+def _(t: DataFrame) -> DataFrame:
+    return t.withColumn("pixels", A.center_crop("pixels", 8, 8, 11, 6)).withColumn("w", F.lit(6))
+
+
 _REFLECT = "CASE WHEN {0} < 3 THEN 3 - {0} WHEN {0} >= 11 THEN 17 - {0} ELSE {0} - 3 END"
 
 
@@ -188,14 +195,18 @@ def _blur_sql(sigma: float, mode: str) -> str:
 
 
 @tiles_of("w2_gaussian_blur", f"{PX}, {_blur_sql(1.0, 'symmetric')}, out AS (SELECT * FROM blur)")
+def _(t: DataFrame) -> DataFrame:
+    return blur_tiles(t, 1.0)
+
+
+@tiles_of("w2_gaussian_blur_column", f"{PX}, {_blur_sql(1.0, 'symmetric')}, out AS (SELECT * FROM blur)")
 def _(t: DataFrame) -> DataFrame:
     return t.withColumn("pixels", A.gaussian_blur("pixels", 8, 8, 1.0))
 
 
 @tiles_of("w3_decimate", f"{PX}, {_blur_sql(1.0, 'symmetric')}, out AS (SELECT idx, y // 3 AS y, x // 3 AS x, v FROM blur WHERE y % 3 = 0 AND x % 3 = 0)")
 def _(t: DataFrame) -> DataFrame:
-    blurred = t.withColumn("pixels", A.gaussian_blur("pixels", 8, 8, 1.0))
-    return blurred.withColumn("pixels", A.decimate("pixels", 8, 8, 3)).withColumn("w", F.lit(3))
+    return blur_tiles(t, 1.0).withColumn("pixels", A.decimate("pixels", 8, 8, 3)).withColumn("w", F.lit(3))
 
 
 @query(
@@ -205,8 +216,9 @@ def _(t: DataFrame) -> DataFrame:
     "SELECT idx, y, x, round(low, 6) AS low, round(h / nullif(m, 0), 6) AS high FROM hf JOIN m USING (idx)",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    t = X.tiles(spark, d).select("idx", "w", P.freq_split("pixels", 8, 8, 2.0).alias("pixels"))
-    return explode_tiles(t).select("idx", "y", "x", F.round("v.low", 6).alias("low"), F.round("v.high", 6).alias("high"))
+    t = freq_split_tiles(X.tiles(spark, d), 2.0)
+    both = F.zip_with("low", "high", lambda low, high: F.struct(low.alias("low"), high.alias("high")))
+    return explode_tiles(t.select("idx", "w", both.alias("pixels"))).select("idx", "y", "x", F.round("v.low", 6).alias("low"), F.round("v.high", 6).alias("high"))
 
 
 @query("f24_rgb_normalised", f"WITH {PX}, c(channel, m, s) AS (VALUES (0, 0.485, 0.229), (1, 0.456, 0.224), (2, 0.406, 0.225)) SELECT idx, channel, round(avg(((v + 1) / 2 - m) / s), 6) AS mean_value FROM px, c GROUP BY 1, 2")
@@ -238,12 +250,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bad_tiles(spark: SparkSession, d: str) -> DataFrame:
-    """Tiles with a NaN, an infinity, a short array or NULL by idx % 10, as hr; whole ones as lr, lr_up and mask."""
+    """Tiles with a NaN, an infinity, a short array, NULL or a transposed 4 by 16 shape by idx % 10, as hr; whole ones as lr, lr_up and mask."""
     t = X.tiles(spark, d)
     spoil = lambda v: F.concat(F.slice("pixels", 1, 63), F.array(F.lit(float(v))))
     k = F.col("idx") % 10
     hr = F.when(k == 1, spoil("nan")).when(k == 2, spoil("inf")).when(k == 3, F.slice("pixels", 1, 60)).when(k != 4, F.col("pixels"))
-    return t.select("idx", hr.alias("hr"), F.col("pixels").alias("lr"), F.col("pixels").alias("lr_up"), F.col("pixels").alias("mask"))
+    out = t.select("idx", hr.alias("hr"), F.col("pixels").alias("lr"), F.col("pixels").alias("lr_up"), F.col("pixels").alias("mask"), "h", "w")
+    for c in ("hr", "lr", "lr_up"):
+        odd = (F.col("idx") % 10 == 5) if c == "hr" else F.lit(False)
+        out = out.withColumn(f"{c}_h", F.when(odd, 4).otherwise(F.col("h"))).withColumn(f"{c}_w", F.when(odd, 16).otherwise(F.col("w")))
+    return out.drop("h", "w")
 
 
 _SHAPES = {"hr": (8, 8), "lr": (8, 8), "lr_up": (8, 8)}
@@ -254,7 +270,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return gates.filter_finite(gates.drop_corrupt(bad_tiles(spark, d), ["hr"]), ["hr", "lr"]).select("idx")
 
 
-@query("p3_filter_shape", "SELECT vec_id AS idx FROM embeddings WHERE vec_id % 10 NOT IN (3, 4)")
+@query("p3_filter_shape", "SELECT vec_id AS idx FROM embeddings WHERE vec_id % 10 NOT IN (3, 4, 5)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return gates.filter_shape(bad_tiles(spark, d), _SHAPES).select("idx")
 
@@ -272,17 +288,39 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return gates.ratio_violations(sized, 2, ("h", "w"), ("lh", "lw")).select("idx")
 
 
-@query("p6_collate", "SELECT vec_id AS idx, CAST(vec_id // 8 AS BIGINT) AS batch_id FROM embeddings WHERE vec_id % 10 NOT IN (1, 2, 3, 4)")
+@query("p5_assert_ratio", "SELECT vec_id AS idx FROM embeddings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    sized = X.tiles(spark, d).withColumn("lh", F.lit(4)).withColumn("lw", F.when(F.col("idx") % 7 == 0, None).otherwise(4))
+    return gates.assert_ratio(sized, 2, ("h", "w"), ("lh", "lw")).select("idx")
+
+
+@query("u2_batch_hook", "SELECT vec_id AS idx, CAST(vec_id // 8 AS BIGINT) AS batch_id, count(*) OVER (PARTITION BY vec_id // 8) AS size FROM embeddings WHERE vec_id % 10 != 4")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A user's batch function instead of the checks: only missing tiles go, and each row knows its batch's size."""
+
+    def hook(batch: DataFrame) -> DataFrame:
+        return batch.filter("hr is not null").withColumn("size", F.count("*").over(Window.partitionBy("batch_id")))
+
+    return P.collate(bad_tiles(spark, d), 8, _SHAPES, hook=hook).select("idx", "batch_id", "size")
+
+
+@query("p1_filter_log_sum_defaults", f"WITH {PX} SELECT idx, round(sum(50 * abs(v)), 4) AS pix_sum FROM px GROUP BY idx HAVING sum(50 * abs(v)) > exp(2) AND sum(50 * abs(v)) < exp(7)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    bright = X.tiles(spark, d).withColumn("pixels", F.transform("pixels", lambda v: F.abs(v) * 50))
+    return gates.filter_log_sum(bright).select("idx", F.round(stats.pixel_sum("pixels"), 4).alias("pix_sum"))
+
+
+@query("p6_collate", "SELECT vec_id AS idx, CAST(vec_id // 8 AS BIGINT) AS batch_id FROM embeddings WHERE vec_id % 10 NOT IN (1, 2, 3, 4, 5)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return P.collate(bad_tiles(spark, d), 8, _SHAPES).select("idx", "batch_id")
 
 
-@query("x3_batch_refilled", "SELECT vec_id AS idx, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 8 AS BIGINT) AS batch_id FROM embeddings WHERE vec_id % 10 NOT IN (1, 2, 3, 4)")
+@query("x3_batch_refilled", "SELECT vec_id AS idx, CAST((row_number() OVER (ORDER BY vec_id) - 1) // 8 AS BIGINT) AS batch_id FROM embeddings WHERE vec_id % 10 NOT IN (1, 2, 3, 4, 5)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return P.collate(bad_tiles(spark, d), 8, _SHAPES, refill=True).select("idx", "batch_id")
 
 
-@query("p7_quality_report", "SELECT CASE WHEN vec_id % 10 = 4 THEN 'corrupt' WHEN vec_id % 10 IN (1, 2) THEN 'not finite' WHEN vec_id % 10 = 3 THEN 'shape' ELSE 'good' END AS reason, count(*) AS n FROM embeddings GROUP BY 1")
+@query("p7_quality_report", "SELECT CASE WHEN vec_id % 10 = 4 THEN 'corrupt' WHEN vec_id % 10 IN (1, 2) THEN 'not finite' WHEN vec_id % 10 IN (3, 5) THEN 'shape' ELSE 'good' END AS reason, count(*) AS n FROM embeddings GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return gates.quality_report(bad_tiles(spark, d), gates.reject_reason("hr", "lr", ["lr_up", "mask"], _SHAPES))
 
@@ -360,13 +398,36 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return losses.coeff_distance(c).select(F.round("coeff_distance", 6).alias("coeff_distance"))
 
 
-@query("a17_a18_composite_loss", f"WITH {PAIR}, t AS (SELECT label, avg(abs(r - f)) AS recon, sum(abs(r - f) * m) / nullif(sum(m), 0) AS seg, avg(greatest(f, 0) - f + ln(1 + exp(-abs(f)))) AS adv FROM pr GROUP BY label) SELECT label, round(1e-4 * (adv + 200 * recon + 200 * coalesce(seg, 0)), 6) AS loss FROM t")
-def _(spark: SparkSession, d: str) -> DataFrame:
+_LEVELS = {0: 1.0, 1: 0.5, 2: 0.25, 3: 0.125, 4: 0.0625}
+_TERMS = (
+    f"{PAIR}, t AS (SELECT label, avg(abs(r - f)) AS l1, sum(abs(r - f) * m) / nullif(sum(m), 0) AS masked_l1, sum((r - f) * (r - f) * m) / nullif(sum(m), 0) AS masked_l2, "
+    "avg(greatest(f, 0) - f + ln(1 + exp(-abs(f)))) AS adv, avg(greatest(r, 0) - r + ln(1 + exp(-abs(r)))) + avg(greatest(f, 0) + ln(1 + exp(-abs(f)))) AS disc FROM pr GROUP BY label), "
+    "lv AS (SELECT label, y % 5 AS level, avg((r - f) * (r - f)) AS mse FROM pr GROUP BY 1, 2), v AS (SELECT label, sum(mse / (1 << level)) AS vgg FROM lv GROUP BY 1), "
+    "ch AS (SELECT label, idx, sum(abs(r - f)) FILTER (x > 0) AS c FROM pr GROUP BY 1, 2), sc AS (SELECT label, avg(c) AS scat FROM ch GROUP BY 1)"
+)
+
+
+def _all_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Every component loss of pairs per label. Feature levels are rows of a tile modulo 5, coefficient channels its columns."""
     p = X.pairs(X.tiles(spark, d))
-    adv = losses.bce_mean(p, 1.0, ["label"], pixels="fake", name="adv")
-    v = losses.validate(p, ["label"]).join(adv, "label")
-    loss = losses.composite_loss({"adv": F.col("adv"), "recon": F.col("l1"), "seg": F.coalesce("masked_l1", F.lit(0.0))})
-    return v.select("label", F.round(loss, 6).alias("loss"))
+    rows = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.struct((i % 5).alias("level"), F.slice("real", i * 8 + 1, 8).alias("real"), F.slice("fake", i * 8 + 1, 8).alias("fake")))
+    column = lambda c, j: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.get(c, i * 8 + j))
+    columns = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.struct(j.alias("channel"), column("real", j).alias("real"), column("fake", j).alias("fake")))
+    p = p.withColumn("features", rows).withColumn("coefficients", columns)
+    return losses.validate(p, ["label"], {"fake": "fake", "real": "real"}, "features", "coefficients", _LEVELS)
+
+
+@query("a18_validate", f"WITH {_TERMS} SELECT label, round(l1, 6) AS l1, round(masked_l1, 6) AS masked_l1, round(masked_l2, 6) AS masked_l2, round(masked_l1 / l1, 5) AS loss_ratio, round(adv, 6) AS adv, round(disc, 6) AS disc, round(vgg, 6) AS vgg, round(scat, 5) AS scat FROM t JOIN v USING (label) JOIN sc USING (label)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    out, digits = _all_terms(spark, d), {"loss_ratio": 5, "scat": 5}
+    return out.select("label", *(F.round(c, digits.get(c, 6)).alias(c) for c in out.columns if c != "label"))
+
+
+@query("a17_a18_composite_loss", f"WITH {_TERMS} SELECT label, round(1e-4 * (adv + 200 * l1 + 200 * coalesce(masked_l1, 0) + vgg + 0.0 * scat), 6) AS loss, round(1e-4 * (adv + 200 * l1 + 200 * coalesce(masked_l1, 0) + vgg + 2 * scat), 6) AS with_scattering FROM t JOIN v USING (label) JOIN sc USING (label)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    terms = {"adv": F.col("adv"), "recon": F.col("l1"), "vgg": F.col("vgg"), "scat": F.col("scat"), "seg": F.coalesce("masked_l1", F.lit(0.0))}
+    loss, other = losses.composite_loss(terms), losses.composite_loss(terms, losses.WEIGHTS | {"scat": 2.0})
+    return _all_terms(spark, d).select("label", F.round(loss, 6).alias("loss"), F.round(other, 6).alias("with_scattering"))
 
 
 # ---- sources
@@ -414,14 +475,55 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s2_mosaic_tiles", f"WITH {MLR} SELECT CAST(y // 16 AS INT) AS ty, CAST(x // 16 AS INT) AS tx, CAST(count(*) AS INT) AS n, round(sum(v), 2) AS total FROM mlr GROUP BY 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    binned = X.mosaic_lr(spark, d).withColumn("ty", F.floor(F.col("y") / 16).cast("int")).withColumn("tx", F.floor(F.col("x") / 16).cast("int"))
-    t = assemble_tiles(binned, ["ty", "tx"])
+    t = chunked(X.mosaic_lr(spark, d), 16)
     return t.select("ty", "tx", F.size("pixels").alias("n"), F.round(stats.pixel_sum("pixels"), 2).alias("total"))
 
 
-@query("j3_l4_valid_centers", f"WITH {CENTERS} SELECT y, x FROM ok")
+@query("s7_footprint_wcs", "SELECT CAST(50.5 AS DOUBLE) AS crpix1, CAST(75.5 AS DOUBLE) AS crpix2, CAST(150.1 AS DOUBLE) AS crval1, count(*) AS pixels FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = X.scratch(spark, "footprint")
+    sinks.write_footprint_with_wcs(X.mask_lr(spark, d), X.wcs_lr(), path)
+    n = sinks.read_footprint(spark, path).agg(F.count("*").alias("pixels"))
+    return sinks.read_footprint_wcs(spark, path).select("crpix1", "crpix2", "crval1").join(n)
+
+
+@query("s1_read_fits_images", f"WITH {PX} SELECT CAST(idx AS VARCHAR) || '.fits' AS name, y, x, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 6) AS v FROM px")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = X.scratch(spark, "images")
+    images.write_images(X.tiles(spark, d).withColumnRenamed("idx", "name"), path)
+    back = images.read_images(spark, path).filter("error is null")
+    return explode_tiles(back.select("name", "h", "w", "pixels")).select("name", "y", "x", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+@query("s2_read_mosaic", f"WITH {MLR} SELECT 'strip' || CAST(y // 50 AS VARCHAR) || '.fits' AS name, CAST(y % 50 AS INT) AS y, x, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 1) AS v FROM mlr")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Survey images of 50 rows each, written, and read as tiles of 16 pixels."""
+    path = X.scratch(spark, "surveys")
+    strips = X.mosaic_lr(spark, d).withColumn("name", F.concat(F.lit("strip"), F.expr("y div 50")))
+    images.write_images(assemble_tiles(strips, ["name"]), path)
+    tiles = images.read_mosaic(spark, path, tile=16)
+    return images.mosaic_pixels(tiles, 16).select("name", "y", "x", F.round("v", 1).alias("v"))
+
+
+@query("s3_list_tiles", "SELECT CAST(vec_id AS VARCHAR) || '.fits' AS name, CAST(5760 AS BIGINT) AS length FROM embeddings")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    path = X.scratch(spark, "listed")
+    images.write_images(X.tiles(spark, d).withColumnRenamed("idx", "name"), path)
+    return images.list_tiles(spark, path)
+
+
+@query("l4_sampling_bounds", f"WITH {MLR} SELECT 2 AS y_from, max(y) + 1 - 2 AS y_to, 2 AS x_from, max(x) + 1 - 2 AS x_to FROM mlr")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    size = X.mosaic_lr(spark, d).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
+    (y0, y1), (x0, x1) = mosaic.sampling_bounds(F.col("h"), F.col("w"), X.WINDOW)
+    return size.select(F.lit(y0).alias("y_from"), y1.alias("y_to"), F.lit(x0).alias("x_from"), x1.alias("x_to"))
+
+
+@query("j3_l4_valid_centers", f"WITH {CENTERS}, b AS (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM mlr) SELECT y, x FROM ok, b WHERE y BETWEEN 2 AND h - 2 AND x BETWEEN 2 AND w - 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return mosaic.valid_centers(X.mask_lr(spark, d), X.WINDOW)
+    (y0, y1), (x0, x1) = mosaic.sampling_bounds(F.col("h"), F.col("w"), X.WINDOW)
+    size = X.mosaic_lr(spark, d).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))  # one row
+    return mosaic.valid_centers(X.mask_lr(spark, d), X.WINDOW).join(F.broadcast(size)).filter(F.col("y").between(y0, y1) & F.col("x").between(x0, x1)).select("y", "x")
 
 
 @query("j3_validate_locations", f"WITH {CENTERS} SELECT y, x FROM ok WHERE (y + x) % 3 = 0")
@@ -430,7 +532,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return mosaic.validate_locations(candidates, X.mask_lr(spark, d), X.WINDOW)
 
 
-@query("l1_sample_locations")
+@query("l1_sample_locations", f"WITH {CENTERS}, k AS (SELECT y, x, row_number() OVER (ORDER BY {hashed('3', 'y', 'x')}, y, x) - 1 AS k FROM ok) SELECT i AS idx, y, x FROM range(1000) r(i) JOIN k ON k = {hashed('3', 'i')} % (SELECT count(*) FROM ok)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return mosaic.sample_locations(X.mask_lr(spark, d), 1000, X.WINDOW, seed=3)
 
@@ -444,9 +546,21 @@ def _centers(spark: SparkSession, d: str) -> DataFrame:
     return X.mosaic_lr(spark, d).filter("y % 5 = 0 and x % 7 = 0").select((F.col("y") * 1000 + F.col("x")).cast("bigint").alias("idx"), "y", "x")
 
 
+def _window_pixels(cut: DataFrame) -> DataFrame:
+    """Pixels of cutouts of six pixels, counted from the window's start; the centre follows from idx."""
+    flat = explode_tiles(cut.withColumnsRenamed({"y": "top", "x": "left"}))
+    return flat.select("idx", F.expr("int(top + y - (idx div 1000 - 3))").alias("y"), F.expr("int(left + x - (idx % 1000 - 3))").alias("x"), F.round("v", 2).alias("v"))
+
+
+@query("j4_extract_cutouts_rows", f"WITH {MLR}, c AS (SELECT CAST(y * 1000 + x AS BIGINT) AS idx, y AS cy, x AS cx FROM mlr) SELECT idx, CAST(y - cy + 3 AS INT) AS y, CAST(x - cx + 3 AS INT) AS x, round(v, 2) AS v FROM mlr JOIN c ON y >= cy - 3 AND y < cy + 3 AND x >= cx - 3 AND x < cx + 3")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The form for mosaics with gaps, whose pixels are rows."""
+    return mosaic.extract_cutouts(X.mosaic_lr(spark, d), _all_centers(spark, d), 6, 16).withColumn("v", F.round("v", 2))
+
+
 @query("j4_extract_cutouts", f"WITH {MLR}, c AS (SELECT CAST(y * 1000 + x AS BIGINT) AS idx, y AS cy, x AS cx FROM mlr WHERE y % 5 = 0 AND x % 7 = 0) SELECT idx, CAST(y - cy + 3 AS INT) AS y, CAST(x - cx + 3 AS INT) AS x, round(v, 2) AS v FROM mlr JOIN c ON y >= cy - 3 AND y < cy + 3 AND x >= cx - 3 AND x < cx + 3")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return mosaic.extract_cutouts(X.mosaic_lr(spark, d), _centers(spark, d), 6, 16).withColumn("v", F.round("v", 2))
+    return _window_pixels(mosaic.cut_tiles(chunked(X.mosaic_lr(spark, d), 16), _centers(spark, d), 6, 16))
 
 
 @query("j4_without_overlap", f"WITH {MHR}, {MLR}, c AS (SELECT CAST(y * 1000 + x AS BIGINT) AS idx, y AS cy, x AS cx FROM mlr WHERE y % 5 = 0 AND x % 7 = 0) SELECT idx FROM c WHERE NOT EXISTS (SELECT 1 FROM mhr WHERE y >= cy - 1 AND y < cy + 1 AND x >= cx - 1 AND x < cx + 1)")
@@ -458,7 +572,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("s5_cutout_pairs_roundtrip", f"WITH {MLR}, c AS (SELECT CAST(y * 1000 + x AS BIGINT) AS idx, y AS cy, x AS cx FROM mlr WHERE y % 5 = 0 AND x % 7 = 0) SELECT 'lr' AS survey, idx, CAST(count(*) AS INT) AS n, round(sum(v), 2) AS total FROM mlr JOIN c ON y >= cy - 3 AND y < cy + 3 AND x >= cx - 3 AND x < cx + 3 GROUP BY idx")
 def _(spark: SparkSession, d: str) -> DataFrame:
     path = X.scratch(spark, "cutouts")
-    cut = assemble_tiles(mosaic.extract_cutouts(X.mosaic_lr(spark, d), _centers(spark, d), 6, 16), ["idx"])
+    cut = mosaic.cut_tiles(chunked(X.mosaic_lr(spark, d), 16), _centers(spark, d), 6, 16)
     sinks.write_cutout_pairs(cut.withColumn("survey", F.lit("lr")), path)
     back = spark.read.parquet(path)
     return back.select("survey", "idx", F.size("pixels").alias("n"), F.round(stats.pixel_sum("pixels"), 2).alias("total"))
@@ -567,12 +681,12 @@ _CURVE = "rg AS (SELECT idx, sqrt(pow(y - 3.5, 2) + pow(x - 3.5, 2)) AS r, sum(v
 
 
 def _light(t: DataFrame) -> DataFrame:
-    return explode_tiles(t.select("idx", "w", F.transform("pixels", lambda v: v * v).alias("pixels")))
+    return t.select("idx", "h", "w", F.transform("pixels", lambda v: v * v).alias("pixels"))
 
 
 @query("w7_growth_curve", f"WITH {PX}, {_CURVE} SELECT idx, round(r, 6) AS r, round(frac, 6) AS frac FROM gc")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.growth_curve(_light(X.tiles(spark, d)), 3.5, 3.5).select("idx", F.round("r", 6).alias("r"), F.round("frac", 6).alias("frac"))
+    return profiles.curve_points(profiles.growth_curve(_light(X.tiles(spark, d)), 3.5, 3.5)).select("idx", F.round("r", 6).alias("r"), F.round("frac", 6).alias("frac"))
 
 
 @query("w7_light_radii", f"WITH {PX}, {_CURVE}, q AS (SELECT idx, min(r) FILTER (frac >= 0.25) AS r25, min(r) FILTER (frac >= 0.5) AS r50, min(r) FILTER (frac >= 0.75) AS r75 FROM gc GROUP BY idx) SELECT idx, round(r25, 6) AS r25, round(r50, 6) AS r50, round(r75, 6) AS r75, round(r75 / nullif(r25, 0), 6) AS c7525 FROM q")
@@ -594,10 +708,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "e6_tile_moments",
     f"WITH {PX}, m AS (SELECT idx, sum(v * x * x) / sum(v) - pow(sum(v * x) / sum(v), 2) AS a, sum(v * y * y) / sum(v) - pow(sum(v * y) / sum(v), 2) AS d FROM px WHERE v > 0 GROUP BY idx), b AS (SELECT idx, sum(v * x * y) / sum(v) - sum(v * x) * sum(v * y) / (sum(v) * sum(v)) AS b FROM px WHERE v > 0 GROUP BY idx), "
-    "r AS (SELECT idx, (a + d) / 2 AS mid, sqrt(pow(a - d, 2) / 4 + b * b) AS root FROM m JOIN b USING (idx)) SELECT idx, round(sqrt(greatest(mid - root, 0) / nullif(mid + root, 0)), 6) AS q FROM r",
+    "r AS (SELECT idx, a, b, d, (a + d) / 2 AS mid, sqrt(pow(a - d, 2) / 4 + b * b) AS root FROM m JOIN b USING (idx)) SELECT idx, round(sqrt(greatest(mid - root, 0) / nullif(mid + root, 0)), 5) AS q, round(cos(atan2(2 * b, a - d) / 2), 5) AS ux, round(sin(atan2(2 * b, a - d) / 2), 5) AS uy FROM r",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return profiles.tile_moments(explode_tiles(X.tiles(spark, d).select("idx", "w", "pixels"))).select("idx", F.round("q", 6).alias("q"))
+    return profiles.tile_moments(X.tiles(spark, d)).select("idx", *(F.round(c, 5).alias(c) for c in ("q", "ux", "uy")))
 
 
 # ---- catalogues
@@ -651,8 +765,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("s9_run_params", "SELECT o_orderpriority AS run_id, CAST(count(*) AS VARCHAR) AS n, CAST(max(o_orderkey) AS VARCHAR) AS last FROM orders GROUP BY 1")
 def _(spark: SparkSession, d: str) -> DataFrame:
     runs = X.table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("run_id")).agg(F.count("*").alias("n"), F.max("o_orderkey").alias("last"))
-    long = runs.select("run_id", F.explode(F.create_map(F.lit("n"), F.col("n").cast("string"), F.lit("last"), F.col("last").cast("string"))).alias("key", "value"))
-    return metrics.params_wide(long, ["n", "last"])
+    path = X.scratch(spark, "params")
+    for r in runs.collect():  # a row per priority: five
+        metrics.append_run_params(spark, r["run_id"], {"n": r["n"], "last": r["last"]}, path)
+    return metrics.params_wide(spark.read.parquet(path), ["n", "last"])
 
 
 @query("s10_figure_table", f"WITH {PAIR}, c AS (SELECT idx, r, f FROM pr WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5), l AS (SELECT idx, avg(r) AS r, avg(f) AS f, avg(f - r) AS d, max(abs(f - r)) AS m FROM c GROUP BY idx) SELECT idx, 'real' AS panel, round(r, 6) AS mean_value, -1.0 AS vmin, 1.0 AS vmax FROM l UNION ALL SELECT idx, 'fake', round(f, 6), -1.0, 1.0 FROM l UNION ALL SELECT idx, 'residual', round(d, 6), -round(m, 6), round(m, 6) FROM l")
@@ -663,22 +779,29 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- whole plans
 _DS9 = "log10(least(greatest(v, 0), hi) * 1000 + 1) / log10(1001) - 1"
+_DS9_OR_NULL = f"CASE WHEN least(greatest(v, 0), hi) > -0.001 THEN {_DS9} END"
 
 
 @query(
     "f29_preprocess",
     f"WITH {LR}, hc AS (SELECT idx, y - 1 AS y, x - 1 AS x, v FROM px WHERE y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6), lc AS (SELECT * FROM lr WHERE y < 4), "
     "t0 AS (SELECT idx, list(v) AS p FROM hc GROUP BY idx), " + ", ".join(_CLIP.format(n=i + 1, m=i) for i in range(3)) + ", rms AS (SELECT idx, list_aggregate(p, 'stddev_pop') AS rms FROM t3), "
-    "hh AS (SELECT idx, quantile_cont(v, 0.99999) AS hi FROM hc GROUP BY idx), lh AS (SELECT idx, quantile_cont(v, 0.99999) AS hi FROM lr WHERE y IN (0, 1, 2, 3) AND x IN (0, 1, 2, 3) GROUP BY idx), "
-    f"hs AS (SELECT idx, y, x, {_DS9} AS s, CAST(v > 1.5 * rms AS INT) AS m FROM hc JOIN hh USING (idx) JOIN rms USING (idx)), "
-    "g AS (SELECT a.i AS ty, b.i AS tx, CASE WHEN a.i < 2 THEN 2 - a.i WHEN a.i >= 8 THEN 12 - a.i ELSE a.i - 2 END AS sy, CASE WHEN b.i < 2 THEN 2 - b.i WHEN b.i >= 8 THEN 12 - b.i ELSE b.i - 2 END AS sx FROM range(10) a(i), range(10) b(i)) "
-    "SELECT idx, round(sum(s), 4) AS hr_sum, CAST(sum(m) AS BIGINT) AS mask_sum, CAST(count(*) AS INT) AS n FROM hs JOIN g ON y = sy AND x = sx GROUP BY idx",
+    "hh AS (SELECT idx, quantile_cont(v, 0.99999) AS hi FROM hc GROUP BY idx), lh AS (SELECT idx, quantile_cont(v, 0.99999) AS hi FROM lr WHERE y < 3 AND x < 3 GROUP BY idx), "
+    f"hs AS (SELECT idx, y, x, {_DS9_OR_NULL} AS s, CAST(v > 1.5 * rms AS DOUBLE) AS m FROM hc JOIN hh USING (idx) JOIN rms USING (idx)), "
+    f"ls AS (SELECT idx, y, x, {_DS9_OR_NULL} AS s FROM (SELECT idx, y - 0 AS y, x - 0 AS x, v FROM lr WHERE y < 3 AND x < 3) JOIN lh USING (idx)), "
+    "up AS (SELECT idx, a.i AS y, b.i AS x, s FROM ls JOIN range(6) a(i) ON a.i // 2 = y JOIN range(6) b(i) ON b.i // 2 = x), "
+    "g AS (SELECT a.i AS ty, b.i AS tx, CASE WHEN a.i < 2 THEN 2 - a.i WHEN a.i >= 8 THEN 12 - a.i ELSE a.i - 2 END AS sy, CASE WHEN b.i < 2 THEN 2 - b.i WHEN b.i >= 8 THEN 12 - b.i ELSE b.i - 2 END AS sx FROM range(10) a(i), range(10) b(i)), "
+    "k AS (SELECT a.i AS ty, b.i AS tx, CASE WHEN a.i < 1 THEN 1 WHEN a.i >= 4 THEN 1 ELSE a.i - 1 END AS sy, CASE WHEN b.i < 1 THEN 1 WHEN b.i >= 4 THEN 1 ELSE b.i - 1 END AS sx FROM range(5) a(i), range(5) b(i)) "
+    "SELECT 'hr' AS panel, idx, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, round(s, 4) AS v FROM hs JOIN g ON y = sy AND x = sx UNION ALL SELECT 'mask', idx, ty, tx, m FROM hs JOIN g ON y = sy AND x = sx "
+    "UNION ALL SELECT 'lr_up', idx, ty, tx, round(s, 4) FROM up JOIN g ON y = sy AND x = sx UNION ALL SELECT 'lr', idx, ty, tx, round(s, 4) FROM ls JOIN k ON y = sy AND x = sx",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = X.tiles(spark, d)
     p = t.select("idx", F.col("pixels").alias("hr")).join(X.low_tiles(t).select("idx", F.col("pixels").alias("lr")), "idx")
     made = P.preprocess(p, (8, 6, 2), (4, 3, 1), k=1.5)
-    return made.select("idx", F.round(stats.pixel_sum("hr"), 4).alias("hr_sum"), F.aggregate("mask", F.lit(0).cast("bigint"), lambda a, v: a + v).alias("mask_sum"), F.size("hr").alias("n"))
+    panel = lambda c: F.struct(F.lit(c).alias("panel"), F.col(f"{c}_w").alias("w"), (F.transform(c, lambda v: v.cast("double")) if c == "mask" else F.col(c)).alias("pixels"))
+    flat = made.select("idx", F.explode(F.array(*(panel(c) for c in ("hr", "mask", "lr_up", "lr")))).alias("p")).select("idx", "p.*")
+    return explode_tiles(flat).select("panel", "idx", "y", "x", F.round("v", 4).alias("v"))
 
 
 @query("u1_chained_steps", f"WITH {PX} SELECT idx, round(sum(2 * (1 / (1 + exp(-v)) - 0.5)), 6) AS total FROM px WHERE idx % 2 = 0 GROUP BY idx")
@@ -709,7 +832,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j4_extract_cutouts_all", f"WITH {_CUT} SELECT idx, y, x, round(v, 2) AS v FROM cut")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return mosaic.extract_cutouts(X.mosaic_lr(spark, d), _all_centers(spark, d), 6, 16).withColumn("v", F.round("v", 2))
+    return _window_pixels(mosaic.cut_tiles(chunked(X.mosaic_lr(spark, d), 16), _all_centers(spark, d), 6, 16))
 
 
 @query("j4_without_overlap_all", f"WITH {MHR}, {MLR}, met AS (SELECT DISTINCT y + i AS y, x + j AS x FROM mhr, range(2) a(i), range(2) b(j)) SELECT CAST(y * 1000 + x AS BIGINT) AS idx FROM mlr ANTI JOIN met USING (y, x)")
@@ -718,13 +841,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return mosaic.without_overlap(c, mosaic.extract_cutouts(X.mosaic_hr(spark, d), c, 2, 16)).select("idx")
 
 
-@query("s5_cutout_pairs_roundtrip_all", f"WITH {_CUT} SELECT 'lr' AS survey, idx, CAST(count(*) AS INT) AS n, round(sum(v), 2) AS total FROM cut GROUP BY idx")
+_CUT_HR = "hd AS (SELECT CAST(2 * p.y + a.i AS INT) AS y, CAST(2 * p.x + b.j AS INT) AS x, p.v * (1 + a.i + 2 * b.j) AS v FROM mlr p, range(2) a(i), range(2) b(j)), cuth AS (SELECT CAST(c.y * 1000 + c.x AS BIGINT) AS idx, p.v FROM hd p, range(12) a(i), range(12) b(j), mlr c WHERE 2 * c.y = p.y + 6 - i AND 2 * c.x = p.x + 6 - j)"
+
+
+@query("s5_cutout_pairs_roundtrip_all", f"WITH {_CUT}, {_CUT_HR} SELECT 'lr' AS survey, idx, CAST(count(*) AS INT) AS n, round(sum(v), 2) AS total FROM cut GROUP BY idx UNION ALL SELECT 'hr', idx, CAST(count(*) AS INT), round(sum(v), 2) FROM cuth GROUP BY idx")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    path = X.scratch(spark, "cutouts")
-    cut = assemble_tiles(mosaic.extract_cutouts(X.mosaic_lr(spark, d), _all_centers(spark, d), 6, 16), ["idx"])
-    sinks.write_cutout_pairs(cut.withColumn("survey", F.lit("lr")), path)
-    back = spark.read.parquet(path)
-    return back.select("survey", "idx", F.size("pixels").alias("n"), F.round(stats.pixel_sum("pixels"), 2).alias("total"))
+    """Both surveys' cutouts at every position, written under the same idx; the high-resolution mosaic is the other one, each pixel as 2 by 2."""
+    path, low, c = X.scratch(spark, "cutouts"), X.mosaic_lr(spark, d), _all_centers(spark, d)
+    four = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+    high = low.withColumn("p", four).select((F.col("y") * 2 + F.col("p.i")).alias("y"), (F.col("x") * 2 + F.col("p.j")).alias("x"), (F.col("v") * (F.lit(1) + F.col("p.i") + F.col("p.j") * 2)).alias("v"))
+    cut = mosaic.cut_tiles(chunked(low, 16), c, 6, 16).withColumn("survey", F.lit("lr"))
+    other = mosaic.cut_tiles(chunked(high, 32), c.select("idx", (F.col("y") * 2).alias("y"), (F.col("x") * 2).alias("x")), 12, 32).withColumn("survey", F.lit("hr"))
+    sinks.write_cutout_pairs(cut.unionByName(other), path)
+    return spark.read.parquet(path).select("survey", "idx", F.size("pixels").alias("n"), F.round(stats.pixel_sum("pixels"), 2).alias("total"))
 
 
 @query("f23_cutout_wcs_all", f"WITH {MLR} SELECT y, x, CAST(50.5 - (x - 3) AS DOUBLE) AS crpix1, CAST(75.5 - (y - 3) AS DOUBLE) AS crpix2 FROM mlr")

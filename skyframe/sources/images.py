@@ -10,6 +10,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,6 +70,31 @@ def encode(pixels: np.ndarray, cards: dict[str, float] | None = None) -> bytes:
     return pad(head, b" ") + pad(data, b"\0")
 
 
+def write_images(tiles: DataFrame, path: str) -> DataFrame:
+    """Write a file {name}.fits per tile (name, h, w, pixels) under path, and return (name, bytes) of each.
+
+    Tasks write to the file system that path's scheme names, through Arrow; a task that runs again writes the same files. The
+    result is computed once, so that reading it doesn't write again.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = pafs.FileSystem.from_uri(path)
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            names, sizes = [], []
+            for r in batch.to_pylist():
+                data = encode(np.asarray(r["pixels"], np.float32).reshape(r["h"], r["w"]))
+                with store.open_output_stream(f"{folder}/{r['name']}.fits") as f:
+                    f.write(data)
+                names.append(r["name"])
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
+
+    done = tiles.select(F.col("name").cast("string").alias("name"), "h", "w", "pixels").mapInArrow(run, "name string, bytes long")
+    done.write.mode("overwrite").parquet(f"{path}-written")
+    return tiles.sparkSession.read.parquet(f"{path}-written")
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.fits").load(path)
 
@@ -117,7 +144,7 @@ def read_mosaic(spark: SparkSession, path: str, hdu: int = 0, tile: int = 1024)
 
 
 def mosaic_pixels(tiles: DataFrame, tile: int = 1024) -> DataFrame:
-    """(y, x, v) of a mosaic's tile rows."""
-    flat = tiles.filter("error is null").select("ty", "tx", "w", F.posexplode("pixels").alias("i", "v"))
+    """(name, y, x, v) of mosaics' tile rows."""
+    flat = tiles.filter("error is null").select("name", "ty", "tx", "w", F.posexplode("pixels").alias("i", "v"))
     y = F.col("ty") * tile + F.floor(F.col("i") / F.col("w"))
-    return flat.select(y.cast("int").alias("y"), (F.col("tx") * tile + F.col("i") % F.col("w")).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
+    return flat.select("name", y.cast("int").alias("y"), (F.col("tx") * tile + F.col("i") % F.col("w")).cast("int").alias("x"), F.col("v").cast("double").alias("v"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,16 @@ def write_footprint(mask: DataFrame, path: str) -> None:
     mask.select("y", "x", F.col("valid").cast("tinyint").alias("valid")).write.mode("overwrite").parquet(path)
 
 
+def write_footprint_with_wcs(mask: DataFrame, wcs: Column, path: str) -> None:
+    """The footprint, and beside it under {path}-wcs one row: the header of the low-resolution image."""
+    write_footprint(mask, path)
+    mask.sparkSession.range(1).select(wcs.alias("wcs")).select("wcs.*").write.mode("overwrite").parquet(f"{path}-wcs")
+
+
+def read_footprint_wcs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}-wcs")
+
+
 def read_footprint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("valid", F.col("valid") == 1)
 

@@ -1,10 +1,12 @@
 """Operators that SQL on the given tables doesn't reach: files, streams, random draws, plans."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from skyframe.operators import batches, detect, losses, mosaic, profiles
-from skyframe.operators.tiles import assemble_tiles, explode_tiles
+from skyframe.functions import arrays
+from skyframe.operators import batches, catalog, detect, gates, losses, mosaic, profiles, tiles
+from skyframe.operators.tiles import assemble_tiles, blur_tiles, explode_tiles
 from skyframe.plans import preprocess
 from skyframe.sources import images
 
@@ -108,9 +110,124 @@ def test_explode_and_assemble(spark):
 
 
 def test_growth_curve_of_a_point(spark):
-    px = spark.createDataFrame([(0, y, x, float(y == 2 and x == 2)) for y in range(5) for x in range(5)], "idx long, y int, x int, v double")
-    r = profiles.light_radii(profiles.growth_curve(px, 2, 2)).first()
-    assert (r.r25, r.r50, r.r75, r.c7525) == (0, 0, 0, None)
+    t = spark.createDataFrame([(0, 5, 5, [float(i == 12) for i in range(25)]), (1, 5, 5, None), (2, 5, 5, [0.0] * 25), (3, 4, 5, [1.0] * 25)], "idx long, h int, w int, pixels array<double>")
+    curves = profiles.growth_curve(t, 2, 2)
+    rows = {r.idx: (r.r25, r.r50, r.r75, r.c7525) for r in profiles.light_radii(curves).collect()}
+    assert rows[0] == (0, 0, 0, None) and all(rows[i] == (None,) * 4 for i in (1, 2, 3))
+    points = profiles.curve_points(curves).collect()
+    assert {r.idx for r in points} == {0, 2} and all(r.frac is None for r in points if r.idx == 2)
+    moments = {r.idx for r in profiles.tile_moments(t).collect()}
+    assert moments == {0}
+
+
+def test_profiles_shuffle_no_pixels(spark):
+    t = spark.createDataFrame([(0, 5, 5, [1.0] * 25)], "idx long, h int, w int, pixels array<double>")
+    for df in (profiles.growth_curve(t, 2, 2), profiles.light_radii(profiles.growth_curve(t, 2, 2)), profiles.tile_moments(t), blur_tiles(t, 1.0), detect.detect_sources(t)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Generate" not in plan
+
+
+def flood(mask, least):
+    """Areas by flood fill, for comparison."""
+    h, w = mask.shape
+    out, seen = np.zeros((h, w), np.int8), np.zeros((h, w), bool)
+    for start in zip(*np.nonzero(mask)):
+        if seen[start]:
+            continue
+        area, open_ = [], [start]
+        seen[start] = True
+        while open_:
+            y, x = open_.pop()
+            area.append((y, x))
+            for p in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if 0 <= p[0] < h and 0 <= p[1] < w and mask[p] and not seen[p]:
+                    seen[p] = True
+                    open_.append(p)
+        if len(area) >= least:
+            for p in area:
+                out[p] = 1
+    return out
+
+
+def test_areas_match_a_flood_fill():
+    rng = np.random.default_rng(4)
+    for shape in ((1, 1), (1, 9), (9, 1), (17, 23), (40, 40)):
+        for share in (0.0, 0.1, 0.35, 0.6, 1.0):
+            mask = (rng.random(shape) < share).astype(np.int8)
+            for least in (1, 2, 5):
+                assert (detect.keep_areas(mask, least) == flood(mask, least)).all()
+    spiral = np.zeros((61, 61), np.int8)
+    for k in range(0, 30, 2):
+        spiral[k, k : 61 - k] = spiral[60 - k, k : 61 - k] = spiral[k : 61 - k, k] = spiral[k : 61 - k, 60 - k] = 1
+        spiral[k + 1, k], spiral[k + 1, k + 1] = 0, 1
+    assert (detect.keep_areas(spiral, 100) == flood(spiral, 100)).all()
+
+
+def test_blur_of_arrays_equals_that_of_columns(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, 5 + i, 7, rng.random((5 + i) * 7).tolist()) for i in range(4)] + [(9, 3, 3, None)]
+    t = spark.createDataFrame(rows, "idx long, h int, w int, pixels array<double>")
+    for mode in ("symmetric", "nearest"):
+        a = {r.idx: r.pixels for r in blur_tiles(t, 0.6, mode).collect()}
+        b = {r.idx: r.p for r in t.select("idx", arrays.gaussian_blur("pixels", F.col("h"), F.col("w"), 0.6, mode).alias("p")).collect()}
+        assert a[9] is None and all(np.allclose(a[i], b[i]) for i in range(4))
+
+
+def test_dataset_statistics_by_refinement(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    made = {1: rng.normal(5, 1, 4000), 2: rng.integers(0, 3, 3000).astype(float), 3: np.full(600, 7.5), 4: np.concatenate([[-1e6, 1e6], rng.normal(0, 1e-3, 801)])}
+    rows = [(g, 1, len(p), p.tolist()) for g, v in made.items() for p in np.array_split(v, 7)]
+    t = spark.createDataFrame(rows, "label int, h int, w int, pixels array<double>")
+    for few in (100_000, 50):
+        monkeypatch.setattr(tiles, "FEW_VALUES", few)
+        for r in tiles.dataset_stats(t, ["label"]).collect():
+            v = made[r.label]
+            assert (r.lowest, r.highest) == (v.min(), v.max()) and np.isclose(r["std"], v.std(), rtol=1e-6, atol=1e-9)
+            assert np.isclose(r["median"], np.median(v), rtol=1e-12, atol=1e-12), (few, r.label)
+    near = {r.label: r["median"] for r in tiles.dataset_stats(t, ["label"], exact=False).collect()}
+    assert all(abs(near[g] - np.median(v)) <= (v.max() - v.min()) / tiles.BINS for g, v in made.items())
+
+
+def test_cutouts_of_chunks_match_slices(spark):
+    """Inside a chunk, over two and four of them, over the edge, without overlap; and many centres in one chunk."""
+    a = np.arange(50 * 70, dtype=float).reshape(50, 70)
+    px = spark.createDataFrame([(y, x, float(a[y, x])) for y in range(50) for x in range(70)], "y int, x int, v double")
+    rng = np.random.default_rng(7)
+    centers = [(i, int(y), int(x)) for i, (y, x) in enumerate(zip(rng.integers(-8, 58, 120), rng.integers(-8, 78, 120)))]
+    df = spark.createDataFrame(centers, "idx int, y int, x int")
+    for size in (4, 7, 30):
+        want = {}
+        for i, y, x in centers:
+            y0, x0 = int(np.ceil(y - size / 2)), int(np.ceil(x - size / 2))
+            part = a[max(y0, 0) : max(y0 + size, 0), max(x0, 0) : max(x0 + size, 0)]
+            if part.size:
+                want[i] = (max(y0, 0), max(x0, 0), *part.shape, part.ravel().tolist())
+        got = mosaic.cut_tiles(tiles.chunked(px, 16), df, size, 16, block_bytes=1000).collect()
+        assert len(got) == len(want) and {r.idx: (r.y, r.x, r.h, r.w, r.pixels) for r in got} == want
+
+
+def test_samples_hang_on_the_seed_alone(spark):
+    mask = spark.createDataFrame([(y, x, (y * x) % 11 != 3) for y in range(20) for x in range(20)], "y int, x int, valid boolean")
+    drawn = []
+    for parts in ("3", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        drawn.append(sorted(map(tuple, mosaic.sample_locations(mask, 50, 2, 9).collect())))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 50
+
+
+def test_ratio_assertion_fails_the_job(spark):
+    ok = spark.createDataFrame([(12, 12, 2, 2), (12, 12, None, 2)], "h int, w int, lh int, lw int")
+    assert gates.assert_ratio(ok, 6, ("h", "w"), ("lh", "lw")).count() == 2
+    bad = ok.union(spark.createDataFrame([(12, 18, 2, 2)], ok.schema))
+    with pytest.raises(Exception, match="6 times"):
+        gates.assert_ratio(bad, 6, ("h", "w"), ("lh", "lw")).collect()
+
+
+def test_standard_error_of_biases(spark):
+    p = spark.createDataFrame([("a", "m", float(v)) for v in (1, 2, 3, 4)], "source string, mode string, bias double")
+    r = catalog.bias_summary(p, ["source", "mode"], standard_error=True).first()
+    assert np.isclose(r.spread, np.std([1, 2, 3, 4], ddof=1) / 2)
 
 
 def test_scoring_keeps_null_tiles(spark):
