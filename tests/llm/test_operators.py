@@ -149,8 +149,8 @@ def test_near_duplicates_match_all_pairs(spark, docs, none):
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
         assert all(r.kept == (r.component_id == r.doc_id) for r in got)
     assert minhash.near_duplicates(none, 2).count() == 0
-    kept = minhash.deduplicated(docs, 2)
-    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got and minhash.near_duplicates(docs, 2).filter("kept").collect()}
+    kept = minhash.deduplicated(docs, 5)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.kept}
 
 
 def test_near_duplicates_of_a_large_group(spark):
@@ -175,14 +175,31 @@ def test_near_duplicates_of_a_large_group(spark):
             assert (r.n_shingles, r.component_id) == want[r.doc_id]
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, minhash.FEW_EDGES])
+def test_components_on_both_sides_of_the_size(spark, monkeypatch, few):
+    monkeypatch.setattr(minhash, "FEW_EDGES", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 102), (102, 101), (7, 7)], "a long, b long")
     got = {r.node: r.label for r in minhash.components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 100: 100, 101: 100, 102: 100}
     assert minhash.components(edges.limit(0)).count() == 0
+    rng = random.Random(19)
+    pairs = [(f"k{rng.randrange(400)}", f"k{rng.randrange(400)}") for _ in range(260)] + [("ä", "z"), ("Z", "ä")]
+    parent = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in pairs:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    got = {r.node: r.label for r in minhash.components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == {x: find(x) for p in pairs if p[0] != p[1] for x in p}
 
 
 def test_components_of_an_ordered_chain_take_few_rounds(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "FEW_EDGES", 0)
     monkeypatch.setattr(minhash, "STAR_ROUNDS", 20)
     edges = spark.range(20_000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     labels = minhash.components(edges)
