@@ -358,8 +358,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         small = cut.filter(F.col("m") <= SHORT_LIST)
 
         def strangers(entries: DataFrame, by: list[str]) -> DataFrame:
-            at = lambda x: entries.select(*by, F.col("key").alias(x), F.col("n").alias(f"n{x}"), F.col("label").alias(f"l{x}"))
-            return at("a").join(at("b"), by).filter("a < b and la != lb").filter(_similar_sizes("na", "nb", percent)).select("a", "b")
+            """Pairs across components in lists of at most SHORT_LIST entries; lists of the same entries count once."""
+            members = entries.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("key", "n", "label"))).alias("m")).select("m").distinct()
+            apart = lambda x, y: (x["label"] != y["label"]) & (100 * F.least(x["n"], y["n"]) >= percent * F.greatest(x["n"], y["n"]))
+            of = lambda x, i: F.transform(F.filter(F.slice("m", i + 2, SHORT_LIST), lambda y: apart(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
+            return members.select(F.explode(F.flatten(F.transform("m", of))).alias("p")).select("p.*").filter("a != b")
 
         found.append(links(strangers(met, ["v"]).unionByName(strangers(small, ["v", "w"])).distinct()))
         labels = components(reduce(DataFrame.unionByName, found))
