@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .tables import with_columns_from_text, written
 from .words import words
@@ -42,6 +43,7 @@ WIDTH = 16
 ROUNDS = 2
 STRIDE = ROUNDS  # all positions
 MINIBATCH = 8192
+BLOCK = 1 << 20
 SHARD_TOKENS = 4_000_000
 RATE = 0.15
 SEED = 7
@@ -177,12 +179,21 @@ def new_model(vocabulary: Vocabulary) -> WindowModel:
     return WindowModel(vocabulary, draw(4, TOKENS + 1, WIDTH), zero(WIDTH), draw(WIDTH, CLASSES), zero(CLASSES), draw(CLASSES, WIDTH, SLOTS), zero(CLASSES, SLOTS))
 
 
+def contexts(flat: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of texts' tokens one after the other, in blocks: (4, n) tokens two and one before, one and two after each (END beyond its text), the token, the number of its text, its place in it."""
+    many = np.diff(starts)
+    of = np.repeat(np.arange(len(many), dtype=np.int32), many)
+    padded = np.full(len(flat) + 2 * (len(many) + 1), END, np.int32)
+    at = np.arange(len(flat)) + 2 * (of + np.int64(1))
+    padded[at] = flat
+    for i in range(0, len(flat), BLOCK):
+        p, text = at[i : i + BLOCK], of[i : i + BLOCK]
+        yield np.stack([padded[p - 2], padded[p - 1], padded[p + 1], padded[p + 2]]), padded[p], text, np.arange(i, i + len(p)) - starts[text]
+
+
 def context(t: np.ndarray) -> np.ndarray:
-    """(4, n): the tokens two and one before, one and two after each token; END beyond the text."""
-    end = np.full(2, END, np.int32)
-    padded = np.concatenate([end, t, end])
-    n = len(t)
-    return np.stack([padded[:n], padded[1 : n + 1], padded[3 : n + 3], padded[4 : n + 4]])
+    """contexts() of one text."""
+    return np.concatenate([np.zeros((4, 0), np.int32), *(c for c, *_ in contexts(t, np.array([0, len(t)])))], 1)
 
 
 def _hidden(m: WindowModel, around: np.ndarray) -> np.ndarray:
@@ -202,9 +213,15 @@ def _by_class(target: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[in
     return order, (target // CLASSES)[order], [(k, int(ends[k] - many[k]), int(ends[k])) for k in np.flatnonzero(many)]
 
 
-def _shares(z: np.ndarray, clip: float) -> np.ndarray:
+def _within(weights: np.ndarray, bias: np.ndarray, axis: int, limit: float) -> bool:
+    """Whether no value can exceed the limit, as hidden values are at most 1."""
+    return float((np.abs(weights).sum(axis) + np.abs(bias)).max()) < limit
+
+
+def _shares(z: np.ndarray, clip: float, within: bool) -> np.ndarray:
     """z becomes exp(z), of values between -clip and clip; the sums of its rows."""
-    np.clip(z, -clip, clip, out=z)
+    if not within:
+        np.clip(z, -clip, clip, out=z)
     np.exp(z, out=z)
     return z.sum(1, keepdims=True)
 
@@ -217,13 +234,13 @@ def _step(m: WindowModel, around: np.ndarray, target: np.ndarray, past: list[np.
     a = _hidden(m, around)
     p = a @ m.classes
     p += m.class_bias
-    p *= 1 / (n * _shares(p, 30))
+    p *= 1 / (n * _shares(p, 30, _within(m.classes, m.class_bias, 0, 30)))
     p[rows, target % CLASSES] -= np.float32(1 / n)
     q = np.empty((n, SLOTS), np.float32)
     for k, i, j in spans:
         np.matmul(a[i:j], m.out[k], out=q[i:j])
         q[i:j] += m.out_bias[k]
-    q *= 1 / (n * _shares(q, 30))
+    q *= 1 / (n * _shares(q, 30, _within(m.out, m.out_bias, 1, 30)))
     q[rows, slot] -= np.float32(1 / n)
     d = p @ m.classes.T
     out, out_bias = np.zeros_like(m.out), np.zeros_like(m.out_bias)
@@ -248,34 +265,45 @@ def log_p(m: WindowModel, around: np.ndarray, target: np.ndarray) -> np.ndarray:
     z = a @ m.classes
     z += m.class_bias
     own = np.clip(z[rows, target % CLASSES], -60, 60).astype(float)
-    own -= np.log(_shares(z, 60)[:, 0])
+    own -= np.log(_shares(z, 60, _within(m.classes, m.class_bias, 0, 60))[:, 0])
     q = np.empty((len(target), SLOTS), np.float32)
     for k, i, j in spans:
         np.matmul(a[i:j], m.out[k], out=q[i:j])
         q[i:j] += m.out_bias[k]
     own += np.clip(q[rows, slot], -60, 60)
-    own -= np.log(_shares(q, 60)[:, 0])
+    own -= np.log(_shares(q, 60, _within(m.out, m.out_bias, 1, 60))[:, 0])
     back = np.empty(len(target))
     back[order] = own
     return back
 
 
-def places(n: int, r: int, rounds: int = ROUNDS, stride: int = STRIDE) -> slice:
-    """The positions of a text of n tokens that round r trains on."""
-    return slice((r * stride // rounds + n) % stride, None, stride)
+def trains(i: np.ndarray, n: np.ndarray, r: int, rounds: int = ROUNDS, stride: int = STRIDE) -> np.ndarray:
+    """Whether round r trains on the i-th token of a text of n."""
+    return (i - (r * stride // rounds + n)) % stride == 0
 
 
-def token_shards(docs: DataFrame, vocabulary: Vocabulary, shards: int, text_col: str = "text") -> DataFrame:
-    """(key, t): the token arrays of docs' texts, dealt over shards by a hash of the whole row and sorted by it."""
+def token_table(docs: DataFrame, vocabulary: Vocabulary, rare: BucketWords, text_col: str = "text") -> DataFrame:
+    """Per row of docs: row (a struct of its columns but the text), key (a hash of all of them), t (the text's tokens) and below, the sum of log p(word | bucket)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array([vocabulary.tokens(word_hashes(x)).astype(np.int16) for x in batch.column("text").to_pylist()], pa.list_(pa.int16()))], names=["key", "t"])
+            h = [word_hashes(x) for x in batch.column("text").to_pylist()]
+            flat = np.concatenate([np.zeros(0, np.uint64), *h])
+            starts = np.cumsum([0, *map(len, h)])
+            t = vocabulary.tokens(flat)
+            below = np.cumsum(np.append(0.0, rare.log_p(flat, t).astype(float)))
+            below = below[starts[1:]] - below[starts[:-1]]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("key"), pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(t.astype(np.int16))), pa.array(below)], names=["row", "key", "t", "below"])
+
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != text_col.lower())).alias("row"), F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns)).alias("key"), F.col(text_col).alias("text"))
+    return written(held.mapInArrow(run, T.StructType([held.schema["row"], *T.StructType.fromDDL("key long, t array<short>, below double")])), "tokens")
 
-    key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    made = docs.select(key.alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "key long, t array<short>").filter("size(t) > 0")
-    # every task sends its parameters, so shards aren't made smaller where the session sets more partitions than asked for
-    return written(made, "tokens").repartition(shards, "key").coalesce(shards).sortWithinPartitions("key", "t")
+
+def _flat(batch: pa.RecordBatch, name: str = "t") -> tuple[np.ndarray, np.ndarray]:
+    """The values of a list column, and where each row's start."""
+    lists = batch.column(name)
+    starts = lists.offsets.to_numpy()
+    return lists.values.to_numpy()[starts[0] : starts[-1]], (starts - starts[0]).astype(np.int64)
 
 
 def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride: int = STRIDE) -> WindowModel:
@@ -283,13 +311,34 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
 
     All columns of docs tell rows apart when they are dealt: columns that xxhash64 can't take must be left out.
     """
+    return _trained(docs, text_col, rounds, stride)[0]
+
+
+def train_and_score(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """score(docs, train(docs)) from one table of tokens; `row` is without the text."""
+    model, tokens = _trained(docs, text_col, ROUNDS, STRIDE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, starts = _flat(batch)
+            total = batch.column("below").to_numpy() + _scores(model, flat, starts)
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.StructArray.from_arrays(_columns(np.diff(starts), total), ["n_tokens", "logprob", "mean_logprob"])], names=["row", "out"])
+
+    return tokens.select("row", "t", "below").mapInArrow(run, T.StructType([tokens.schema["row"], T.StructField("out", T.StructType.fromDDL(SCHEMA))]))
+
+
+def _trained(docs: DataFrame, text_col: str, rounds: int, stride: int) -> tuple[WindowModel, DataFrame]:
     counts = word_counts(docs, text_col)
     model = new_model(common_words(counts))
+    model.rare = bucket_words(counts, model.vocabulary)
     total = counts.agg(F.sum("n")).first()[0] or 0
-    shards = token_shards(docs, model.vocabulary, -(-total // SHARD_TOKENS) or 1, text_col)
+    tokens = token_table(docs, model.vocabulary, model.rare, text_col)
+    number = -(-total // SHARD_TOKENS) or 1
+    # every task sends its parameters, so shards aren't made smaller where the session sets more partitions than asked for
+    shards = tokens.select("key", "t").filter("size(t) > 0").repartition(number, "key").coalesce(number).sortWithinPartitions("key", "t")
     for r in range(rounds):
 
-        def run(batches: Iterator[pa.RecordBatch], model=model, r=r) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], model=WindowModel(model.vocabulary, *model.parts()), r=r) -> Iterator[pa.RecordBatch]:
             m = model.like(model.flat())
             past = [np.full(x.shape, 1e-6, np.float32) for x in m.parts()]
             around, target, held, examples = [], [], 0, 0
@@ -301,12 +350,13 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
                 return len(y)
 
             for batch in batches:
-                for t in batch.column("t").to_numpy(zero_copy_only=False):
-                    t = t.astype(np.int32)
-                    at = places(len(t), r, rounds, stride)
-                    around.append(context(t)[:, at])
-                    target.append(t[at])
-                    held += len(target[-1])
+                flat, starts = _flat(batch)
+                many = np.diff(starts)
+                for c, y, of, i in contexts(flat, starts):
+                    now = np.flatnonzero(trains(i, many[of], r, rounds, stride))
+                    around.append(c[:, now])
+                    target.append(y[now])
+                    held += len(now)
                     if held >= MINIBATCH:
                         examples += steps()
                         around, target, held = [], [], 0
@@ -324,8 +374,7 @@ def train(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS, stride:
             flat = model.flat().astype(float)
             flat[i[i >= 0]] += x[i >= 0] / x[i < 0]
             model = model.like(flat)
-    model.rare = bucket_words(counts, model.vocabulary)
-    return model
+    return model, tokens
 
 
 def score(docs: DataFrame, model: WindowModel, text_col: str = "text") -> DataFrame:
@@ -335,29 +384,23 @@ def score(docs: DataFrame, model: WindowModel, text_col: str = "text") -> DataFr
     """
 
     def compute(texts: list[str | None]) -> list[pa.Array]:
-        size, total = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-        around, target, of, held = [], [], [], 0
-
-        def flush() -> None:
-            c, y, k = np.concatenate(around, 1), np.concatenate(target), np.concatenate(of)
-            for i in range(0, len(y), MINIBATCH):
-                total[:] += np.bincount(k[i : i + MINIBATCH], log_p(model, c[:, i : i + MINIBATCH], y[i : i + MINIBATCH]), len(texts))
-
-        for k, text in enumerate(texts):
-            h = word_hashes(text)
-            t = model.vocabulary.tokens(h)
-            size[k] = len(t)
-            total[k] += float(model.rare.log_p(h, t).sum(dtype=float))
-            around.append(context(t))
-            target.append(t)
-            of.append(np.full(len(t), k, np.int32))
-            held += len(t)
-            if held >= MINIBATCH:
-                flush()
-                around, target, of, held = [], [], [], 0
-        if held:
-            flush()
-        mean = [s / n if n else None for n, s in zip(size.tolist(), total.tolist())]
-        return [pa.array(size), pa.array(total), pa.array(mean, pa.float64())]
+        h = [word_hashes(x) for x in texts]
+        flat, starts = np.concatenate([np.zeros(0, np.uint64), *h]), np.cumsum([0, *map(len, h)])
+        t = model.vocabulary.tokens(flat)
+        below = np.cumsum(np.append(0.0, model.rare.log_p(flat, t).astype(float)))
+        return _columns(np.diff(starts), below[starts[1:]] - below[starts[:-1]] + _scores(model, t, starts))
 
     return with_columns_from_text(docs, text_col, SCHEMA, compute)
+
+
+def _scores(model: WindowModel, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of the network's log p over each text's tokens."""
+    total = np.zeros(len(starts) - 1)
+    for c, y, of, _ in contexts(flat, starts):
+        for i in range(0, len(y), MINIBATCH):
+            total += np.bincount(of[i : i + MINIBATCH], log_p(model, c[:, i : i + MINIBATCH], y[i : i + MINIBATCH]), len(total))
+    return total
+
+
+def _columns(size: np.ndarray, total: np.ndarray) -> list[pa.Array]:
+    return [pa.array(size.astype(np.int64)), pa.array(total), pa.array([s / n if n else None for n, s in zip(size.tolist(), total.tolist())], pa.float64())]

@@ -56,8 +56,7 @@ def op8_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select("doc_id", "text")
-    return lm.score(docs, lm.train(docs)).select("row.doc_id", "out.*")
+    return lm.train_and_score(documents(spark, sf_dir).select("doc_id", "text")).select("row.doc_id", "out.*")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

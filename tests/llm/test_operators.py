@@ -691,13 +691,17 @@ def test_language_model_prefers_what_it_has_seen(spark, docs, none):
     assert got[0].mean_logprob > got[1].mean_logprob + 1
     assert got[2].n_tokens == got[3].n_tokens == 0 and got[2].logprob == 0 and got[2].mean_logprob is None
     assert abs(plain_log_p(model, model.vocabulary.tokens(lm.word_hashes(test.first().text))) - got[0].logprob) < 1e-2
+    both = {r.doc_id: tuple(r.out) for r in lm.train_and_score(data).select("row.doc_id", "out").collect()}
+    alone = {r.doc_id: tuple(r.out) for r in lm.score(data, model).select("row.doc_id", "out").collect()}
+    assert both.keys() == alone.keys() and all(np.allclose(both[k], alone[k], atol=1e-2) for k in both)
+    assert lm.train_and_score(none).count() == 0
     empty = lm.train(none)
     assert lm.score(docs, empty).count() == docs.count()
 
 
 def test_language_model_trains_on_every_position(spark):
     for n in range(40):
-        assert sorted(i for r in range(lm.ROUNDS) for i in range(n)[lm.places(n, r)]) == list(range(n))
+        assert sorted(i for r in range(lm.ROUNDS) for i in np.flatnonzero(lm.trains(np.arange(n), np.full(n, n), r))) == list(range(n))
     short = spark.createDataFrame([(i, " ".join(["one", "two", "three", "four", "five", "six", "seven"][: 1 + i % 7])) for i in range(70)], "doc_id long, text string")
     model = lm.train(short)
     assert not np.array_equal(model.flat(), lm.new_model(model.vocabulary).flat())
