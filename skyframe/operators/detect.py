@@ -68,14 +68,25 @@ def keep_areas(mask: np.ndarray, least: int) -> np.ndarray:
     return np.cumsum(out)[:-1].reshape(h, w + 2)[:, 1:-1].astype(np.int8)
 
 
+def clipped_rms(a: np.ndarray, passes: int = 3, sigmas: float = 3.0) -> float:
+    """background_rms of one array; NaN if nothing is left, or if it holds a NaN."""
+    v = a.ravel()
+    for _ in range(passes):
+        if not v.size:
+            return float("nan")
+        v = v[np.abs(v - np.median(v)) <= sigmas * v.std()]
+    return float(v.std()) if v.size else float("nan")
+
+
 def detect_sources(tiles: DataFrame, k: float = 3.0, min_area: int = 5, passes: int = 3, pixels: str = "pixels") -> DataFrame:
     """tiles with `mask` (array<tinyint>): pixels above k times the noise in 8-connected areas of min_area or more.
 
-    Each tile is one row, so areas never cross rows; the labelling runs in Arrow batches. A NULL tile, or
-    one whose size isn't h * w, has a NULL mask.
+    Each tile is one row, so areas never cross rows; noise and areas are found in Arrow batches. A NULL tile, or
+    one whose size isn't h * w, has a NULL mask; in one with a NaN nothing is found.
     """
-    marked = tiles.withColumn("mask", threshold_mask(pixels, background_rms(pixels, passes), k))
-    if min_area <= 1:
-        return marked
 
-    return with_tile_columns(marked, lambda m: (keep_areas(m, min_area),), "mask array<tinyint>", "mask")
+    def mask(a: np.ndarray) -> tuple[np.ndarray]:
+        lit = a > k * clipped_rms(a, passes)
+        return (keep_areas(lit, min_area) if min_area > 1 else lit.astype(np.int8),)
+
+    return with_tile_columns(tiles, mask, "mask array<tinyint>", pixels)
