@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.shipping import ship
-from . import decontam, licenses, lm, minhash, packing, pii, quality, secrets, sql, toxicity, warc
+from . import counts, decontam, licenses, lm, merkle, minhash, packing, pii, quality, secrets, sql, toxicity, trie, warc
 from .tables import bound_batches, documents
 
 
@@ -63,6 +63,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontam.contaminations(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"), vocabulary())
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(trie.rebuilt(trie.sequences(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(documents(spark, sf_dir), other_leaf=merkle.lowered_leaf())
+
+
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
@@ -77,5 +89,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """What SQL can express: not the fitted models, the packing, and the template matches."""
-    return {"op2_personal_data": sql.OP2, "op3_minhash_near_dedup": sql.OP3, "op4_warc": sql.OP4}
+    """What SQL can express: not the fitted models, the packing, the template matches and the tokens."""
+    return {"op2_personal_data": sql.OP2, "op3_minhash_near_dedup": sql.OP3, "op4_warc": sql.OP4, "op12_prefix_trie": sql.OP12, "op13_merkle_manifest": sql.OP13}
