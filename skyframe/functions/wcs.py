@@ -6,6 +6,7 @@ number of the first pixel: 1 as in headers, 0 for array positions.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,3 +45,19 @@ def sky_to_pix(ra: Column, dec: Column, wcs: Column, origin: int = 1) -> tuple[C
 def cutout_header(wcs: Column, x0: Column, y0: Column) -> Column:
     """The header of a window that starts at array position (x0, y0)."""
     return wcs.withField("crpix1", wcs["crpix1"] - x0).withField("crpix2", wcs["crpix2"] - y0)
+
+
+def move_pixels(x: np.ndarray, y: np.ndarray, of: dict[str, float], to: dict[str, float], origin: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y) in the grid of header `to` of pixel positions in the grid of `of`, through the sky, for arrays: headers as numbers by name."""
+    u, v = x + (1 - origin) - of["crpix1"], y + (1 - origin) - of["crpix2"]
+    xi, eta = np.radians(of["cd11"] * u + of["cd12"] * v), np.radians(of["cd21"] * u + of["cd22"] * v)
+    dec0 = np.radians(of["crval2"])
+    below = np.cos(dec0) - eta * np.sin(dec0)
+    ra = of["crval1"] + np.degrees(np.arctan2(xi, below))
+    dec = np.arctan2(np.sin(dec0) + eta * np.cos(dec0), np.sqrt(xi * xi + below * below))
+    a, d0 = np.radians(ra - to["crval1"]), np.radians(to["crval2"])
+    cosine = np.sin(dec) * np.sin(d0) + np.cos(dec) * np.cos(d0) * np.cos(a)
+    xi = np.degrees(np.cos(dec) * np.sin(a) / cosine)
+    eta = np.degrees((np.sin(dec) * np.cos(d0) - np.cos(dec) * np.sin(d0) * np.cos(a)) / cosine)
+    det = to["cd11"] * to["cd22"] - to["cd12"] * to["cd21"]
+    return (to["cd22"] * xi - to["cd12"] * eta) / det + to["crpix1"] - (1 - origin), (to["cd11"] * eta - to["cd21"] * xi) / det + to["crpix2"] - (1 - origin)
