@@ -337,3 +337,9 @@ def reproject_chunks(source: DataFrame, target: DataFrame, wcs_source: dict[str,
     parts = target.select("ty", "tx", "h", "w").mapInArrow(asked, "ty int, tx int, h int, w int, sty int, stx int, y0 int, x0 int, y1 int, x1 int")
     held = source.select(F.col("ty").alias("sty"), F.col("tx").alias("stx"), "h", "w", "pixels")
     return parts.groupBy("sty", "stx").cogroup(held.groupBy("sty", "stx")).applyInArrow(part, piece).groupBy("ty", "tx").applyInArrow(gather, out)
+
+
+def footprint_chunks(reprojected: DataFrame) -> DataFrame:
+    """Reprojected chunks with pixels 1 where they are covered and not zero, else 0."""
+    lit = F.transform(F.arrays_zip(F.col("pixels").alias("v"), F.col("covered").alias("c")), lambda p: ((p["c"] == 1) & (p["v"] != 0)).cast("double"))
+    return reprojected.withColumn("pixels", lit).drop("covered")

@@ -63,8 +63,8 @@ def mosaic_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mosaic_hr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
-    y = F.expr("int(2 * (l_orderkey div 100) + (l_linenumber - 1) div 2)")
+    li = table(spark, sf_dir, "lineitem")
+    y = F.expr("int(2 * (l_orderkey div 100) + (l_linenumber - 1) % 4 div 2)")
     x = F.expr("int(2 * (l_orderkey % 100) + (l_linenumber - 1) % 2)")
     return li.groupBy(y.alias("y"), x.alias("x")).agg(F.sum("l_extendedprice").alias("v"))
 
@@ -75,12 +75,16 @@ def mask_lr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mosaic_lr(spark, sf_dir).select("y", "x").join(lit, ["y", "x"], "left").select("y", "x", F.coalesce("valid", F.lit(False)).alias("valid"))
 
 
+WCS_LR = {"crpix1": 50.5, "crpix2": 75.5, "crval1": 150.1, "crval2": 2.2, "cd11": -STEP_LR, "cd12": 0.0, "cd21": 0.0, "cd22": STEP_LR}
+WCS_HR = WCS_LR | {"crpix1": 100.5, "crpix2": 150.5, "cd11": -STEP_HR, "cd22": STEP_HR}
+
+
 def wcs_lr() -> Column:
-    return header(crpix1=50.5, crpix2=75.5, crval1=150.1, crval2=2.2, cd11=-STEP_LR, cd12=0, cd21=0, cd22=STEP_LR)
+    return header(**WCS_LR)
 
 
 def wcs_hr() -> Column:
-    return header(crpix1=100.5, crpix2=150.5, crval1=150.1, crval2=2.2, cd11=-STEP_HR, cd12=0, cd21=0, cd22=STEP_HR)
+    return header(**WCS_HR)
 
 
 def metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

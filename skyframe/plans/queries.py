@@ -13,6 +13,7 @@ from ..functions import stats
 from ..functions.wcs import cutout_header, pix_to_sky, sky_to_pix
 from ..operators import batches as B
 from ..operators import catalog as C
+from ..operators import chunks as K
 from ..operators import detect, gates, losses, metrics, mosaic, pairs, profiles
 from ..operators.tiles import assemble_tiles, blur_tiles, chunked, dataset_stats, explode_tiles, freq_split_tiles, with_dataset_stats
 from ..sources import images
@@ -30,7 +31,7 @@ PX = "e AS (SELECT vec_id, label, embedding, unnest(range(1, 65)) AS i FROM embe
 LR = PX + ", lr AS (SELECT idx, label, CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x, v FROM px WHERE y % 2 = 0 AND x % 2 = 0)"
 PAIR = LR + ", lim AS (SELECT idx AS li, 1.5 * stddev_pop(v) AS lim FROM px GROUP BY idx), pr AS (SELECT px.idx, px.label, px.y, px.x, px.v AS r, lr.v AS f, CAST(px.v > lim AS INT) AS m FROM px JOIN lr ON px.idx = lr.idx AND px.y // 2 = lr.y AND px.x // 2 = lr.x JOIN lim ON px.idx = li)"
 MLR = "mlr AS (SELECT CAST(o_orderkey // 100 AS INT) AS y, CAST(o_orderkey % 100 AS INT) AS x, o_totalprice AS v FROM orders)"
-MHR = "mhr AS (SELECT CAST(2 * (l_orderkey // 100) + (l_linenumber - 1) // 2 AS INT) AS y, CAST(2 * (l_orderkey % 100) + (l_linenumber - 1) % 2 AS INT) AS x, sum(l_extendedprice) AS v FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1, 2)"
+MHR = "mhr AS (SELECT CAST(2 * (l_orderkey // 100) + (l_linenumber - 1) % 4 // 2 AS INT) AS y, CAST(2 * (l_orderkey % 100) + (l_linenumber - 1) % 2 AS INT) AS x, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)"
 MASK = f"{MLR}, {MHR}, lit AS (SELECT DISTINCT CAST(y // 2 AS INT) AS y, CAST(x // 2 AS INT) AS x FROM mhr WHERE v != 0), mask AS (SELECT mlr.y, mlr.x, lit.y IS NOT NULL AS valid FROM mlr LEFT JOIN lit USING (y, x))"
 CENTERS = MASK + ", ok AS (SELECT a.y, a.x FROM mask a JOIN mask b ON b.valid AND b.y BETWEEN a.y - 2 AND a.y + 1 AND b.x BETWEEN a.x - 2 AND a.x + 1 GROUP BY 1, 2 HAVING count(*) = 16)"
 METRIC = "metric AS (SELECT 'run' AS run_id, event_id AS step, CASE WHEN user_id % 5 = 0 THEN 'val' ELSE 'train' END AS split, event_type AS metric, value, ts FROM events)"
@@ -512,6 +513,21 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return images.list_tiles(spark, path)
 
 
+_CHUNK = 64
+
+
+def _stored(chunks: DataFrame) -> DataFrame:
+    """Written once and read back."""
+    path = X.scratch(chunks.sparkSession, "chunks")
+    chunks.write.parquet(path)
+    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
+
+
+def _valid(spark: SparkSession, d: str) -> DataFrame:
+    mask = K.chunks_of(X.mask_lr(spark, d).select("y", "x", F.col("valid").cast("double").alias("v")), _CHUNK)
+    return K.valid_bits(K.with_border(mask, _CHUNK, X.WINDOW // 2, X.WINDOW // 2), _CHUNK, X.WINDOW)
+
+
 @query("l4_sampling_bounds", f"WITH {MLR} SELECT 2 AS y_from, max(y) + 1 - 2 AS y_to, 2 AS x_from, max(x) + 1 - 2 AS x_to FROM mlr")
 def _(spark: SparkSession, d: str) -> DataFrame:
     size = X.mosaic_lr(spark, d).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
@@ -523,7 +539,30 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     (y0, y1), (x0, x1) = mosaic.sampling_bounds(F.col("h"), F.col("w"), X.WINDOW)
     size = X.mosaic_lr(spark, d).agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))  # one row
-    return mosaic.valid_centers(X.mask_lr(spark, d), X.WINDOW).join(F.broadcast(size)).filter(F.col("y").between(y0, y1) & F.col("x").between(x0, x1)).select("y", "x")
+    return K.centers_of(_valid(spark, d), _CHUNK).join(F.broadcast(size)).filter(F.col("y").between(y0, y1) & F.col("x").between(x0, x1)).select("y", "x")
+
+
+@query("j3_valid_centers_rows", f"WITH {CENTERS} SELECT y, x FROM ok")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The form for masks with gaps, whose pixels are rows."""
+    return mosaic.valid_centers(X.mask_lr(spark, d), X.WINDOW)
+
+
+_RANKED = f"{CENTERS}, k AS (SELECT y, x, row_number() OVER (ORDER BY y // 64, x // 64, y, x) - 1 AS k FROM ok)"
+
+
+@query("l1_draw_ranked", f"WITH {_RANKED} SELECT i AS idx, y, x FROM range(20000) r(i) JOIN k ON k = CAST('0x' || substr(md5('3:' || i), 1, 15) AS BIGINT) % (SELECT count(*) FROM ok)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """A draw is a rank: no position is numbered."""
+    return K.draw_locations(_stored(_valid(spark, d)), _CHUNK, 20_000, seed=3)
+
+
+@query("l1_draw_all_distinct", f"WITH {CENTERS} SELECT y, x FROM ok")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """As many draws without replacement as there are valid centres: each comes once."""
+    bits = _stored(_valid(spark, d))
+    total = bits.agg(F.sum("n")).first()[0] or 0
+    return K.draw_locations(bits, _CHUNK, total, seed=3, replace=False).select("y", "x")
 
 
 @query("l1_sample_locations", f"WITH {CENTERS}, k AS (SELECT y, x, row_number() OVER (ORDER BY {hashed('3', 'y', 'x')}, y, x) - 1 AS k FROM ok) SELECT i AS idx, y, x FROM range(1000) r(i) JOIN k ON k = {hashed('3', 'i')} % (SELECT count(*) FROM ok)")
@@ -585,15 +624,31 @@ _REPROJECT = (
 )
 
 
+def _reprojected(spark: SparkSession, d: str) -> DataFrame:
+    """The high-resolution mosaic on the low one's grid, by chunks."""
+    size = X.mosaic_lr(spark, d).agg(F.max("y"), F.max("x")).first()  # one row
+    target = K.grid(spark, size[0] + 1, size[1] + 1, _CHUNK)
+    return K.reproject_chunks(K.chunks_of(X.mosaic_hr(spark, d), 2 * _CHUNK), target, X.WCS_HR, X.WCS_LR, 2 * _CHUNK, _CHUNK)
+
+
 @query("j5_reproject", f"WITH {_REPROJECT} SELECT y, x, CASE WHEN covered THEN round(v, 5) END AS v, covered FROM rp")
 def _(spark: SparkSession, d: str) -> DataFrame:
+    made = explode_tiles(_reprojected(spark, d).withColumn("pixels", F.arrays_zip(F.col("pixels").alias("v"), F.col("covered").alias("c"))).drop("covered"))
+    covered = F.col("v.c") == 1
+    return made.select((F.col("ty") * _CHUNK + F.col("y")).alias("y"), (F.col("tx") * _CHUNK + F.col("x")).alias("x"), F.when(covered, F.round("v.v", 5)).alias("v"), covered.alias("covered"))
+
+
+@query("j5_reproject_rows", f"WITH {_REPROJECT} SELECT y, x, CASE WHEN covered THEN round(v, 5) END AS v, covered FROM rp")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The form for mosaics whose pixels are rows."""
     r = mosaic.reproject(X.mosaic_hr(spark, d), X.mosaic_lr(spark, d), X.wcs_hr(), X.wcs_lr())
     return r.select("y", "x", F.round("v", 5).alias("v"), "covered")
 
 
 @query("f21_footprint", f"WITH {_REPROJECT} SELECT y, x, coalesce(covered AND v != 0, false) AS valid FROM rp")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return mosaic.footprint(mosaic.reproject(X.mosaic_hr(spark, d), X.mosaic_lr(spark, d), X.wcs_hr(), X.wcs_lr()))
+    made = explode_tiles(K.footprint_chunks(_reprojected(spark, d)))
+    return made.select((F.col("ty") * _CHUNK + F.col("y")).alias("y"), (F.col("tx") * _CHUNK + F.col("x")).alias("x"), (F.col("v") == 1).alias("valid"))
 
 
 @query("f22_wcs_roundtrip", f"WITH {MLR} SELECT y, x, CAST(x AS DOUBLE) AS x_back, CAST(y AS DOUBLE) AS y_back FROM mlr")
@@ -784,17 +839,23 @@ def _all_centers(spark: SparkSession, d: str) -> DataFrame:
 _CUT = f"{MLR}, cut AS (SELECT CAST(c.y * 1000 + c.x AS BIGINT) AS idx, CAST(i AS INT) AS y, CAST(j AS INT) AS x, p.v FROM mlr p, range(6) a(i), range(6) b(j), mlr c WHERE c.y = p.y + 3 - i AND c.x = p.x + 3 - j)"
 
 
-@query("j3_validate_locations_all", f"WITH {CENTERS} SELECT y, x FROM ok")
+@query("j3_validate_locations", f"WITH {CENTERS} SELECT y, x FROM ok")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return K.validate_points(X.mosaic_lr(spark, d).select("y", "x"), _valid(spark, d), _CHUNK)
+
+
+@query("j4_extract_cutouts", f"WITH {_CUT} SELECT idx, y, x, round(v, 2) AS v FROM cut")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return mosaic.validate_locations(X.mosaic_lr(spark, d).select("y", "x"), X.mask_lr(spark, d), X.WINDOW)
+    return _window_pixels(K.cut_bordered(_stored(K.with_border(K.chunks_of(X.mosaic_lr(spark, d), _CHUNK), _CHUNK, 0, 5)), _all_centers(spark, d), 6, _CHUNK))
 
 
-@query("j4_extract_cutouts_all", f"WITH {_CUT} SELECT idx, y, x, round(v, 2) AS v FROM cut")
+@query("j4_extract_cutouts_pieces", f"WITH {_CUT} SELECT idx, y, x, round(v, 2) AS v FROM cut")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _window_pixels(mosaic.cut_tiles(chunked(X.mosaic_lr(spark, d), 16), _all_centers(spark, d), 6, 16))
+    """From chunks without a border, which are read as they are: windows over several are put together."""
+    return _window_pixels(mosaic.cut_tiles(chunked(X.mosaic_lr(spark, d), _CHUNK), _all_centers(spark, d), 6, _CHUNK))
 
 
-@query("j4_without_overlap_all", f"WITH {MHR}, {MLR}, met AS (SELECT DISTINCT y + i AS y, x + j AS x FROM mhr, range(2) a(i), range(2) b(j)) SELECT CAST(y * 1000 + x AS BIGINT) AS idx FROM mlr ANTI JOIN met USING (y, x)")
+@query("j4_without_overlap", f"WITH {MHR}, {MLR}, met AS (SELECT DISTINCT y + i AS y, x + j AS x FROM mhr, range(2) a(i), range(2) b(j)) SELECT CAST(y * 1000 + x AS BIGINT) AS idx FROM mlr ANTI JOIN met USING (y, x)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = _all_centers(spark, d)
     return mosaic.without_overlap(c, mosaic.extract_cutouts(X.mosaic_hr(spark, d), c, 2, 16)).select("idx")
@@ -803,19 +864,20 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 _CUT_HR = "hd AS (SELECT CAST(2 * p.y + a.i AS INT) AS y, CAST(2 * p.x + b.j AS INT) AS x, p.v * (1 + a.i + 2 * b.j) AS v FROM mlr p, range(2) a(i), range(2) b(j)), cuth AS (SELECT CAST(c.y * 1000 + c.x AS BIGINT) AS idx, p.v FROM hd p, range(12) a(i), range(12) b(j), mlr c WHERE 2 * c.y = p.y + 6 - i AND 2 * c.x = p.x + 6 - j)"
 
 
-@query("s5_cutout_pairs_roundtrip_all", f"WITH {_CUT}, {_CUT_HR} SELECT 'lr' AS survey, idx, CAST(count(*) AS INT) AS n, round(sum(v), 2) AS total FROM cut GROUP BY idx UNION ALL SELECT 'hr', idx, CAST(count(*) AS INT), round(sum(v), 2) FROM cuth GROUP BY idx")
+@query("s5_cutout_pairs_roundtrip", f"WITH {_CUT}, {_CUT_HR} SELECT 'lr' AS survey, idx, CAST(count(*) AS INT) AS n, round(sum(v), 2) AS total FROM cut GROUP BY idx UNION ALL SELECT 'hr', idx, CAST(count(*) AS INT), round(sum(v), 2) FROM cuth GROUP BY idx")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Both surveys' cutouts at every position, written under the same idx; the high-resolution mosaic is the other one, each pixel as 2 by 2."""
     path, low, c = X.scratch(spark, "cutouts"), X.mosaic_lr(spark, d), _all_centers(spark, d)
     four = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
     high = low.withColumn("p", four).select((F.col("y") * 2 + F.col("p.i")).alias("y"), (F.col("x") * 2 + F.col("p.j")).alias("x"), (F.col("v") * (F.lit(1) + F.col("p.i") + F.col("p.j") * 2)).alias("v"))
-    cut = mosaic.cut_tiles(chunked(low, 16), c, 6, 16).withColumn("survey", F.lit("lr"))
-    other = mosaic.cut_tiles(chunked(high, 32), c.select("idx", (F.col("y") * 2).alias("y"), (F.col("x") * 2).alias("x")), 12, 32).withColumn("survey", F.lit("hr"))
+    low, high = (_stored(K.with_border(K.chunks_of(m, side), side, 0, size - 1)) for m, side, size in ((low, _CHUNK, 6), (high, 2 * _CHUNK, 12)))
+    cut = K.cut_bordered(low, c, 6, _CHUNK).withColumn("survey", F.lit("lr"))
+    other = K.cut_bordered(high, c.select("idx", (F.col("y") * 2).alias("y"), (F.col("x") * 2).alias("x")), 12, 2 * _CHUNK).withColumn("survey", F.lit("hr"))
     sinks.write_cutout_pairs(cut.unionByName(other), path)
     return spark.read.parquet(path).select("survey", "idx", F.size("pixels").alias("n"), F.round(stats.pixel_sum("pixels"), 2).alias("total"))
 
 
-@query("f23_cutout_wcs_all", f"WITH {MLR} SELECT y, x, CAST(50.5 - (x - 3) AS DOUBLE) AS crpix1, CAST(75.5 - (y - 3) AS DOUBLE) AS crpix2 FROM mlr")
+@query("f23_cutout_wcs", f"WITH {MLR} SELECT y, x, CAST(50.5 - (x - 3) AS DOUBLE) AS crpix1, CAST(75.5 - (y - 3) AS DOUBLE) AS crpix2 FROM mlr")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = _all_centers(spark, d).withColumn("wcs", cutout_header(X.wcs_lr(), F.col("x") - 3, F.col("y") - 3))
     return c.select("y", "x", "wcs.crpix1", "wcs.crpix2")
@@ -826,17 +888,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return B.number_rows(X.tiles(spark, d).select("idx"), ["idx"])
 
 
-@query("u1_chained_gate_all", f"WITH {PX} SELECT idx, round(sum(2 * (1 / (1 + exp(-v)) - 0.5)), 6) AS total FROM px GROUP BY idx HAVING sum(v) > exp(-1) AND sum(v) < exp(1)")
+@query("u1_chained_steps", f"WITH {PX} SELECT idx, round(sum(2 * (1 / (1 + exp(-v)) - 0.5)), 6) AS total FROM px GROUP BY idx HAVING sum(v) > exp(-1) AND sum(v) < exp(1)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     made = P.chained(X.tiles(spark, d), lambda t: gates.filter_log_sum(t, "pixels", -1.0, 1.0), lambda t: P.scale_tiles(t, "sigmoid"))
     return made.select("idx", F.round(stats.pixel_sum("scaled"), 6).alias("total"))
 
 
-for _name in ("j3_validate_locations", "j4_extract_cutouts", "j4_without_overlap", "s5_cutout_pairs_roundtrip", "f23_cutout_wcs"):  # the names before
-    QUERIES[_name], ORACLES[_name] = QUERIES[f"{_name}_all"], ORACLES[f"{_name}_all"]
-QUERIES["u1_chained_steps"], ORACLES["u1_chained_steps"] = QUERIES["u1_chained_gate_all"], ORACLES["u1_chained_gate_all"]
-
-
 # ---- streams
 @query("t1_stream_quality_gate", f"WITH {PX} SELECT idx, round(sum(v), 6) AS pix_sum FROM px GROUP BY idx HAVING sum(v) > exp(-1) AND sum(v) < exp(1)")
 def _(spark: SparkSession, d: str) -> DataFrame:
