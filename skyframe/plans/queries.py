@@ -498,11 +498,11 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s2_read_mosaic", f"WITH {MLR} SELECT 'strip' || CAST(y // 50 AS VARCHAR) || '.fits' AS name, CAST(y % 50 AS INT) AS y, x, round(CAST(CAST(v AS FLOAT) AS DOUBLE), 1) AS v FROM mlr")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Survey images of 50 rows each, written, and read as tiles of 16 pixels."""
+    """Survey images of 50 rows each, written, and read as tiles of 16 pixels by byte ranges of a few tiles each."""
     path = X.scratch(spark, "surveys")
     strips = X.mosaic_lr(spark, d).withColumn("name", F.concat(F.lit("strip"), F.expr("y div 50")))
     images.write_images(assemble_tiles(strips, ["name"]), path)
-    tiles = images.read_mosaic(spark, path, tile=16)
+    tiles = images.read_mosaic(spark, path, tile=16, range_bytes=4096)
     return images.mosaic_pixels(tiles, 16).select("name", "y", "x", F.round("v", 1).alias("v"))
 
 

@@ -1,4 +1,4 @@
-"""Simple astronomical images (FITS primary or extension arrays), read by Spark's binaryFile source.
+"""Simple astronomical images (FITS primary or extension arrays): small ones by Spark's binaryFile source, surveys by byte ranges.
 
 The subset: two axes, BITPIX 8, 16, 32, -32 or -64, BSCALE and BZERO. A file that can't be decoded is a row
 with an error and NULL pixels, never an exception.
@@ -6,12 +6,14 @@ with an error and NULL pixels, never an exception.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +22,9 @@ CARD = 80
 #: Array types by BITPIX, big-endian.
 KINDS = {8: ">u1", 16: ">i2", 32: ">i4", -32: ">f4", -64: ">f8"}
 IMAGE = "name string, h int, w int, pixels array<float>, header map<string,string>, error string"
+RANGE = "path string, name string, start long, width long, kind int, scale double, zero double, y0 int, y1 int, x0 int, x1 int, error string"
+RANGE_BYTES = 32 << 20
+MOST_TASKS = 100_000
 TILE = "name string, ty int, tx int, h int, w int, pixels array<float>, error string"
 
 
@@ -73,7 +78,7 @@ def encode(pixels: np.ndarray, cards: dict[str, float] | None = None) -> bytes:
 def write_images(tiles: DataFrame, path: str) -> DataFrame:
     """Write a file {name}.fits per tile (name, h, w, pixels) under path, and return (name, bytes) of each.
 
-    Tasks write to the file system that path's scheme names, through Arrow; a task that runs again writes the same files. The
+    Tasks write to the file system that path's scheme names, through Arrow, under a name of their own first; a task that runs again writes the same files. The
     result is computed once, so that reading it doesn't write again.
     """
 
@@ -84,8 +89,10 @@ def write_images(tiles: DataFrame, path: str) -> DataFrame:
             names, sizes = [], []
             for r in batch.to_pylist():
                 data = encode(np.asarray(r["pixels"], np.float32).reshape(r["h"], r["w"]))
-                with store.open_output_stream(f"{folder}/{r['name']}.fits") as f:
+                own = f"{folder}/.{r['name']}.{TaskContext.get().taskAttemptId()}"  # a twin of this task writes beside it
+                with store.open_output_stream(own) as f:
                     f.write(data)
+                store.move(own, f"{folder}/{r['name']}.fits")
                 names.append(r["name"])
                 sizes.append(len(data))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], names=["name", "bytes"])
@@ -121,26 +128,95 @@ def read_images(spark: SparkSession, path: str, hdu: int = 0) -> DataFrame:
     return _files(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInPandas(run, IMAGE)
 
 
-def read_mosaic(spark: SparkSession, path: str, hdu: int = 0, tile: int = 1024) -> DataFrame:
-    """A survey image as rows of at most tile by tile pixels: write it to Parquet once, and read that later.
+def _read_header(read: Callable[[int, int], bytes], hdu: int) -> tuple[dict[str, str], int]:
+    """The cards of a unit and where its data start; read(offset, size) gives bytes of the file. Data before it are skipped, not read."""
+    at = 0
+    for k in range(hdu + 1):
+        head = b""
+        while not any(head[i : i + 8].rstrip() == b"END" for i in range(max(0, len(head) - BLOCK), len(head), CARD)):
+            block = read(at + len(head), BLOCK)
+            if len(block) < BLOCK:
+                raise ValueError("the header has no end")
+            head += block
+        cards, size = _header(head, 0)
+        at += size
+        if k < hdu:
+            axes = [int(cards[f"NAXIS{i}"]) for i in range(1, int(cards.get("NAXIS", "0")) + 1)]
+            at += -(-(math.prod(axes) * abs(int(cards["BITPIX"])) // 8 if axes else 0) // BLOCK) * BLOCK
+    return cards, at
+
 
-    One image is decoded by one task, as the format isn't splittable.
+def plan_ranges(spark: SparkSession, path: str, hdu: int = 0, tile: int = 1024, range_bytes: int = RANGE_BYTES, region: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Byte ranges of survey images, from their headers alone: (path, name, start, width, kind, scale, zero, y0, y1, x0, x1, error).
+
+    A range is tile rows, and as many tiles beside each other as make range_bytes (one at least). region (y0, y1, x0, x1) keeps the
+    ranges that touch it. A file whose header can't be read, or that is too short for it, is one row with an error.
     """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.fits").load(path).select("path", "length")  # contents aren't read
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in RANGE.split(", ")]
+        kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[x.split()[1]] for x in RANGE.split(", ")]
         for batch in batches:
-            for name, content in zip(batch["name"], batch["content"]):
+            for where, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                name, rows = where.rsplit("/", 1)[-1], []
                 try:
-                    a, _ = decode(bytes(content), hdu)
-                except Exception as e:  # noqa: BLE001
-                    yield pd.DataFrame([(name, None, None, None, None, None, f"{type(e).__name__}: {e}")], columns=["name", "ty", "tx", "h", "w", "pixels", "error"]).astype({k: "Int32" for k in ("ty", "tx", "h", "w")})
-                    continue
-                for ty in range(-(-a.shape[0] // tile)):
-                    for tx in range(-(-a.shape[1] // tile)):
-                        part = a[ty * tile : (ty + 1) * tile, tx * tile : (tx + 1) * tile]
-                        yield pd.DataFrame([(name, ty, tx, *part.shape, part.ravel(), None)], columns=["name", "ty", "tx", "h", "w", "pixels", "error"])
+                    store, inside = pafs.FileSystem.from_uri(where)
+                    with store.open_input_file(inside) as f:
+                        cards, start = _read_header(lambda at, n: f.read_at(n, at), hdu)
+                    if (axes := int(cards.get("NAXIS", "0"))) != 2:
+                        raise ValueError(f"{axes} axes, 2 are needed")
+                    w, h, kind = int(cards["NAXIS1"]), int(cards["NAXIS2"]), int(cards["BITPIX"])
+                    each = abs(kind) // 8
+                    if length < start + w * h * each:
+                        raise ValueError("the data are cut short")
+                    wide = max(1, range_bytes // (tile * tile * each)) * tile
+                    for y in range(0, h, tile):
+                        for x in range(0, w, wide):
+                            y1, x1 = min(y + tile, h), min(x + wide, w)
+                            if not region or y < region[1] and y1 > region[0] and x < region[3] and x1 > region[2]:
+                                rows.append((where, name, start, w, kind, float(cards.get("BSCALE", "1")), float(cards.get("BZERO", "0")), y, y1, x, x1, None))
+                except Exception as e:  # noqa: BLE001 - any bad file is a row
+                    rows = [(where, name, *[None] * 9, f"{type(e).__name__}: {e}")]
+                columns = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+
+    return files.mapInArrow(run, RANGE)
+
+
+def read_mosaic(spark: SparkSession, path: str, hdu: int = 0, tile: int = 1024, range_bytes: int = RANGE_BYTES, region: tuple[int, int, int, int] | None = None) -> DataFrame:
+    """Survey images of any size as rows of at most tile by tile pixels: write them to Parquet once, and read that later.
+
+    The headers give byte ranges (plan_ranges), which are dealt to as many tasks as the files' bytes make ranges; each task seeks
+    its rows in the file through the file system that the path's scheme names, and holds one range at a time. With region, only
+    tiles that touch it are read.
+    """
+    planned = plan_ranges(spark, path, hdu, tile, range_bytes, region)
+    total = _files(spark, path).agg(F.sum("length")).first()[0] or 0
+    tasks = max(1, min(-(-total // range_bytes), MOST_TASKS))
 
-    return _files(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInPandas(run, TILE)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("name", pa.string()), *((c, pa.int32()) for c in ("ty", "tx", "h", "w")), ("pixels", pa.list_(pa.float32())), ("error", pa.string())])
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["error"]:
+                    yield pa.RecordBatch.from_pylist([{"name": r["name"], "error": r["error"]}], schema=schema)
+                    continue
+                store, inside = pafs.FileSystem.from_uri(r["path"])
+                h, w, dtype = r["y1"] - r["y0"], r["x1"] - r["x0"], np.dtype(KINDS[r["kind"]])
+                row = lambda y: r["start"] + (y * r["width"] + r["x0"]) * dtype.itemsize  # noqa: E731, B023
+                with store.open_input_file(inside) as f:
+                    if w == r["width"]:
+                        raw = f.read_at(h * w * dtype.itemsize, row(r["y0"]))
+                    else:
+                        raw = b"".join(f.read_at(w * dtype.itemsize, row(y)) for y in range(r["y0"], r["y1"]))
+                a = (np.frombuffer(raw, dtype).reshape(h, w).astype(np.float64) * r["scale"] + r["zero"]).astype(np.float32)
+                for x in range(0, w, tile):
+                    part = a[:, x : x + tile]
+                    if not region or r["x0"] + x < region[3] and r["x0"] + x + part.shape[1] > region[2]:
+                        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((r["name"], r["y0"] // tile, (r["x0"] + x) // tile, *part.shape, part.ravel(), None), schema)], schema=schema)
+
+    return planned.repartition(tasks, "path", "y0", "x0").mapInArrow(run, TILE)
 
 
 def mosaic_pixels(tiles: DataFrame, tile: int = 1024) -> DataFrame:

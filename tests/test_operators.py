@@ -30,6 +30,44 @@ def test_mosaic_tiles_rebuild_the_image(spark, tmp_path):
     assert len(px) == 35 and all(r.v == a[r.y, r.x] for r in px)
 
 
+def test_mosaic_by_byte_ranges(spark, tmp_path):
+    """Several tasks, ranges narrower than a row, an extension behind an image, integers, parts, and bad files."""
+    rng = np.random.default_rng(4)
+    a, b = rng.normal(size=(45, 70)).astype(np.float32), rng.normal(size=(9, 100)).astype(np.float32)
+    (tmp_path / "a.fits").write_bytes(images.encode(b) + images.encode(a))
+    (tmp_path / "b.fits").write_bytes(images.encode(a)[:5000])
+    (tmp_path / "c.fits").write_bytes(b"x")
+    read = lambda **k: images.read_mosaic(spark, str(tmp_path), tile=8, range_bytes=700, **k)
+    made = read(hdu=1)
+    assert made.rdd.getNumPartitions() > 10
+    rows = made.collect()
+    whole = np.zeros_like(a)
+    for r in rows:
+        if r.name == "a.fits":
+            whole[r.ty * 8 : r.ty * 8 + r.h, r.tx * 8 : r.tx * 8 + r.w] = np.reshape(r.pixels, (r.h, r.w))
+    assert np.array_equal(whole, a) and sum(r.name == "a.fits" for r in rows) == 6 * 9
+    assert all(r.error and r.pixels is None for r in rows if r.name != "a.fits") and {r.name for r in rows} == {"a.fits", "b.fits", "c.fits"}
+    assert {(r.ty, r.tx) for r in read(hdu=1, region=(7, 9, 20, 30)).collect() if r.name == "a.fits"} == {(y, x) for y in (0, 1) for x in (2, 3)}
+    one = images.plan_ranges(spark, str(tmp_path), 1, 8, 8 * 8 * 4 * 3).filter("error is null")
+    assert {(r.x0, r.x1) for r in one.collect()} == {(0, 24), (24, 48), (48, 70)}
+
+
+def test_mosaic_beyond_two_gigabytes(spark, tmp_path):
+    """A sparse file of 2.6 GB; its last tile has the bytes that were written there."""
+    side = 51_000
+    head = images.encode(np.zeros((1, 1), np.float32))[:2880].replace(f"BITPIX  = {-32:>20}".encode(), f"BITPIX  = {8:>20}".encode())
+    head = head.replace(f"NAXIS1  = {1:>20}".encode(), f"NAXIS1  = {side:>20}".encode()).replace(f"NAXIS2  = {1:>20}".encode(), f"NAXIS2  = {side:>20}".encode())
+    with open(tmp_path / "m.fits", "wb") as f:
+        f.write(head)
+        f.seek(2880 + side * (side - 1) + side - 5)
+        f.write(bytes([1, 2, 3, 4, 5]))
+    assert (tmp_path / "m.fits").stat().st_size > 2**31
+    assert images.plan_ranges(spark, str(tmp_path)).count() == 100  # 50 by 50 tiles, 32 a range: two to a row of tiles
+    (r,) = images.read_mosaic(spark, str(tmp_path), region=(side - 1, side, side - 5, side)).collect()
+    last = np.reshape(r.pixels, (r.h, r.w))
+    assert (r.ty, r.tx) == (49, 49) and last[-1, -5:].tolist() == [1, 2, 3, 4, 5] and last.sum() == 15
+
+
 def test_scaled_integer_image():
     raw = images.encode(np.zeros((1, 2), np.float32), {"BSCALE": 2, "BZERO": 10})
     body = raw[:2880].replace(b"BITPIX  =                  -32", b"BITPIX  =                   16") + np.array([3, -1], ">i2").tobytes()
