@@ -29,8 +29,8 @@ def with_tile_columns(tiles: DataFrame, compute: Callable[[np.ndarray], tuple],
 
     def column(values: list, kind: T.DataType) -> pa.Array:
         if not isinstance(kind, T.ArrayType):
-            return pa.array(values, {"double": pa.float64(), "int": pa.int32(), "bigint": pa.int64()}[kind.simpleString()])
-        inner = {"double": np.float64, "tinyint": np.int8, "float": np.float32}[kind.elementType.simpleString()]
+            return pa.array(values, {"double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}[kind.simpleString()])
+        inner = {"double": np.float64, "tinyint": np.int8, "float": np.float32, "int": np.int32}[kind.elementType.simpleString()]
         sizes = [0 if v is None else v.size for v in values]
         flat = np.concatenate([np.zeros(0, inner), *(np.asarray(v, inner).ravel() for v in values if v is not None)])
         offsets = pa.array(np.cumsum([0, *sizes], dtype=np.int32))
@@ -100,23 +100,27 @@ def assemble_tiles(pixels: DataFrame, by: list[str], value: str = "v") -> DataFr
 
 
 def dataset_stats(tiles: DataFrame, by: list[str], pixels: str = "pixels", exact: bool = True) -> DataFrame:
-    """lowest, highest, median and population deviation over all pixels of a group.
+    """lowest, highest, median and population deviation over all finite pixels of a group, and n_bad, the number of NaN, infinite and NULL ones.
 
-    Tiles are summed up one by one, so pixels are never rows. The exact median takes a few passes: each counts the
+    A group without a finite pixel has NULLs.     Tiles are summed up one by one, so pixels are never rows. The exact median takes a few passes: each counts the
     pixels of a group in BINS bins of the range that holds its middle ones, until FEW_VALUES are left in it (or all are
     equal), which are then ordered. With exact=False, a bin's middle is given after one pass: off by at most the
     group's range over BINS.
     """
 
     def summary(a: np.ndarray) -> tuple:
-        return int(a.size), float(a.mean()), float(((a - a.mean()) ** 2).sum()), float(a.min()), float(a.max())
+        v = a[np.isfinite(a)]
+        if not v.size:
+            return 0, int(a.size), None, None, None, None
+        return int(v.size), int(a.size - v.size), float(v.mean()), float(((v - v.mean()) ** 2).sum()), float(v.min()), float(v.max())
 
-    each = with_tile_columns(tiles.select(*by, "h", "w", pixels), summary, "n bigint, mean double, m2 double, lo double, hi double", pixels).drop(pixels)
+    each = with_tile_columns(tiles.select(*by, "h", "w", pixels), summary, "n bigint, bad bigint, mean double, m2 double, lo double, hi double", pixels).drop(pixels)
     n = F.sum("n")
-    around = F.sum("m2") + F.sum(F.col("n") * F.col("mean") ** 2) - n * (F.sum(F.col("n") * F.col("mean")) / n) ** 2
-    whole = each.filter("n > 0").groupBy(*by).agg(n.alias("n"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"), F.sqrt(F.greatest(around, F.lit(0.0)) / n).alias("std"))
-    middle = _medians(tiles.select(*by, pixels).filter(F.size(pixels) > 0), by, pixels, whole, exact)
-    return whole.join(middle, by).select(*by, "lowest", "highest", "median", "std")
+    around = F.sum("m2") + F.sum(F.col("n") * F.col("mean") ** 2) - n * F.try_divide(F.sum(F.col("n") * F.col("mean")), n) ** 2
+    whole = each.filter("n + bad > 0").groupBy(*by).agg(n.alias("n"), F.sum("bad").alias("n_bad"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"), F.sqrt(F.try_divide(F.greatest(around, F.lit(0.0)), n)).alias("std"))
+    middle = _medians(tiles.filter((F.size(pixels) > 0) & (F.size(pixels) == F.col("h") * F.col("w"))).select(*by, pixels), by, pixels, whole.filter("n > 0"), exact)
+    on = [whole[c].eqNullSafe(middle[c]) for c in by]
+    return whole.join(middle, on, "left").select(*(whole[c] for c in by), "lowest", "highest", "median", "std", "n_bad")
 
 
 def _medians(tiles: DataFrame, by: list[str], pixels: str, whole: DataFrame, exact: bool) -> DataFrame:
@@ -137,7 +141,7 @@ def _medians(tiles: DataFrame, by: list[str], pixels: str, whole: DataFrame, exa
                         lo, hi, _, _ = open_[key]
                         v = flat[starts[i] : starts[i + 1]]
                         v = v[(v >= lo) & (v <= hi)]
-                        held[key] = held.get(key, 0) + np.bincount(np.minimum(((v - lo) / (hi - lo) * BINS).astype(np.int64), BINS - 1), minlength=BINS)
+                        held[key] = held.get(key, 0) + np.bincount(np.minimum(((v / 2 - lo / 2) / (hi / 2 - lo / 2) * BINS).astype(np.int64), BINS - 1), minlength=BINS)
             for key, counts in held.items():
                 at = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([*(pa.array([x] * len(at), f) for x, f in zip(key, arrow)), pa.array(at.astype(np.int32)), pa.array(counts[at].astype(np.int64))], names=[*by, "bin", "n"])
@@ -145,6 +149,7 @@ def _medians(tiles: DataFrame, by: list[str], pixels: str, whole: DataFrame, exa
         arrow = [to_arrow_type(k.dataType) for k in kinds]
         return tiles.mapInArrow(run, T.StructType([*kinds, *T.StructType.fromDDL("bin int, n bigint")])).groupBy(*by, "bin").agg(F.sum("n").alias("n"))
 
+    stuck = {}  # ranges of a few values each, with very many pixels
     while True:
         open_ = {k: r for k, r in ranges.items() if r[3] > FEW_VALUES and r[0] < r[1]}
         if not open_:
@@ -155,18 +160,21 @@ def _medians(tiles: DataFrame, by: list[str], pixels: str, whole: DataFrame, exa
         for k, (lo, hi, below, _) in open_.items():
             reached = below + np.cumsum(bins[k])
             first, last = (int(np.searchsorted(reached, place, "right")) for place in ((totals[k] - 1) // 2, totals[k] // 2))
-            step = (hi - lo) / BINS
+            step = hi / BINS - lo / BINS
             left = int(bins[k][first : last + 1].sum())
             # a little wider than the bins, for what rounding moves over their edges
             low, high = max(lo, float(np.nextafter(lo + first * step * (1 - 1e-12), -np.inf))), min(hi, float(np.nextafter(lo + (last + 1) * step * (1 + 1e-12), np.inf)))
-            if not exact or (low, high) == (lo, hi):
-                ranges[k] = ((low + high) / 2, (low + high) / 2, 0, 0)
+            if not exact:
+                ranges[k] = (low / 2 + high / 2, low / 2 + high / 2, 0, 0)
+            elif (low, high) == (lo, hi):
+                stuck[k], ranges[k] = (lo, hi, below), (lo, lo, 0, 0)
             else:
                 ranges[k] = (low, high, None, left)
         again = [k for k, r in ranges.items() if r[2] is None]
         if again:
             for k, below in _below(tiles, by, pixels, {k: ranges[k][0] for k in again}).items():
                 ranges[k] = (ranges[k][0], ranges[k][1], below, ranges[k][3])
+    ranges |= {k: (m, m, 0, 0) for k, m in _counted_medians(tiles, by, pixels, stuck, totals).items()}
     bounds = spark.createDataFrame([(*k, r[0], r[1], r[2], totals[k]) for k, r in ranges.items()], T.StructType([*kinds, *T.StructType.fromDDL("lo double, hi double, below bigint, total bigint")]))
     inside = F.filter(pixels, lambda v: (v >= F.col("lo")) & (v <= F.col("hi")) & (F.col("lo") < F.col("hi")))
     left = tiles.join(F.broadcast(bounds), by).select(*by, F.explode(inside).alias("v")).groupBy(*by).agg(F.sort_array(F.collect_list("v")).alias("vs"))  # FEW_VALUES at most
@@ -175,6 +183,22 @@ def _medians(tiles: DataFrame, by: list[str], pixels: str, whole: DataFrame, exa
     return bounds.join(left, by, "left").select(*by, F.coalesce(middle, F.col("lo")).alias("median"))
 
 
+def _counted_medians(tiles: DataFrame, by: list[str], pixels: str, ranges: dict, totals: dict) -> dict:
+    """Medians of groups by the counts of each value in a range (lo, hi, pixels below lo) that is too narrow to be cut: the values in it are few."""
+    if not ranges:
+        return {}
+    known = tiles.sparkSession.createDataFrame([(*k, *r[:2]) for k, r in ranges.items()], T.StructType([*(tiles.schema[c] for c in by), *T.StructType.fromDDL("lo double, hi double")]))
+    inside = tiles.join(F.broadcast(known), by).select(*by, F.explode(F.filter(pixels, lambda v: (v >= F.col("lo")) & (v <= F.col("hi")))).alias("v"))
+    counts: dict[tuple, list] = {}
+    for r in inside.groupBy(*by, "v").count().orderBy("v").collect():
+        counts.setdefault(tuple(r[c] for c in by), []).append((r["v"], r["count"]))
+    out = {}
+    for k, found in counts.items():
+        reached = ranges[k][2] + np.cumsum([n for _, n in found])
+        out[k] = sum(found[int(np.searchsorted(reached, place, "right"))][0] for place in ((totals[k] - 1) // 2, totals[k] // 2)) / 2
+    return out
+
+
 def _below(tiles: DataFrame, by: list[str], pixels: str, limits: dict) -> dict:
     """How many pixels of each group are below its limit."""
     kinds = [tiles.schema[c] for c in by]

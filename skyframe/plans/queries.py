@@ -14,8 +14,8 @@ from ..functions.wcs import cutout_header, pix_to_sky, sky_to_pix
 from ..operators import batches as B
 from ..operators import catalog as C
 from ..operators import chunks as K
-from ..operators import detect, gates, losses, metrics, mosaic, pairs, profiles
-from ..operators.tiles import assemble_tiles, blur_tiles, chunked, dataset_stats, explode_tiles, freq_split_tiles, with_dataset_stats
+from ..operators import detect, gates, losses, metrics, mosaic, pairs, profiles, widths
+from ..operators.tiles import assemble_tiles, blur_tiles, chunked, dataset_stats, explode_tiles, freq_split_tiles, with_dataset_stats, with_tile_columns
 from ..sources import images
 from ..sources import tables as sinks
 from ..streaming import jobs
@@ -244,6 +244,16 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return s.select("label", *(F.round(c, 6).alias(c) for c in ("lowest", "highest", "median", "std")))
 
 
+_BAD_PX = f"{PX}, bad AS (SELECT idx % 3 AS g, v, idx % 10 IN (1, 2) AND y = 7 AND x = 7 AS bad FROM px WHERE idx % 10 NOT IN (3, 4))"
+
+
+@query("a5_dataset_stats_bad", f"WITH {_BAD_PX} SELECT g, round(min(v) FILTER (NOT bad), 6) AS lowest, round(max(v) FILTER (NOT bad), 6) AS highest, round(median(v) FILTER (NOT bad), 6) AS median, round(stddev_pop(v) FILTER (NOT bad), 6) AS std, count(*) FILTER (bad) AS n_bad FROM bad GROUP BY g")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Tiles with NaN and infinite pixels, short ones and NULLs: finite pixels of whole tiles count."""
+    t = bad_tiles(spark, d).select((F.col("idx") % 3).alias("g"), F.col("hr_h").alias("h"), F.col("hr_w").alias("w"), F.col("hr").alias("pixels"))
+    return dataset_stats(t, ["g"]).select("g", *(F.round(c, 6).alias(c) for c in ("lowest", "highest", "median", "std")), "n_bad")
+
+
 @query("p1_filter_log_sum", f"WITH {PX} SELECT idx, round(sum(v), 6) AS pix_sum FROM px GROUP BY idx HAVING sum(v) > exp(-1) AND sum(v) < exp(1)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     kept = gates.filter_log_sum(X.tiles(spark, d), "pixels", -1.0, 1.0)
@@ -386,9 +396,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return losses.disc_loss(t, ["label"]).select("label", F.round("disc_loss", 6).alias("disc_loss"))
 
 
-@query("a15_feature_mse", f"WITH {PAIR}, l AS (SELECT label, avg((r - f) * (r - f)) AS mse FROM pr WHERE label < 5 GROUP BY label) SELECT round(sum(mse / (1 << label)), 6) AS feature_mse FROM l")
+@query("a15_feature_mse", f"WITH {PAIR}, l AS (SELECT label % 5 AS level, avg((r - f) * (r - f)) AS mse FROM pr GROUP BY 1) SELECT round(sum(mse / (1 << level)), 6) AS feature_mse FROM l")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    f = X.pairs(X.tiles(spark, d)).filter("label < 5").withColumnRenamed("label", "level")
+    f = X.pairs(X.tiles(spark, d)).withColumn("level", F.col("label") % 5)
     weights = f.select("level").distinct().withColumn("weight", 1.0 / F.pow(F.lit(2.0), "level"))
     return losses.feature_mse(f, weights).select(F.round("feature_mse", 6).alias("feature_mse"))
 
@@ -460,6 +470,48 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return lit.groupBy("idx").agg(F.count("*").alias("n_pixels"), F.sum(F.col("y") * 8 + F.col("x")).cast("bigint").alias("id_sum"))
 
 
+_BOX_CLIP = "b{n} AS (SELECT idx, box, s0, list_filter(p, lambda v: abs(v - list_aggregate(p, 'median')) <= 3 * list_aggregate(p, 'stddev_pop')) AS p FROM b{m})"
+_BOXES = f"{PX}, b0 AS (SELECT idx, CAST(y // 4 * 2 + x // 4 AS INT) AS box, stddev_pop(v) AS s0, list(v) AS p FROM px GROUP BY 1, 2), " + ", ".join(_BOX_CLIP.format(n=i + 1, m=i) for i in range(2)) + ", lev AS (SELECT idx, box, s0, list_aggregate(p, 'stddev_pop') AS s, list_aggregate(p, 'avg') AS mean, list_aggregate(p, 'median') AS med FROM b2)"
+
+
+@query("a9_background_boxes", f"WITH {_BOXES} SELECT idx, box, round(CASE WHEN s0 - s < 0.2 * s0 THEN mean ELSE 2.5 * med - 1.5 * mean END, 6) AS level, round(s, 6) AS noise FROM lev")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    made = detect.background_boxes(X.tiles(spark, d), 4, 2).select("idx", F.posexplode(F.arrays_zip("level", "noise")).alias("box", "b"))
+    return made.select("idx", "box", F.round("b.level", 6).alias("level"), F.round("b.noise", 6).alias("noise"))
+
+
+@query("a9_background_mesh")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    made = detect.background_mesh(X.tiles(spark, d), 4, 2)
+    return made.select("idx", F.round(stats.mean("background"), 6).alias("mean_level"), F.round("rms", 6).alias("rms"))
+
+
+_AROUND = "near AS (SELECT c.idx, c.y, c.x, sum(n.v * (2 - abs(c.y - n.y)) * (2 - abs(c.x - n.x))) / 16 AS v FROM px c JOIN px n ON c.idx = n.idx AND abs(c.y - n.y) <= 1 AND abs(c.x - n.x) <= 1 GROUP BY 1, 2, 3)"
+
+
+@tiles_of("w6_smoothed", f"{PX}, {_AROUND}, out AS (SELECT idx, y, x, v FROM near)")
+def _(t: DataFrame) -> DataFrame:
+    return with_tile_columns(t, lambda a: (detect.smoothed(a),), "pixels array<double>")
+
+
+@query("w6_segment_sources")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of each tile, their pixels, and the segments as text."""
+    made = detect.segment_sources(X.tiles(spark, d), 1.5, 3, box=4)
+    return made.select("idx", "n_sources", F.size(F.filter("segments", lambda v: v > 0)).alias("n_pixels"), F.round("rms", 6).alias("rms"), F.array_join("segments", "").alias("segments"))
+
+
+@query("e1_fwhm_bias", "WITH t AS (SELECT p_partkey AS object_id, (1.2 + p_size % 20 / 10.0) * 2 * sqrt(2 * ln(2)) AS truth FROM part) SELECT object_id, round(truth, 4) AS fwhm, round(truth * sqrt(1.5), 4) AS fwhm_major, CAST(0 AS DOUBLE) AS relative_bias FROM t")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """An elongated source for every part, as wide as its size says, as bright as its price, somewhere near the middle of its tile: measured, and held against the truth."""
+    side, wide, long_ = 24, F.lit(1.2) + F.col("p_size") % 20 / 10.0, 1.5**0.5
+    light = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.col("p_retailprice") * F.exp(-(F.pow((i % side - (11.5 + F.col("p_partkey") % 7 / 10.0)) / long_, 2) + F.pow((F.floor(i / side) - (11.5 - F.col("p_partkey") % 5 / 10.0)) * long_, 2)) / (2 * wide * wide)) + 3.0)
+    t = X.table(spark, d, "part").select("p_partkey", (wide * 2 * F.sqrt(F.lit(2.0) * F.log(F.lit(2.0)))).alias("truth"), F.lit(side).alias("h"), F.lit(side).alias("w"), light.alias("pixels"))
+    made = widths.source_widths(t)
+    bias = C.relative_bias("fwhm", "truth")
+    return made.select(F.col("p_partkey").alias("object_id"), F.round("fwhm", 4).alias("fwhm"), F.round("fwhm_major", 4).alias("fwhm_major"), F.abs(F.round(bias, 5)).alias("relative_bias"))
+
+
 @query("f27_binarised", "SELECT label, CAST(label > 0 AS INT) AS lit, count(*) AS n FROM embeddings GROUP BY 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = X.tiles(spark, d).withColumn("b", detect.binarised(F.array("label")))
