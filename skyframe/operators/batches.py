@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def stable_number(*parts: Column | str) -> Column:
     """A 32-bit number from the MD5 of the parts, the same in any engine."""
@@ -18,22 +21,27 @@ def stable_long(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
 
 
-def number_rows(rows: DataFrame, order: list[str], name: str = "ordinal", buckets: int | None = None) -> DataFrame:
-    """Dense numbers from 0 in the given order, by counts per range of the first order column.
+def _ranges(rows: DataFrame, order: list[str | Column], ranges: int) -> DataFrame:
+    """rows in order, dealt to ranges of about equal size, with `__at`: range and place. Equal keys are told apart by a hash of the row, then by where it was read, and spread over ranges."""
+    hashable = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    held = rows.select("*", F.xxhash64(*hashable).alias("__h"), F.monotonically_increasing_id().alias("__m"))
+    keys = [*order, "__h", "__m"]
+    return held.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop("__h", "__m").withColumn("__at", F.monotonically_increasing_id())
+
+
+def number_rows(rows: DataFrame, order: list[str | Column], name: str = "ordinal", buckets: int | None = None) -> DataFrame:
+    """Dense numbers from 0 in the given order, of columns of any ordered type, ascending unless they say otherwise.
 
-    The rows are cut at approximate quantiles of the first column (which must be numeric), numbered inside
-    each bucket, and moved on by the counts of the buckets before: as many tasks as buckets, which are as many as the
-    session's shuffle partitions if not given. A job over that column finds the quantiles while the plan is built.
+    The rows are range-partitioned by the whole order and written once to the shared folder; a range's numbers start after the
+    rows of the ranges before it. As many ranges as `buckets`, else as the session's shuffle partitions. Rows that are equal in the order come in an order of their own.
     """
-    first = order[0]
-    buckets = buckets or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    cuts = sorted(set(rows.approxQuantile(first, [i / buckets for i in range(1, buckets)], 0.01)))
-    bucket = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= F.col(first))) if cuts else F.lit(0)
-    held = rows.withColumn("__b", bucket)
-    counts = held.groupBy("__b").agg(F.count("*").alias("__n"))
-    before = counts.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__skip"))
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
-    return held.withColumn("__r", inside).join(F.broadcast(before), "__b").withColumn(name, (F.col("__skip") + F.col("__r") - 1).cast("bigint")).drop("__b", "__r", "__skip")
+    ranges = buckets or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
+    held = stored(_ranges(rows, order, ranges), "numbered")
+    part = F.shiftright("__at", 33)
+    counts = held.groupBy(part.cast("int").alias("__p")).count().orderBy("__p").collect()  # a row a range
+    before = np.cumsum([0, *(r["count"] for r in counts)]).tolist()
+    starts = rows.sparkSession.createDataFrame([(r["__p"], n) for r, n in zip(counts, before)], "__p int, __before bigint")
+    return held.withColumn("__p", part.cast("int")).join(F.broadcast(starts), "__p").select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("__before") + F.col("__at") - F.shiftleft(part, 33)).alias(name))
 
 
 def take(rows: DataFrame, n: int, idx: str = "idx") -> DataFrame:

@@ -203,7 +203,7 @@ def _below(tiles: DataFrame, by: list[str], pixels: str, limits: dict) -> dict:
     """How many pixels of each group are below its limit."""
     kinds = [tiles.schema[c] for c in by]
     known = tiles.sparkSession.createDataFrame([(*k, x) for k, x in limits.items()], T.StructType([*kinds, *T.StructType.fromDDL("limit double")]))
-    each = tiles.join(F.broadcast(known), by).select(*by, F.size(F.filter(pixels, lambda v: v < F.col("limit"))).alias("n"))
+    each = tiles.join(F.broadcast(known), by).select(*by, F.size(F.filter(pixels, lambda v: (v < F.col("limit")) & (v > float("-inf")))).alias("n"))
     return {tuple(r[c] for c in by): r["n"] for r in each.groupBy(*by).agg(F.sum("n").alias("n")).collect()}
 
 

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.arrays import bound, decimate, resize_nearest
 from ..functions.stats import spread
 from ..functions.wcs import header
+from ..sources.shared import new_path as scratch  # noqa: F401
 
 SIDE = 8
 STEP_LR = 0.168 / 3600
@@ -22,17 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder of the session. Where none is set, a local session gets a folder of its own machine; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/skyframe-{uuid.uuid4().hex}/{name}"
-
-
 def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """8 by 8 tiles (idx, label, h, w, pixels)."""
     e = table(spark, sf_dir, "embeddings")

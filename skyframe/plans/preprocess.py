@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions import arrays, scale, stats
 from ..operators.batches import batched, flips, number_rows
-from ..operators.detect import background_rms, threshold_mask
+from ..operators.detect import background_rms, clipped_rms, threshold_mask
 from ..operators.gates import drop_corrupt, filter_finite, filter_shape
 
 Step = Callable[[DataFrame], DataFrame]
@@ -94,8 +95,8 @@ def flipped(pixels: str, h: int, w: int, vertical: Column, horizontal: Column) -
     return arrays.bound(rows, lambda p: F.when(horizontal, arrays.hflip(p, h, w)).otherwise(p))
 
 
-def preprocess(pairs: DataFrame, hr: tuple[int, int, int], lr: tuple[int, int, int], k: float = 3.0, epoch: int | None = None, seed: int = 0, key: str = "idx") -> DataFrame:
-    """Training samples of pairs (key, hr, lr arrays): hr, lr, lr_up and mask, padded, and their sizes as hr_h, hr_w and so on; one narrow pass.
+def preprocess_columns(pairs: DataFrame, hr: tuple[int, int, int], lr: tuple[int, int, int], k: float = 3.0, epoch: int | None = None, seed: int = 0, key: str = "idx") -> DataFrame:
+    """preprocess() in built-in functions: interpreted for each pixel, and sorts every tile, so for small ones.
 
     hr and lr are (size, crop, pad). The order is fixed: flip (only with an epoch), crop, detect on the raw
     crop, clip and scale each survey, enlarge the scaled low-resolution tile, pad all four.
@@ -114,6 +115,78 @@ def preprocess(pairs: DataFrame, hr: tuple[int, int, int], lr: tuple[int, int, i
     return out
 
 
+def _crop(a: np.ndarray, size: int) -> np.ndarray:
+    """The centred square; where it exceeds the tile, zeros."""
+    out = np.zeros((size, size))
+    (y, x), (h, w) = (int(np.rint((n - size) / 2)) if n >= size else -((size - n) // 2) for n in a.shape), a.shape
+    out[max(-y, 0) : h - y, max(-x, 0) : w - x] = a[max(y, 0) : y + size, max(x, 0) : x + size]
+    return out
+
+
+def _percentile(a: np.ndarray, p: float) -> float:
+    """By selection; NaNs are the largest values."""
+    at = (a.size - 1) * p
+    low = int(at)
+    high = min(low + 1, a.size - 1)
+    chosen = np.partition(a.ravel(), (low, high))
+    return chosen[low] + (chosen[high] - chosen[low]) * (at - low)
+
+
+def _scaled(a: np.ndarray) -> np.ndarray:
+    """Clipped to 0 and the high percentile, then scale.ds9_scale; NaN in the place of NULL where that has none."""
+    v = np.fmin(np.maximum(a, 0.0), _percentile(a, scale.CLIP_PERCENTILE)) * 1000.0 + 1.0
+    return np.log10(v, out=np.full(v.shape, np.nan), where=(v > 0)) / math.log10(1001.0) - 1.0
+
+
+def preprocess(pairs: DataFrame, hr: tuple[int, int, int], lr: tuple[int, int, int], k: float = 3.0, epoch: int | None = None, seed: int = 0, key: str = "idx") -> DataFrame:
+    """Training samples of pairs (key, hr, lr arrays): hr, lr, lr_up and mask, padded, and their sizes as hr_h, hr_w and so on; one narrow pass in Arrow batches.
+
+    hr and lr are (size, crop, pad). The order is fixed: flip (only with an epoch), crop, detect on the raw
+    crop, clip and scale each survey, enlarge the scaled low-resolution tile, pad all four. Percentiles and medians are found by selection. A tile that is
+    NULL or hasn't its size gives NULLs; a NULL pixel is taken as NaN, and a pixel without a logarithm is NULL.
+    """
+    (hs, hc, hp), (ls, lc, lp) = hr, lr
+    if hp >= hc or lp >= lc:
+        raise ValueError("a pad must be smaller than its crop")
+    v, h = flips(key, epoch, seed) if epoch is not None else (F.lit(False), F.lit(False))
+    made = ("hr", "lr", "lr_up", "mask")
+    kept = [c for c in pairs.columns if c not in ("hr", "lr")]
+    held = pairs.select(*(F.col(f"`{c}`") for c in kept), *(F.col(c).cast("array<double>").alias(c) for c in ("hr", "lr")), F.coalesce(v, F.lit(False)).alias("__v"), F.coalesce(h, F.lit(False)).alias("__h"))
+    rows, columns = np.arange(hc) * lc // hc, np.arange(hc) * lc // hc
+
+    def sample(a: np.ndarray, b: np.ndarray, vertical: bool, horizontal: bool) -> tuple[np.ndarray, ...]:
+        turn = (slice(None, None, -1 if vertical else 1), slice(None, None, -1 if horizontal else 1))
+        a, b = _crop(a.reshape(hs, hs)[turn], hc), _crop(b.reshape(ls, ls)[turn], lc)
+        with np.errstate(invalid="ignore"):
+            mask = (a > clipped_rms(a) * k).astype(np.int8)
+            a, b = _scaled(a), _scaled(b)
+        pads = ((a, hp), (b, lp), (b[rows][:, columns], hp), (mask, hp))
+        return tuple(np.pad(x, p, "reflect") for x, p in pads)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            views = []
+            for c, n in (("hr", hs * hs), ("lr", ls * ls)):
+                lists = batch.column(c)
+                flat, at = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                views.append([flat[at[i] : at[i + 1]] if there and at[i + 1] - at[i] == n else None for i, there in enumerate(lists.is_valid().to_pylist())])
+            found = [None if a is None or b is None else sample(a, b, v, h) for a, b, v, h in zip(*views, batch.column("__v").to_pylist(), batch.column("__h").to_pylist())]
+            whole = np.array([x is not None for x in found], bool)
+            arrays = []
+            for i, size in enumerate((hc + 2 * hp, lc + 2 * lp, hc + 2 * hp, hc + 2 * hp)):
+                kind = np.int8 if i == 3 else np.float64
+                flat = np.concatenate([np.zeros(0, kind), *(x[i].ravel() for x in found if x is not None)])
+                values = pa.array(flat) if i == 3 else pa.array(flat, mask=np.isnan(flat))
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(whole * size * size)], dtype=np.int32)), values, mask=pa.array(~whole)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *arrays], names=[*kept, *made])
+
+    schema = T.StructType([*(pairs.schema[c] for c in kept), *T.StructType.fromDDL("hr array<double>, lr array<double>, lr_up array<double>, mask array<tinyint>")])
+    out = held.mapInArrow(run, schema)
+    for c, n in (("hr", hc + 2 * hp), ("lr", lc + 2 * lp), ("lr_up", hc + 2 * hp), ("mask", hc + 2 * hp)):
+        out = out.withColumn(f"{c}_h", F.lit(n)).withColumn(f"{c}_w", F.lit(n))
+    return out
+
+
 def collate(samples: DataFrame, size: int, shapes: dict[str, tuple[int, int]], key: str = "idx", finite: tuple[str, str] = ("hr", "lr"), whole: tuple[str, ...] = ("hr", "lr", "lr_up", "mask"), refill: bool = False, hook: Step | None = None) -> DataFrame:
     """Good samples with batch_id. Without refill, batches are cut before bad rows are dropped.
 

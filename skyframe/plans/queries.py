@@ -18,6 +18,7 @@ from ..operators import detect, gates, losses, metrics, mosaic, pairs, profiles,
 from ..operators.tiles import assemble_tiles, blur_tiles, chunked, dataset_stats, explode_tiles, freq_split_tiles, with_dataset_stats, with_tile_columns
 from ..sources import images
 from ..sources import tables as sinks
+from ..sources.shared import stored
 from ..streaming import jobs
 from . import fixtures as X
 from . import preprocess as P
@@ -568,13 +569,6 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 _CHUNK = 64
 
 
-def _stored(chunks: DataFrame) -> DataFrame:
-    """Written once and read back."""
-    path = X.scratch(chunks.sparkSession, "chunks")
-    chunks.write.parquet(path)
-    return chunks.sparkSession.read.schema(chunks.schema).parquet(path)
-
-
 def _valid(spark: SparkSession, d: str) -> DataFrame:
     mask = K.chunks_of(X.mask_lr(spark, d).select("y", "x", F.col("valid").cast("double").alias("v")), _CHUNK)
     return K.valid_bits(K.with_border(mask, _CHUNK, X.WINDOW // 2, X.WINDOW // 2), _CHUNK, X.WINDOW)
@@ -606,13 +600,13 @@ _RANKED = f"{CENTERS}, k AS (SELECT y, x, row_number() OVER (ORDER BY y // 64, x
 @query("l1_draw_ranked", f"WITH {_RANKED} SELECT i AS idx, y, x FROM range(20000) r(i) JOIN k ON k = CAST('0x' || substr(md5('3:' || i), 1, 15) AS BIGINT) % (SELECT count(*) FROM ok)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """A draw is a rank: no position is numbered."""
-    return K.draw_locations(_stored(_valid(spark, d)), _CHUNK, 20_000, seed=3)
+    return K.draw_locations(stored(_valid(spark, d)), _CHUNK, 20_000, seed=3)
 
 
 @query("l1_draw_all_distinct", f"WITH {CENTERS} SELECT y, x FROM ok")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """As many draws without replacement as there are valid centres: each comes once."""
-    bits = _stored(_valid(spark, d))
+    bits = stored(_valid(spark, d))
     total = bits.agg(F.sum("n")).first()[0] or 0
     return K.draw_locations(bits, _CHUNK, total, seed=3, replace=False).select("y", "x")
 
@@ -870,7 +864,18 @@ _DS9_OR_NULL = f"CASE WHEN least(greatest(v, 0), hi) > -0.001 THEN {_DS9} END"
 def _(spark: SparkSession, d: str) -> DataFrame:
     t = X.tiles(spark, d)
     p = t.select("idx", F.col("pixels").alias("hr")).join(X.low_tiles(t).select("idx", F.col("pixels").alias("lr")), "idx")
-    made = P.preprocess(p, (8, 6, 2), (4, 3, 1), k=1.5)
+    return _panels(P.preprocess(p, (8, 6, 2), (4, 3, 1), k=1.5))
+
+
+@query("f29_preprocess_columns", ORACLES["f29_preprocess"])
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The form in built-in functions, for small tiles beside other columns."""
+    t = X.tiles(spark, d)
+    p = t.select("idx", F.col("pixels").alias("hr")).join(X.low_tiles(t).select("idx", F.col("pixels").alias("lr")), "idx")
+    return _panels(P.preprocess_columns(p, (8, 6, 2), (4, 3, 1), k=1.5))
+
+
+def _panels(made: DataFrame) -> DataFrame:
     panel = lambda c: F.struct(F.lit(c).alias("panel"), F.col(f"{c}_w").alias("w"), (F.transform(c, lambda v: v.cast("double")) if c == "mask" else F.col(c)).alias("pixels"))
     flat = made.select("idx", F.explode(F.array(*(panel(c) for c in ("hr", "mask", "lr_up", "lr")))).alias("p")).select("idx", "p.*")
     return explode_tiles(flat).select("panel", "idx", "y", "x", F.round("v", 4).alias("v"))
@@ -898,7 +903,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j4_extract_cutouts", f"WITH {_CUT} SELECT idx, y, x, round(v, 2) AS v FROM cut")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _window_pixels(K.cut_bordered(_stored(K.with_border(K.chunks_of(X.mosaic_lr(spark, d), _CHUNK), _CHUNK, 0, 5)), _all_centers(spark, d), 6, _CHUNK))
+    return _window_pixels(K.cut_bordered(stored(K.with_border(K.chunks_of(X.mosaic_lr(spark, d), _CHUNK), _CHUNK, 0, 5)), _all_centers(spark, d), 6, _CHUNK))
 
 
 @query("j4_extract_cutouts_pieces", f"WITH {_CUT} SELECT idx, y, x, round(v, 2) AS v FROM cut")
@@ -922,7 +927,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     path, low, c = X.scratch(spark, "cutouts"), X.mosaic_lr(spark, d), _all_centers(spark, d)
     four = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
     high = low.withColumn("p", four).select((F.col("y") * 2 + F.col("p.i")).alias("y"), (F.col("x") * 2 + F.col("p.j")).alias("x"), (F.col("v") * (F.lit(1) + F.col("p.i") + F.col("p.j") * 2)).alias("v"))
-    low, high = (_stored(K.with_border(K.chunks_of(m, side), side, 0, size - 1)) for m, side, size in ((low, _CHUNK, 6), (high, 2 * _CHUNK, 12)))
+    low, high = (stored(K.with_border(K.chunks_of(m, side), side, 0, size - 1)) for m, side, size in ((low, _CHUNK, 6), (high, 2 * _CHUNK, 12)))
     cut = K.cut_bordered(low, c, 6, _CHUNK).withColumn("survey", F.lit("lr"))
     other = K.cut_bordered(high, c.select("idx", (F.col("y") * 2).alias("y"), (F.col("x") * 2).alias("x")), 12, 2 * _CHUNK).withColumn("survey", F.lit("hr"))
     sinks.write_cutout_pairs(cut.unionByName(other), path)
@@ -956,6 +961,32 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(arriving.schema).parquet(out).select("idx", F.round(stats.pixel_sum("pixels"), 6).alias("pix_sum"))
 
 
+@query("t1_stream_pairs", f"WITH {PX}, t AS (SELECT idx, sum(v) AS s FROM px GROUP BY idx) SELECT idx AS name, CASE WHEN idx % 7 = 3 OR idx % 5 = 2 THEN 'unpaired' WHEN s > exp(-1) AND s < exp(1) THEN 'accepted' ELSE 'rejected' END AS status, idx % 7 != 3 AS has_low, idx % 5 != 2 AS has_high FROM t WHERE idx % 7 != 3 OR idx % 5 != 2")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Both surveys' tiles as streams of several files, some without a partner; a later tile of each moves the watermark past all others."""
+    at = F.timestamp_seconds(F.col("idx") + 1_700_000_000)
+    low, high = X.low_tiles(X.tiles(spark, d)), X.tiles(spark, d)
+    streams = []
+    for t, there in ((low, F.col("idx") % 7 != 3), (high, F.col("idx") % 5 != 2)):
+        rows = t.filter(there).select(F.col("idx").alias("name"), at.alias("ts"), "pixels")
+        last = spark.range(1).select(F.lit(None).cast("bigint").alias("name"), F.timestamp_seconds(F.lit(2_000_000_000)).alias("ts"), F.array(F.lit(1.0)).alias("pixels"))
+        path = X.scratch(spark, "arriving")
+        rows.repartition(4, "name").unionByName(last).write.parquet(path)
+        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path))
+    made = jobs.paired_gate(*streams, low=-1.0, high=1.0)
+    out = X.scratch(spark, "paired")
+    jobs.run_once(made, out, X.scratch(spark, "progress"))
+    done = spark.read.schema(made.schema).parquet(out).filter("name is not null")
+    return done.select("name", "status", F.col("low_pixels").isNotNull().alias("has_low"), F.col("high_pixels").isNotNull().alias("has_high"))
+
+
+@query("w1_number_text_keys", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_orderstatus DESC, o_orderkey) - 1 AS ordinal FROM orders")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers in the order of text keys, five of which hold all rows."""
+    o = X.table(spark, d, "orders")
+    return B.number_rows(o.select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderpriority", F.desc("o_orderstatus"), "o_orderkey"]).select("o_orderkey", "ordinal")
+
+
 @query("t2_windowed_metrics", "SELECT date_trunc('day', ts) AS window_start, event_type AS metric, round(avg(value), 7) AS mean_value, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = jobs.windowed_metrics(X.metrics(spark, d))

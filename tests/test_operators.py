@@ -272,3 +272,64 @@ def test_scoring_keeps_null_tiles(spark):
     t = spark.createDataFrame([(0, [1.0, 2.0, 3.0, 4.0]), (1, None)], "idx long, pixels array<float>")
     rows = {r.idx: r.predicted for r in preprocess.score_tiles(t, preprocess.nearest_baseline(2), 2, 2).collect()}
     assert rows[0] == [1, 1, 2, 2, 1, 1, 2, 2, 3, 3, 4, 4, 3, 3, 4, 4] and rows[1] is None
+
+
+def test_preprocess_kernel_matches_columns(spark):
+    """Crops by odd differences and beyond the tile, flips, dark and constant tiles, NaNs; NULL and short tiles give NULLs."""
+    rng = np.random.default_rng(12)
+    made = [(rng.normal(0.2, 1, 81), rng.normal(0, 1, 25)) for _ in range(6)] + [(np.full(81, 2.0), np.full(25, 0.5)), (-np.ones(81), -np.ones(25)), (rng.normal(0, 1, 81), None), (rng.normal(0, 1, 80), rng.normal(0, 1, 25))]
+    made[2][0][5] = np.nan
+    t = spark.createDataFrame([(i, "k", *(None if a is None else a.tolist() for a in p)) for i, p in enumerate(made)], "idx int, other string, hr array<double>, lr array<double>")
+    for hr, lr in (((9, 6, 2), (5, 3, 1)), ((9, 8, 0), (5, 4, 2)), ((9, 11, 3), (5, 6, 1))):
+        for epoch in (None, 1, 2):
+            a, b = ({r.idx: r for r in f(t, hr, lr, 1.0, epoch, seed=3).collect()} for f in (preprocess.preprocess, preprocess.preprocess_columns))
+            assert set(a) == set(b) == set(range(10)) and a[0].other == "k"
+            for i in range(10):
+                for c, n in (("hr", hr), ("lr", lr), ("lr_up", hr), ("mask", hr)):
+                    if i >= 8:
+                        assert a[i][c] is None
+                        continue
+                    x, y = (np.array([np.nan if v is None else v for v in r[i][c]], float) for r in (a, b))
+                    assert (a[i][f"{c}_h"], len(x)) == (b[i][f"{c}_h"], (n[1] + 2 * n[2]) ** 2)
+                    assert np.allclose(x, y, atol=1e-12, equal_nan=True), (i, c)
+    with pytest.raises(ValueError):
+        preprocess.preprocess(t, (9, 3, 3), (5, 3, 1))
+
+
+def test_numbers_of_equal_and_text_keys(spark):
+    """A million equal first keys are spread over ranges; numbers are dense and in order, whatever the types."""
+    hot = spark.range(1_000_000).select(F.lit("same").alias("k"), (F.col("id") % 7).alias("v"))
+    parts = batches._ranges(hot, ["k"], 8).groupBy(F.shiftright("__at", 33)).count().collect()
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 200_000
+    got = batches.number_rows(hot, ["k"], buckets=8)
+    assert got.agg(F.count_distinct("ordinal"), F.min("ordinal"), F.max("ordinal")).first() == (1_000_000, 0, 999_999)
+    rows = [(t, d, i) for i, (t, d) in enumerate([("b", None), (None, 1.5), ("a", -2.0), ("b", 3.0), ("a", float("nan")), ("", 0.0), ("b", 3.0)])]
+    df = spark.createDataFrame(rows, "t string, d double, i int")
+    numbered = {r.i: r.n for r in batches.number_rows(df, ["t", F.desc("d"), "i"], "n", 3).collect()}
+    assert [numbered[i] for i in (1, 5, 4, 2, 3, 6, 0)] == list(range(7))
+    assert batches.number_rows(df.limit(0), ["t"]).count() == 0
+
+
+def test_finite_pixels_count(spark, monkeypatch):
+    """NaN, infinite and NULL pixels, groups without a finite one, and medians among very many equal values."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(1, 1, 6, [1.0, nan, inf, -inf, 3.0, None]), (1, 2, 2, [5.0, 7.0, 9.0, nan]), (2, 1, 2, [nan, inf]), (3, 1, 3, [1.0, 2.0]), (4, 1, 200, [0.25] * 150 + [9.0] * 50), (5, 1, 2, [-1.7e308, 1.7e308])]
+    t = spark.createDataFrame(rows, "g int, h int, w int, pixels array<double>")
+    for few in (100_000, 2):
+        monkeypatch.setattr(tiles, "FEW_VALUES", few)
+        got = {r.g: tuple(r)[1:] for r in tiles.dataset_stats(t, ["g"]).collect()}
+        v = np.array([1, 3, 5, 7, 9.0])
+        assert got[1][:3] == (1, 9, 5) and np.isclose(got[1][3], v.std()) and got[1][4] == 5
+        assert got[2] == (None, None, None, None, 2) and 3 not in got and got[4][:3] == (0.25, 9.0, 0.25) and got[5][2] == 0
+
+
+def test_pairs_of_batches(spark):
+    from skyframe.streaming import jobs
+
+    at = lambda m: F.timestamp_seconds(F.lit(60 * m))
+    row = lambda n, m, v: spark.range(1).select(F.lit(n).alias("name"), at(m).alias("ts"), v.alias("pixels"))
+    ones, none = F.array(*[F.lit(5.0)] * 3), F.lit(None).cast("array<double>")
+    low = row("a", 0, ones).union(row("b", 0, ones)).union(row("c", 0, none)).union(row("late", 0, ones)).union(row(None, 0, ones))
+    high = row("a", 30, ones).union(row("b", 0, F.array(F.lit(0.1)))).union(row("c", 0, ones)).union(row("late", 61, ones)).union(row("d", 0, ones))
+    got = sorted((str(r.name), r.status) for r in jobs.paired_gate(low, high).collect())
+    assert got == sorted([("a", "accepted"), ("b", "rejected"), ("c", "rejected"), ("late", "unpaired"), ("late", "unpaired"), ("None", "unpaired"), ("d", "unpaired")])
