@@ -14,7 +14,7 @@ a class at once; only one set of each class goes on.
    copies) that isn't in an earlier leader's component. Entries in their leader's component need no pair.
    Of lists that still hold several components, those that are mostly strangers to each other (a phrase that
    many documents share) are cut into the lists of their entries' pairs of values, since two of them must meet in
-   two lists; what has SHORT_LIST entries or fewer then gives pairs. The others, and what stays long, are put together
+   two lists; entries with the same lists are cut as one. What has SHORT_LIST entries or fewer then gives pairs. The others, and what stays long, are put together
    by their leader, and entries outside such a group's main component are compared with all of it, block by
    block: by the sketches of their unions first, then by full sets.
 4. A pair goes on if the sketch of the union holds at least least_shared() (in proportion) shared values.
@@ -25,13 +25,13 @@ a class at once; only one set of each class goes on.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from math import comb
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -324,9 +324,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
     several = some.groupBy("id").agg(F.count_distinct("n", "f1", "f2").alias("sets")).filter("sets > 1").select("id")
     own = some.join(several, "id").join(members, ["n", "f1", "f2"]).select("id", "key").distinct()
     same = own.join(own.groupBy("id").agg(F.min("key").alias("a")), "id").select("a", F.col("key").alias("b")).filter("a != b")
-    found = [links(pairs), written(same, "links")]
-    found = [reduce(DataFrame.unionByName, found)]
-    labels = components(found[0])
+
+    def joined(labels: DataFrame, new: DataFrame) -> DataFrame:
+        """Labels once new links are there: what the earlier ones joined is one edge a node."""
+        return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(new))
+
+    labels = components(links(pairs).unionByName(written(same, "links")))
     leaders = first = None
     for _ in range(ROUNDS):
         placed = _open(long, labels)
@@ -342,8 +345,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         leaders = lead.select("v", "a") if leaders is None else leaders.unionByName(lead.select("v", "a"))
         pairs = placed.withColumnsRenamed({"key": "b", "n": "nb", "label": "lb"}).join(lead, "v")
         pairs = pairs.filter("la != lb").filter(_similar_sizes("na", "nb", percent)).select("a", "b").distinct()
-        found.append(links(pairs))
-        labels = components(reduce(DataFrame.unionByName, found))
+        labels = joined(labels, links(pairs))
     placed = _open(long, labels)
     if first is not None and not placed.isEmpty():
         # lists with as many components as half their entries
@@ -351,11 +353,14 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         groups = placed.join(far, "v", "left_anti").join(first, "v").select("lead", "key", "n")
         met = short.select("v", "key", "n").join(placed.select("key", "label").distinct(), "key")
         entries = placed.join(far, "v").groupBy("key", "n", "label", "worth").agg(F.sort_array(F.collect_list("v")).alias("vs"))  # of at most SKETCH values
+        entries = written(entries.withColumn("bundle", F.unhex(F.sha2(F.concat_ws(",", F.col("vs").cast("array<string>")).cast("binary"), 256))), "entries")
+        best = F.struct("worth", F.xxhash64("key").alias("h"), "key")
+        bundles = entries.groupBy("bundle").agg(F.first("vs").alias("vs"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(best).alias("lead"))
         two = F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, SKETCH), lambda y: F.struct(x.alias("v"), y.alias("w")))))
-        cut = written(entries.select("key", "n", "label", "worth", F.explode(two).alias("p")).select("p.*", "key", "n", "label", "worth"), "pairs_of_values")
-        open_ = cut.groupBy("v", "w").agg(F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("v", "w", "m")
-        cut = written(cut.join(open_, ["v", "w"]), "cut_lists")
-        small = cut.filter(F.col("m") <= SHORT_LIST)
+        cut, of_pair = bundles.select("bundle", "m", "low", "high", "lead", F.explode(two).alias("p")).select("p.*", "bundle", "m", "low", "high", "lead"), Window.partitionBy("v", "w")
+        cut = cut.select("v", "w", "bundle", F.sum("m").over(of_pair).alias("m"), F.min("low").over(of_pair).alias("low"), F.max("high").over(of_pair).alias("high"), F.max("lead").over(of_pair)["key"].alias("lead"))
+        cut = written(cut.filter("low != high").drop("low", "high"), "pairs_of_values")
+        small = cut.filter(F.col("m") <= SHORT_LIST).select("v", "w", "bundle").join(entries.select("bundle", "key", "n", "label"), "bundle")
 
         def strangers(entries: DataFrame, by: list[str]) -> DataFrame:
             """Pairs across components in lists of at most SHORT_LIST entries; lists of the same entries count once."""
@@ -364,15 +369,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
             of = lambda x, i: F.transform(F.filter(F.slice("m", i + 2, SHORT_LIST), lambda y: apart(x, y)), lambda y: F.struct(x["key"].alias("a"), y["key"].alias("b")))
             return members.select(F.explode(F.flatten(F.transform("m", of))).alias("p")).select("p.*").filter("a != b")
 
-        found.append(links(strangers(met, ["v"]).unionByName(strangers(small, ["v", "w"])).distinct()))
-        labels = components(reduce(DataFrame.unionByName, found))
-        large = cut.filter(F.col("m") > SHORT_LIST)
-        leads = large.groupBy("v", "w").agg(F.max_by("key", F.struct("worth", F.xxhash64("key"))).alias("lead"))
-        groups = groups.unionByName(large.join(leads, ["v", "w"]).select("lead", "key", "n")).distinct()
+        labels = joined(labels, links(strangers(met, ["v"]).unionByName(strangers(small, ["v", "w"])).distinct()))
+        large = cut.filter(F.col("m") > SHORT_LIST).select("lead", "bundle").distinct().join(entries.select("bundle", "key", "n"), "bundle")
+        groups = groups.unionByName(large.select("lead", "key", "n")).distinct()
         groups = groups.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
         groups = written(groups, "groups")
-        found.append(written(_rest(groups, docs, size, percent, id_col, text_col), "links"))
-        labels = components(reduce(DataFrame.unionByName, found))
+        labels = joined(labels, written(_rest(groups, docs, size, percent, id_col, text_col), "links"))
     final = members.join(labels.withColumnRenamed("node", "key"), "key", "left").select("f1", "f2", F.col("n").alias("n_shingles"), F.coalesce("label", "key").alias("component_id"))
     final = written(final, "class_components")
     out = held.withColumnRenamed("n", "n_shingles").select("id", "n_shingles", "f1", "f2").join(final, ["n_shingles", "f1", "f2"], "left")
@@ -393,7 +395,7 @@ def deduplicated(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str
     known, nulls = rows.filter("id is not null"), rows.filter("id is null")
     repeated = written(known.groupBy("id").agg(F.count("*").alias("many")).filter("many > 1").select("id"), "repeated_ids")
     single = known.join(gone.unionByName(repeated), "id", "left_anti").select("row.*")
-    first = F.min_by("row", F.xxhash64("row")).alias("row")
+    first = F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row")  # columns of any type, maps too
     again = known.join(repeated, "id").join(gone, "id", "left_anti").groupBy("id").agg(first).select("row.*")
     if nulls.isEmpty():
         return single.unionByName(again)

@@ -824,3 +824,12 @@ def test_decontamination_recall_of_changed_questions_and_plain_windows(spark):
         slots = {}
         for x, (_, value) in zip(raw, want):
             assert slots.setdefault(value, x) == x
+
+
+def test_dedup_keeps_columns_of_any_type(spark):
+    rng = random.Random(31)
+    text = prose(rng, 40)
+    rows = [(1, text, {"a": 1}), (1, text, {"a": 2}), (2, text, {"b": 1}), (None, prose(rng, 30), {}), (None, text, None), (3, prose(rng, 30), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>")
+    got = minhash.deduplicated(docs).collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None"] and minhash.deduplicated(docs).columns == docs.columns
