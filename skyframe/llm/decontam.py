@@ -10,6 +10,11 @@ the same value in the document. A document contains an item if consistent window
 tokens of it, or all of it if it is shorter. The windows are those of one alignment, or of several in order, each at
 most WINDOW tokens off the one before (words were inserted or left out between them).
 
+Where such windows can't cover enough of an item, as most of its tokens are placeholders, it also has windows of
+MIN_COVER tokens (or of the whole item) of any make-up that hold LEAST_LITERALS literal words: one of them covers enough, and its
+length, the types in their order and the slots make up for the few words. An item whose windows have fewer literal words is found verbatim only,
+since any list would match it.
+
 Beside its template, an item has its literal form, the words as they are: it finds copies whose template is mostly
 placeholders, and copies in another case, by the same rules on words in place of template tokens.
 
@@ -36,6 +41,7 @@ from .words import mix, slice_hashes, windows, words
 WINDOW = 8
 MIN_ITEM = 4
 MIN_COVER = 13
+LEAST_LITERALS = 3
 INDEX_ROWS = 500_000
 MAX_COMMON = 1_000_000
 BITMAP_BITS = 23
@@ -60,7 +66,7 @@ _DIGIT[48:58] = True
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?:;")] = True
 NUMBER, NAME, UNIT = (np.uint64(x) for x in (1, 2, 3))
-TEMPLATE, LITERAL = 0, 1
+TEMPLATE, LITERAL, SPARSE = 0, 1, 2
 
 
 def _hashes(names: Iterable[str]) -> np.ndarray:
@@ -105,7 +111,7 @@ def template(data: bytes, common: np.ndarray = _FUNCTION_HASHES) -> tuple[np.nda
 
 
 def form_windows(t: np.ndarray, n: int, form: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of windows of n tokens: of a template, those with enough literal words; of words, all."""
+    """Positions and hashes of windows of n tokens: of a template, those with literal words for half of them, or with LEAST_LITERALS in the sparse form; of words, all."""
     w = windows(t, n)
     if not len(w):
         return np.zeros(0, np.int64), w
@@ -113,13 +119,13 @@ def form_windows(t: np.ndarray, n: int, form: int) -> tuple[np.ndarray, np.ndarr
     if form == LITERAL:
         return np.arange(len(w)), w
     literal = np.concatenate([[0], np.cumsum(t > UNIT)])
-    enough = np.flatnonzero(literal[n:] - literal[:-n] >= (n + 1) // 2)
+    enough = np.flatnonzero(literal[n:] - literal[:-n] >= (LEAST_LITERALS if form == SPARSE else (n + 1) // 2))
     return enough, w[enough]
 
 
 def _slots(t: np.ndarray, raw: np.ndarray, p: int, n: int, form: int) -> list[int]:
     """What the placeholders of a window stand for; words stand for themselves."""
-    return raw[p : p + n][t[p : p + n] <= UNIT].view(np.int64).tolist() if form == TEMPLATE else []
+    return raw[p : p + n][t[p : p + n] <= UNIT].view(np.int64).tolist() if form != LITERAL else []
 
 
 def common_words(benchmark: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -151,9 +157,15 @@ def item_windows(benchmark: DataFrame, common: np.ndarray, id_col: str = "item_i
                     n = min(len(tokens), WINDOW)
                     if n < MIN_ITEM:
                         continue
-                    for p, w in zip(*form_windows(tokens, n, form)):
+                    found = form_windows(tokens, n, form)
+                    if form == TEMPLATE and len(np.unique(found[0][:, None] + np.arange(n))) < min(MIN_COVER, len(tokens)):
+                        sparse = min(len(tokens), MIN_COVER)
+                        more = [(SPARSE, sparse, *x) for x in zip(*form_windows(tokens, sparse, SPARSE))]
+                    else:
+                        more = []
+                    for form_, n_, p, w in [*((form, n, *x) for x in zip(*found)), *more]:
                         keep.append(i)
-                        for c, x in zip(cols, (form, len(tokens), n, int(p), int(w.view(np.int64)), _slots(t, raw, p, n, form))):
+                        for c, x in zip(cols, (form_, len(tokens), n_, int(p), int(w.view(np.int64)), _slots(t, raw, p, n_, form_))):
                             c.append(x)
             at = pa.array(keep, pa.int64())
             kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
@@ -201,7 +213,7 @@ def _aligned(matches: Iterable[tuple]) -> tuple[int, int, bool]:
 
 
 def _judged(matches: dict[int, list[tuple]], tokens: dict[int, int]) -> tuple[float, int, bool] | None:
-    """Coverage, windows and exactness of the better form of those that cover enough; None if neither does."""
+    """Coverage, windows and exactness of the best form of those that cover enough; None if none does."""
     found = []
     for form, own in matches.items():
         n, covered, exact = _aligned(own)
@@ -243,7 +255,7 @@ class TemplateIndex:
     pos: np.ndarray
     first: np.ndarray  # of the window's slots
     slots: np.ndarray
-    tokens: np.ndarray  # (items, 2)
+    tokens: np.ndarray  # (items, forms)
     ids: pa.Array  # by item
     same: np.ndarray  # the first item of the same id
 
@@ -270,7 +282,7 @@ def _lookup(items: DataFrame, common: np.ndarray) -> DocumentWindows:
     cells = items.select(F.shiftrightunsigned("w", 64 - BITMAP_BITS).cast("int").alias("c")).distinct().toArrow()["c"].to_numpy()  # at most 2 ** BITMAP_BITS
     present = np.zeros(1 << BITMAP_BITS, bool)
     present[cells] = True
-    sizes = sorted((r["form"], r["size"]) for r in items.select("form", "size").distinct().collect())  # at most 2 * WINDOW
+    sizes = sorted((r["form"], r["size"]) for r in items.select("form", "size").distinct().collect())  # at most 2 * WINDOW + MIN_COVER
     return DocumentWindows(common, sizes, np.packbits(present))
 
 
@@ -284,7 +296,7 @@ def build_index(items: DataFrame, common: np.ndarray) -> TemplateIndex:
     first_row = np.unique(item, return_index=True)[1]
     w = table["w"].to_numpy().view(np.uint64)
     order = np.argsort(w, kind="stable")
-    tokens = np.zeros((len(number), 2), np.int64)
+    tokens = np.zeros((len(number), 3), np.int64)
     tokens[item, table["form"].to_numpy()] = table["tokens"].to_numpy()
     slots = [np.array(x, np.int64) for x in table["slots"].take(pa.array(order)).to_pylist()]
     first = np.cumsum([0, *(len(x) for x in slots)])
