@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -156,6 +156,12 @@ class Template:
     keys: list[list[int]]
     anchors: list[int]  # its distinct words by inverse document frequency, highest first
     missing: int  # how many of its words may be missing
+    where: dict[int, list[int]] = field(init=False)  # the places of each of its words, last first
+
+    def __post_init__(self) -> None:
+        self.where = {}
+        for i, a in reversed(list(enumerate(self.own.tolist()))):
+            self.where.setdefault(a, []).append(i)
 
 
 @dataclass
@@ -191,15 +197,30 @@ class LicenseIndex:
             return [(int(s), 1.0) for s in np.unique(votes[:, 0]) if s >= 0 and self._stand(t.own, int(s), places, number)]
         votes = votes[np.lexsort((votes[:, 1], votes[:, 0]))]
         drift = max(3, int(DRIFT * len(t.own)))
-        found, until = [], -math.inf
+        # of a run of votes, up to one drift long, at least two anchors
         last = np.searchsorted(votes[:, 0], votes[:, 0] + drift, "right")
-        for i, (start, a) in enumerate(votes.tolist()):
-            if start > until and (votes[i : last[i], 1] != a).any():
-                if match := self._aligned(t, start, drift, places, number):
-                    found.append(match)
-                    until = start + drift
+        changes = np.concatenate([[0], np.cumsum(votes[1:, 1] != votes[:-1, 1])])
+        starts = np.unique(votes[changes[last - 1] > changes, 0])
+        # the first of each band of half a drift: an alignment reaches two drifts to both sides
+        starts = starts[np.unique(starts // max(1, drift // 2), return_index=True)[1]]
+        starts = starts[self._in_place(t, starts, drift, places, number) >= SHARE * len(t.own) - 1e-9]
+        found, until = [], -math.inf
+        for start in starts.tolist():
+            if start > until and (match := self._aligned(t, start, drift, places, number)):
+                found.append(match)
+                until = start + drift
         return found
 
+    @staticmethod
+    def _in_place(t: Template, starts: np.ndarray, drift: int, places: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """For each start, how many of the template's words stand at most 2 * drift off their places, in any order: no alignment has more."""
+        at = {a: places[number == a] for a in t.where}
+        out = np.zeros(len(starts), np.int64)
+        if len(starts):
+            for i, a in enumerate(t.own.tolist()):
+                out += np.searchsorted(at[a], starts + (i + 2 * drift), "right") > np.searchsorted(at[a], starts + (i - 2 * drift), "left")
+        return out
+
     @staticmethod
     def _stand(own, start: int, places: np.ndarray, number: np.ndarray) -> bool:
         """Whether these words stand from a place on."""
@@ -213,7 +234,7 @@ class LicenseIndex:
         tails: list[int] = []  # of increasing runs of template positions, by length
         first = None
         for p, a in zip(places[low:high].tolist(), number[low:high].tolist()):
-            for i in reversed(np.flatnonzero(t.own == a).tolist()):
+            for i in t.where.get(a, ()):
                 if abs(p - i - start) <= 2 * drift:
                     first = p if first is None else first
                     k = bisect_left(tails, i)

@@ -4,7 +4,7 @@ Tokens are runs of ASCII letters and digits, or single other characters. Each is
 or outside of a secret from its word, shape, length, prefix, its neighbours' words and shapes, and two
 features of the file. Plain words (letters only, shorter than PLAIN) that follow neither a sign nor, within REACH words, a word
 that SPEAKS of secrets can only be outside, so the chain falls apart into segments around other words; Viterbi decodes
-each segment whole, however long.
+each segment whole, however long; one of more than LONG_CHAIN tokens in parts, whose memory is a few bytes a token.
 
 There are no labelled secrets. The field is trained by gradient ascent on the segments of at most 2 * TRAIN_ROWS
 documents (long ones in pieces of TRAIN_LENGTH tokens), at most TRAIN_SEGMENTS different ones (smallest hashes), tagged by the fixed patterns. So that it learns
@@ -17,9 +17,11 @@ from __future__ import annotations
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -46,6 +48,8 @@ MADE_UP = 600
 PLAIN = 24
 REACH = 3
 CELLS_AT_ONCE = 20_000
+LONG_CHAIN = 4_000  # tokens from which a chain is decoded in parts, with the same result
+BLOCK_TOKENS = 10_000
 # Words after which a plain word may be a secret.
 SPEAKS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "api_key", "apikey", "credential", "credentials")
 _BITS = 17
@@ -81,31 +85,46 @@ def _speaks(word: str) -> bool:
     return len(word) < 40 and word.strip("\"'`.,;:()[]{}<>=").lower() in SPEAKS
 
 
-def segments(text: str, data: bytes) -> list[list[tuple[str, int]]]:
-    """Runs of tokens (with their start) that may hold a secret, each with the plain word before and after it."""
+Chain = tuple[array, array]  # where tokens start and end
+
+
+def _extend(chain: Chain, m: re.Match) -> None:
+    for t in _TOKEN.finditer(m[0]):
+        chain[0].append(m.start() + t.start())
+        chain[1].append(m.start() + t.end())
+
+
+def segments(text: str, data: bytes) -> list[Chain]:
+    """Runs of tokens that may hold a secret, each with the plain word before and after it."""
     if not data.translate(None, _TELLING) and not _LONG_WORD.search(data) and not _SPEAKS.search(data):
         return []
-    out: list[list[tuple[str, int]]] = []
+    out: list[Chain] = []
     last_end, before, open_ = -1, None, 0
     for m in _WORD.finditer(text):
         word = m[0]
         if _IS_TELLING.search(word) or (len(word) >= PLAIN and word.isascii()):
             if not open_:
-                out.append([(t[0], before.start() + t.start()) for t in _TOKEN.finditer(before[0])] if before and last_end != m.start() else [])
+                out.append((array("i"), array("i")))
+                if before and last_end != m.start():
+                    _extend(out[-1], before)
             open_ = 1
-            out[-1] += [(t[0], m.start() + t.start()) for t in _TOKEN.finditer(word)]
+            _extend(out[-1], m)
             if _speaks(word):
                 open_ = REACH
         elif _speaks(word):
             if not open_:
-                out.append([])
+                out.append((array("i"), array("i")))
             open_ = REACH
-            out[-1] += [(t[0], m.start() + t.start()) for t in _TOKEN.finditer(word)]
+            _extend(out[-1], m)
         elif open_:
-            out[-1] += [(t[0], m.start() + t.start()) for t in _TOKEN.finditer(word)]
-            open_ = max(open_ - 1, 1 if out[-1] and out[-1][-1][0] in "=:" else 0)
+            _extend(out[-1], m)
+            open_ = max(open_ - 1, 1 if out[-1][0] and text[out[-1][0][-1]] in "=:" else 0)
         before, last_end = m, m.end()
-    return [s for s in out if s]
+    return [c for c in out if c[0]]
+
+
+def tokens_of(text: str, chain: Chain, first: int = 0, end: int | None = None) -> list[str]:
+    return [text[a:b] for a, b in zip(chain[0][first:end], chain[1][first:end])]
 
 
 @lru_cache(200_000)
@@ -118,23 +137,39 @@ def _own(token: str) -> tuple[int, int, int, int, int, bool]:
     return *(zlib.crc32(x.encode()) for x in texts), token.isalpha() and len(token) < PLAIN
 
 
-def _features(chain: list[tuple[str, int]], file: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(tokens, FEATURES) cells of the weights, and which tokens can only be outside."""
-    own = [_own(t) for t, _ in chain]
-    h = np.array([x[:5] for x in own], np.uint64)
+def _outside(tokens: list[str], plain: np.ndarray, state: tuple[str, int] = ("", 0)) -> tuple[np.ndarray, tuple[str, int]]:
+    """Which tokens can only be outside: plain words that follow no sign and no word that speaks of secrets. state is that after the tokens before."""
+    after, (last, left) = np.zeros(len(tokens), bool), state
+    for k, t in enumerate(tokens):
+        after[k] = left > 0 or last in _SIGNS
+        left = REACH if t.lower() in SPEAKS else left - t[0].isalnum()
+        last = t[0]
+    return plain & ~after, (last, left)
+
+
+_SIGNS = frozenset("=:\"'/+_-.@\\")
+
+
+def _cells(tokens: list[str], file: tuple[int, int], before: int = 0, behind: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, FEATURES) cells of the weights, and which tokens are plain words; the first and last few tokens are only looked at from their neighbours."""
+    number = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+    own = [_own(t) for t in number]
+    at = np.fromiter(map(number.__getitem__, tokens), np.int64, len(tokens))
+    h = np.array([x[:5] for x in own], np.uint64).reshape(-1, 5)[at]
     n = len(h)
     around = np.zeros((n + 4, 5), np.uint64)
     around[2:-2] = h
     columns = [h, around[1:-3, :2], around[3:-1, :2], around[:-4, :1], around[4:, :1], h[:, 1:2] ^ (around[1:-3, :1] << np.uint64(7)), np.full((n, 1), file[0], np.uint64), h[:, 4:5] ^ np.uint64(zlib.crc32(b"%d" % file[1])), np.ones((n, 1), np.uint64), np.zeros((n, 1), np.uint64)]
-    cells = np.concatenate(columns, 1)[:, :FEATURES]
+    cells = np.concatenate(columns, 1)[before : n - behind, :FEATURES]
     slot = np.arange(cells.shape[1], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     cells = ((cells ^ slot) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _BITS)
-    plain = np.array([x[5] for x in own], bool)
-    after, left = np.zeros(n, bool), 0
-    for k, (t, _) in enumerate(chain):
-        after[k] = left > 0 or (k > 0 and chain[k - 1][0] in "=:\"'/+_-.@\\")
-        left = REACH if t.lower() in SPEAKS else left - (t[0].isalnum())
-    return cells.astype(np.int32), plain & ~after
+    return cells.astype(np.int32), np.array([x[5] for x in own], bool)[at][before : n - behind]
+
+
+def _features(tokens: list[str], file: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Cells of a chain's tokens, and which can only be outside."""
+    cells, plain = _cells(tokens, file)
+    return cells, _outside(tokens, plain)[0]
 
 
 def file_features(data: bytes) -> tuple[int, int]:
@@ -194,6 +229,55 @@ def viterbi(field: Field, chains: list[tuple[np.ndarray, np.ndarray]]) -> list[n
     return [tags[k, : len(c)] for k, (c, _) in enumerate(chains)]
 
 
+def _long_emissions(field: Field, text: str, chain: Chain, file: tuple[int, int]) -> np.ndarray:
+    """Scores (tokens, 3) of a long chain, BLOCK_TOKENS at a time: features are never held for all of it."""
+    n = len(chain[0])
+    out, state = np.zeros((n, 3), np.float32), ("", 0)
+    for at in range(0, n, BLOCK_TOKENS):
+        before, end = min(2, at), min(at + BLOCK_TOKENS, n)
+        behind = min(2, n - end)
+        tokens = tokens_of(text, chain, at - before, end + behind)
+        cells, plain = _cells(tokens, file, before, behind)
+        plain, state = _outside(tokens[before : len(tokens) - behind], plain, state)
+        out[at:end] = _emissions(field, cells[None], plain[None])[0]
+    return out
+
+
+def long_viterbi(field: Field, e: np.ndarray) -> np.ndarray:
+    """viterbi() of one long chain by its scores.
+
+    The chain is cut into about as many parts as a part has tokens. All parts go forward side by side, once from each tag that the token
+    before may have; the parts' best scores are joined one after the other, and all parts are followed back side by side.
+    """
+    n, moves = len(e), _moves(field).astype(np.float64)
+    size = math.isqrt(n - 1) + 1
+    parts = -(-n // size)
+    held = np.zeros((parts * size, 3))
+    held[:n] = e
+    held = held.reshape(parts, size, 3)
+    there = (np.arange(parts * size) < n).reshape(parts, size)
+    score = moves[None] + held[:, 0, None]  # (part, tag before it, tag)
+    score[0] = held[0, 0] + field.first + np.array([0, 0, _NEVER])
+    back = np.zeros((parts, size, 3, 3), np.int8)
+    for t in range(1, size):
+        step = score[:, :, :, None] + moves
+        back[:, t] = np.where(there[:, t, None, None], step.argmax(2), np.arange(3))
+        score = np.where(there[:, t, None, None], step.max(2) + held[:, t, None], score)
+    best, from_ = score[0, 0], np.zeros((parts, 3), np.int64)
+    for k in range(1, parts):
+        joined = best[:, None] + score[k]
+        from_[k], best = joined.argmax(0), joined.max(0)
+    ends, begins = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
+    ends[-1] = best.argmax()
+    for k in range(parts - 1, 0, -1):
+        begins[k] = ends[k - 1] = from_[k, ends[k]]
+    tags, now, rows = np.zeros((parts, size), np.int8), ends, np.arange(parts)
+    for t in range(size - 1, -1, -1):
+        tags[:, t] = now
+        now = back[rows, t, begins, now]
+    return tags.ravel()[:n]
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
@@ -255,15 +339,15 @@ def _groups(lengths: list[int]) -> Iterator[range]:
         at = end
 
 
-def _tags(chain: list[tuple[str, int]], found: list[tuple]) -> np.ndarray:
+def _tags(chain: Chain, found: list[tuple]) -> np.ndarray:
     """Tags of a chain by spans whose last two fields are the start and end of a secret; of secrets one in the other, the outer counts."""
     outer: list[tuple[int, int]] = []
     for s, e in sorted({(x[-2], x[-1]) for x in found}, key=lambda x: (x[0], -x[1])):
         if not outer or e > outer[-1][1]:
             outer.append((s, e))
-    out, last, i = np.zeros(len(chain), np.int8), None, 0
-    for k, (t, start) in enumerate(chain):
-        while i < len(outer) and outer[i][1] < start + len(t):
+    out, last, i = np.zeros(len(chain[0]), np.int8), None, 0
+    for k, (start, end) in enumerate(zip(*chain)):
+        while i < len(outer) and outer[i][1] < end:
             i += 1
         hit = outer[i] if i < len(outer) and outer[i][0] <= start else None
         if hit:
@@ -317,7 +401,7 @@ def _made_up() -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         before = (rng.choice(NAMES) + rng.choice((" = ", ": ", "=", " is "))) if k % 4 == 1 else draw(6, "abcdefghijkl") + " "
         text = before + value + rng.choice((" ", ". ", "\n")) + draw(5, "mnopqrstuv")
         for chain in segments(text, text.encode()):
-            cells, only = _features(chain, file_features(text.encode()))
+            cells, only = _features(tokens_of(text, chain), file_features(text.encode()))
             out.append((cells, only, _tags(chain, [(len(before), len(before) + len(value))] if k % 2 else [])))
     return out
 
@@ -344,8 +428,8 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
                 found, file = base_spans(text, data), list(file_features(data))
                 for chain in segments(text, data):
                     own = _tags(chain, found).tolist()
-                    for i in range(0, len(chain), TRAIN_LENGTH):
-                        tokens.append([t for t, _ in chain[i : i + TRAIN_LENGTH]])
+                    for i in range(0, len(own), TRAIN_LENGTH):
+                        tokens.append(tokens_of(text, chain, i, i + TRAIN_LENGTH))
                         tags.append(own[i : i + TRAIN_LENGTH])
                         files.append(file)
             yield pa.RecordBatch.from_arrays([pa.array(tokens, pa.list_(pa.string())), pa.array(tags, pa.list_(pa.int32())), pa.array(files, pa.list_(pa.int32()))], names=["tokens", "tags", "file"])
@@ -355,7 +439,7 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
     rng, examples = random.Random(17), []
 
     def example(tokens: list[str], tags: list[int], file: list[int]) -> None:
-        examples.append((*_features([(t, 0) for t in tokens], tuple(file)), np.array(tags)))
+        examples.append((*_features(tokens, tuple(file)), np.array(tags)))
 
     for r in chosen[0].unionByName(chosen[1]).toArrow().sort_by("h").to_pylist():
         example(r["tokens"], r["tags"], r["file"])
@@ -377,26 +461,28 @@ def fit(docs: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_co
 def decode(texts: list[str], field: Field) -> list[list[tuple[int, int]]]:
     """The secrets (start, end) that the field finds in each text."""
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
+
+    def add(i: int, chain: Chain, tags: np.ndarray) -> None:
+        first = np.flatnonzero(tags == B)
+        last = np.flatnonzero((tags != O) & (np.append(tags[1:], O) != I))  # of runs that begin with B, as I never follows O
+        out[i] += [(chain[0][a], chain[1][b]) for a, b in zip(first.tolist(), last.tolist())]
+
     chains = []
     for i, text in enumerate(texts):
         data = text.encode()
         if parts := segments(text, data):
             file = file_features(data)
-            chains += [(i, c, *_features(c, file)) for c in parts]
-    chains.sort(key=lambda x: len(x[1]))
-    for g in _groups([len(c[1]) for c in chains]):
+            for chain in parts:
+                if len(chain[0]) > LONG_CHAIN:
+                    add(i, chain, long_viterbi(field, _long_emissions(field, text, chain, file)))
+                else:
+                    chains.append((i, chain, *_features(tokens_of(text, chain), file)))
+    chains.sort(key=lambda x: len(x[2]))
+    for g in _groups([len(c[2]) for c in chains]):
         own = chains[g.start : g.stop]
         for (i, chain, *_), tags in zip(own, viterbi(field, [(c[2], c[3]) for c in own])):
-            k = 0
-            while k < len(tags):
-                if tags[k] == B:
-                    last = k
-                    while last + 1 < len(tags) and tags[last + 1] == I:
-                        last += 1
-                    out[i].append((chain[k][1], chain[last][1] + len(chain[last][0])))
-                    k = last
-                k += 1
-    return out
+            add(i, chain, tags)
+    return [sorted(x) for x in out]
 
 
 def scan_secrets(docs: DataFrame, field: Field, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:

@@ -5,6 +5,7 @@ import hashlib
 import random
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -547,13 +548,13 @@ def test_secret_scan_of_whole_texts(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base).encode()).hexdigest()
         assert not base or not brute.base_secrets(r.redacted)
     whole = secrets.segments(dump, dump.encode())
-    assert sum(map(len, whole)) == len(secrets._TOKEN.findall(dump))
+    assert sum(len(c[0]) for c in whole) == len(secrets._TOKEN.findall(dump))
     assert secrets.segments("Q" * 30, b"Q" * 30) and secrets.segments("a passphrase is swordfish", b"a passphrase is swordfish")
 
 
 def test_field_gradient_is_that_of_the_likelihood():
     """A step of training moves the weights along the gradient of the log-likelihood over all taggings."""
-    chains = [secrets._features([(t, 0) for t in x.split()], (1, 2)) for x in ("a1 = b2", "k9 : x7 y2", "z8")]
+    chains = [secrets._features(x.split(), (1, 2)) for x in ("a1 = b2", "k9 : x7 y2", "z8")]
     golds = [np.array([0, 0, 1]), np.array([0, 0, 1, 2]), np.array([1])]
     examples = [(c, p, g) for (c, p), g in zip(chains, golds)]
 
@@ -589,7 +590,7 @@ def test_field_gradient_is_that_of_the_likelihood():
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(1)
     field = secrets.Field(rng.normal(size=(secrets.DIMENSIONS, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
-    chains = [secrets._features([(t, 0) for t in x.split()], (1, 2)) for x in ("a1 = b2 c", "k9", "x : 77 y z8")]
+    chains = [secrets._features(x.split(), (1, 2)) for x in ("a1 = b2 c", "k9", "x : 77 y z8")]
     for (cells, plain), got in zip(chains, secrets.viterbi(field, chains)):
         n = len(cells)
 
@@ -833,3 +834,58 @@ def test_dedup_keeps_columns_of_any_type(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, m map<string, int>")
     got = minhash.deduplicated(docs).collect()
     assert sorted(str(r.doc_id) for r in got) == ["1", "3", "None"] and minhash.deduplicated(docs).columns == docs.columns
+
+
+def test_long_chains_are_decoded_in_parts(monkeypatch):
+    """The parts' path is the whole's, and blocks of features are those of the whole chain, whatever the sizes."""
+    rng = np.random.default_rng(8)
+    field = secrets.Field(rng.normal(size=(secrets.DIMENSIONS, 3)).astype(np.float32), rng.normal(size=(3, 3)).astype(np.float32), rng.normal(size=3).astype(np.float32))
+    text = "password = " + "".join(rng.choice(["ab1", "=", "word", "/", "token", "Zz9", " ", "+", "hello "]) for _ in range(900)) + " key2"
+    chains = [c for c in secrets.segments(text, text.encode()) if len(c[0]) > 20]
+    assert chains
+    for block in (7, 64, 10_000):
+        monkeypatch.setattr(secrets, "BLOCK_TOKENS", block)
+        for c in chains:
+            cells, plain = secrets._features(secrets.tokens_of(text, c), (1, 2))
+            e = secrets._long_emissions(field, text, c, (1, 2))
+            assert np.array_equal(e, secrets._emissions(field, cells[None], plain[None])[0])
+            assert secrets.long_viterbi(field, e).tolist() == secrets.viterbi(field, [(cells, plain)])[0].tolist()
+    for n in (1, 2, 3, 5, 16, 17):
+        cells, plain = secrets._features(["a1", "=", "b2"] * n, (0, 0))
+        assert secrets.long_viterbi(field, secrets._emissions(field, cells[None], plain[None])[0, :n]).tolist() == secrets.viterbi(field, [(cells[:n], plain[:n])])[0].tolist()
+    texts = ["x " + text, text * 3]
+    found = secrets.decode(texts, field)
+    monkeypatch.setattr(secrets, "LONG_CHAIN", 5)
+    assert secrets.decode(texts, field) == found
+
+
+def test_very_long_texts_of_signs():
+    """Five million signs, and as much of base 64, in seconds and bounded memory."""
+    import subprocess
+    import sys
+
+    code = """
+import numpy as np, resource, time
+from skyframe.llm import secrets
+field = secrets.Field(np.ones((secrets.DIMENSIONS, 3), np.float32), np.zeros((3, 3), np.float32), np.zeros(3, np.float32))
+before, start = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, time.time()
+secrets.decode(["=" * 5_000_000], field)
+secrets.decode(["ab/+9Z" * 800_000], field)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024, time.time() - start)
+"""
+    mb, seconds = map(float, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, timeout=300, cwd=Path(__file__).parents[2]).stdout.split())
+    assert mb < 500 and seconds < 150, (mb, seconds)
+
+
+def test_long_texts_of_licence_words():
+    """A million words of one licence's vocabulary, drawn as often as it has them, in seconds; a licence among them is still found."""
+    own = next(p for p, label, _ in licenses.TEMPLATES if label == "mit" and len(p.split()) > 100).split()
+    rng = np.random.default_rng(1)
+    index = licenses.build_index(*(lambda v: (1000, [10] * len(v.words)))(licenses.LicenceWords()))
+    filler = " ".join(rng.choice(own, 1_000_000))
+    start = time.time()
+    _, found = index.scan(filler)
+    assert time.time() - start < 60 and not [f for f in found if f[0] >= index.base and len(index.templates[f[0]].own) > 100]
+    edited = own[:40] + ["extra", "words"] + own[42:90] + own[93:]
+    for text in (" ".join([filler[:100_000], *own, filler[:100_000]]), " ".join([filler[:50_000], *edited, filler[:50_000]])):
+        assert any(index.templates[k].label == "mit" and len(index.templates[k].own) > 100 for k, *_ in index.scan(text)[1])
