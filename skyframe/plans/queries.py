@@ -481,7 +481,24 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return made.select("idx", "box", F.round("b.level", 6).alias("level"), F.round("b.noise", 6).alias("noise"))
 
 
-@query("a9_background_mesh")
+def _mesh_sql(passes: int) -> str:
+    """CTEs up to mesh(idx, y, x, v, back) and noise(idx, rms): a mesh of two by two boxes of a tile, twice, and the deviation of what is left."""
+    clip = "list_filter(p, lambda v: abs(v - list_aggregate(p, 'median')) <= 3 * list_aggregate(p, 'stddev_pop'))"
+
+    def boxes(k: int, of: str) -> str:
+        steps = [f"m{k}_0 AS (SELECT idx, y // 4 AS bj, x // 4 AS bi, stddev_pop(r) AS s0, list(r) AS p FROM {of} GROUP BY 1, 2, 3)"]
+        steps += [f"m{k}_{i + 1} AS (SELECT idx, bj, bi, s0, {clip} AS p FROM m{k}_{i})" for i in range(passes)]
+        level = "CASE WHEN s0 - list_aggregate(p, 'stddev_pop') < 0.2 * s0 THEN list_aggregate(p, 'avg') ELSE 2.5 * list_aggregate(p, 'median') - 1.5 * list_aggregate(p, 'avg') END"
+        return ", ".join(steps) + f", l{k} AS (SELECT idx, bj, bi, list_aggregate(p, 'stddev_pop') AS s, {level} AS level FROM m{k}_{passes})"
+
+    def spread_out(k: int, of: str) -> str:
+        weight = "(CASE bj WHEN 1 THEN (y + 0.5) / 4 - 0.5 ELSE 1.5 - (y + 0.5) / 4 END) * (CASE bi WHEN 1 THEN (x + 0.5) / 4 - 0.5 ELSE 1.5 - (x + 0.5) / 4 END)"
+        return f"s{k} AS (SELECT o.idx, o.y, o.x, any_value(o.v) AS v, any_value(o.back) + sum(l.level * {weight}) AS back FROM {of} o JOIN l{k} l ON o.idx = l.idx GROUP BY 1, 2, 3), r{k} AS (SELECT *, v - back AS r FROM s{k})"
+
+    return f"r0 AS (SELECT idx, y, x, v, v AS r, 0.0::double AS back FROM px), {boxes(1, 'r0')}, {spread_out(1, 'r0')}, {boxes(2, 'r1')}, {spread_out(2, 'r1')}, {boxes(3, 'r2')}, mesh AS (SELECT * FROM r2), noise AS (SELECT idx, median(s) AS rms FROM l3 GROUP BY idx)"
+
+
+@query("a9_background_mesh", f"WITH {PX}, {_mesh_sql(2)}, m AS (SELECT idx, avg(back) AS b FROM mesh GROUP BY idx) SELECT idx, round(b, 6) AS mean_level, round(rms, 6) AS rms FROM m JOIN noise USING (idx)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     made = detect.background_mesh(X.tiles(spark, d), 4, 2)
     return made.select("idx", F.round(stats.mean("background"), 6).alias("mean_level"), F.round("rms", 6).alias("rms"))
@@ -495,10 +512,24 @@ def _(t: DataFrame) -> DataFrame:
     return with_tile_columns(t, lambda a: (detect.smoothed(a),), "pixels array<double>")
 
 
+@query(
+    "w6_segment_pixels",
+    f"WITH RECURSIVE {PX}, {_AROUND}, {_mesh_sql(3)}, on_px AS (SELECT idx, y, x, y * 8 + x AS id FROM near JOIN noise USING (idx) WHERE v > 0.5 * rms), "
+    "edge AS (SELECT a.idx, a.id AS a, b.id AS b FROM on_px a JOIN on_px b ON a.idx = b.idx AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1), "
+    "walk AS (SELECT idx, id AS a, id AS b FROM on_px UNION SELECT w.idx, w.a, e.b FROM walk w JOIN edge e ON w.idx = e.idx AND w.b = e.a), "
+    "area AS (SELECT idx, a, count(*) AS n FROM walk GROUP BY 1, 2) SELECT idx, CAST(count(*) AS BIGINT) AS n_pixels, CAST(sum(a) AS BIGINT) AS id_sum FROM area WHERE n >= 3 GROUP BY idx",
+)
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The pixels of all sources: smoothed, above the mesh's noise, in areas large enough; splitting doesn't change them."""
+    made = detect.segment_sources(X.tiles(spark, d), 0.5, 3, box=4)
+    lit = explode_tiles(made.select("idx", "w", F.col("segments").alias("pixels"))).filter("v > 0")
+    return lit.groupBy("idx").agg(F.count("*").alias("n_pixels"), F.sum(F.col("y") * 8 + F.col("x")).cast("bigint").alias("id_sum"))
+
+
 @query("w6_segment_sources")
 def _(spark: SparkSession, d: str) -> DataFrame:
     """Sources of each tile, their pixels, and the segments as text."""
-    made = detect.segment_sources(X.tiles(spark, d), 1.5, 3, box=4)
+    made = detect.segment_sources(X.tiles(spark, d), 0.5, 3, box=4)
     return made.select("idx", "n_sources", F.size(F.filter("segments", lambda v: v > 0)).alias("n_pixels"), F.round("rms", 6).alias("rms"), F.array_join("segments", "").alias("segments"))
 
 
