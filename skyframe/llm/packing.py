@@ -9,7 +9,7 @@ unpacked pieces that fill its expanded gap most tightly, if they fill it better
 Pieces of one length are alike, so the plan is made on the histogram of lengths (at most
 `capacity` numbers, whatever the input) as (pattern, times) pairs. Every step uses up a length, so
 there are O(capacity log capacity) patterns. Spark numbers the pieces of each length, hot lengths
-split by a hash of the id, and each piece finds its place by its number.
+split by a hash of the id and of where the row was read, and each piece finds its place by its number.
 """
 
 from __future__ import annotations
@@ -238,8 +238,9 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int
     """
     spark = docs.sparkSession
     salts = min(max(64, int(spark.conf.get("spark.sql.shuffle.partitions"))), 256)
-    rows = written(token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col), "token_pieces")
-    rows = rows.withColumn("head", (F.col("tokens") - 1) % capacity + 1).withColumn("salt", F.expr(f"int(pmod(xxhash64(id, crcs[0]), {salts}))"))
+    pieces = token_pieces(docs, vocabulary, capacity, end_id, id_col, text_col)
+    salt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(salts)).cast("int")  # equal rows spread too; it is written, so it stays
+    rows = written(pieces.withColumn("salt", salt), "token_pieces").withColumn("head", (F.col("tokens") - 1) % capacity + 1)
     counts = written(rows.groupBy("head", "salt").agg(F.count("*").alias("n")), "lengths")
     histogram = {r["head"]: r["n"] for r in counts.groupBy("head").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     places, _ = _places(plan_patterns(histogram, capacity))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -12,33 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.shared import clear_intermediates, new_path, shared_folder  # noqa: F401
+
 BATCH_ROWS = 1000
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 # A join whose key holds a large share of the rows is split over tasks while it runs, whatever follows it.
 SPLIT_HOT_KEYS = {"spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.skewJoin.enabled": "true", "spark.sql.adaptive.forceOptimizeSkewedJoin": "true", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64MB"}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session. Where it is unset, a local session gets a folder of its own machine; on a cluster that is an error."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/skyframe-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}/{name}"
-
-
-def clear_intermediates(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application, also those that frames not yet computed read."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/skyframe-{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 @contextmanager
 def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     """The session's settings while a job runs."""
