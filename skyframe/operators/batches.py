@@ -54,6 +54,18 @@ def shuffled(rows: DataFrame, key: str, epoch: int, seed: int = 0) -> DataFrame:
     return rows.withColumn("shuffle_key", stable_number(F.lit(seed), F.lit(epoch), key))
 
 
+def epoch_shards(rows: DataFrame, key: str, epoch: int, shards: int, seed: int = 0) -> DataFrame:
+    """Rows with `shard` and `place` (from 0) of an epoch: every row in one shard, shards of about equal size, each in a random order of its own.
+
+    One shuffle deals the rows to as many tasks as shards; a reader takes the shards it is given, in order of place. Both hang on the seed, the
+    epoch and the key alone, equal keys by the row's other columns. Write it partitioned by shard for a trainer that reads files.
+    """
+    hashable = [F.col(f"`{f.name}`") for f in rows.schema if "map<" not in f.dataType.simpleString()]
+    dealt = rows.withColumn("shard", (stable_number(F.lit(seed), F.lit(epoch), key) % shards).cast("int")).withColumn("__s", stable_long(F.lit(seed), F.lit(epoch), F.lit("place"), key)).withColumn("__h", F.xxhash64(*hashable))
+    place = F.row_number().over(Window.partitionBy("shard").orderBy("__s", key, "__h")) - 1
+    return dealt.withColumn("place", place.cast("bigint")).drop("__s", "__h")
+
+
 def train_val_split(rows: DataFrame, key: str, share: float = 0.2, seed: int = 0) -> DataFrame:
     """`split` = val or train by a hash of the key: both surveys of a pair are on the same side, always."""
     return rows.withColumn("split", F.when(stable_number(F.lit(seed), key) % 10_000 < round(share * 10_000), "val").otherwise("train"))

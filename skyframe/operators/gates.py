@@ -19,6 +19,11 @@ def filter_log_sum(tiles: DataFrame, pixels: str = "pixels", low: float = 2.0, h
     return tiles.filter(log_sum_passes(pixel_sum(pixels), low, high))
 
 
+def accepted_pairs(low_tiles: DataFrame, high_tiles: DataFrame, name: str = "name", pixels: str = "pixels", low: float = 2.0, high: float = 7.0) -> DataFrame:
+    """Names of the pairs whose high-resolution tile is within the log-sum limits; a tile without a partner is none."""
+    return filter_log_sum(high_tiles, pixels, low, high).select(name).join(low_tiles.select(name), name, "left_semi").distinct()
+
+
 def filter_finite(tiles: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with no NULL, NaN or infinite pixel in the named columns; others aren't examined."""
     for c in columns:

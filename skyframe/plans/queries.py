@@ -672,6 +672,15 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).select("survey", "name", F.round(stats.pixel_sum("pixels"), 6).alias("pix_sum"))
 
 
+@query("s6_write_filtered_pairs", f"WITH {LR}, ok AS (SELECT idx FROM px WHERE idx % 7 != 3 AND idx % 5 != 2 GROUP BY idx HAVING sum(v) > exp(-1) AND sum(v) < exp(1)) SELECT 'hr' AS survey, idx AS name, round(sum(v), 6) AS pix_sum FROM px JOIN ok USING (idx) GROUP BY idx UNION ALL SELECT 'lr', idx, round(sum(v), 6) FROM lr JOIN ok USING (idx) GROUP BY idx")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Both surveys' tiles of the pairs that pass, some tiles without a partner, written by survey and read back."""
+    path, t = X.scratch(spark, "filtered_pairs"), X.tiles(spark, d)
+    low, high = (x.select(F.lit(k).alias("survey"), F.col("idx").alias("name"), "h", "w", "pixels") for k, x in (("lr", X.low_tiles(t).filter("idx % 7 != 3")), ("hr", t.filter("idx % 5 != 2"))))
+    sinks.write_filtered(low.unionByName(high), gates.accepted_pairs(low, high, low=-1.0, high=1.0), path)
+    return spark.read.parquet(path).select("survey", "name", F.round(stats.pixel_sum("pixels"), 6).alias("pix_sum"))
+
+
 def _tan_sql(x: str, y: str) -> str:
     """Low-resolution pixel numbers to high-resolution ones through the sky, as CTE columns."""
     lr, hr = "0.168 / 3600", "0.084 / 3600"
@@ -762,6 +771,14 @@ def _(t: DataFrame) -> DataFrame:
     return t.withColumn("pixels", P.flipped("pixels", 8, 8, *B.flips("idx", 1)))
 
 
+@query("l3_epoch_shards", f"SELECT doc_id, CAST({hashed('5', '2', 'doc_id')} % 8 AS INT) AS shard, row_number() OVER (PARTITION BY {hashed('5', '2', 'doc_id')} % 8 ORDER BY CAST('0x' || substr(md5('5:2:place:' || doc_id), 1, 15) AS BIGINT), doc_id) - 1 AS place FROM documents")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """An epoch's shards, written by shard and read back."""
+    path = X.scratch(spark, "shards")
+    B.epoch_shards(X.table(spark, d, "documents").select("doc_id"), "doc_id", 2, 8, seed=5).write.partitionBy("shard").parquet(path)
+    return spark.read.parquet(path).select("doc_id", F.col("shard").cast("int").alias("shard"), "place")
+
+
 @query("w4_every_n", f"WITH {METRIC} SELECT step, value FROM metric WHERE step % 25 = 0 AND step > 0")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return B.every_n(X.metrics(spark, d), 25).select("step", "value")
