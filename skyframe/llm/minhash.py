@@ -31,7 +31,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -357,9 +357,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: s
         best = F.struct("worth", F.xxhash64("key").alias("h"), "key")
         bundles = entries.groupBy("bundle").agg(F.first("vs").alias("vs"), F.count("*").alias("m"), F.min("label").alias("low"), F.max("label").alias("high"), F.max(best).alias("lead"))
         two = F.flatten(F.transform("vs", lambda x, i: F.transform(F.slice("vs", i + 2, SKETCH), lambda y: F.struct(x.alias("v"), y.alias("w")))))
-        cut, of_pair = bundles.select("bundle", "m", "low", "high", "lead", F.explode(two).alias("p")).select("p.*", "bundle", "m", "low", "high", "lead"), Window.partitionBy("v", "w")
-        cut = cut.select("v", "w", "bundle", F.sum("m").over(of_pair).alias("m"), F.min("low").over(of_pair).alias("low"), F.max("high").over(of_pair).alias("high"), F.max("lead").over(of_pair)["key"].alias("lead"))
-        cut = written(cut.filter("low != high").drop("low", "high"), "pairs_of_values")
+        cut = written(bundles.select("bundle", "m", "low", "high", "lead", F.explode(two).alias("p")).select("p.*", "bundle", "m", "low", "high", "lead"), "pairs_of_values")
+        open_ = cut.groupBy("v", "w").agg(F.sum("m").alias("m"), F.min("low").alias("low"), F.max("high").alias("high"), F.max("lead").alias("lead")).filter("low != high")
+        cut = written(cut.select("v", "w", "bundle").join(open_.select("v", "w", "m", F.col("lead.key").alias("lead")), ["v", "w"]), "cut_lists")
         small = cut.filter(F.col("m") <= SHORT_LIST).select("v", "w", "bundle").join(entries.select("bundle", "key", "n", "label"), "bundle")
 
         def strangers(entries: DataFrame, by: list[str]) -> DataFrame:
