@@ -87,7 +87,22 @@ def every_n(rows: DataFrame, n: int, step: str = "step", include_zero: bool = Fa
     return rows.filter(due if include_zero else due & (F.col(step) > 0))
 
 
-def carry_last(rows: DataFrame, value: str, by: list[str], order: list[str], name: str = "carried") -> DataFrame:
-    """The last non-null value so far."""
-    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(so_far))
+def carry_last(rows: DataFrame, value: str, by: list[str], order: list[str], name: str = "carried", ranges: int | None = None) -> DataFrame:
+    """The last non-null value so far in each run (`by`), NULL before the first.
+
+    Runs are cut at the ranges of a range-partitioned table, which is written once, so a run of any length is several tasks' work: values are
+    carried inside a range, and into it from the ranges before for the runs that reach over a boundary, two a range at most.
+    """
+    held = stored(_ranges(rows, [*by, *order], ranges or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)), "carried")
+    held = held.withColumn("__p", F.shiftright("__at", 33).cast("int"))
+    so_far = Window.partitionBy("__p", *by).orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    ends = held.groupBy("__p", *by).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.col("__at"))).alias("__last"))
+    run = Window.partitionBy(*by)
+    over = ends.withColumn("__n", F.count("*").over(run)).filter("__n > 1")
+    before = over.select("__p", *by, F.last("__last", ignorenulls=True).over(run.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)).alias("__in"))
+    before = before.select(F.col("__p").alias("__q"), *(F.col(c).alias(f"__k{i}") for i, c in enumerate(by)), "__in")
+    same = F.col("__p") == F.col("__q")
+    for i, c in enumerate(by):
+        same = same & F.col(c).eqNullSafe(F.col(f"__k{i}"))
+    inside = held.withColumn("__own", F.last(value, ignorenulls=True).over(so_far))
+    return inside.join(F.broadcast(before), same, "left").select(*(F.col(f"`{c}`") for c in rows.columns), F.coalesce("__own", "__in").alias(name))

@@ -333,3 +333,16 @@ def test_pairs_of_batches(spark):
     high = row("a", 30, ones).union(row("b", 0, F.array(F.lit(0.1)))).union(row("c", 0, ones)).union(row("late", 61, ones)).union(row("d", 0, ones))
     got = sorted((str(r.name), r.status) for r in jobs.paired_gate(low, high).collect())
     assert got == sorted([("a", "accepted"), ("b", "rejected"), ("c", "rejected"), ("late", "unpaired"), ("late", "unpaired"), ("None", "unpaired"), ("d", "unpaired")])
+
+
+def test_values_are_carried_over_ranges(spark):
+    """One run of most rows, short and null runs, leading nulls, a value that must cross several ranges."""
+    rng = np.random.default_rng(15)
+    rows = [("hot" if i % 10 else ("a", "b", None)[i // 10 % 3], i, float(i) if (i < 900 and rng.random() < 0.05) else None) for i in range(4000)]
+    df = spark.createDataFrame(rows, "run string, step int, value double").repartition(5)
+    got = {r.step: r.carried for r in batches.carry_last(df, "value", ["run"], ["step"], ranges=9).collect()}
+    last = {}
+    for run, step, value in rows:
+        last[run] = value if value is not None else last.get(run)
+        assert got[step] == last[run], (run, step)
+    assert batches.carry_last(df.limit(0), "value", ["run"], ["step"]).count() == 0
