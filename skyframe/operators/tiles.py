@@ -85,6 +85,11 @@ def freq_split_tiles(tiles: DataFrame, sigma: float = 5.0, pixels: str = "pixels
     return with_tile_columns(tiles, split, "low array<double>, high array<double>", pixels)
 
 
+def tile_quantiles(tiles: DataFrame, shares: list[float], pixels: str = "pixels") -> DataFrame:
+    """tiles with `quantiles`, linearly interpolated at the given shares: by selection, without sorting a tile. NaNs where a tile holds one."""
+    return with_tile_columns(tiles, lambda a: (np.quantile(a, shares),), "quantiles array<double>", pixels)
+
+
 def explode_tiles(tiles: DataFrame, pixels: str = "pixels", w: str = "w", value: str = "v") -> DataFrame:
     """One row per pixel. For joins between tiles and mosaics; maths stays on arrays."""
     others = [c for c in tiles.columns if c not in (pixels, "h", "w")]

@@ -15,7 +15,7 @@ from ..operators import batches as B
 from ..operators import catalog as C
 from ..operators import chunks as K
 from ..operators import detect, gates, losses, metrics, mosaic, pairs, profiles, widths
-from ..operators.tiles import assemble_tiles, blur_tiles, chunked, dataset_stats, explode_tiles, freq_split_tiles, with_dataset_stats, with_tile_columns
+from ..operators.tiles import assemble_tiles, blur_tiles, chunked, dataset_stats, explode_tiles, freq_split_tiles, tile_quantiles, with_dataset_stats, with_tile_columns
 from ..sources import images
 from ..sources import tables as sinks
 from ..sources.shared import stored
@@ -239,6 +239,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("a3_tile_quantiles", f"WITH {PX} SELECT idx, round(quantile_cont(v, 0.25), 6) AS q25, round(median(v), 6) AS q50, round(quantile_cont(v, 0.99999), 6) AS p99999 FROM px GROUP BY idx")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    q = tile_quantiles(X.tiles(spark, d), [0.25, 0.5, 0.99999])
+    return q.select("idx", *(F.round(F.get("quantiles", F.lit(i)), 6).alias(n) for i, n in enumerate(("q25", "q50", "p99999"))))
+
+
 @query("a5_dataset_stats", f"WITH {PX} SELECT label, round(min(v), 6) AS lowest, round(max(v), 6) AS highest, round(median(v), 6) AS median, round(stddev_pop(v), 6) AS std FROM px GROUP BY label")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = dataset_stats(X.tiles(spark, d), ["label"])
@@ -960,6 +966,19 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _window_pixels(mosaic.cut_tiles(chunked(X.mosaic_lr(spark, d), _CHUNK), _all_centers(spark, d), 6, _CHUNK))
 
 
+@query("j4_extract_from_images", f"WITH {_CUT}, k AS (SELECT y, x, row_number() OVER (ORDER BY y // 64, x // 64, y, x) - 1 AS k FROM (SELECT a.y, a.x FROM mlr a, (SELECT max(y) + 1 AS h, max(x) + 1 AS w FROM mlr) s WHERE a.y BETWEEN 3 AND h - 3 AND a.x BETWEEN 3 AND w - 3)), n AS (SELECT i, y, x FROM range(5000) r(i) JOIN k ON k = CAST('0x' || substr(md5('9:' || i), 1, 15) AS BIGINT) % (SELECT count(*) FROM k)) SELECT i AS idx, count(*) AS n, round(sum(round(CAST(CAST(v AS FLOAT) AS DOUBLE), 1)), 1) AS total FROM n JOIN cut ON cut.idx = n.y * 1000 + n.x GROUP BY i")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The whole way: a survey image, read by byte ranges, its chunks stored with a border, centres drawn where a window has all its pixels, and cut."""
+    path = X.scratch(spark, "survey_image")
+    images.write_images(assemble_tiles(X.mosaic_lr(spark, d).withColumn("name", F.lit("survey")), ["name"]), path)
+    chunks = images.read_mosaic(spark, path, tile=_CHUNK, range_bytes=1 << 15).drop("name", "error")
+    bordered = stored(K.with_border(chunks, _CHUNK, 3, 5))
+    there = bordered.withColumn("pixels", F.transform("pixels", lambda v: F.when(F.isnan(v), 0.0).otherwise(1.0)))
+    at = K.draw_locations(stored(K.valid_bits(there, _CHUNK, 6)), _CHUNK, 5000, seed=9)
+    cut = K.cut_bordered(bordered, at, 6, _CHUNK)
+    return cut.select("idx", F.size("pixels").cast("bigint").alias("n"), F.round(stats.pixel_sum(F.transform("pixels", lambda v: F.round(v, 1))), 1).alias("total"))
+
+
 @query("j4_without_overlap", f"WITH {MHR}, {MLR}, met AS (SELECT DISTINCT y + i AS y, x + j AS x FROM mhr, range(2) a(i), range(2) b(j)) SELECT CAST(y * 1000 + x AS BIGINT) AS idx FROM mlr ANTI JOIN met USING (y, x)")
 def _(spark: SparkSession, d: str) -> DataFrame:
     c = _all_centers(spark, d)
