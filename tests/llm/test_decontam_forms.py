@@ -34,8 +34,7 @@ def text(parts, names, numbers):
     return " ".join(out) + "?"
 
 
-@pytest.mark.parametrize("share", [0.0, 0.2, 0.4, 0.55, 0.7])
-@pytest.mark.parametrize("limit", [decontam.INDEX_ROWS, 0])
+@pytest.mark.parametrize(("share", "limit"), [*((x, decontam.INDEX_ROWS) for x in (0.0, 0.2, 0.4, 0.55, 0.7)), (0.55, 0), (0.7, 0)])
 def test_recall_by_share_of_placeholders(spark, share, limit):
     """Nine in ten questions with other names and numbers are found, whatever the share; clean lists of the same types aren't."""
     rng = random.Random(int(share * 100))
