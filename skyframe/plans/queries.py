@@ -1028,21 +1028,28 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema(arriving.schema).parquet(out).select("idx", F.round(stats.pixel_sum("pixels"), 6).alias("pix_sum"))
 
 
+_ARRIVAL = 500_000
+
+
 @query("t1_stream_pairs", f"WITH {PX}, t AS (SELECT idx, sum(v) AS s FROM px GROUP BY idx) SELECT idx AS name, CASE WHEN idx % 7 = 3 OR idx % 5 = 2 THEN 'unpaired' WHEN s > exp(-1) AND s < exp(1) THEN 'accepted' ELSE 'rejected' END AS status, idx % 7 != 3 AS has_low, idx % 5 != 2 AS has_high FROM t WHERE idx % 7 != 3 OR idx % 5 != 2")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    """Both surveys' tiles as streams of several files, some without a partner; a later tile of each moves the watermark past all others."""
-    at = F.timestamp_seconds(F.col("idx") + 1_700_000_000)
-    low, high = X.low_tiles(X.tiles(spark, d)), X.tiles(spark, d)
-    streams = []
-    for t, there in ((low, F.col("idx") % 7 != 3), (high, F.col("idx") % 5 != 2)):
-        rows = t.filter(there).select(F.col("idx").alias("name"), at.alias("ts"), "pixels")
-        last = spark.range(1).select(F.lit(None).cast("bigint").alias("name"), F.timestamp_seconds(F.lit(2_000_000_000)).alias("ts"), F.array(F.lit(1.0)).alias("pixels"))
-        path = X.scratch(spark, "arriving")
-        rows.repartition(4, "name").unionByName(last).write.parquet(path)
-        streams.append(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path))
-    made = jobs.paired_gate(*streams, low=-1.0, high=1.0)
-    out = X.scratch(spark, "paired")
-    jobs.run_once(made, out, X.scratch(spark, "progress"))
+    """Both surveys' tiles as streams that arrive in the order of time, some without a partner; a later tile of each moves the watermark past all others.
+
+    Files of one arrival come in any order, and are one batch: the next one starts where the last one's checkpoint ends. State holds an arrival.
+    """
+    tiles = X.tiles(spark, d)
+    count = max(2, -(-tiles.count() // _ARRIVAL))
+    edges = [None, *tiles.approxQuantile("idx", [k / count for k in range(1, count)], 0.1 / count), None]
+    sources, out, progress = [X.scratch(spark, "arriving") for _ in range(2)], X.scratch(spark, "paired"), X.scratch(spark, "progress")
+    for after, until in zip(edges, edges[1:]):
+        of = tiles.filter((F.col("idx") > after if after is not None else F.lit(True)) & (F.col("idx") <= until if until is not None else F.lit(True)))
+        for path, t, there in zip(sources, (X.low_tiles(of), of), (F.col("idx") % 7 != 3, F.col("idx") % 5 != 2)):
+            rows = t.filter(there).select(F.col("idx").alias("name"), F.timestamp_seconds(F.col("idx") + 1_700_000_000).alias("ts"), "pixels")
+            if until is None:
+                rows = rows.unionByName(spark.range(1).select(F.lit(None).cast("bigint").alias("name"), F.timestamp_seconds(F.lit(2_000_000_000)).alias("ts"), F.array(F.lit(1.0)).alias("pixels")))
+            rows.repartition(4, "name").write.mode("append").parquet(path)
+        made = jobs.paired_gate(*(spark.readStream.schema(rows.schema).parquet(path) for path in sources), low=-1.0, high=1.0)
+        jobs.run_once(made, out, progress)
     done = spark.read.schema(made.schema).parquet(out).filter("name is not null")
     return done.select("name", "status", F.col("low_pixels").isNotNull().alias("has_low"), F.col("high_pixels").isNotNull().alias("has_high"))
 

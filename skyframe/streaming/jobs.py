@@ -20,7 +20,8 @@ def paired_gate(low_tiles: DataFrame, high_tiles: DataFrame, low: float = 2.0, h
 
     A pair has one name and times at most `wait` apart. It is accepted if both tiles are whole and the high-resolution one is within the
     log-sum limits, else rejected. A tile whose partner hasn't come when the watermark, `wait` behind the latest tile, rules it out is unpaired:
-    that goes to quarantine, as do tiles without a name. State is kept for tiles that can still find a partner.
+    that goes to quarantine, as do tiles without a name. State is kept for tiles that can still find a partner. A stream drops a tile that comes
+    in a later batch than one more than `wait` after it, so batches have to follow the time to within `wait`; within a batch any order will do.
     """
     a = low_tiles.select(F.col("name").alias("low_name"), F.col("ts").alias("low_ts"), F.col("pixels").alias("low_pixels"))
     b = high_tiles.select(F.col("name").alias("high_name"), F.col("ts").alias("high_ts"), F.col("pixels").alias("high_pixels"))
