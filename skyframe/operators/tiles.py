@@ -17,9 +17,11 @@ BINS = 4096
 FEW_VALUES = 100_000
 
 
-def with_tile_columns(tiles: DataFrame, compute: Callable[[np.ndarray], tuple], schema: str, pixels: str = "pixels", h: str = "h", w: str = "w") -> DataFrame:
+def with_tile_columns(tiles: DataFrame, compute: Callable, schema: str, pixels: str = "pixels", h: str = "h", w: str = "w", together: bool = False) -> DataFrame:
     """tiles with the columns of `schema`, which compute makes of each tile as an (h, w) array; a column of that name is replaced.
 
+    compute gives a tuple; with together, it gets the tiles of an Arrow batch as a list, and gives a list of tuples.
+
     Numpy works on the pixels of an Arrow batch in place; tiles aren't shuffled. A NULL tile, or one whose size isn't h * w, gets NULLs.
     """
     added = T.StructType.fromDDL(schema)
@@ -41,10 +43,12 @@ def with_tile_columns(tiles: DataFrame, compute: Callable[[np.ndarray], tuple],
             lists = batch.column(names.index(pixels))
             flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
             there = lists.is_valid().to_numpy(zero_copy_only=False)
-            rows = []
+            found = []
             for i, (hh, ww) in enumerate(zip(batch.column(names.index(h)).to_pylist(), batch.column(names.index(w)).to_pylist())):
                 whole = there[i] and hh is not None and ww is not None and starts[i + 1] - starts[i] == hh * ww > 0
-                rows.append(compute(flat[starts[i] : starts[i + 1]].reshape(hh, ww)) if whole else (None,) * len(kinds))
+                found.append(flat[starts[i] : starts[i + 1]].reshape(hh, ww) if whole else None)
+            made = iter(compute([a for a in found if a is not None]) if together else (compute(a) for a in found if a is not None))
+            rows = [(None,) * len(kinds) if a is None else next(made) for a in found]
             columns = list(zip(*rows)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in kept), *(column(list(c), k) for c, k in zip(columns, kinds))], names=[*kept, *added.fieldNames()])
 

@@ -543,8 +543,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 def _(spark: SparkSession, d: str) -> DataFrame:
     """An elongated source for every part, as wide as its size says, as bright as its price, somewhere near the middle of its tile: measured, and held against the truth."""
     side, wide, long_ = 24, F.lit(1.2) + F.col("p_size") % 20 / 10.0, 1.5**0.5
-    light = F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda i: F.col("p_retailprice") * F.exp(-(F.pow((i % side - (11.5 + F.col("p_partkey") % 7 / 10.0)) / long_, 2) + F.pow((F.floor(i / side) - (11.5 - F.col("p_partkey") % 5 / 10.0)) * long_, 2)) / (2 * wide * wide)) + 3.0)
-    t = X.table(spark, d, "part").select("p_partkey", (wide * 2 * F.sqrt(F.lit(2.0) * F.log(F.lit(2.0)))).alias("truth"), F.lit(side).alias("h"), F.lit(side).alias("w"), light.alias("pixels"))
+    profile = lambda middle, stretch: F.transform(F.sequence(F.lit(0), F.lit(side - 1)), lambda i: F.exp(-F.pow((i - middle) * stretch, 2) / (2 * wide * wide)))
+    along, down = profile(11.5 + F.col("p_partkey") % 7 / 10.0, 1 / long_), profile(11.5 - F.col("p_partkey") % 5 / 10.0, long_)
+    light = A.bound(along, lambda a: A.bound(down, lambda b: F.flatten(F.transform(b, lambda v: F.transform(a, lambda u: F.col("p_retailprice") * u * v + 3.0)))))
+    parts = X.table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    spread = parts.repartition(-(-parts.count() // 2000) or 1)  # before there are pixels: a few bytes a tile
+    t = spread.select("p_partkey", (wide * 2 * F.sqrt(F.lit(2.0) * F.log(F.lit(2.0)))).alias("truth"), F.lit(side).alias("h"), F.lit(side).alias("w"), light.alias("pixels"))
     made = widths.source_widths(t)
     bias = C.relative_bias("fwhm", "truth")
     return made.select(F.col("p_partkey").alias("object_id"), F.round("fwhm", 4).alias("fwhm"), F.round("fwhm_major", 4).alias("fwhm_major"), F.abs(F.round(bias, 5)).alias("relative_bias"))

@@ -1,7 +1,9 @@
 """Queries and operators on tables and plans as they are at larger sizes."""
 
 import duckdb
+import numpy as np
 
+from skyframe.operators import widths
 from skyframe.plans.queries import ORACLES, QUERIES
 
 D = "/root/testdata/sf0.001"
@@ -18,3 +20,23 @@ def test_streamed_pairs_over_many_hours(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxRecordsPerFile")
     assert sorted(map(tuple, got)) == sorted(duck.execute(ORACLES["t1_stream_pairs"]).fetchall())
+
+
+def test_widths_are_fitted_by_many_tasks(spark):
+    """A table of one small file is not one task's work."""
+    assert QUERIES["e1_fwhm_bias"](spark, "/root/testdata/sf0.1").rdd.getNumPartitions() == 10
+
+
+def test_a_tile_is_fitted_as_if_alone():
+    """Stacks of several shapes, with tiles that can't be fitted and tiles that take different numbers of steps."""
+    rng = np.random.default_rng(7)
+    tiles = []
+    for k in range(40):
+        yy, xx = np.mgrid[: 15 + k % 2, :17].astype(float)
+        dy, dx = yy - rng.uniform(6, 9), xx - rng.uniform(7, 9)
+        tiles.append(rng.uniform(50, 500) * np.exp(-(dx**2 / rng.uniform(1, 9) + dy**2 / rng.uniform(1, 9)) / 2) + 3 + rng.normal(0, k % 3, yy.shape))
+    tiles[5], tiles[6][0, 0] = np.zeros((15, 17)), np.inf
+    alone = [widths.fit_gaussians(a[None])[0] or (None,) * 5 for a in tiles]
+    together = widths._fit_all(tiles)
+    assert [a[0] is None for a in alone] == [k in (5, 6) for k in range(40)] == [a[0] is None for a in together]
+    assert np.allclose([a for a in alone if a[0]], [a for a in together if a[0]], rtol=1e-9)
