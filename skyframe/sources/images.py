@@ -24,6 +24,8 @@ KINDS = {8: ">u1", 16: ">i2", 32: ">i4", -32: ">f4", -64: ">f8"}
 IMAGE = "name string, h int, w int, pixels array<float>, header map<string,string>, error string"
 RANGE = "path string, name string, start long, width long, kind int, scale double, zero double, y0 int, y1 int, x0 int, x1 int, error string"
 RANGE_BYTES = 32 << 20
+TASK_BYTES = 8 << 20
+GIVEN_BYTES = 1 << 20
 MOST_TASKS = 100_000
 TILE = "name string, ty int, tx int, h int, w int, pixels array<float>, error string"
 
@@ -187,36 +189,54 @@ def plan_ranges(spark: SparkSession, path: str, hdu: int = 0, tile: int = 1024,
 def read_mosaic(spark: SparkSession, path: str, hdu: int = 0, tile: int = 1024, range_bytes: int = RANGE_BYTES, region: tuple[int, int, int, int] | None = None) -> DataFrame:
     """Survey images of any size as rows of at most tile by tile pixels: write them to Parquet once, and read that later.
 
-    The headers give byte ranges (plan_ranges), which are dealt to as many tasks as the files' bytes make ranges; each task seeks
-    its rows in the file through the file system that the path's scheme names, and holds one range at a time. With region, only
-    tiles that touch it are read.
+    The headers give byte ranges (plan_ranges), which are dealt to a task for every TASK_BYTES, or range if that is more, and to four a core if there are ranges
+    enough; each task seeks its rows in the files through the file system that a path's scheme names, file by file, and holds one range at a time (small ones
+    are given on together). With region, only tiles that touch it are read.
     """
     planned = plan_ranges(spark, path, hdu, tile, range_bytes, region)
     total = _files(spark, path).agg(F.sum("length")).first()[0] or 0
-    tasks = max(1, min(-(-total // range_bytes), MOST_TASKS))
+    ranges, loads = -(-total // range_bytes), -(-total // max(TASK_BYTES, range_bytes))
+    tasks = max(1, min(ranges, max(loads, 4 * spark.sparkContext.defaultParallelism), MOST_TASKS))
+    schema = pa.schema([("name", pa.string()), *((c, pa.int32()) for c in ("ty", "tx", "h", "w")), ("pixels", pa.list_(pa.float32())), ("error", pa.string())])
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("name", pa.string()), *((c, pa.int32()) for c in ("ty", "tx", "h", "w")), ("pixels", pa.list_(pa.float32())), ("error", pa.string())])
-        for batch in batches:
-            for r in batch.to_pylist():
-                if r["error"]:
-                    yield pa.RecordBatch.from_pylist([{"name": r["name"], "error": r["error"]}], schema=schema)
-                    continue
-                store, inside = pafs.FileSystem.from_uri(r["path"])
-                h, w, dtype = r["y1"] - r["y0"], r["x1"] - r["x0"], np.dtype(KINDS[r["kind"]])
-                row = lambda y: r["start"] + (y * r["width"] + r["x0"]) * dtype.itemsize  # noqa: E731, B023
-                with store.open_input_file(inside) as f:
+        rows, held, at, f = [], 0, None, None
+        try:
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["error"]:
+                        rows.append((r["name"], *[None] * 5, r["error"]))
+                        continue
+                    if r["path"] != at:
+                        if f:
+                            f.close()
+                        store, inside = pafs.FileSystem.from_uri(r["path"])
+                        at, f = r["path"], store.open_input_file(inside)
+                    h, w, dtype = r["y1"] - r["y0"], r["x1"] - r["x0"], np.dtype(KINDS[r["kind"]])
+                    row = lambda y: r["start"] + (y * r["width"] + r["x0"]) * dtype.itemsize  # noqa: E731, B023
                     if w == r["width"]:
                         raw = f.read_at(h * w * dtype.itemsize, row(r["y0"]))
                     else:
                         raw = b"".join(f.read_at(w * dtype.itemsize, row(y)) for y in range(r["y0"], r["y1"]))
-                a = (np.frombuffer(raw, dtype).reshape(h, w).astype(np.float64) * r["scale"] + r["zero"]).astype(np.float32)
-                for x in range(0, w, tile):
-                    part = a[:, x : x + tile]
-                    if not region or r["x0"] + x < region[3] and r["x0"] + x + part.shape[1] > region[2]:
-                        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((r["name"], r["y0"] // tile, (r["x0"] + x) // tile, *part.shape, part.ravel(), None), schema)], schema=schema)
-
-    return planned.repartition(tasks, "path", "y0", "x0").mapInArrow(run, TILE)
+                    a = (np.frombuffer(raw, dtype).reshape(h, w).astype(np.float64) * r["scale"] + r["zero"]).astype(np.float32)
+                    for x in range(0, w, tile):
+                        part = a[:, x : x + tile]
+                        if not region or r["x0"] + x < region[3] and r["x0"] + x + part.shape[1] > region[2]:
+                            rows.append((r["name"], r["y0"] // tile, (r["x0"] + x) // tile, *part.shape, part.ravel(), None))
+                            held += part.nbytes
+                            if held >= GIVEN_BYTES:
+                                yield batch_of(rows)
+                                rows, held = [], 0
+            if rows:
+                yield batch_of(rows)
+        finally:
+            if f:
+                f.close()
+
+    return planned.repartition(tasks, "path", "y0", "x0").sortWithinPartitions("path", "y0", "x0").mapInArrow(run, TILE)
 
 
 def mosaic_pixels(tiles: DataFrame, tile: int = 1024) -> DataFrame:

@@ -5,6 +5,7 @@ import numpy as np
 
 from skyframe.operators import widths
 from skyframe.plans.queries import ORACLES, QUERIES
+from skyframe.sources import images
 
 D = "/root/testdata/sf0.001"
 
@@ -40,3 +41,15 @@ def test_a_tile_is_fitted_as_if_alone():
     together = widths._fit_all(tiles)
     assert [a[0] is None for a in alone] == [k in (5, 6) for k in range(40)] == [a[0] is None for a in together]
     assert np.allclose([a for a in alone if a[0]], [a for a in together if a[0]], rtol=1e-9)
+
+
+def test_small_ranges_share_tasks(spark, tmp_path):
+    """Tasks follow the bytes, not the ranges; a bad file among them is a row of its own."""
+    a = np.arange(20 * 48 * 50, dtype=np.float32).reshape(20, 48, 50)
+    for k in range(20):
+        (tmp_path / f"i{k}.fits").write_bytes(images.encode(a[k]) if k != 7 else b"no image")
+    tiles = images.read_mosaic(spark, str(tmp_path), tile=16, range_bytes=2048)
+    assert tiles.rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert [r.name for r in tiles.filter("error is not null").collect()] == ["i7.fits"]
+    got = {(r.name, r.y, r.x): r.v for r in images.mosaic_pixels(tiles, 16).collect()}
+    assert got == {(f"i{k}.fits", y, x): a[k, y, x] for k in range(20) if k != 7 for y in range(48) for x in range(50)}
