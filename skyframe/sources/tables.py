@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+SURVEYS = 8  # files that a task holds open; tiles of more surveys are sorted
+
 
 def write_footprint(mask: DataFrame, path: str) -> None:
     """(y, x, valid) with valid as 0 or 1."""
@@ -25,11 +27,22 @@ def read_footprint(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("valid", F.col("valid") == 1)
 
 
+def _write_by_survey(tiles: DataFrame, path: str) -> None:
+    """A folder per survey, a file of each open at once in a task: few surveys need no sort of a task's tiles, which would hold them all."""
+    name, conf = "spark.sql.maxConcurrentOutputFileWriters", tiles.sparkSession.conf
+    before = conf.get(name)
+    conf.set(name, SURVEYS)
+    try:
+        tiles.write.mode("overwrite").partitionBy("survey").parquet(path)
+    finally:
+        conf.set(name, before)
+
+
 def write_cutout_pairs(cutouts: DataFrame, path: str) -> None:
     """Tiles of both surveys under the same idx, a folder per survey; existing ones are replaced."""
-    cutouts.write.mode("overwrite").partitionBy("survey").parquet(path)
+    _write_by_survey(cutouts, path)
 
 
 def write_filtered(tiles: DataFrame, accepted: DataFrame, path: str, name: str = "name") -> None:
     """The accepted names' tiles of both surveys."""
-    tiles.join(accepted.select(name), name, "left_semi").write.mode("overwrite").partitionBy("survey").parquet(path)
+    _write_by_survey(tiles.join(accepted.select(name), name, "left_semi"), path)

@@ -5,7 +5,7 @@ import numpy as np
 
 from skyframe.operators import widths
 from skyframe.plans.queries import ORACLES, QUERIES
-from skyframe.sources import images
+from skyframe.sources import images, tables
 
 D = "/root/testdata/sf0.001"
 
@@ -53,3 +53,16 @@ def test_small_ranges_share_tasks(spark, tmp_path):
     assert [r.name for r in tiles.filter("error is not null").collect()] == ["i7.fits"]
     got = {(r.name, r.y, r.x): r.v for r in images.mosaic_pixels(tiles, 16).collect()}
     assert got == {(f"i{k}.fits", y, x): a[k, y, x] for k in range(20) if k != 7 for y in range(48) for x in range(50)}
+
+
+def test_surveys_are_written_without_a_sort(spark, tmp_path):
+    """A task's tiles go to their folders one by one; the session is left as it was."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before, frame = spark.conf.get(name), spark.sql("SELECT id AS idx, IF(id % 3 = 0, 'lr', 'hr') AS survey, array(1.0D * id) AS pixels FROM range(0, 300, 1, 2)")
+    tables.write_cutout_pairs(frame, str(tmp_path / "pairs"))
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [done.apply(k).physicalPlanDescription() for k in range(done.size())]
+    plan = [p for p in plans if str(tmp_path / "pairs") in p][-1]
+    assert "survey" in plan and "Sort" not in plan
+    assert spark.conf.get(name) == before
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "pairs")).select("idx", "survey", "pixels").collect())) == sorted(map(tuple, frame.collect()))
