@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.wcs import pix_to_sky, sky_to_pix
 from .batches import stable_number
+from .chunks import _lists
 
 
 def sampling_bounds(h: int | Column, w: int | Column, size: int) -> tuple[tuple, tuple]:
@@ -86,8 +88,8 @@ def cut_tiles(chunks: DataFrame, centers: DataFrame, size: int, chunk: int, bloc
 
     y and x are the place of the tile's first pixel in the mosaic. The mosaic is dense, in chunks (ty, tx, h, w, pixels) whose first pixel is (ty * chunk, tx * chunk). A window starts at
     ceil(centre - size / 2). Centres meet the one to four chunks that they touch in groups of one chunk and as many centres
-    as make block_bytes of pixels, so that a chunk with very many centres is split; numpy slices them, and
-    windows of several chunks are put together, four pieces at most. No pixel is a row of its own.
+    as make block_bytes of pixels, so that a chunk with very many centres is split; numpy slices all windows of a size at
+    once, and windows of several chunks are put together, four pieces at most, in groups of those that start in one chunk. No pixel is a row of its own.
     """
     start = lambda c: F.ceil(F.col(c) - size / 2.0).cast("int")
     touched = lambda c: F.explode(F.sequence(F.floor(F.col(c) / chunk).cast("int"), F.floor((F.col(c) + size - 1) / chunk).cast("int")))
@@ -95,42 +97,71 @@ def cut_tiles(chunks: DataFrame, centers: DataFrame, size: int, chunk: int, bloc
     kind = to_arrow_type(centers.schema["idx"].dataType)
     names, kinds = ["idx", "y", "x", "h", "w", "pixels"], [kind, *[pa.int32()] * 4, pa.list_(pa.float64())]
 
-    def table(rows: list[tuple]) -> pa.Table:
-        columns = list(zip(*rows)) or [()] * len(names)
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+    schema = f"idx {centers.schema['idx'].dataType.simpleString()}, y int, x int, h int, w int, pixels array<double>"
+    arrow = pa.schema(list(zip(names, kinds)))
 
-    def cut(of: pa.Table, held: pa.Table) -> pa.Table:
-        rows = []
+    def classes(*columns: np.ndarray) -> list[tuple[np.ndarray, tuple[int, ...]]]:
+        """The rows of each combination of small numbers, and the combination: at most as many as a window has places and sizes."""
+        found, of = np.unique(np.stack(columns, 1), axis=0, return_inverse=True)
+        return [(np.flatnonzero(of.ravel() == k), tuple(c.tolist())) for k, c in enumerate(found)]
+
+    def made(idx: pa.Array, y: np.ndarray, x: np.ndarray, tiles: np.ndarray) -> pa.Table:
+        n, h, w = tiles.shape
+        return pa.table([idx, *(pa.array(c.astype(np.int32)) for c in (y, x, np.full(n, h), np.full(n, w))), _lists(tiles)], schema=arrow)
+
+    def cut(of: pa.Table, held: pa.Table, more: list[str]) -> pa.Table:
+        of, out = of.combine_chunks(), []
+        y0, x0 = of["y0"].to_numpy(), of["x0"].to_numpy()
         for c in range(held.num_rows):
             h, w, ty, tx = (held[k][c].as_py() for k in ("h", "w", "ty", "tx"))
-            a = held["pixels"][c].values.to_numpy(zero_copy_only=False).reshape(h, w)
-            for idx, y0, x0 in zip(of["idx"].to_pylist(), of["y0"].to_pylist(), of["x0"].to_pylist()):
-                top, left = max(y0 - ty * chunk, 0), max(x0 - tx * chunk, 0)
-                part = a[top : max(y0 + size - ty * chunk, 0), left : max(x0 + size - tx * chunk, 0)]
-                if part.size:
-                    rows.append((idx, ty * chunk + top, tx * chunk + left, *part.shape, part.ravel()))
-        return table(rows)
+            a = held["pixels"][c].values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(h, w)
+            top, left = np.maximum(y0 - ty * chunk, 0), np.maximum(x0 - tx * chunk, 0)
+            high, wide = (np.minimum(end, n) - at for end, n, at in ((y0 + size - ty * chunk, h, top), (x0 + size - tx * chunk, w, left)))
+            some = np.flatnonzero((high > 0) & (wide > 0))
+            for rows, (ph, pw) in classes(high[some], wide[some]) if len(some) else ():
+                at = some[rows]
+                whose = of.take(pa.array(at))
+                part = made(whose["idx"].combine_chunks(), ty * chunk + top[at], tx * chunk + left[at], sliding_window_view(a, (ph, pw))[top[at], left[at]])
+                for k in more:
+                    part = part.append_column(k, whose[k])
+                out.append(part)
+        return pa.concat_tables(out) if out else pa.schema([*arrow, *(of.schema.field(k) for k in more)]).empty_table()
 
     def put_together(pieces: pa.Table) -> pa.Table:
-        y, x, h, w = (pieces[k].to_numpy() for k in ("y", "x", "h", "w"))
-        whole = np.full((int((y + h).max() - y.min()), int((x + w).max() - x.min())), np.nan)
-        for k, p in enumerate(pieces["pixels"].to_pylist()):
-            whole[y[k] - y.min() :, x[k] - x.min() :][: h[k], : w[k]] = np.reshape(p, (h[k], w[k]))
-        return table([(pieces["idx"][0].as_py(), int(y.min()), int(x.min()), *whole.shape, whole.ravel())])
-
-    by, schema = ("ty", "tx", "block"), f"idx {centers.schema['idx'].dataType.simpleString()}, y int, x int, h int, w int, pixels array<double>"
-
-    def pieces(windows: DataFrame) -> DataFrame:
+        """The windows of a block from their pieces: each class of pieces is laid into all of its windows at once."""
+        pieces = pieces.combine_chunks()
+        y0, x0, y, x, h, w = (pieces[k].to_numpy() for k in ("y0", "x0", "y", "x", "h", "w"))
+        code = pieces["idx"].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+        _, first, of = np.unique(np.stack([code, y0, x0], 1), axis=0, return_index=True, return_inverse=True)
+        of, n, lists = of.ravel(), len(first), pieces["pixels"].combine_chunks()
+        flat, starts = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+        canvas, box = np.full((n, size, size), np.nan), np.tile([size, size, 0, 0], (n, 1))
+        dy, dx = y - y0, x - x0
+        for k, (c, f) in enumerate(((dy, np.minimum), (dx, np.minimum), (dy + h, np.maximum), (dx + w, np.maximum))):
+            f.at(box[:, k], of, c)
+        for rows, (top, left, ph, pw) in classes(dy, dx, h, w):
+            canvas[of[rows], top : top + ph, left : left + pw] = flat[starts[rows][:, None] + np.arange(ph * pw)].reshape(-1, ph, pw)
+        out = []
+        for rows, (top, left, bottom, right) in classes(*box.T):
+            at = first[rows]
+            out.append(made(pieces["idx"].combine_chunks().take(pa.array(at)), y0[at] + top, x0[at] + left, np.ascontiguousarray(canvas[rows, top:bottom, left:right])))
+        return pa.concat_tables(out)
+
+    def pieces(windows: DataFrame, more: list[str]) -> DataFrame:
         windows = windows.withColumn("ty", touched("y0")).withColumn("tx", touched("x0"))
         blocks = windows.groupBy("ty", "tx").agg(F.ceil(F.count("*") / many).cast("int").alias("blocks"))
         dealt = windows.join(blocks, ["ty", "tx"]).withColumn("block", F.expr("int(pmod(xxhash64(idx), blocks))")).drop("blocks")
         copies = chunks.select("ty", "tx", "h", "w", "pixels").join(blocks, ["ty", "tx"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-        return dealt.groupBy(*by).cogroup(copies.toDF(*copies.columns).groupBy(*by)).applyInArrow(cut, schema)
+        cuts = ", ".join([schema, *(f"{k} int" for k in more)])
+        return dealt.groupBy("ty", "tx", "block").cogroup(copies.toDF(*copies.columns).groupBy("ty", "tx", "block")).applyInArrow(lambda of, held: cut(of, held, more), cuts)
 
     windows = centers.select("idx", start("y").alias("y0"), start("x").alias("x0"))
     inside = lambda c: F.floor((F.col(c) + size - 1) / chunk) == F.floor(F.col(c) / chunk)
     alone = inside("y0") & inside("x0")
-    return pieces(windows.filter(alone)).unionByName(pieces(windows.filter(~alone)).groupBy("idx").applyInArrow(put_together, schema))
+    over = windows.filter(~alone).withColumn("sy", F.floor(F.col("y0") / chunk).cast("int")).withColumn("sx", F.floor(F.col("x0") / chunk).cast("int"))
+    parts = over.groupBy("sy", "sx").agg(F.ceil(F.count("*") / many).cast("int").alias("parts"))
+    over = over.join(parts, ["sy", "sx"]).select("idx", "y0", "x0", F.expr("int(pmod(xxhash64(idx), parts))").alias("part"), "sy", "sx")
+    return pieces(windows.filter(alone), []).unionByName(pieces(over, ["y0", "x0", "part", "sy", "sx"]).groupBy("sy", "sx", "part").applyInArrow(put_together, schema))
 
 
 def without_overlap(centers: DataFrame, cutouts: DataFrame) -> DataFrame:

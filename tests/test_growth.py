@@ -3,7 +3,7 @@
 import duckdb
 import numpy as np
 
-from skyframe.operators import widths
+from skyframe.operators import mosaic, widths
 from skyframe.plans.queries import ORACLES, QUERIES
 from skyframe.sources import images, tables
 
@@ -66,3 +66,18 @@ def test_surveys_are_written_without_a_sort(spark, tmp_path):
     assert "survey" in plan and "Sort" not in plan
     assert spark.conf.get(name) == before
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "pairs")).select("idx", "survey", "pixels").collect())) == sorted(map(tuple, frame.collect()))
+
+
+def test_windows_of_several_chunks_are_put_together_in_blocks(spark):
+    """Not one by one; two windows of one idx stay two, and centres without an idx are cut too."""
+    a = np.arange(20 * 23, dtype=float).reshape(20, 23)
+    chunks = spark.createDataFrame([(y // 8, x // 8, *a[y : y + 8, x : x + 8].shape, a[y : y + 8, x : x + 8].ravel().tolist()) for y in (0, 8, 16) for x in (0, 8, 16)], "ty int, tx int, h int, w int, pixels array<double>")
+    at = [(None if y == x else f"i{y % 4}", y, x) for y in range(-2, 23) for x in range(-2, 26)]
+    cut = mosaic.cut_tiles(chunks, spark.createDataFrame(at, "idx string, y int, x int"), 5, 8, block_bytes=8 * 25 * 7)
+    assert "FlatMapGroupsInArrow [sy" in cut._jdf.queryExecution().optimizedPlan().toString()
+    want = []
+    for idx, y, x in at:
+        part = a[max(y - 2, 0) : max(y + 3, 0), max(x - 2, 0) : max(x + 3, 0)]
+        if part.size:
+            want.append((str(idx), max(y - 2, 0), max(x - 2, 0), *part.shape, part.ravel().tolist()))
+    assert sorted((str(r.idx), r.y, r.x, r.h, r.w, r.pixels) for r in cut.collect()) == sorted(want)
